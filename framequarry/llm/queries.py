@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, packing, token_files
+from . import decontaminate, exact_dedup, ngram_join, packing, substring_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"), n=13)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=75)
 
@@ -42,4 +46,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.SQL, "op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op6_decontamination": decontaminate.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
