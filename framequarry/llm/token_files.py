@@ -117,4 +117,5 @@ def read_tokens(folder: str, manifest: DataFrame, with_ids: bool = False) -> Dat
                         data["ids"] = pa.array([ids[x:y].astype("i4") for x, y in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_pydict(data)
 
-    return manifest.select("shard", "width", "base").repartition(F.col("shard")).mapInArrow(read, schema)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("shard", "width", "base").repartition(tasks, "shard").mapInArrow(read, schema)
