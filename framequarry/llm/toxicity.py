@@ -6,8 +6,8 @@ TARGET (harm is announced), NEGATION before an insult (weight is taken back), SP
 reported to have said it). Their composition is the product of their states; the weight of a clause is the best
 weight of a path. Clause weights add up to the document's log-odds, so long documents are not toxic for one word.
 
-The insult stems and their weights are learned from labelled documents that are not held out (a bounded sample,
-``per_label`` documents of each label): word beginnings and whole words that toxic documents have and others have not. The
+The insult stems and their weights are learned from labelled documents that are not held out (a bounded
+sample of each label): word beginnings and whole words that toxic documents have and others have not. The
 closed classes (pronouns, negations, speech verbs) are fixed word lists of common European languages.
 """
 
@@ -17,13 +17,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .shared import bounded_batches
+from .shared import bounded_batches, materialize
 
 # Closed word classes.
 TARGETS = frozenset("you your yours u he she they him her them his their we us du dich dir dein deine ihr euch sie er ihn ihm tu te toi ton ta tes vous votre vos il elle ils elles lui leur tú usted ustedes ti tus ellos ellas él ella".split())
@@ -35,9 +36,16 @@ CLAUSE = regex.compile(r"[.!?;:\n]+")
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
 LEET = str.maketrans("013457@$", "oieastas")
 MASKED = regex.compile(r"\b(?=[\p{L}@$0-9]*\p{L})(?=\p{L}*[@$0-9])[\p{L}@$0-9]{3,}\b")
+MARKS = regex.compile(r"[@$0-9]")
 STEM_LENGTHS = range(3, 9)
 #: Weights of the grammar in units of the stem's weight.
-DIRECTED, NEGATED, REPORTED, THREATENED = 1.5, 0.35, 0.7, 1.0
+DIRECTED, NEGATED, REPORTED, THREATENED = 1.5, 0.5, 0.8, 1.0
+#: Log-odds of a text without evidence; least and greatest weight of a stem.
+BIAS, LEAST_ODDS, MOST_ODDS = -4.5, 2.0, 6.0
+#: Toxic documents that outweigh a clean one, at equal shares, when a stem is chosen.
+CLEAN_COST = 8
+#: Stems after which a toxic document of the sample counts as explained.
+EXPLAINED = 3
 
 #: Transducers as {(state, class): (next state, factor of an insult's or a threat's weight)}; a missing entry keeps the state.
 NEGATION_T = {("", NEGATION): ("neg", 1), ("neg", INSULT): ("", NEGATED), ("neg", THREAT): ("", NEGATED)}
@@ -98,11 +106,14 @@ class Grammar:
     def weight(self, text: str | None) -> float:
         low = (text or "").lower()
         total = 0.0
+        masked = MASKED.findall(low) if MARKS.search(low) else []
+        if not masked and not any(self.classify(w)[0] == INSULT for w in set(WORD.findall(low))):
+            return 0.0
         for part in CLAUSE.split(low):
             kinds = [self.classify(w) for w in WORD.findall(part)]
             if any(k == INSULT for k, _ in kinds):
                 total += self.clause(kinds)
-        for m in MASKED.findall(low):  # letters written as digits or signs
+        for m in masked:  # letters written as digits or signs
             kind, weight = self.classify(m.translate(LEET))
             if kind == INSULT:
                 total += weight
@@ -112,53 +123,94 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.weight(text)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, least_support: int = 4) -> Grammar:
-    """Learn stems from labelled documents that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 12000, least_support: int = 5) -> Grammar:
+    """Learn stems from labelled documents that are not held out: at most ``toxic_rows`` and ``clean_rows`` of them.
 
-    Rows without id, text or label do not count; a document with conflicting labels counts under each. Without toxic
+    Rows without id, text or label do not count; a document with conflicting labels counts as toxic. Without toxic
     examples the grammar has no stems and scores every text alike.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    first = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
-    chosen = {r.doc_id: int(r.toxic) for r in rows.withColumn("turn", first).where(f"turn <= {per_label} AND toxic IN (0, 1)").collect()}  # 2 * per_label ids at most
-    shared = spark.sparkContext.broadcast(chosen)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        n = Counter()
+    rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
+    chosen = rows.withColumn("turn", turn).where(f"(toxic = 1 AND turn <= {toxic_rows}) OR turn <= {clean_rows} AND toxic = 0")
+    shared = spark.sparkContext.broadcast({r.doc_id: int(r.toxic) for r in chosen.collect()})  # toxic_rows + clean_rows ids
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([d in shared.value for d in batch.column(0).to_pylist()]))
+
+    texts = materialize(docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(sampled, "doc_id long, text string"), "toxicity-sample")
+
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shared.value[doc]:
+                    seen.update(document_stems(text))
+        if seen:
+            yield pa.RecordBatch.from_pydict({"stem": pa.array(list(seen)), "n": pa.array(list(seen.values()), pa.int64())})
+
+    n1 = sum(shared.value.values())
+    support = max(least_support, n1 // 100)
+    common = texts.mapInArrow(stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(f"n >= {support}").select("stem")
+    names = sorted(r.stem for r in common.collect())  # each in a hundredth of the toxic sample at least
+    number = spark.sparkContext.broadcast({s: i for i, s in enumerate(names)})
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, doc in enumerate(ids):
-                if (label := shared.value.get(doc)) is None:
-                    continue
-                n[label] += 1
-                words = set(words_of(batch.column(1)[i].as_py()))
-                stems = {f"={w}" for w in words} | {w[:k] for w in words for k in STEM_LENGTHS if len(w) > k}
-                seen[label].update(stems)
-        rows = [(s, seen[1][s], seen[0][s]) for s in seen[0].keys() | seen[1].keys() if seen[1][s]] + [(s, 0, c) for s, c in seen[0].items() if not seen[1][s]]
-        rows.append(("", n[1], n[0]))
-        for a in range(0, len(rows), 50_000):
-            s, t, f = zip(*rows[a : a + 50_000], strict=True)
-            yield pa.RecordBatch.from_pydict({"stem": pa.array(s), "toxic": pa.array(t, pa.int64()), "clean": pa.array(f, pa.int64())})
-
-    counted = docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Only stems that tell toxic documents apart reach the driver: with support, and next to none in clean documents.
-    useful = counted.where(f"stem = '' OR (toxic >= {least_support} AND toxic >= 20 * clean)").collect()
-    sizes = next((r for r in useful if r.stem == ""), None)
-    n1, n0 = (sizes.toxic, sizes.clean) if sizes else (0, 0)
-    found = {r.stem: (r.toxic, r.clean) for r in useful if r.stem}
-    stems: dict[str, float] = {}
-    strong = lambda t, c: math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))
-    for s, (t, c) in sorted(found.items(), key=lambda x: (len(x[0]), x[0])):
-        whole = s[0] == "="
-        base = s[1:] if whole else s
-        # A stem adds to a shorter one only what the shorter does not have; chance words are too rare to count.
-        shorter = any(base[:k] in stems for k in STEM_LENGTHS if k < len(base) + whole)
-        if not shorter and t >= max(least_support, 0.004 * n1) and strong(t, c) > 2.5:
-            stems[s] = min(6.0, strong(t, c))
-    return Grammar(stems, -4.0)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = [number.value[s] for s in document_stems(text) if s in number.value]
+                yield pa.RecordBatch.from_pydict({"toxic": pa.array([shared.value[doc]], pa.int32()), "stems": pa.array([np.array(got, "<i4").tobytes()], pa.binary())})
+
+    found = texts.mapInArrow(present, "toxic int, stems binary").collect()
+    return Grammar(learn(names, [(r.toxic, np.frombuffer(r.stems, "<i4")) for r in found], support), BIAS)
+
+
+def document_stems(text: str | None) -> set[str]:
+    """Whole words (marked by =) and word beginnings of a text."""
+    words = set(words_of(text))
+    return {f"={w}" for w in words} | {w[:k] for w in words for k in STEM_LENGTHS if len(w) > k}
+
+
+def learn(names: list[str], docs: list[tuple[int, np.ndarray]], support: int) -> dict[str, float]:
+    """Few stems that explain the toxic documents: {stem: weight (bounded log-odds of the document shares)}.
+
+    Greedy: each step takes the stem in most toxic documents that ``EXPLAINED`` taken stems do not explain yet, less
+    its share of clean ones. So words that only go along with long or foreign documents are not taken. Of equal stems
+    the longest is taken, and none that begins, or is begun by, a taken one.
+    """
+    toxic, clean = [s for t, s in docs if t], [s for t, s in docs if not t]
+    n1, n0 = len(toxic), len(clean)
+    if not n1:
+        return {}
+    t = np.bincount(np.concatenate(toxic), minlength=len(names)).astype(float)
+    c = np.bincount(np.concatenate(clean), minlength=len(names)).astype(float) if clean else np.zeros(len(names))
+    odds = np.log((t + 0.5) / (n1 + 1)) - np.log((c + 1.5) / (n0 + 1))
+    gain, need = t.copy(), np.full(n1, EXPLAINED)
+    cost = CLEAN_COST * n1 / max(n0, 1) * c
+    free = odds > LEAST_ODDS
+    longest = np.array([len(s) + (s[0] == "=") * 0.5 for s in names]) if names else np.zeros(0)
+    where: dict[int, list[int]] = {}
+    for d, s in enumerate(toxic):
+        for i in s[free[s]].tolist():
+            where.setdefault(i, []).append(d)
+    out: dict[str, float] = {}
+    while free.any():
+        value = np.where(free, gain - cost, -1.0)
+        best = int(np.lexsort((longest, value))[-1])
+        if value[best] < support:
+            break
+        name = names[best].lstrip("=")
+        out[names[best]] = float(min(MOST_ODDS, np.log((t[best] + 0.5) / (n1 + 1)) - np.log((c[best] + 0.5) / (n0 + 1))))
+        for i in np.flatnonzero(free).tolist():
+            other = names[i].lstrip("=")
+            free[i] = not (other.startswith(name) or name.startswith(other))
+        for d in where[best]:
+            need[d] -= 1
+            if need[d] == 0:
+                gain[toxic[d]] -= 1
+    return out
 
 
 def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.7) -> DataFrame:
