@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, packing, substring_dedup, token_files, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, packing, substring_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(*token_files.write_tokens(table(spark, sf_dir, "documents"), byte_bpe(), end_id=2))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.format_chats(chat_format.with_planted(table(spark, sf_dir, "conversations"))))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.classify(docs, language_id.fit(docs))
@@ -32,6 +36,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=1, length=2048)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op6_decontamination": decontaminate.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
