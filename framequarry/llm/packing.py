@@ -30,6 +30,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 STORE = "doc_id long, queue string, part int, local_start long, n_tokens long, ids binary"
 #: Queues with a name of their own. A corpus with more sources deals them by hash into this many queues.
 MAX_QUEUES = 4096
+#: Rows (queue, partition, base) that are broadcast at most; each has a name, two numbers and some tens of bytes.
+BROADCAST_ROWS = 500_000
 OUT_BYTES, OUT_ROWS = 4 << 20, 50_000
 
 
@@ -101,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int =
     if docs.select(queue_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         docs = docs.select("doc_id", "text", F.pmod(F.xxhash64(queue_col), F.lit(MAX_QUEUES)).alias(queue_col))
     store = token_store(docs, tokenizer, end_id, queue_col)
-    totals = store.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
+    totals = materialize(store.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "packing-totals")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     plan = phases({r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}, weights, length)  # MAX_QUEUES rows at most
@@ -141,6 +143,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int =
         if rows:
             yield _pieces(rows)
 
+    if totals.count() <= BROADCAST_ROWS:  # else the ids are joined by shuffling them
+        bases = F.broadcast(bases)
     placed = store.join(bases, ["queue", "part"]).select("doc_id", "queue", "base", "local_start", "n_tokens", "ids")
     return placed.mapInArrow(cut, PIECES)
 
