@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_pixels, queries_results
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return queries_pixels.star_full_analysis(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return queries_pixels.Q | queries_results.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return queries_pixels.SQL | queries_results.SQL
