@@ -26,7 +26,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class WaveletMatrix:
-    """rank(symbol, position) over a sequence, in about one bit per symbol and level plus block counts."""
+    """Descents for rank(symbol, position) over a sequence, in about one bit per symbol and level plus block counts."""
 
     def __init__(self, seq: np.ndarray, bits: int):
         self.bits, self.n = bits, len(seq)
@@ -49,15 +49,13 @@ class WaveletMatrix:
         low = self.words[level][block] & ((np.uint64(1) << within) - np.uint64(1))
         return self.blocks[level][block].astype(np.int64) + np.bitwise_count(low)
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Occurrences of ``symbol[i]`` before ``at[i]``."""
-        start = np.zeros(len(at), np.int64)
+    def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Place of position ``at[i]`` in the lowest level, on the path of ``symbol[i]``."""
         for level in range(self.bits):
             one = (symbol >> (self.bits - 1 - level) & 1).astype(bool)
-            a, s = self.ones(level, at), self.ones(level, start)
-            at = np.where(one, self.zeros[level] + a, at - a)
-            start = np.where(one, self.zeros[level] + s, start - s)
-        return at - start
+            ones = self.ones(level, at)
+            at = np.where(one, self.zeros[level] + ones, at - ones)
+        return at
 
 
 class FMIndex:
@@ -68,14 +66,17 @@ class FMIndex:
         self.n = len(text)
         last = text[self.sa - 1]  # the text is taken as a circle: its last symbol is a separator
         self.wavelet = WaveletMatrix(last, max(1, int(sigma - 1).bit_length()))
-        self.less = np.zeros(sigma + 1, np.int64)
-        np.cumsum(np.bincount(text, minlength=sigma), out=self.less[1:])
+        less = np.zeros(sigma, np.int64)
+        np.cumsum(np.bincount(text, minlength=sigma)[:-1], out=less[1:])
+        # rank(c, i) = descend(c, i) - descend(c, 0); the second part is the same for all searches of a symbol
+        symbols = np.arange(sigma)
+        self.offset = less - self.wavelet.descend(symbols, np.zeros(sigma, np.int64))
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range of suffixes that begin with each row of ``patterns`` (all of one length), empty where there is none."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
+        m = len(patterns)
+        ends = np.concatenate([np.zeros(m, np.int64), np.full(m, self.n, np.int64)])
         for t in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, t]
-            ranks = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            lo, hi = self.less[c] + ranks[: len(c)], self.less[c] + ranks[len(c) :]
-        return lo, hi
+            c = np.tile(patterns[:, t], 2)
+            ends = self.offset[c] + self.wavelet.descend(c, ends)
+        return ends[:m], ends[m:]

@@ -105,44 +105,52 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from keep.combine_chunks().to_batches()
 
 
+def spaced(w: ta.Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The chunk's words joined by single spaces, and where each word starts and ends in it."""
+    size = w.end - w.start
+    start = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    inside = ta.NOT_SPACE[w.data]
+    out[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = w.data[inside]
+    return out.tobytes(), start, start + size
+
+
 def _cut(n: int):
     """The words of each run, as bytes joined by one space, with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column(batch.schema.get_field_index("runs"))
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             for i, j, data, at in ta.texts_of(batch):
                 w = ta.words(data, at, ta.NOT_SPACE)
-                raw = w.data.tobytes()
-                anchor, doc, first, count, blob = [], [], [], [], []
-                for d in range(j - i):
-                    base = int(w.first[d])
-                    for r in runs[i + d].as_py():
-                        a = base + r["first"]
-                        s, e = w.start[a : a + r["windows"] + n - 1].tolist(), w.end[a : a + r["windows"] + n - 1].tolist()
-                        anchor.append(r["anchor"])
-                        doc.append(ids[i + d])
-                        first.append(r["first"])
-                        count.append(r["windows"])
-                        blob.append(b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)]))
-                if anchor:
-                    yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor, pa.int64()), "segment": pa.array(blob, pa.binary()), "doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int32()), "windows": pa.array(count, pa.int32())})
+                raw, start, end = spaced(w)
+                part = runs.slice(i, j - i)
+                flat = part.flatten()
+                counts = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                first, windows = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "windows"))
+                a = np.repeat(w.first[:-1], counts) + first
+                s, e = start[a].tolist(), end[a + windows + n - 2].tolist()
+                if len(s):
+                    yield pa.RecordBatch.from_pydict({
+                        "anchor": flat.field("anchor"),
+                        "segment": pa.array([raw[x:y] for x, y in zip(s, e, strict=True)], pa.binary()),
+                        "doc_id": pa.array(np.repeat(ids[i:j], counts)),
+                        "first": pa.array(first),
+                        "windows": pa.array(windows),
+                    })
 
     return run
 
 
-def search_shard(segments: list[bytes], owners: list[int], n: int) -> list[np.ndarray]:
+def search_shard(segments: list[bytes], owners: list[int], n: int) -> list[list[int]]:
     """For each distinct run, and each of its windows: the smallest owner of a run in which these words occur."""
-    words = [s.split(b" ") for s in segments]
-    ids: dict[bytes, int] = {}
-    text: list[int] = []
-    at = [0]
-    for ws in words:
-        text += [ids.setdefault(x, len(ids) + 1) for x in ws]
-        text.append(0)
-        at.append(len(text))
-    t = np.array(text, np.int64)
+    words = b" \n ".join(segments).split(b" ")  # no word is a line end
+    words.append(b"\n")
+    ids = {x: i + 1 for i, x in enumerate(dict.fromkeys(words))}
+    ids[b"\n"] = 0
+    t = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    at = [0, *(np.flatnonzero(t == 0) + 1).tolist()]
     index = FMIndex(t, len(ids) + 1)
     owner = np.repeat(np.array(owners, np.int64), np.diff(at))[index.sa]
     starts = np.concatenate([np.arange(a, b - n) for a, b in zip(at[:-1], at[1:], strict=True)])
@@ -155,27 +163,33 @@ def search_shard(segments: list[bytes], owners: list[int], n: int) -> list[np.nd
         mine = depth == d
         best[mine] = np.minimum(level[lo[mine]], level[hi[mine] - (1 << d)])
         level = np.minimum(level[: -(1 << d)], level[1 << d :]) if len(level) > 1 << d else level
-    cuts = np.cumsum([b - n - a for a, b in zip(at[:-1], at[1:], strict=True)])[:-1]
-    return np.split(best, cuts)
+    flat, out, k = best.tolist(), [], 0
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        out.append(flat[k : k + b - n - a])
+        k += b - n - a
+    return out
 
 
 def _search(n: int, most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, owners, places, size, anchor = [], [], [], 0, None
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple] = []
 
         def solve():
             for best, rows in zip(search_shard(segments, owners, n), places, strict=True):
+                least, most = min(best), max(best)
                 for doc, first in rows:
-                    gone = np.flatnonzero(best < doc)
-                    if len(gone):
-                        out.append((doc, (gone + first).astype("<i4").tobytes()))
+                    if doc > most:
+                        out.append((doc, first, len(best), None))
+                    elif doc > least:
+                        out.append((doc, first, 0, np.flatnonzero(np.array(best) < doc).astype("<i4").tobytes()))
             segments.clear()
             owners.clear()
             places.clear()
 
         def flush():
-            rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "gone": pa.array([x[1] for x in out], pa.binary())})
+            doc, first, windows, some = zip(*out, strict=True)
+            rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int32()), "windows": pa.array(windows, pa.int32()), "some": pa.array(some, pa.binary())})
             out.clear()
             return rows
 
@@ -218,10 +232,14 @@ def _remove(n: int):
                 for d in range(j - i):
                     a, b = int(w.first[d]), int(w.first[d + 1])
                     edge = np.zeros(b - a + 1, np.int64)
-                    for blob in gone[i + d].as_py():
-                        starts = np.frombuffer(blob, "<i4")
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + n, -1)
+                    for g in gone[i + d].as_py():
+                        if g["some"] is None:  # all windows of the run
+                            edge[g["first"]] += 1
+                            edge[g["first"] + g["windows"] + n - 1] -= 1
+                        else:
+                            starts = np.frombuffer(g["some"], "<i4") + g["first"]
+                            np.add.at(edge, starts, 1)
+                            np.add.at(edge, starts + n, -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     removed.append(int((~keep).sum()))
                     sha.append(_digest(w, a, b, keep))
@@ -242,8 +260,8 @@ def repeated_windows(docs: DataFrame, n: int = 13, k: int = 5) -> tuple[DataFram
     per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("runs"))  # bounded by the document
     texts = materialize(docs.join(per_doc, "doc_id").select("doc_id", "text", "runs"), "substring-texts", compression="zstd")
     cut = texts.mapInArrow(_cut(n), "anchor long, segment binary, doc_id long, first int, windows int")
-    found = cut.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id").select("anchor", "segment", "doc_id", "first").mapInArrow(_search(n, INDEX_WORDS), "doc_id long, gone binary")
-    gone = materialize(found, "substring-gone", compression="zstd").groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
+    found = cut.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id").select("anchor", "segment", "doc_id", "first").mapInArrow(_search(n, INDEX_WORDS), "doc_id long, first int, windows int, some binary")
+    gone = materialize(found, "substring-gone", compression="zstd").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "some")).alias("gone"))
     return texts.select("doc_id", "text"), gone
 
 
