@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, materialize
 
 # Classes of HTML elements.
+CONTAINERS = frozenset("body div section table tbody tr td center main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption br".split())
@@ -57,7 +58,7 @@ class Node:
 def parse(page: str | None) -> Node:
     """DOM tree of a page, with the end tags that HTML lets authors leave out."""
     root = Node("html")
-    stack, text, at, page = [root], page or "", 0, page or ""
+    stack, at, page = [root], 0, page or ""
     while m := TOKEN.match(page, at):
         token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
@@ -112,7 +113,6 @@ def parse(page: str | None) -> Node:
             stack.append(node)
         elif token.endswith("/>") and tag not in VOID:
             stack.append(node)  # HTML ignores the slash on other elements
-    del text
     return root
 
 
@@ -241,7 +241,7 @@ def densest(root: Node) -> Node:
         mass[id(n)] += sum(mass.get(id(c), 0) for c in n.children if isinstance(c, Node))
     at = root
     while True:
-        inner = [c for c in at.children if isinstance(c, Node) and c.tag in BLOCK and mass.get(id(c), 0) > 0.6 * mass[id(at)]]
+        inner = [c for c in at.children if isinstance(c, Node) and c.tag in CONTAINERS and mass.get(id(c), 0) > 0.6 * mass[id(at)]]
         if not inner or not mass[id(at)]:
             return at
         at = inner[0]
