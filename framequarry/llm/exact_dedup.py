@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, scratch
 
 BLANKS = r"[\x20\x09-\x0D]"
 
@@ -39,13 +39,8 @@ def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     return counts.withColumn("depth", depth).select("prefix", "depth", bits.alias("bucket"))
 
 
-def exact_groups(docs: DataFrame, capacity: int = 100_000, max_depth: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Kept is, of equal normalised texts, the row with the most code points in its original text, then the smallest id.
-    Null texts count as empty; all empty texts form one group. Rows that repeat an id are grouped as separate rows
-    with equal results. An empty table gives no rows. Other columns of ``docs`` are not looked at.
-    """
+def _exact_groups(docs: DataFrame, capacity: int, max_depth: int, id_col: str, text_col: str) -> DataFrame:
+    """``exact_groups`` without the clean-up; its result still reads the index."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     norm = normalised(F.col("text"))
     entries = d.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2(norm, 256).alias("sha"))
@@ -66,24 +61,36 @@ def exact_groups(docs: DataFrame, capacity: int = 100_000, max_depth: int = 14,
         .groupBy("hash", "sha")
         .agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     )
-    differ = compared.where("least <> most").select("hash", "sha")
-    split = d.join(members.join(differ, ["hash", "sha"], "left_semi").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.col("hash").alias("h2"), norm.alias("variant"))
-    split = materialize(split, "dedup-split")
-    grouped = index.join(split.select("doc_id", "variant"), "doc_id", "left") if not split.isEmpty() else index.withColumn("variant", F.lit(None).cast("string"))
+    differ = materialize(compared.where("least <> most").select("hash", "sha"), "dedup-differ")
+    grouped = index.withColumn("variant", F.lit(None).cast("string"))
+    if not differ.isEmpty():  # texts that share hash and digest: told apart by their bytes
+        split = d.join(members.join(differ, ["hash", "sha"], "left_semi").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", norm.alias("variant"))
+        grouped = index.join(split, "doc_id", "left")
     key = ["bucket", "hash", "sha", "variant"]
     groups = grouped.groupBy(*key).agg(F.count("*").alias("group_size"), F.min_by("doc_id", F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("i"))).alias("keep_id"))
     g, e = groups.alias("g"), grouped.alias("e")
     same = [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) if k == "variant" else F.col(f"g.{k}") == F.col(f"e.{k}") for k in key]
     on = same[0] & same[1] & same[2] & same[3]
     return e.join(g, on).select(
-        F.col("e.doc_id").alias("doc_id"), F.col("g.keep_id").alias("keep_id"), F.col("g.group_size").alias("group_size"), (F.col("e.doc_id") == F.col("g.keep_id")).alias("kept"), F.col("e.sha").alias("text_sha256")
+        F.col("e.doc_id").alias("doc_id"), F.col("g.keep_id").alias("keep_id"), F.col("g.group_size").alias("group_size"), F.col("e.doc_id").eqNullSafe(F.col("g.keep_id")).alias("kept"), F.col("e.sha").alias("text_sha256")
     )
 
 
+def exact_groups(docs: DataFrame, capacity: int = 100_000, max_depth: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Kept is, of equal normalised texts, the row with the most code points in its original text, then the smallest id.
+    Null texts count as empty; all empty texts form one group. Rows that repeat an id are grouped as separate rows
+    with equal results; a null id counts as the smallest. An empty table gives no rows. Other columns of ``docs`` are not looked at.
+    """
+    with scratch(docs.sparkSession):
+        return materialize(_exact_groups(docs, capacity, max_depth, id_col, text_col), "exact-groups", keep=True, compression="zstd")
+
+
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text no kept row repeats, with all columns."""
     kept = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept, docs[options.get("id_col", "doc_id")] == F.col("__keep"), "left_semi")
+    return docs.join(kept, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("__keep")), "left_semi")
 
 
 SQL = r"""

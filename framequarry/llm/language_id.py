@@ -114,7 +114,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, label_col: str = "lang", per_language: int = 400, sample: int = 4000, centroids: int = 4) -> Model:
+def fit(docs: DataFrame, label_col: str = "lang", per_language: int = 200, sample: int = 2000, centroids: int = 4) -> Model:
     """Model from the labelled rows of ``docs`` (doc_id, text, label) that are not held out.
 
     Rows without label, text or id do not count. With no labelled rows the model knows no language.

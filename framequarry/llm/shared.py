@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +25,28 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, **options) -> DataFrame:
+_active = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those written with ``keep=True``."""
+    outer, mine = getattr(_active, "paths", None), []
+    _active.paths = mine
+    try:
+        yield
+    finally:
+        _active.paths = outer
+        for path in mine:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False, **options) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: survives lost executors, has no lineage."""
     path = shared_dir(df.sparkSession, label)
+    if not keep and getattr(_active, "paths", None) is not None:
+        _active.paths.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
