@@ -1,15 +1,20 @@
 """Exact Jaccard self-join of documents on word n-grams, by vertical partitioning of the global n-gram order.
 
 1. Every document becomes a set of 64-bit shingle hashes. Documents with equal sets are one class from here on.
-2. Global order: rare before frequent, then by hash. Frequency classes come from a table of fixed size that counts
-   the shingles of all documents; it decides only the order, so any error in it costs time, never a link.
+2. Global order: rare before frequent, then by hash. Shingles count as frequent if their counts, over all tasks in
+   which two documents have them, add up to ``FREQUENT``; they travel as a bitmap of bounded size. The bitmap decides
+   only the order, so whatever it misses or has too much costs time, never a link.
 3. Candidates: two sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each. Prefix shingles
-   are sorted by (shingle, size) and streamed: short lists give their pairs within length reach. A long list gives
-   pairs with one pivot only. Its members within the threshold of the pivot are linked to it; those at a Jaccard
-   distance beyond twice the threshold cannot link with them (the distance is a metric); those between are compared
-   with the members that the triangle inequality leaves; all but the linked stay for the next pivot.
+   are sorted by (shingle, size) and streamed: short lists give their pairs within length reach; a long list gives
+   its members, and pairs with one pivot. A bound prunes pairs before any set moves: the parity sketch of a set (for
+   each bit, whether an odd number of its shingles hash there) differs in no more bits than the sets in shingles.
 4. Verification: the order is cut into ``fragments``; the partial overlaps of each candidate pair are counted per
-   fragment, apart from each other, and summed per pair.
+   fragment, apart from each other, and summed per pair. First every set is compared with its most promising partner.
+   Linked sets form balls around partners, and components. Candidates inside a component need no check. In a long
+   list the balls then meet a few of the largest component, round by round. Between components that are left, the centres of balls are compared: the Jaccard distance is a metric, so two balls can be linked only if
+   their centres are no further apart than the threshold and both radii; of those that are, the members that the
+   triangle inequality leaves are compared pair by pair. So no link between components is lost, and a group of
+   thousands of near copies costs one comparison per copy.
 5. Components of the links; each document gets the smallest doc_id of its component.
 """
 
@@ -19,18 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import components
-from .shared import bounded_batches, materialize
+from .shared import bounded_batches, materialize, scratch
 
-SKETCH_BITS = 16
+#: Documents that make a shingle frequent; most bits of the bitmap of frequent shingles (128 MB).
+FREQUENT, MOST_BITS = 12, 30
+#: Shingles that are counted together within a task.
+COUNTED = 2_000_000
 #: A list of more classes than this is worked on by pivots.
-LONG_LIST = 48
-#: Pivot rounds, after which what is left of long lists is compared pair by pair.
-PIVOT_ROUNDS = 8
+LONG_LIST = 24
+#: Members of a block of comparisons at most; a pivot with more members has several blocks.
+BLOCK_MEMBERS = 500
+#: Rounds in which the balls of a long list are compared with a few balls of its largest component only, others each time.
+HUB_ROUNDS, HUBS = 2, 8
 OUT_ROWS = 100_000
 
 
@@ -57,54 +67,83 @@ def signature(s: np.ndarray) -> int:
     return int(ta.mix(np.array([ta.mix(s ^ ta.U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + ta.U64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parity sketch of a set, of about four bits per shingle (64 at least)."""
+    bits = max(64, 4 << (max(1, len(s)) - 1).bit_length())
+    at = (ta.mix(s ^ ta.U64(0x2545F4914F6CDD1D)) & ta.U64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def _classes(n: int):
-    """Per document (doc_id, size, class); one more row per task with its frequency table."""
+    """Per document (doc_id, size, class, sketch); also rows with the shingles that several documents of a task have."""
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("class", pa.int64()), ("sketch", pa.binary()), ("often", pa.binary())])
+
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(sets), return_counts=True)
+        keep = count > 1
+        blob = np.stack([token[keep].view(np.int64), count[keep]]).astype("<i8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in schema][:4] + [pa.array([blob], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, size, seen = [], 0, set()
         for batch in batches:
             for i, j, data, at in ta.texts_of(batch):
                 h, off = shingle_sets(data, at, n)
-                table += np.bincount(h >> ta.U64(64 - SKETCH_BITS), minlength=len(table))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0)[i:j].cast(pa.int64()),
-                    "size": pa.array(np.diff(off), pa.int64()),
-                    "class": pa.array([signature(h[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.int64()),
-                    "table": pa.nulls(j - i, pa.binary()),
-                })
-        if table.any():
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "size": pa.nulls(1, pa.int64()), "class": pa.nulls(1, pa.int64()), "table": [table.astype("<i8").tobytes()]})
+                sets = [h[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                classes = [signature(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), pa.array(np.diff(off).astype(np.int32)), pa.array(classes, pa.int64()), pa.array([parity(x) for x in sets], pa.binary()), pa.nulls(j - i, pa.binary())], schema=schema)
+                for c, x in zip(classes, sets, strict=True):
+                    if len(x) and c not in seen:  # copies count once
+                        seen.add(c)
+                        held.append(x)
+                        size += len(x)
+                if size > COUNTED:
+                    yield often(held)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield often(held)
 
     return run
 
 
-def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+def _each_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column(0):
-            total += np.frombuffer(blob.as_py(), "<i8")
-    yield pa.RecordBatch.from_pydict({"table": [total.tobytes()]})
+            token, count = np.frombuffer(blob.as_buffer(), "<i8").reshape(2, -1)
+            for a in range(0, len(token), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(token[a : a + OUT_ROWS]), pa.array(count[a : a + OUT_ROWS])], names=["token", "n"])
 
 
-def frequency_levels(tables: DataFrame) -> np.ndarray:
-    """0 for slots of usual counts, then one level for each doubling beyond four times the mean."""
-    while True:  # tables are summed in groups of 64, so no task and not the driver gets them all
-        parts = tables.rdd.getNumPartitions()
-        tables = tables.repartition(max(1, parts // 64)).mapInArrow(_sum_tables, "table binary")
-        if parts <= 64:
-            break
-    total = sum((np.frombuffer(r.table, "<i8") for r in tables.collect()), np.zeros(1 << SKETCH_BITS, np.int64))
-    mean = max(1.0, float(total.sum()) / len(total))
-    return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / (4 * mean)))).astype(np.uint8)
+def frequent_bitmap(often: DataFrame) -> tuple[np.ndarray, int]:
+    """(bitmap over the highest bits of shingles, number of those bits)."""
+    frequent = materialize(often.mapInArrow(_each_often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT}").select("token"), "ngram-frequent")
+    bits = min(MOST_BITS, max(20, (16 * frequent.count()).bit_length()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << bits, bool)
+        for batch in batches:
+            out[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> ta.U64(64 - bits)] = True
+        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(out).tobytes()]})
+
+    total = np.zeros((1 << bits) // 8, np.uint8)
+    for r in frequent.coalesce(8).mapInArrow(marked, "bits binary").toLocalIterator():
+        total |= np.frombuffer(r.bits, np.uint8)
+    return total, bits
+
+
+def is_frequent(s: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    at = s >> ta.U64(64 - bits)
+    return (bitmap[at >> ta.U64(3)] >> (ta.U64(7) - (at & ta.U64(7))).astype(np.uint8)) & 1
 
 
 def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _postings(levels, n: int, percent: int):
+def _postings(frequent, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = levels.value, set()
+        (bitmap, bits), seen = frequent.value, set()
         for batch in batches:
             for _, _, data, at in ta.texts_of(batch):
                 h, off = shingle_sets(data, at, n)
@@ -115,7 +154,7 @@ def _postings(levels, n: int, percent: int):
                         continue
                     if len(seen) < 2_000_000:  # copies within a task are one class; across tasks the streams merge them
                         seen.add(c)
-                    lv = level[s >> ta.U64(64 - SKETCH_BITS)]
+                    lv = is_frequent(s, bitmap, bits)
                     if lv.any():
                         s = s[np.argsort(lv, kind="stable")]
                     p = prefix_length(len(s), percent)
@@ -194,102 +233,204 @@ def _candidates(percent: int, most: int):
     return run
 
 
-def _segments(n: int, fragments: int):
+def _stored(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in ta.texts_of(batch):
+                h, off = shingle_sets(data, at, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([h[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], names=["class", "set"])
+
+    return run
+
+
+def _segments(fragments: int):
+    """Sets cut at the fragment bounds of the order, one row per fragment and block that waits for the class."""
     bits = fragments.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, data, at in ta.texts_of(batch):
-                h, off = shingle_sets(data, at, n)
-                rows = []
-                for d, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    s = h[a:b]
-                    cls = batch.column(0)[i + d].as_py()
-                    cut = np.searchsorted(s >> ta.U64(64 - bits), np.arange(fragments + 1)) if bits else [0, len(s)]
-                    rows += [(cls, f, s[cut[f] : cut[f + 1]].tobytes()) for f in range(fragments)]
-                if rows:
-                    c, f, blob = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"class": pa.array(c, pa.int64()), "fragment": pa.array(f, pa.int32()), "segment": pa.array(blob, pa.binary())})
+            rows, size = [], 0
+            for cls, blob, seats in zip(*(batch.column(batch.schema.get_field_index(k)) for k in ("class", "set", "seats")), strict=True):
+                s = np.frombuffer(blob.as_buffer(), np.uint64)
+                cut = np.searchsorted(s >> ta.U64(64 - bits), np.arange(fragments + 1)) if bits else [0, len(s)]
+                parts = [s[cut[f] : cut[f + 1]].tobytes() for f in range(fragments)]
+                for seat in seats.as_py():
+                    rows += [(seat["block"], f, seat["salt"], seat["member"], cls.as_py(), len(s), parts[f]) for f in range(fragments)]
+                    size += 8 * len(s)
+                    if size > 4 << 20:
+                        yield _segment_rows(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _segment_rows(rows)
 
     return run
 
 
+SEGMENT = "block long, fragment int, salt int, member boolean, class long, size int, segment binary"
+
+
+def _segment_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SEGMENT.split(", ")])
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps of one fragment: rows come sorted by block, the block's own segment first."""
+    at, own, n_own = None, None, 0
     for batch in batches:
-        x, y = batch.column(batch.schema.get_field_index("sa")), batch.column(batch.schema.get_field_index("sb"))
-        common = []
-        for p, q in zip(x, y, strict=True):
-            u, v = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            if len(u) > len(v):
-                u, v = v, u
-            common.append(int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(common, pa.int64())], names=["a", "na", "b", "nb", "common"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, fragments: int) -> DataFrame:
-    """(a, na, b, nb, common): exact overlap of each pair of classes, summed over fragments."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps, "class").select("rep", "class")
-    texts = wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("class", "text")
-    segments = materialize(texts.mapInArrow(_segments(n, fragments), "class long, fragment int, segment binary"), "ngram-segments")
-    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-    left = segments.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("sa"))
-    right = segments.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("sb"))
-    parts = cut.join(right, ["b", "fragment"]).join(left, ["a", "fragment"]).select("a", "na", "b", "nb", "sa", "sb")
-    counted = parts.mapInArrow(_overlaps, "a long, na int, b long, nb int, common long")
-    return counted.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
+        block, frag, salt, member, cls, size = (batch.column(k).to_pylist() for k in range(6))
+        segments = batch.column(6)
+        out = []
+        for i in range(batch.num_rows):
+            s = np.frombuffer(segments[i].as_buffer(), np.uint64)
+            if not member[i]:
+                at, own, n_own = (block[i], frag[i], salt[i]), s.copy(), size[i]
+                continue
+            if at != (block[i], frag[i], salt[i]):
+                raise ValueError("a block's own segment must come before its members")
+            u, v = (s, own) if len(s) <= len(own) else (own, s)
+            common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0
+            out.append((block[i], n_own, cls[i], size[i], common))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=["a", "na", "b", "nb", "common"])
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id. ``fragments`` is a power of two.
-
-    Null, empty and blank texts have an empty set and are alone. A text of fewer than ``n`` words has its whole
-    sequence as its one shingle. Rows that repeat a doc_id must repeat its text. Other columns are ignored.
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        most, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+        apart = np.zeros(batch.num_rows)
+        for i, (p, q) in enumerate(zip(batch.column(6), batch.column(7), strict=True)):
+            x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+            if len(x) < len(y):
+                x, y = y, x
+            while len(x) > len(y):  # a longer sketch folds to the length of the shorter
+                half = len(x) // 2
+                x = x[:half] ^ x[half:]
+            apart[i] = np.bitwise_count(x ^ y).sum()
+        keep = 2 * apart <= (most + 1e-9) * (na.astype(float) + nb + apart)
+        least = 2 * apart / (na.astype(float) + nb + apart)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(least)], names=["a", "b", "count", "least"]).filter(pa.array(keep))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of pairs (a, b, count, most), those whose sketches allow a Jaccard distance of ``most`` or less, with the ``least`` they allow."""
+    side = lambda k: sketches.select(F.col("class").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    joined = pairs.select("a", "b", "count", "most").join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "count", "most", "na", "nb", "sa", "sb").mapInArrow(_within, "a long, b long, count long, least double")
+
+
+def distances(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
+    """(a, b, na, nb, common, d): exact overlap and Jaccard distance of each pair (a, b) of classes.
+
+    b's set travels to a's block once per pair, a's once per block; a block of very many members is salted.
     """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("salts"))
+    seats = pairs.join(blocks, "a").select(F.col("b").alias("class"), F.col("a").alias("block"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(True).alias("member"))
+    own = blocks.select(F.col("a").alias("class"), F.col("a").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    wanted = seats.union(own).groupBy("class").agg(F.collect_list(F.struct("block", "salt", "member")).alias("seats"))
+    parts = sets.join(wanted, "class").mapInArrow(_segments(fragments), SEGMENT)
+    counted = parts.repartition("block", "fragment", "salt").sortWithinPartitions("block", "fragment", "salt", "member").mapInArrow(_overlaps, "a long, na int, b long, nb int, common long")
+    total = counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
+    return materialize(total.withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), "ngram-distances")
+
+
+def rejoined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` with the parts joined that ``links`` (a, b) of classes connect."""
+    part = lambda k: placed.select(F.col("class").alias(k), F.col("part").alias(f"p{k}"))
+    edges = links.join(part("a"), "a").join(part("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    new = components(edges).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    return materialize(placed.join(new, "part", "left").select("class", F.coalesce("whole", "part").alias("part"), "centre", "r"), "ngram-balls")
+
+
+def _near_duplicates(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
+    """``near_duplicates`` without the clean-up; its result still reads the tables written on the way."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    first = materialize(docs.mapInArrow(_classes(n), "doc_id long, size long, class long, table binary"), "ngram-classes", compression="zstd")
-    each = first.where("table IS NULL").select("doc_id", "size", "class")
-    reps = each.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    levels = spark.sparkContext.broadcast(frequency_levels(first.where("table IS NOT NULL").select("table")))
-    postings = docs.mapInArrow(_postings(levels, n, percent), "token long, size int, class long")
+    first = materialize(docs.mapInArrow(_classes(n), "doc_id long, size int, class long, sketch binary, often binary"), "ngram-classes", compression="zstd")
+    each = first.where("often IS NULL").select("doc_id", "size", "class")
+    reps = materialize(first.where("often IS NULL AND size > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "ngram-reps", compression="zstd")
+    sketches, reps = reps.select("class", "size", "sketch"), reps.select("class", "rep")
+    frequent = spark.sparkContext.broadcast(frequent_bitmap(first.where("often IS NOT NULL").select("often")))
+    postings = docs.mapInArrow(_postings(frequent, n, percent), "token long, size int, class long")
     found = materialize(
         postings.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(_candidates(percent, LONG_LIST), "token long, a long, na int, b long, nb int"),
         "ngram-candidates",
     )
-    key = ["a", "na", "b", "nb"]
-    pairs = found.where("b IS NOT NULL").select(*key).distinct()
-    links = None
+    reach, linked = 1 - percent / 100, f"100 * common >= {percent} * (na + nb - common)"
+    near = found.where("b IS NOT NULL").groupBy("a", "na", "b", "nb").count()
     lists = found.where("b IS NULL").select("token", F.col("a").alias("class"), F.col("na").alias("size"))
-    more = lists
-    for turn in range(PIVOT_ROUNDS + 1):
-        done = more.isEmpty()
-        if not done:
-            if turn < PIVOT_ROUNDS:
-                pivots = more.groupBy("token").agg(F.min(F.struct("size", "class")).alias("p"))
-                star = more.join(pivots, "token").where("class <> p.class").select("token", F.col("p.class").alias("a"), F.col("p.size").alias("na"), F.col("class").alias("b"), F.col("size").alias("nb"))
-                near = star.where("nb <= 2 * na")
-            else:  # what no pivot has settled: all pairs in length reach, larger against smaller
-                x, y = more.select("token", F.col("class").alias("a"), F.col("size").alias("na")), more.select("token", F.col("class").alias("b"), F.col("size").alias("nb"))
-                near = x.join(y, "token").where(f"(na, a) < (nb, b) AND 100 * na >= {percent} * nb")
-            pairs = pairs.union(near.select(*key)).distinct()
-        checked = materialize(verified(pairs, docs, reps, n, fragments), "ngram-overlaps")
-        good = checked.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
-        links = good if links is None else links.union(good)
-        if done or turn == PIVOT_ROUNDS:
+    pivots = lists.groupBy("token").agg(F.min(F.struct("size", "class")).alias("p"))
+    stars = lists.join(pivots, "token").where(f"class <> p.class AND 100 * p.size >= {percent} * size").groupBy(F.col("p.class").alias("a"), F.col("p.size").alias("na"), F.col("class").alias("b"), F.col("size").alias("nb")).count()
+    near = materialize(plausible(near.select("a", "b", "count", F.lit(reach).alias("most")), sketches).drop("least"), "ngram-near")
+    stars = plausible(stars.select("a", "b", "count", F.lit(reach).alias("most")), sketches).drop("least")
+    promising = materialize(near.union(stars), "ngram-promising")
+    # The sets of all classes that any later step may compare, fetched once.
+    active = promising.select(F.col("a").alias("class")).union(promising.select("b")).union(lists.select("class")).distinct().join(reps, "class")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(active, "rep").select("class", "text")
+    sets = materialize(texts.mapInArrow(_stored(n), "class long, set binary"), "ngram-sets")
+    # First one partner for every class, the one that most classes are promising for. Pairs that this connects need no check.
+    fame = promising.groupBy("a").agg(F.count("*").alias("fame"))
+    partners = promising.join(fame, "a").groupBy("b").agg(F.max_by("a", F.struct("fame", "count", "a")).alias("a")).select("a", "b")
+    links = distances(partners, sets, fragments).where(linked).select("a", "b", "d")
+    centres = links.select(F.col("a").alias("class")).distinct().withColumn("centre", F.col("class")).withColumn("r", F.lit(0.0))
+    ball = centres.unionByName(links.join(centres.select(F.col("class").alias("b")), "b", "left_anti").select(F.col("b").alias("class"), F.col("a").alias("centre"), F.col("d").alias("r")))
+    placed = reps.select("class", F.col("class").alias("part")).join(ball, "class", "left").select("class", "part", F.coalesce("centre", "class").alias("centre"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    placed = rejoined(materialize(placed, "ngram-balls"), links)
+    radius = materialize(placed.groupBy("centre").agg(F.max("r").alias("radius")), "ngram-radii")
+
+    def mixed_lists() -> DataFrame:
+        """Members of long lists whose members are in several components."""
+        seats = lists.join(placed, "class")
+        mixed = seats.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
+        return materialize(seats.join(mixed, "token", "left_semi"), "ngram-mixed")
+
+    def balls_of(seats: DataFrame) -> DataFrame:
+        return seats.groupBy("token", "centre", "part").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+
+    def new_pairs(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "most").groupBy("a", "b").agg(F.max("most").alias("most"))
+        pairs = plausible(pairs.join(apart.select("a", "b"), ["a", "b"], "left_anti").withColumn("count", F.lit(1).cast("long")), sketches)
+        return materialize(pairs.select("a", "b"), label)
+
+    # Then the balls of a long list against a few of its largest component, which joins dense groups in few comparisons.
+    apart = materialize(spark.createDataFrame([], "a long, b long, na int, nb int, common long, d double"), "ngram-distances")
+    x_reach = f"100 * x_hi >= {percent} * y_lo AND 100 * y_hi >= {percent} * x_lo"
+    for turn in range(HUB_ROUNDS):
+        balls = balls_of(mixed_lists())
+        mass = F.sum("n").over(Window.partitionBy("token", "part"))
+        place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("mass"), F.hash("centre", F.lit(turn)), "centre"))
+        hubs = balls.withColumn("mass", mass).withColumn("place", place).where(f"place <= {HUBS}").select("token", F.struct("centre", "part", "lo", "hi").alias("h"))
+        met = balls.join(hubs, "token").where("part <> h.part").withColumns({"x_lo": F.col("lo"), "x_hi": F.col("hi"), "y_lo": F.col("h.lo"), "y_hi": F.col("h.hi")}).where(x_reach)
+        pairs = new_pairs(met.select(F.col("centre").alias("a"), F.col("h.centre").alias("b"), F.lit(reach).alias("most")), "ngram-hubs")
+        if pairs.isEmpty():
+            break
+        found_now = distances(pairs, sets, fragments)
+        apart = apart.unionByName(found_now)
+        joined = found_now.where(linked).select("a", "b")
+        if joined.isEmpty():
             break
-        # Distance to the pivot: near (linked), between (up to twice the threshold) or far.
-        measured = materialize(star.join(checked, key, "left").withColumn("d", F.coalesce(1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), F.lit(1.0))), "ngram-measured")
-        reach = 1 - percent / 100
-        linked, between = measured.where(f"d <= {reach}"), measured.where(f"d > {reach} AND d <= {2 * reach}")
-        x, y = linked.select("token", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("d").alias("dx")), between.select("token", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("d").alias("dy"))
-        cross = x.join(y, "token").where(f"dy - dx <= {reach} + 1e-9")
-        ordered = F.col("nx") <= F.col("ny")
-        pairs = cross.select(F.when(ordered, F.col("x")).otherwise(F.col("y")).alias("a"), F.least("nx", "ny").alias("na"), F.when(ordered, F.col("y")).otherwise(F.col("x")).alias("b"), F.greatest("nx", "ny").alias("nb"))
-        pairs = materialize(pairs.where(f"100 * na >= {percent} * nb").distinct(), "ngram-cross")
-        left = measured.where(f"d > {reach}").select("token", F.col("b").alias("class"), F.col("nb").alias("size"))
-        more = materialize(left, "ngram-lists")
-    by_rep = links.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        placed = rejoined(placed, joined)
+    # Last, all balls of different components that share a list or a candidate pair.
+    side = lambda k: placed.select(F.col("class").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("part", "centre", "r")])
+    balls = materialize(balls_of(mixed_lists()), "ngram-rivals")
+    x, y = (balls.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("centre", "part", "lo", "hi")]) for k in "xy")
+    rivals = x.join(y, "token").where(f"x_centre < y_centre AND x_part <> y_part AND {x_reach}").select(F.col("x_centre").alias("a"), F.col("y_centre").alias("b"))
+    open_pairs = near.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("a_part <> b_part")
+    radii = lambda k: radius.select(F.col("centre").alias(k), F.col("radius").alias(f"r{k}"))
+    reached = rivals.union(open_pairs.select(F.least("a_centre", "b_centre"), F.greatest("a_centre", "b_centre"))).distinct().join(radii("a"), "a").join(radii("b"), "b")
+    # Members of two balls that may touch: candidates, less those that the triangle inequality excludes.
+    touching = materialize(plausible(reached.select("a", "b", F.lit(1).cast("long").alias("count"), (F.col("ra") + F.col("rb") + reach).alias("most")), sketches).select("a", "b", F.col("least").alias("d")), "ngram-touching")
+    all_links = links.select("a", "b").union(apart.where(linked).select("a", "b"))
+    few = open_pairs.withColumn("ca", F.least("a_centre", "b_centre")).withColumn("cb", F.greatest("a_centre", "b_centre"))
+    few = few.join(touching.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "d"), ["ca", "cb"]).where(f"d - a_r - b_r <= {reach} + 1e-9").select("a", "b")
+    seats = mixed_lists()
+    sx, sy = (seats.select("token", F.col("class").alias(f"{k}_class"), F.col("centre").alias(k), F.col("r").alias(f"{k}_r"), F.col("size").alias(f"{k}_size")) for k in "ab")
+    many = touching.join(sx, "a").join(sy, ["token", "b"]).where(f"d - a_r - b_r <= {reach} + 1e-9 AND 100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
+    rest = new_pairs(few.union(many).withColumn("most", F.lit(reach)), "ngram-rest")
+    if not rest.isEmpty():
+        all_links = all_links.union(distances(rest, sets, fragments).where(linked).select("a", "b"))
+    by_rep = all_links.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     grouped = components(by_rep).select(F.col("node").alias("rep"), "component")
     named = reps.join(grouped, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     return (
@@ -298,6 +439,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
     )
 
 
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id. ``fragments`` is a power of two.
+
+    Null, empty and blank texts have an empty set and are alone. A text of fewer than ``n`` words has its whole
+    sequence as its one shingle. Rows that repeat a doc_id must repeat its text. A row
+    without doc_id represents no component. Other columns are ignored.
+    """
+    with scratch(docs.sparkSession):
+        return materialize(_near_duplicates(docs, n, percent, fragments), "near-duplicates", keep=True)
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their component, with all columns."""
     kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
