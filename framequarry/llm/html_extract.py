@@ -43,6 +43,8 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)
 SPACE = re.compile(r"\s+")
 #: A slot is template where at least this share of a host's pages, and at least so many pages, have the same text in it.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
+#: Hosts, and bytes of their reference pages, up to which these are broadcast.
+BROADCAST_HOSTS, BROADCAST_BYTES = 5_000, 32 << 20
 BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:int, marked:boolean, text:string>>, region int"
 
 
@@ -283,8 +285,13 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"),
     )
     pick = p.where("html <> ''").groupBy("host").agg(F.min_by("page_id", F.struct(F.xxhash64("page_id", "url"), "page_id")).alias("page_id"))
-    refs = p.join(pick, ["host", "page_id"], "left_semi").groupBy("host").agg(F.min("html").alias("ref"))
-    aligned = p.join(refs, "host", "left").select("page_id", "url", "html", "host", F.coalesce("ref", F.lit("")).alias("ref")).mapInArrow(_slots, BLOCKS)
+    pick = materialize(pick, "html-picks")
+    few = pick.count() <= BROADCAST_HOSTS
+    refs = p.join(F.broadcast(pick) if few else pick, ["host", "page_id"], "left_semi").groupBy("host").agg(F.min("html").alias("ref"))
+    refs = materialize(refs, "html-references")
+    small = few and (refs.agg(F.sum(F.octet_length("ref"))).first()[0] or 0) <= BROADCAST_BYTES
+    # Beyond these bounds pages meet their reference by a join on the host, whose large keys Spark splits.
+    aligned = p.join(F.broadcast(refs) if small else refs, "host", "left").select("page_id", "url", "html", "host", F.coalesce("ref", F.lit("")).alias("ref")).mapInArrow(_slots, BLOCKS)
     slots = materialize(aligned, "html-slots", compression="zstd")
     sizes = slots.groupBy("host").agg(F.count("*").alias("pages"), F.approx_count_distinct(F.xxhash64("blocks.text")).alias("texts"))
     same = slots.select("host", F.explode(F.array_distinct(F.expr("transform(blocks, b -> struct(b.slot AS slot, xxhash64(b.text) AS hash, b.marked AS marked))"))).alias("b")).groupBy("host", "b.slot", "b.hash").count()
@@ -293,4 +300,4 @@ def extract(pages: DataFrame) -> DataFrame:
     constant = template.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))  # one text a slot at most
     kept = "filter(blocks, b -> template IS NULL OR NOT array_contains(template, struct(b.slot AS slot, xxhash64(b.text) AS hash)))"
     text = F.array_join(F.expr(f"transform({kept}, b -> b.text)"), "\n")
-    return slots.join(constant, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return slots.join(F.broadcast(constant) if few else constant, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
