@@ -6,8 +6,10 @@
 2. Over all pages of the host, a slot whose text is the same on nearly all pages is template; other slots vary and
    are content.
 3. Varying slots are kept where content can be: inside the article or main element if the page marks one, else inside
-   the element that holds most varying text that is not link text; never inside navigation, headers, footers, asides,
-   forms, scripts, adverts, notices or reader comments.
+   the element that holds most varying text that is not link text; never inside navigation, headers, footers, asides
+   or scripts.
+4. Names (class, id) of adverts, notices, menus or reader comments, and forms, only vote: such an element is left out
+   unless it holds an article or main element, or most of the page's varying text.
 
 Pages meet their host's reference and template by joins, so a host with very many pages is dealt over all tasks.
 """
@@ -29,14 +31,18 @@ CONTAINERS = frozenset("body div section table tbody tr td center main article".
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption br".split())
-DROPPED = frozenset("head script style noscript template textarea title nav header footer aside form button select input iframe svg math object canvas menu dialog audio video map noembed noframes xmp".split())
+DROPPED = frozenset("head script style noscript template textarea title nav header footer aside button select input iframe svg math object canvas menu dialog audio video map noembed noframes xmp".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "caption", "summary", "figcaption", "legend"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Parts of names that speak for boilerplate, and parts that say nothing; a name with any other part does not vote.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|commentlist|replies|respond|disqus|pagination|pager|toolbar|widget|login|signup|search|skip-?link|paywall|tracking)(?=$|[\s_-])",
+    r"ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|commentlist|replies|respond|disqus|pagination|pager|toolbar|widget|login|signup|search|skiplink|paywall|tracking",
     re.I,
 )
+NEUTRAL = re.compile(r"\d*|\d+x\d+|the|site|page|main|global|top|bottom|left|right|box|wrap|wrapper|container|area|section|block|bar|list|items?|links?|inner|outer|primary|secondary|slot|unit|group|row|col|panel|buttons?|icons?|form|title|heading|body|count|meta|posts?|entry|article|user|reader|mobile|desktop", re.I)
+JOINED = re.compile(r"\b(side|skip)-(bar|link)\b", re.I)
+PARTS = re.compile(r"[_-]")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -45,18 +51,27 @@ SPACE = re.compile(r"\s+")
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
 #: Hosts, and bytes of their reference pages, up to which these are broadcast.
 BROADCAST_HOSTS, BROADCAST_BYTES = 5_000, 32 << 20
-BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:int, marked:boolean, text:string>>, region int"
+BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:int, marked:boolean, mass:int, votes:array<int>, line:int, text:string>>, region int"
 
 
 class Node:
-    __slots__ = ("tag", "skip", "children", "size", "slot", "main")
+    __slots__ = ("tag", "skip", "children", "size", "slot", "main", "voted")
 
-    def __init__(self, tag: str, skip: bool = False, main: bool = False):
-        self.tag, self.skip, self.main = tag, skip, main
+    def __init__(self, tag: str, skip: bool = False, main: bool = False, voted: bool = False):
+        self.tag, self.skip, self.main, self.voted = tag, skip, main, voted
         self.children: list = []
         self.size, self.slot = 1, -1
 
 
+def votes(named: str) -> bool:
+    """Whether a class or id speaks for boilerplate; ``no-sidebar`` or ``social-science`` do not."""
+    for name in JOINED.sub(r"\1\2", named).split():
+        parts = PARTS.split(name)
+        if any(BOILERPLATE.fullmatch(x) for x in parts) and all(BOILERPLATE.fullmatch(x) or NEUTRAL.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 def parse(page: str | None) -> Node:
     """DOM tree of a page, with the end tags that HTML lets authors leave out."""
     root = Node("html")
@@ -98,15 +113,16 @@ def parse(page: str | None) -> Node:
         if tag == "body":
             del stack[1:]
         rest = token[len(tag) + 1 : -1]
-        skip, main = tag in DROPPED, tag in ("article", "main")
+        skip, main, voted = tag in DROPPED, tag in ("article", "main"), tag == "form"
         if rest.strip(" /"):
             attributes = {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in ATTRIBUTE.findall(rest)}
             named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
             role = attributes.get("role", "").lower()
             main |= role in ("main", "article")
-            skip |= (not main and tag not in ("html", "body") and bool(BOILERPLATE.search(named))) or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+            voted |= tag not in ("html", "body") and votes(named)
+            skip |= "hidden" in attributes or attributes.get("aria-hidden") == "true"
             skip |= role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu") or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
-        node = Node(tag, skip, main)
+        node = Node(tag, skip, main, voted)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -176,44 +192,74 @@ def align(ref: Node, page: Node) -> None:
                 todo.append((x[i], y[j]))
 
 
-def blocks(root: Node) -> tuple[list[tuple[int, bool, str]], int]:
-    """[(slot, marked, text)] of the blocks that may be content, and the element they were taken from (0: marked)."""
+def settle(root: Node) -> None:
+    """Take back the votes of elements that hold an article or main element, and of articles that are not in another."""
+    order, todo = [], [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        n.voted &= inside or not n.main
+        order.append(n)
+        if not n.skip:
+            todo.extend((c, inside or n.main) for c in n.children if isinstance(c, Node))
+    holds: set[int] = set()  # elements with an article or main in them that no name votes against
+    for n in reversed(order):
+        if any(id(c) in holds for c in n.children):
+            n.voted = False
+            holds.add(id(n))
+        elif n.main and not n.skip and not n.voted:
+            holds.add(id(n))
+
+
+def blocks(root: Node) -> tuple[list[tuple[int, bool, int, list[int], int, str]], int]:
+    """[(slot, marked, letters outside links, elements around it that names vote against, line, text)] of the blocks
+    that may be content, and the element they were taken from (0: marked)."""
+    settle(root)
     marked = any_marked(root)
     region = root if marked else densest(root)
-    out: list[tuple[int, bool, str]] = []
+    out: list[tuple[int, bool, int, list[int], int, str]] = []
     line: list[str] = []
-    owner = [region.slot]
+    owner, against, mass, seen, at = [region.slot], [()], [0], 0, 0
 
     def close() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(line))).strip()
         line.clear()
         if text:
-            out.append((owner[0], marked, text))
+            out.append((owner[0], marked, mass[0], list(against[0]), at, text))
+        mass[0] = 0
 
-    todo: list[tuple] = [(region, False, False)]
+    todo: list[tuple] = [(region, False, False, (), False)]
     while todo:
-        item, inside, leaving = todo.pop()
+        item, inside, link, voted, leaving = todo.pop()
         if isinstance(item, str):
             if inside or not marked:
                 line.append(item)
+                mass[0] += 0 if link else len(item.strip())
             continue
         if leaving:
             close()
-            owner[0] = item
+            owner[0], against[0], ended = item
+            at += ended
             continue
         if item.skip and item is not region:
             if item.tag in BLOCK or item.tag in ("nav", "header", "footer"):
                 close()
+                at += 1
             continue
         within = inside or item.main
         if item.tag == "br":
             line.append(" ")
             continue
-        if item.tag in BLOCK:
+        around = voted
+        if item.voted:
+            seen += 1
+            around = (*voted, seen)
+        if item.tag in BLOCK or item.voted:
             close()
-            todo.append((owner[0], within, True))
-            owner[0] = item.slot
-        todo.extend((c, within, False) for c in reversed(item.children))
+            ends = item.tag in BLOCK
+            at += ends
+            todo.append(((owner[0], against[0], ends), within, link, voted, True))
+            owner[0], against[0] = item.slot, around
+        todo.extend((c, within, link or item.tag == "a", around, False) for c in reversed(item.children))
     close()
     return out, 0 if marked else region.slot
 
@@ -251,7 +297,7 @@ def densest(root: Node) -> Node:
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Node] = {}
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("marked", pa.bool_()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("marked", pa.bool_()), ("mass", pa.int32()), ("votes", pa.list_(pa.int32())), ("line", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
@@ -265,7 +311,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     number(held[host])
                 align(held[host], root)
                 got, region = blocks(root)
-                found.append([{"slot": s, "marked": m, "text": t} for s, m, t in got])
+                found.append([{"slot": s, "marked": m, "mass": n, "votes": v, "line": k, "text": t} for s, m, n, v, k, t in got])
                 regions.append(region)
             yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "host": part.column(3), "blocks": pa.array(found, kind), "region": pa.array(regions, pa.int32())})
 
@@ -299,5 +345,10 @@ def extract(pages: DataFrame) -> DataFrame:
     template = same.join(sizes, "host").where(f"slot >= 0 AND pages >= {CONSTANT_PAGES} AND count >= {CONSTANT_SHARE} * pages AND texts >= 0.5 * pages")
     constant = template.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))  # one text a slot at most
     kept = "filter(blocks, b -> template IS NULL OR NOT array_contains(template, struct(b.slot AS slot, xxhash64(b.text) AS hash)))"
-    text = F.array_join(F.expr(f"transform({kept}, b -> b.text)"), "\n")
-    return slots.join(F.broadcast(constant) if few else constant, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    varying = slots.join(F.broadcast(constant) if few else constant, "host", "left").select("page_id", "url", F.expr(kept).alias("kept"))
+    # Names only vote: an element with most of the page's varying text stays.
+    mass = "aggregate({}, 0L, (n, b) -> n + b.mass)"
+    against = f"filter(array_distinct(flatten(kept.votes)), v -> 2 * {mass.format('filter(kept, b -> array_contains(b.votes, v))')} <= {mass.format('kept')})"
+    held = "if(exists(kept, b -> size(b.votes) > 0), filter(kept, b -> NOT arrays_overlap(b.votes, against)), kept)"
+    text = F.expr("array_join(transform(held, (b, i) -> concat(if(i = 0, '', if(b.line = held[i - 1].line, ' ', '\\n')), b.text)), '')")
+    return varying.withColumn("against", F.expr(against)).withColumn("held", F.expr(held)).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -295,6 +295,15 @@ def test_html_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Head & line 7\nFirst para of 7\nsecond x 7\na7\nb7\nShare this with everyone"}
 
 
+@pytest.mark.parametrize("name", ["layout no-sidebar", "content with-sidebar", "single comments-open", "social-science", "sidebar", "comments"])
+def test_html_names_only_vote(spark, name):
+    body = "<p>Story {i} is told <span class='share'>share {i}</span>here at length, number {i}.</p><div class='related'><p>see {i}</p></div>"
+    rows = [(i, "http://a.example/x", f"<body><div class='{name}'><article>{body}</article></div></body>".replace("{i}", str(i))) for i in range(6)]
+    rows += [(10 + i, "http://b.example/x", f"<body><div class='{name}'>{body}</div></body>".replace("{i}", str(i))) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k + i: f"Story {i} is told here at length, number {i}." for k in (0, 10) for i in range(6)}
+
+
 def test_words_agree_with_regex():
     text = "Ab c-d\té 12,x\x85y  Z" * 3
     raw = np.frombuffer(text.encode(), np.uint8)
