@@ -5,9 +5,8 @@
    their order. So each text block of a page gets a template slot, the matched node of the reference.
 2. Over all pages of the host, a slot whose text is the same on nearly all pages is template; other slots vary and
    are content.
-3. Varying slots are kept where content can be: inside the article or main element if the page marks one, else inside
-   the element that holds most varying text that is not link text; never inside navigation, headers, footers, asides
-   or scripts.
+3. Varying slots are kept where content can be: inside the article or main elements if the page marks text by them, else
+   everywhere; never inside navigation, headers, footers, asides or scripts.
 4. Names (class, id) of adverts, notices, menus or reader comments, and forms, only vote: such an element is left out
    unless it holds an article or main element, or most of the page's varying text.
 
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, materialize
 
 # Classes of HTML elements.
-CONTAINERS = frozenset("body div section table tbody tr td center main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption br".split())
@@ -51,7 +49,7 @@ SPACE = re.compile(r"\s+")
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
 #: Hosts, and bytes of their reference pages, up to which these are broadcast.
 BROADCAST_HOSTS, BROADCAST_BYTES = 5_000, 32 << 20
-BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:int, marked:boolean, mass:int, votes:array<int>, line:int, text:string>>, region int"
+BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:int, marked:boolean, mass:int, votes:array<int>, line:int, text:string>>"
 
 
 class Node:
@@ -193,14 +191,15 @@ def align(ref: Node, page: Node) -> None:
 
 
 def settle(root: Node) -> None:
-    """Take back the votes of elements that hold an article or main element, and of articles that are not in another."""
+    """Take back the votes of elements that hold an article or main element, and of articles on their own; an article
+    with such a name in another article, or in an element with such a name, is a comment."""
     order, todo = [], [(root, False)]
     while todo:
         n, inside = todo.pop()
         n.voted &= inside or not n.main
         order.append(n)
         if not n.skip:
-            todo.extend((c, inside or n.main) for c in n.children if isinstance(c, Node))
+            todo.extend((c, inside or n.main or n.voted) for c in n.children if isinstance(c, Node))
     holds: set[int] = set()  # elements with an article or main in them that no name votes against
     for n in reversed(order):
         if any(id(c) in holds for c in n.children):
@@ -210,37 +209,34 @@ def settle(root: Node) -> None:
             holds.add(id(n))
 
 
-def blocks(root: Node) -> tuple[list[tuple[int, bool, int, list[int], int, str]], int]:
+def blocks(root: Node) -> list[tuple[int, bool, int, list[int], int, str]]:
     """[(slot, marked, letters outside links, elements around it that names vote against, line, text)] of the blocks
-    that may be content, and the element they were taken from (0: marked)."""
+    that may be content: those in article or main elements, or all blocks of a page without text in such elements."""
     settle(root)
-    marked = any_marked(root)
-    region = root if marked else densest(root)
     out: list[tuple[int, bool, int, list[int], int, str]] = []
     line: list[str] = []
-    owner, against, mass, seen, at = [region.slot], [()], [0], 0, 0
+    owner, against, mass, seen, at, marked = [root.slot], [()], [0], 0, 0, [False]
 
     def close() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(line))).strip()
         line.clear()
         if text:
-            out.append((owner[0], marked, mass[0], list(against[0]), at, text))
+            out.append((owner[0], marked[0], mass[0], list(against[0]), at, text))
         mass[0] = 0
 
-    todo: list[tuple] = [(region, False, False, (), False)]
+    todo: list[tuple] = [(root, False, False, (), False)]
     while todo:
         item, inside, link, voted, leaving = todo.pop()
         if isinstance(item, str):
-            if inside or not marked:
-                line.append(item)
-                mass[0] += 0 if link else len(item.strip())
+            line.append(item)
+            mass[0] += 0 if link else len(item.strip())
             continue
         if leaving:
             close()
-            owner[0], against[0], ended = item
+            owner[0], against[0], marked[0], ended = item
             at += ended
             continue
-        if item.skip and item is not region:
+        if item.skip:
             if item.tag in BLOCK or item.tag in ("nav", "header", "footer"):
                 close()
                 at += 1
@@ -253,46 +249,15 @@ def blocks(root: Node) -> tuple[list[tuple[int, bool, int, list[int], int, str]]
         if item.voted:
             seen += 1
             around = (*voted, seen)
-        if item.tag in BLOCK or item.voted:
+        if item.tag in BLOCK or item.voted or within != inside:
             close()
             ends = item.tag in BLOCK
             at += ends
-            todo.append(((owner[0], against[0], ends), within, link, voted, True))
-            owner[0], against[0] = item.slot, around
+            todo.append(((owner[0], against[0], marked[0], ends), within, link, voted, True))
+            owner[0], against[0], marked[0] = item.slot, around, within
         todo.extend((c, within, link or item.tag == "a", around, False) for c in reversed(item.children))
     close()
-    return out, 0 if marked else region.slot
-
-
-def any_marked(root: Node) -> bool:
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        if n.main and not n.skip:
-            return True
-        if not n.skip:
-            todo.extend(c for c in n.children if isinstance(c, Node))
-    return False
-
-
-def densest(root: Node) -> Node:
-    """Without a marked article: the smallest element with most of the page's text outside links."""
-    mass: dict[int, int] = {}
-    order, todo = [], [(root, False)]
-    while todo:
-        n, link = todo.pop()
-        link = link or n.tag == "a"
-        order.append(n)
-        mass[id(n)] = 0 if link else sum(len(c.strip()) for c in n.children if isinstance(c, str))
-        todo.extend((c, link) for c in n.children if isinstance(c, Node) and not c.skip)
-    for n in reversed(order):
-        mass[id(n)] += sum(mass.get(id(c), 0) for c in n.children if isinstance(c, Node))
-    at = root
-    while True:
-        inner = [c for c in at.children if isinstance(c, Node) and c.tag in CONTAINERS and mass.get(id(c), 0) > 0.6 * mass[id(at)]]
-        if not inner or not mass[id(at)]:
-            return at
-        at = inner[0]
+    return [b for b in out if b[1]] or out
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +266,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
-            found, regions = [], []
+            found = []
             for page, host, ref in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                 root = parse(page)
                 if host not in held:
@@ -310,10 +275,8 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held[host] = parse(ref)
                     number(held[host])
                 align(held[host], root)
-                got, region = blocks(root)
-                found.append([{"slot": s, "marked": m, "mass": n, "votes": v, "line": k, "text": t} for s, m, n, v, k, t in got])
-                regions.append(region)
-            yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "host": part.column(3), "blocks": pa.array(found, kind), "region": pa.array(regions, pa.int32())})
+                found.append([{"slot": s, "marked": m, "mass": n, "votes": v, "line": k, "text": t} for s, m, n, v, k, t in blocks(root)])
+            yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "host": part.column(3), "blocks": pa.array(found, kind)})
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -304,6 +304,13 @@ def test_html_names_only_vote(spark, name):
     assert got == {k + i: f"Story {i} is told here at length, number {i}." for k in (0, 10) for i in range(6)}
 
 
+def test_html_keeps_sibling_containers(spark):
+    html = "<body><div>constant notice</div><div><div>" + "<p>first {i} " + "long " * 70 + "</p></div><div><p>second {i} " + "more " * 30 + "</p></div></div><div><p>third {i}</p></div></body>"
+    rows = [(i, "http://a.example/x", html.replace("{i}", str(i))) for i in range(8)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all([x.split(" long")[0].split(" more")[0] for x in got[i]] == [f"first {i}", f"second {i}", f"third {i}"] for i in range(8))
+
+
 def test_words_agree_with_regex():
     text = "Ab c-d\té 12,x\x85y  Z" * 3
     raw = np.frombuffer(text.encode(), np.uint8)
