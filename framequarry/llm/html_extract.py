@@ -3,8 +3,11 @@
 1. One page of each host (least hash) is its reference. Every page's DOM tree is aligned with the reference by simple
    tree matching: equal roots match, and a dynamic programme over the children finds the largest matching that keeps
    their order. So each text block of a page gets a template slot, the matched node of the reference.
-2. Over all pages of the host, a slot whose text is the same on nearly all pages is template; other slots vary and
-   are content.
+   Elements that the reference lacks have the slot of their path (tags and names) below the nearest matched element,
+   so other layouts of the host have slots of their own.
+2. Over the distinct pages of the host, a slot whose text is the same on nearly all pages that have the slot is
+   template; other slots vary and are content. Where few pages tell, or only some pages have the slot, the pages must
+   otherwise differ (in their longest block), so near copies of one page are not a template.
 3. Varying slots are kept where content can be: inside the article or main elements if the page marks text by them, else
    everywhere; never inside navigation, headers, footers, asides or scripts.
 4. Names (class, id) of adverts, notices, menus or reader comments, and forms, only vote: such an element is left out
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,18 +49,23 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:\"[^\"]*\"
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
-#: A slot is template where at least this share of a host's pages, and at least so many pages, have the same text in it.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
+DIGITS = re.compile(r"\d+")
+#: A slot is template where at least this share of the distinct pages that have it have the same text in it.
+CONSTANT_SHARE = 0.9
+#: Distinct pages from which a text on nearly all pages of the host is template whatever their longest blocks are.
+CERTAIN_PAGES = 5
+#: Template texts that are broadcast at most.
+BROADCAST_TEXTS = 500_000
 #: Hosts, and bytes of their reference pages, up to which these are broadcast.
 BROADCAST_HOSTS, BROADCAST_BYTES = 5_000, 32 << 20
-BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:int, marked:boolean, mass:int, votes:array<int>, line:int, text:string>>"
+BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:long, marked:boolean, mass:int, votes:array<int>, line:int, text:string>>"
 
 
 class Node:
-    __slots__ = ("tag", "skip", "children", "size", "slot", "main", "voted")
+    __slots__ = ("tag", "skip", "children", "size", "slot", "main", "voted", "names")
 
-    def __init__(self, tag: str, skip: bool = False, main: bool = False, voted: bool = False):
-        self.tag, self.skip, self.main, self.voted = tag, skip, main, voted
+    def __init__(self, tag: str, skip: bool = False, main: bool = False, voted: bool = False, names: str = ""):
+        self.tag, self.skip, self.main, self.voted, self.names = tag, skip, main, voted, names
         self.children: list = []
         self.size, self.slot = 1, -1
 
@@ -111,7 +120,7 @@ def parse(page: str | None) -> Node:
         if tag == "body":
             del stack[1:]
         rest = token[len(tag) + 1 : -1]
-        skip, main, voted = tag in DROPPED, tag in ("article", "main"), tag == "form"
+        skip, main, voted, named = tag in DROPPED, tag in ("article", "main"), tag == "form", ""
         if rest.strip(" /"):
             attributes = {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in ATTRIBUTE.findall(rest)}
             named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
@@ -120,7 +129,7 @@ def parse(page: str | None) -> Node:
             voted |= tag not in ("html", "body") and votes(named)
             skip |= "hidden" in attributes or attributes.get("aria-hidden") == "true"
             skip |= role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu") or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
-        node = Node(tag, skip, main, voted)
+        node = Node(tag, skip, main, voted, named)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -148,30 +157,34 @@ def number(root: Node) -> int:
 def align(ref: Node, page: Node) -> None:
     """Simple tree matching of ``page`` with the numbered tree ``ref``; matched nodes of the page get the slots."""
     memo: dict[tuple[int, int], tuple[int, list | None]] = {}
-
-    def match(a: Node, b: Node, deep: int) -> int:
-        if a.tag != b.tag or deep > 60:
-            return 0
-        key = (id(a), id(b))
-        if key in memo:
-            return memo[key][0]
+    work = [(ref, page)] if ref.tag == page.tag else []
+    while work:
+        a, b = work[-1]
+        if (id(a), id(b)) in memo:
+            work.pop()
+            continue
         x, y = [c for c in a.children if isinstance(c, Node)], [c for c in b.children if isinstance(c, Node)]
         if not x or not y:
-            memo[key] = (1, None)
-            return 1
+            memo[id(a), id(b)] = (1, None)
+            work.pop()
+            continue
+        inner = [any(isinstance(c, Node) for c in ca.children) for ca in x]
+        wait = [(ca, cb) for ca, deep in zip(x, inner, strict=True) if deep for cb in y if ca.tag == cb.tag and (id(ca), id(cb)) not in memo]
+        if wait:
+            work.extend(wait)
+            continue
         rows = [[0] * (len(y) + 1)]
-        for ca in x:
+        for ca, deep in zip(x, inner, strict=True):
             prev, row = rows[-1], [0]
-            leaf = not any(isinstance(c, Node) for c in ca.children)
             for j, cb in enumerate(y):
-                w = 0 if ca.tag != cb.tag else 1 if leaf else match(ca, cb, deep + 1)
+                w = 0 if ca.tag != cb.tag else memo[id(ca), id(cb)][0] if deep else 1
                 best = prev[j + 1] if prev[j + 1] >= row[j] else row[j]
                 row.append(prev[j] + w if w and prev[j] + w > best else best)
             rows.append(row)
-        memo[key] = (1 + rows[-1][-1], rows)
-        return memo[key][0]
+        memo[id(a), id(b)] = (1 + rows[-1][-1], rows)
+        work.pop()
 
-    todo = [(ref, page)] if match(ref, page, 0) else []
+    todo = [(ref, page)] if ref.tag == page.tag else []
     while todo:
         a, b = todo.pop()
         b.slot = a.slot
@@ -209,6 +222,11 @@ def settle(root: Node) -> None:
             holds.add(id(n))
 
 
+def path(above: int, node: Node) -> int:
+    """Slot, below -1, of an element without a match: its tag and names under the slot of its parent."""
+    return -2 - zlib.crc32(f"{above}/{node.tag} {DIGITS.sub('', node.names)}".encode("utf-8", "surrogatepass"))
+
+
 def blocks(root: Node) -> list[tuple[int, bool, int, list[int], int, str]]:
     """[(slot, marked, letters outside links, elements around it that names vote against, line, text)] of the blocks
     that may be content: those in article or main elements, or all blocks of a page without text in such elements."""
@@ -224,9 +242,9 @@ def blocks(root: Node) -> list[tuple[int, bool, int, list[int], int, str]]:
             out.append((owner[0], marked[0], mass[0], list(against[0]), at, text))
         mass[0] = 0
 
-    todo: list[tuple] = [(root, False, False, (), False)]
+    todo: list[tuple] = [(root, root.slot, False, False, (), False)]
     while todo:
-        item, inside, link, voted, leaving = todo.pop()
+        item, slot, inside, link, voted, leaving = todo.pop()
         if isinstance(item, str):
             line.append(item)
             mass[0] += 0 if link else len(item.strip())
@@ -245,6 +263,7 @@ def blocks(root: Node) -> list[tuple[int, bool, int, list[int], int, str]]:
         if item.tag == "br":
             line.append(" ")
             continue
+        slot = item.slot if item.slot >= 0 else path(slot, item)
         around = voted
         if item.voted:
             seen += 1
@@ -253,16 +272,16 @@ def blocks(root: Node) -> list[tuple[int, bool, int, list[int], int, str]]:
             close()
             ends = item.tag in BLOCK
             at += ends
-            todo.append(((owner[0], against[0], marked[0], ends), within, link, voted, True))
-            owner[0], against[0], marked[0] = item.slot, around, within
-        todo.extend((c, within, link or item.tag == "a", around, False) for c in reversed(item.children))
+            todo.append(((owner[0], against[0], marked[0], ends), slot, within, link, voted, True))
+            owner[0], against[0], marked[0] = slot, around, within
+        todo.extend((c, slot, within, link or item.tag == "a", around, False) for c in reversed(item.children))
     close()
     return [b for b in out if b[1]] or out
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Node] = {}
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("marked", pa.bool_()), ("mass", pa.int32()), ("votes", pa.list_(pa.int32())), ("line", pa.int32()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("marked", pa.bool_()), ("mass", pa.int32()), ("votes", pa.list_(pa.int32())), ("line", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
@@ -302,11 +321,18 @@ def extract(pages: DataFrame) -> DataFrame:
     # Beyond these bounds pages meet their reference by a join on the host, whose large keys Spark splits.
     aligned = p.join(F.broadcast(refs) if small else refs, "host", "left").select("page_id", "url", "html", "host", F.coalesce("ref", F.lit("")).alias("ref")).mapInArrow(_slots, BLOCKS)
     slots = materialize(aligned, "html-slots", compression="zstd")
-    sizes = slots.groupBy("host").agg(F.count("*").alias("pages"), F.approx_count_distinct(F.xxhash64("blocks.text")).alias("texts"))
-    same = slots.select("host", F.explode(F.array_distinct(F.expr("transform(blocks, b -> struct(b.slot AS slot, xxhash64(b.text) AS hash, b.marked AS marked))"))).alias("b")).groupBy("host", "b.slot", "b.hash").count()
-    # Template: the same text nearly everywhere, on a host whose pages otherwise differ (copies of one page are not a template).
-    template = same.join(sizes, "host").where(f"slot >= 0 AND pages >= {CONSTANT_PAGES} AND count >= {CONSTANT_SHARE} * pages AND texts >= 0.5 * pages")
-    constant = template.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))  # one text a slot at most
+    # Copies of a page count once. Its blocks as hashes, and the hash of its longest block.
+    page = F.expr("array_distinct(transform(blocks, b -> struct(b.slot AS slot, xxhash64(b.text) AS hash)))")
+    longest = F.expr("xxhash64(array_max(transform(blocks, b -> struct(length(b.text) AS n, b.text AS text))).text)")
+    pages = slots.where("size(blocks) > 0").select("host", F.xxhash64("blocks.slot", "blocks.text").alias("copy"), longest.alias("body"), page.alias("page")).dropDuplicates(["host", "copy"])
+    pages = materialize(pages, "html-pages", compression="zstd")
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    having = pages.select("host", F.explode(F.expr("array_distinct(page.slot)")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("having"))
+    same = pages.select("host", "body", F.explode("page").alias("b")).groupBy("host", "b.slot", "b.hash").agg(F.count("*").alias("same"), F.count_distinct("body").alias("bodies"))
+    template = same.where("same >= 2").join(having, ["host", "slot"]).join(sizes, "host").where(f"same >= {CONSTANT_SHARE} * having AND (same >= {CERTAIN_PAGES} AND same >= {CONSTANT_SHARE} * pages OR bodies >= greatest(2, 0.5 * same))")
+    template = materialize(template.select("host", "slot", "hash"), "html-template")
+    constant = template.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
+    few = few and template.count() <= BROADCAST_TEXTS
     kept = "filter(blocks, b -> template IS NULL OR NOT array_contains(template, struct(b.slot AS slot, xxhash64(b.text) AS hash)))"
     varying = slots.join(F.broadcast(constant) if few else constant, "host", "left").select("page_id", "url", F.expr(kept).alias("kept"))
     # Names only vote: an element with most of the page's varying text stays.

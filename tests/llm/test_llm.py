@@ -311,6 +311,19 @@ def test_html_keeps_sibling_containers(spark):
     assert all([x.split(" long")[0].split(" more")[0] for x in got[i]] == [f"first {i}", f"second {i}", f"third {i}"] for i in range(8))
 
 
+def test_html_templates_of_small_hosts_and_layouts(spark):
+    story = "<p>Story {i} is told here, and its number is {i}.</p>"
+    one, two = f"<div>Our notice</div>{story}", f"<table><tr><td>{story}</td></tr></table><div class='x'><div>Other notice</div></div>"
+    rows = [(i, "http://small.example/", one.replace("{i}", str(i))) for i in range(2)]
+    rows += [(100 + i, "http://copies.example/", one.replace("{i}", str(max(i, 30)))) for i in range(36)]
+    rows += [(200 + i, "http://layouts.example/", (one, two)[i % 2].replace("{i}", str(i))) for i in range(16)]
+    rows += [(300 + i, "http://deep.example/", "<b>" * 90 + one.replace("{i}", str(i))) for i in range(6)]
+    long = "The same long report on both pages, but for its number. " * 3
+    rows += [(400 + i, "http://near.example/", f"<p>{long}</p><p>number {i}</p>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {p: f"{long.strip()}\nnumber {p - 400}" if p >= 400 else "Story {0} is told here, and its number is {0}.".format(max(p - 100, 30) if 100 <= p < 200 else p % 100) for p, _, _ in rows}
+
+
 def test_words_agree_with_regex():
     text = "Ab c-d\té 12,x\x85y  Z" * 3
     raw = np.frombuffer(text.encode(), np.uint8)
