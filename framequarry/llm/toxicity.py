@@ -2,8 +2,9 @@
 
 Words become classes (insult stem, threat, target, negation, speech verb, quote mark, other). Small weighted
 transducers, each a table of transitions, read the classes of a clause: TARGET + INSULT (a person is insulted), THREAT +
-TARGET (harm is announced), NEGATION before an insult (weight is taken back), SPEECH before a clause (somebody else is
-reported to have said it). Their composition is the product of their states; the weight of a clause is the best
+YOU, or OBJECT on either side (harm is announced; without somebody it is done to it has no weight), INSULT before a
+threat, NEGATION before an insult or threat (weight is taken back), SPEECH before a clause (somebody else is reported to
+have said it). Words masked with digits or signs are read in their place. Their composition is the product of their states; the weight of a clause is the best
 weight of a path. Clause weights add up to the document's log-odds, so long documents are not toxic for one word.
 
 The insult stems and their weights are learned from labelled documents that are not held out (a bounded
@@ -27,11 +28,14 @@ from .language_id import held_out
 from .shared import bounded_batches, materialize
 
 # Closed word classes.
-TARGETS = frozenset("you your yours u he she they him her them his their we us du dich dir dein deine ihr euch sie er ihn ihm tu te toi ton ta tes vous votre vos il elle ils elles lui leur tú usted ustedes ti tus ellos ellas él ella".split())
+TARGETS = frozenset("u he she they we du ihr sie er tu ton ta tes votre vos il elle ils elles leur tú usted ustedes tus ellos ellas él ella dein deine".split())
+#: Of the targets, those that suffer a deed named before them, and object pronouns that stand on either side of it.
+SUFFERS = frozenset("you your yours him them her his their us".split())
+OBJECTS = frozenset("dich dir euch ihn ihm te toi vous lui ti".split())
 THREATS = frozenset("kill hurt destroy murder beat punch shoot stab burn töten schlagen vernichten umbringen tuer frapper détruire brûler matar golpear destruir quemar".split())
-NEGATIONS = frozenset("not no never n't isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split())
+NEGATIONS = frozenset("not no never n't isn't aren't wasn't don't won't nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split())
 SPEECH = frozenset("said says say told called reported wrote quoted sagte sagt nannte schrieb berichtete dit disait appelait écrit rapporte dijo dice llamó escribió".split())
-OTHER, INSULT, THREAT, TARGET, NEGATION, SPEAKS = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, SPEAKS, SUFFERER, OBJECT = range(8)
 CLAUSE = regex.compile(r"[.!?;:\n]+")
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
 LEET = str.maketrans("013457@$", "oieastas")
@@ -39,7 +43,9 @@ MASKED = regex.compile(r"\b(?=[\p{L}@$0-9]*\p{L})(?=\p{L}*[@$0-9])[\p{L}@$0-9]{3
 MARKS = regex.compile(r"[@$0-9]")
 STEM_LENGTHS = range(3, 9)
 #: Weights of the grammar in units of the stem's weight.
-DIRECTED, NEGATED, REPORTED, THREATENED = 1.5, 0.5, 0.8, 1.0
+DIRECTED, NEGATED, REPORTED = 1.5, 0.5, 0.8
+#: Weight of a word of harm, before the factors of its clause; one that is aimed at somebody passes the threshold.
+THREATENED = 4.0
 #: Log-odds of a text without evidence; least and greatest weight of a stem.
 BIAS, LEAST_ODDS, MOST_ODDS = -4.5, 2.0, 6.0
 #: Toxic documents that outweigh a clean one, at equal shares, when a stem is chosen.
@@ -49,9 +55,11 @@ EXPLAINED = 3
 
 #: Transducers as {(state, class): (next state, factor of an insult's or a threat's weight)}; a missing entry keeps the state.
 NEGATION_T = {("", NEGATION): ("neg", 1), ("neg", INSULT): ("", NEGATED), ("neg", THREAT): ("", NEGATED)}
-TARGET_T = {("", TARGET): ("aimed", 1), ("aimed", INSULT): ("aimed", DIRECTED), ("aimed", THREAT): ("aimed", DIRECTED)}
+TARGET_T = {("", k): ("aimed", 1) for k in (TARGET, SUFFERER, OBJECT)} | {("aimed", INSULT): ("aimed", DIRECTED)}
 REPORT_T = {("", SPEAKS): ("told", 1), ("told", INSULT): ("told", REPORTED), ("told", THREAT): ("told", REPORTED)}
-GRAMMAR = (NEGATION_T, TARGET_T, REPORT_T)
+INSULT_T = {("", INSULT): ("insulted", 1), ("insulted", THREAT): ("insulted", DIRECTED)}
+THREAT_T = {("", OBJECT): ("object", 1), ("object", THREAT): ("announced", DIRECTED), ("", THREAT): ("threat", DIRECTED), ("threat", SUFFERER): ("announced", 1), ("threat", OBJECT): ("announced", 1)}
+GRAMMAR = (NEGATION_T, TARGET_T, REPORT_T, INSULT_T, THREAT_T)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -76,7 +84,7 @@ class Grammar:
                         got = (INSULT, self.stems[word[:n]])
                         break
                 else:
-                    for kind, listed in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (SPEAKS, SPEECH)):
+                    for kind, listed in ((THREAT, THREATS), (TARGET, TARGETS), (SUFFERER, SUFFERS), (OBJECT, OBJECTS), (NEGATION, NEGATIONS), (SPEAKS, SPEECH)):
                         if word in listed:
                             got = (kind, 0.0)
                             break
@@ -86,7 +94,7 @@ class Grammar:
 
     def clause(self, kinds: list[tuple[int, float]]) -> float:
         """Weight of a clause: every transducer reads every class; factors multiply (composition)."""
-        states, total, seen_insult, threat, aimed = ["", "", ""], 0.0, 0.0, False, False
+        states, total, harm = [""] * len(GRAMMAR), 0.0, 0.0
         for kind, weight in kinds:
             factor = 1.0
             for k, table in enumerate(GRAMMAR):
@@ -96,29 +104,27 @@ class Grammar:
                     factor *= f
             if kind == INSULT:
                 total += weight * factor
-                seen_insult = max(seen_insult, weight)
-            threat |= kind == THREAT
-            aimed |= kind == TARGET
-        if threat and aimed and seen_insult:
-            total += THREATENED * seen_insult
-        return total
+            elif kind == THREAT:
+                harm = max(harm, THREATENED * factor)
+        return total + (harm if states[-1] == "announced" else 0.0)
 
     def weight(self, text: str | None) -> float:
         low = (text or "").lower()
-        total = 0.0
-        masked = MASKED.findall(low) if MARKS.search(low) else []
-        if not masked and not any(self.classify(w)[0] == INSULT for w in set(WORD.findall(low))):
+        if MARKS.search(low):  # letters written as digits or signs, where that makes an insult or a word of harm
+            low = MASKED.sub(self.unmask, low)
+        if not any(self.classify(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(low))):
             return 0.0
+        total = 0.0
         for part in CLAUSE.split(low):
             kinds = [self.classify(w) for w in WORD.findall(part)]
-            if any(k == INSULT for k, _ in kinds):
+            if any(k in (INSULT, THREAT) for k, _ in kinds):
                 total += self.clause(kinds)
-        for m in masked:  # letters written as digits or signs
-            kind, weight = self.classify(m.translate(LEET))
-            if kind == INSULT:
-                total += weight
         return total
 
+    def unmask(self, found: regex.Match) -> str:
+        plain = found[0].translate(LEET)
+        return plain if self.classify(plain)[0] in (INSULT, THREAT) else found[0]
+
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.weight(text)))))
 

@@ -244,6 +244,17 @@ def test_toxicity_grammar():
     assert g.score("id1ot") == pytest.approx(g.score("idiot")) and g.score("weakness") < 0.7 <= g.score("weakness. weakly. weaker")
 
 
+def test_toxicity_threats():
+    g = toxicity.Grammar({"=idiot": 6.0}, toxicity.BIAS)
+    none = g.score("")
+    for t in ("I will kill you", "I will k1ll you", "Ich werde dich töten", "je vais te tuer", "te voy a matar"):
+        assert g.score(t) >= 0.7 and g.score(f"A quiet day. {t}!") == g.score(t)
+    assert none < g.score("I will not kill you") < g.score("he said they will kill you") < 0.7
+    assert g.score("you burn wood") == g.score("they beat the eggs") == g.score("we kill time") == none
+    assert g.score("idiot, I will kill you") > g.score("idiot. I will kill you") > g.score("I will kill you")
+    assert g.score("not an id1ot") == g.score("not an idiot") < g.score("you id1ot") == g.score("you idiot")
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(0)
     texts, labels = [], []
