@@ -3,8 +3,10 @@
 Every source is a queue of documents; a document may be cut anywhere. In each window the round-robin visits all
 queues: a queue's deficit grows by its share of the window (share x window length, a fraction), the queue gives that
 many whole tokens, and what is left below one token is its deficit in the next window. Deficits are carried exactly,
-over windows and over partitions: after w windows a queue with cumulative share interval (lo, hi] of n tokens has
-given floor(hi*w*L/n) - floor(lo*w*L/n) tokens, so any task can resume the schedule at any window without the ones
+over windows and over partitions: the n tokens, queue after queue, fill the rows of a table with a column for each
+window and L rows (floor(i*n/L) tokens before row i, as the last window can be short), and a queue (lo, hi] gives each
+window what it has in that column. That never takes tokens back, even from queues with less than one token a window, and
+has a closed form (``given_before``), so any task can resume the schedule at any window without the ones
 before it. Nothing sequential is left but prefix sums over (source, partition) totals.
 
 Natural proportions (the default) empty all queues at the same moment. Given weights, queues run dry one by one; the
@@ -14,6 +16,7 @@ schedule then has one phase per dry queue, in which the remaining weights share
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -28,9 +31,9 @@ from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 STORE = "doc_id long, queue string, part int, local_start long, n_tokens long, ids binary"
-#: Queues with a name of their own. A corpus with more sources deals them by hash into this many queues.
-MAX_QUEUES = 4096
-#: Rows (queue, partition, base) that are broadcast at most; each has a name, two numbers and some tens of bytes.
+#: Groups of queues whose token counts the driver adds up; within a group a window function does.
+GROUPS = 1024
+#: Rows (queue, partition, base, lo, hi) that are broadcast at most; each has a name, four numbers and some tens of bytes.
 BROADCAST_ROWS = 500_000
 OUT_BYTES, OUT_ROWS = 4 << 20, 50_000
 
@@ -61,6 +64,14 @@ def phases(totals: dict[str, int], weights: dict[str, float] | None, length: int
     return out
 
 
+def given_before(c: int, w: int, total: int, length: int) -> int:
+    """Of the first ``c`` of ``total`` tokens, those in the windows before ``w``."""
+    if w >= -(-total // length):
+        return c
+    row = ((c + 1) * length - 1) // total
+    return row * w + min(c - row * total // length, w)
+
+
 def token_store(docs: DataFrame, tokenizer: str, end_id: int | None, queue_col: str) -> DataFrame:
     """Ids of every document in the shared folder, with its place in its queue within its partition."""
     bounded_batches(docs.sparkSession)
@@ -97,16 +108,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int =
 
     Null and empty texts hold only ``end_id``; with ``end_id=None`` they have no piece. Null sources are one queue.
     Rows that repeat a doc_id are packed as documents of their own. An empty table gives no pieces. Only the last
-    sequence of a phase can be short (natural proportions: one phase).
+    sequence of a phase can be short (natural proportions: one phase). Every source is a queue, however many there are.
     """
     spark = docs.sparkSession
-    if docs.select(queue_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        docs = docs.select("doc_id", "text", F.pmod(F.xxhash64(queue_col), F.lit(MAX_QUEUES)).alias(queue_col))
     store = token_store(docs, tokenizer, end_id, queue_col)
     totals = materialize(store.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "packing-totals")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    plan = phases({r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}, weights, length)  # MAX_QUEUES rows at most
+    # Only queues with a weight are planned on the driver; the others share the last phase by prefix sums.
+    named = [q for q, w in (weights or {}).items() if q is not None and Fraction(w).limit_denominator(10**6) > 0]
+    mine = F.col("queue").isin(named) if named else F.lit(False)
+    sums = totals.groupBy("queue").agg(F.sum("n").alias("n"))
+    plan = phases({r["queue"]: r["n"] for r in sums.where(mine).collect()}, weights, length) if named else []
+    rest = sums.where(~mine).withColumn("lot", F.pmod(F.xxhash64("queue"), F.lit(GROUPS)))
+    rest_seq, rest_total, starts = sum(-(-total // length) for _, total, _ in plan), 0, []
+    for r in rest.groupBy("lot").agg(F.sum("n").alias("n")).orderBy("lot").collect():  # GROUPS rows at most
+        starts.append((r["lot"], rest_total))
+        rest_total += r["n"]
+    upto = Window.partitionBy("lot").orderBy("queue").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.col("start") + F.sum("n").over(upto)
+    rest = rest.join(F.broadcast(spark.createDataFrame(starts, "lot long, start long")), "lot").select("queue", (hi - F.col("n")).alias("lo"), hi.alias("hi"))
+    bases = bases.join(rest, "queue", "left")
     by_queue: dict[str, list[tuple[int, int, int, int, int]]] = {}
     for seq, total, bounds in plan:
         for q, (lo, hi, given) in bounds.items():
@@ -116,17 +138,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for doc, queue, base, local, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, queue, base, low_end, high_end, local, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, at = np.frombuffer(blob, wide).astype("<u4"), 0
-                for given, seq, total, lo, hi in by_queue[queue]:
+                for given, seq, total, lo, hi in by_queue.get(queue) or [(0, rest_seq, rest_total, low_end, high_end)]:
                     mine = base + local + at - given  # place of the next id in this phase's share of the queue
                     if at >= n or mine >= hi - lo:
                         continue
                     last = -(-total // length)
-                    w = min(mine * total // ((hi - lo) * length), last - 1)
-                    edge = lambda c, w: c * w * length // total if w < last else c
-                    while w and edge(hi, w) - edge(lo, w) > mine:
-                        w -= 1
+                    edge = lambda c, w: given_before(c, w, total, length)
+                    w = bisect_right(range(last), mine, key=lambda w: edge(hi, w) - edge(lo, w)) - 1
                     low, high = edge(lo, w), edge(hi, w)
                     while at < n and mine < hi - lo:
                         low2, high2 = edge(lo, w + 1), edge(hi, w + 1)
@@ -137,6 +157,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int =
                             mine += take
                         if mine >= high2 - low2:
                             w, low, high = w + 1, low2, high2
+                            if at < n and mine < hi - lo and edge(hi, w + 1) - edge(lo, w + 1) <= mine:  # nothing in this window
+                                w = bisect_right(range(last), mine, key=lambda w: edge(hi, w) - edge(lo, w)) - 1
+                                low, high = edge(lo, w), edge(hi, w)
                 if len(rows) >= OUT_ROWS:
                     yield _pieces(rows)
                     rows = []
@@ -145,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, length: int =
 
     if totals.count() <= BROADCAST_ROWS:  # else the ids are joined by shuffling them
         bases = F.broadcast(bases)
-    placed = store.join(bases, ["queue", "part"]).select("doc_id", "queue", "base", "local_start", "n_tokens", "ids")
+    placed = store.join(bases, ["queue", "part"]).select("doc_id", "queue", "base", "lo", "hi", "local_start", "n_tokens", "ids")
     return placed.mapInArrow(cut, PIECES)
 
 

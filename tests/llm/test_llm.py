@@ -236,6 +236,25 @@ def test_language_centroid_by_hand():
     assert model.reach(np.array([0, 10**9]))[1] == pytest.approx(0.1)
 
 
+@pytest.mark.parametrize("weights", [None, {"s7": 3.0, "s8": 1.0}])
+def test_packing_has_a_queue_for_every_source(spark, weights):
+    texts = [words(60, k) if k < 10 else "one" for k in range(4200)]
+    docs = documents(spark, texts, {i: f"s{i}" for i in range(len(texts))}).repartition(4)
+    pieces = packing.pack(docs, byte_bpe(), end_id=1, length=128, weights=weights).collect()
+    share, size, fill = {}, {}, {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == fill.get(p.sequence_id, 0)
+        fill[p.sequence_id] = p.offset + p.length
+        share[p.sequence_id, p.doc_id] = p.length + share.get((p.sequence_id, p.doc_id), 0)
+        size[p.doc_id] = size.get(p.doc_id, 0) + p.length
+    assert len(size) == len(texts) and all(size[p.doc_id] == p.doc_tokens for p in pieces)
+    if weights:
+        assert abs(share[0, 7] - 96) <= 2 and abs(share[0, 8] - 32) <= 2
+    else:
+        total = sum(size.values())
+        assert all(abs(share.get((w, d), 0) - 128 * n / total) < 2 for d, n in size.items() for w in range(len(fill) - 1))
+
+
 def test_toxicity_grammar():
     g = toxicity.Grammar({"=idiot": 6.0, "lowei": 6.0, "weak": 2.5}, toxicity.BIAS)
     assert g.score("you idiot") >= 0.7 and g.score("a loweient thing") >= 0.7 and g.score("nothing here") < 0.1 and g.score(None) == g.score("")
