@@ -427,3 +427,10 @@ def psf_zone_summary(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("luma")
     made = px.where((F.col("y") * 50 + F.col("x")) % 7 == 0).select("frame_id", F.floor(F.col("y") * 3 / 50).alias("gy"), F.floor(F.col("x") * 3 / 50).alias("gx"), (1 + v / 100).alias("elong"), (v % 1).alias("ecc"), (v % 3 - 1.5).alias("pa"))
     return rounded(psf.zone_summary(made, boxes))
+
+
+@query("psf_zone_summary_stars")
+def psf_zone_summary_stars(spark: SparkSession, sf: str) -> DataFrame:
+    """Zone summary of the stars of psf_adaptive_moments; no SQL form, as psf_adaptive_moments has none."""
+    px, boxes, found = _plate(spark, sf)
+    return rounded(psf.zone_summary(psf.measure(px, psf.topk_spaced(found, 2, 4.0), cut=11), boxes))

@@ -52,3 +52,9 @@ def test_entry_without_training_data_parts(tmp_path):
             os.symlink(f"{ROOT}/framequarry/{part}", tmp_path / "framequarry" / part)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q), q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_zone_summary_counts_every_measured_star(spark):
+    q = catalog.queries()
+    zones, stars = q["psf_zone_summary_stars"](spark, SF).collect(), q["psf_adaptive_moments"](spark, SF).count()
+    assert sum(z.n for z in zones) == stars > 0
