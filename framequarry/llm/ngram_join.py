@@ -1,21 +1,23 @@
 """Exact Jaccard self-join of documents on word n-grams, by vertical partitioning of the global n-gram order.
 
-1. Every document becomes a set of 64-bit shingle hashes. Documents with equal sets are one class from here on.
+1. Every document becomes a set of 64-bit shingle hashes. Documents with equal sets are one class (a node) from here on;
+   classes are told apart by 128 bits.
 2. Global order: rare before frequent, then by hash. Shingles count as frequent if their counts, over all tasks in
    which two documents have them, add up to ``FREQUENT``; they travel as a bitmap of bounded size. The bitmap decides
    only the order, so whatever it misses or has too much costs time, never a link.
-3. Candidates: two sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each. Prefix shingles
-   are sorted by (shingle, size) and streamed: short lists give their pairs within length reach; a long list gives
-   its members, and pairs with one pivot. A bound prunes pairs before any set moves: the parity sketch of a set (for
-   each bit, whether an odd number of its shingles hash there) differs in no more bits than the sets in shingles.
-4. Verification: the order is cut into ``fragments``; the partial overlaps of each candidate pair are counted per
-   fragment, apart from each other, and summed per pair. First every set is compared with its most promising partner.
-   Linked sets form balls around partners, and components. Candidates inside a component need no check. In a long
-   list the balls then meet a few of the largest component, round by round. Between components that are left, the centres of balls are compared: the Jaccard distance is a metric, so two balls can be linked only if
-   their centres are no further apart than the threshold and both radii; of those that are, the members that the
-   triangle inequality leaves are compared pair by pair. So no link between components is lost, and a group of
-   thousands of near copies costs one comparison per copy.
-5. Components of the links; each document gets the smallest doc_id of its component.
+3. Two sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each. The members of such a shingle
+   are a list; lists with the same members are one list. Most near copies share dozens of shingles, so few are left.
+4. Round one: the members of every list against its pivot, the member that is in most lists. Rows are linear in the
+   lists. What links is contracted, and lists that lie in one component are done.
+5. Then only members of different components meet. Short lists give their pairs; long ones are cut into blocks of
+   bounded size, in which sets are compared by their sketches: the parity sketch of a set (for each bit, whether an odd
+   number of its shingles hash there) differs in no more bits than the sets in shingles, which excludes pairs for
+   certain. A block with very many plausible pairs gives a forest over the components first, and the rest after the
+   next contraction. Every plausible pair between components that stay apart is verified, so no link is lost, and a
+   group of thousands of near copies costs a few comparisons per copy.
+6. Verification: the order is cut into ``fragments``; the partial overlaps of each candidate pair are counted per
+   fragment, apart from each other, and summed per pair.
+7. Components of the links; each document gets the smallest doc_id of its component.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .components import components
@@ -35,12 +38,15 @@ from .shared import bounded_batches, materialize, scratch
 FREQUENT, MOST_BITS = 12, 30
 #: Shingles that are counted together within a task.
 COUNTED = 2_000_000
-#: A list of more classes than this is worked on by pivots.
-LONG_LIST = 24
-#: Members of a block of comparisons at most; a pivot with more members has several blocks.
+#: A list of more members than this goes to blocks of sketches; members of a chunk of such a list; longest list that a
+#: task holds to find out whether another shingle has the same members (a longer one is passed on under its own name).
+SHORT_LIST, CHUNK, HELD = 24, 1000, 1 << 18
+#: Plausible pairs per member beyond which a block gives a forest over its components first.
+DENSE = 4
+#: Nodes whose texts are looked up by a broadcast join (32 bytes each); more are joined by a shuffle.
+BROADCAST_NODES = 1 << 18
+#: Members of a block of comparisons at most; a node with more partners has several blocks.
 BLOCK_MEMBERS = 500
-#: Rounds in which the balls of a long list are compared with a few balls of its largest component only, others each time.
-HUB_ROUNDS, HUBS = 2, 8
 OUT_ROWS = 100_000
 
 
@@ -62,9 +68,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return np.concatenate(sets) if sets else h, at
 
 
-def signature(s: np.ndarray) -> int:
-    """A 64-bit hash of a set, as a signed integer."""
-    return int(ta.mix(np.array([ta.mix(s ^ ta.U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + ta.U64(len(s))], np.uint64)).view(np.int64)[0])
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set, as two signed integers."""
+    salts = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+    halves = [ta.mix(s ^ ta.U64(k)).sum(dtype=np.uint64) + ta.U64(len(s)) for k in salts]
+    lo, hi = ta.mix(np.array(halves, np.uint64)).view(np.int64).tolist()
+    return lo, hi
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -75,15 +84,18 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
+CLASSES = "doc_id long, size int, lo long, hi long, sketch binary, often binary"
+
+
 def _classes(n: int):
     """Per document (doc_id, size, class, sketch); also rows with the shingles that several documents of a task have."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("class", pa.int64()), ("sketch", pa.binary()), ("often", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("sketch", pa.binary()), ("often", pa.binary())])
 
     def often(sets: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(sets), return_counts=True)
         keep = count > 1
         blob = np.stack([token[keep].view(np.int64), count[keep]]).astype("<i8").tobytes()
-        return pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in schema][:4] + [pa.array([blob], pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in schema][:5] + [pa.array([blob], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -92,7 +104,10 @@ def _classes(n: int):
                 h, off = shingle_sets(data, at, n)
                 sets = [h[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 classes = [signature(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), pa.array(np.diff(off).astype(np.int32)), pa.array(classes, pa.int64()), pa.array([parity(x) for x in sets], pa.binary()), pa.nulls(j - i, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[i:j].cast(pa.int64()), pa.array(np.diff(off).astype(np.int32)), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array([parity(x) for x in sets], pa.binary()), pa.nulls(j - i, pa.binary())],
+                    schema=schema,
+                )
                 for c, x in zip(classes, sets, strict=True):
                     if len(x) and c not in seen:  # copies count once
                         seen.add(c)
@@ -121,10 +136,11 @@ def frequent_bitmap(often: DataFrame) -> tuple[np.ndarray, int]:
     bits = min(MOST_BITS, max(20, (16 * frequent.count()).bit_length()))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << bits, bool)
+        out = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
-            out[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> ta.U64(64 - bits)] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(out).tobytes()]})
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> ta.U64(64 - bits)
+            np.bitwise_or.at(out, at >> ta.U64(3), np.left_shift(1, (ta.U64(7) - (at & ta.U64(7))).astype(np.uint8)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": [out.tobytes()]})
 
     total = np.zeros((1 << bits) // 8, np.uint8)
     for r in frequent.coalesce(8).mapInArrow(marked, "bits binary").toLocalIterator():
@@ -142,6 +158,8 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def _postings(frequent, n: int, percent: int):
+    """(token, size, class) of the prefix shingles; the class is half of its name, the other half is looked up later."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (bitmap, bits), seen = frequent.value, set()
         for batch in batches:
@@ -152,7 +170,7 @@ def _postings(frequent, n: int, percent: int):
                     s = h[a:b]
                     if not len(s) or (c := signature(s)) in seen:
                         continue
-                    if len(seen) < 2_000_000:  # copies within a task are one class; across tasks the streams merge them
+                    if len(seen) < 2_000_000:  # copies within a task are one class; across tasks the lists merge them
                         seen.add(c)
                     lv = is_frequent(s, bitmap, bits)
                     if lv.any():
@@ -160,7 +178,7 @@ def _postings(frequent, n: int, percent: int):
                     p = prefix_length(len(s), percent)
                     tokens.append(s[:p])
                     sizes.append(len(s))
-                    classes.append(c)
+                    classes.append(c[0])
                     counts.append(p)
                 if tokens:
                     yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens).view(np.int64)), "size": pa.array(np.repeat(np.array(sizes, np.int32), counts)), "class": pa.array(np.repeat(np.array(classes, np.int64), counts))})
@@ -168,89 +186,228 @@ def _postings(frequent, n: int, percent: int):
     return run
 
 
-def _candidates(percent: int, most: int):
-    """Streams rows sorted by (token, size, class): pairs of short lists, rows of long ones (b null)."""
-    out_schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("na", pa.int32()), ("b", pa.int64()), ("nb", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple] = set()
-        long: list[tuple] = []
-        at, held, is_long = None, [], False  # the current token's list; a long one is passed on and not held
-
-        def close():
-            if is_long or len(held) < 2:
-                return
-            for y in range(1, len(held)):
-                nb, b = held[y]
-                for x in range(y - 1, -1, -1):
-                    na, a = held[x]
-                    if 100 * na < percent * nb:
-                        break
-                    pairs.add((a, na, b, nb))
-
-        def flush():
-            p = list(pairs)
-            rows = [(None, *x) for x in p] + long
-            pairs.clear()
-            long.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out_schema, strict=True)], schema=out_schema)
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams rows sorted by (token, size, class): (list, class, size) of lists with several members.
 
+    A list is named by a hash of its members, so those of shingles with the same members are one. Should two lists
+    share a name, their members meet in one list, which costs comparisons and loses none.
+    """
+    schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("size", pa.int32())])
+    seen: set[int] = set()
+    names, classes, sizes, rows = [], [], [], 0
+    at, held_c, held_s, passed = None, [], [], False  # the current list, part by part
+
+    def take(name: int) -> None:
+        nonlocal rows
+        c = np.concatenate(held_c)
+        names.append(np.full(len(c), name, np.int64))
+        classes.append(c)
+        sizes.append(np.concatenate(held_s))
+        rows += len(c)
+
+    def close() -> None:
+        n = sum(map(len, held_c))
+        if passed and n:
+            take(int(ta.mix(np.array([at], np.int64).view(np.uint64)).view(np.int64)[0]))
+        elif n > 1:
+            c = np.concatenate(held_c).view(np.uint64)
+            name = int(ta.mix(ta.mix(c * (ta.U64(2) * np.arange(n, dtype=np.uint64) + ta.U64(1))).sum(keepdims=True) + ta.U64(n)).view(np.int64)[0])
+            if name not in seen:
+                if len(seen) < 1_000_000:  # beyond that, lists met twice are merged after the shuffle only
+                    seen.add(name)
+                take(name)
+
+    def flush() -> pa.RecordBatch:
+        nonlocal rows
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, classes, sizes)], schema=schema)
+        names.clear(), classes.clear(), sizes.clear()
+        rows = 0
+        return out
+
+    with np.errstate(over="ignore"):
         for batch in batches:
             token, size, cls = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            n = len(token)
-            if not n:
+            if not len(token):
                 continue
-            new = np.ones(n, bool)
-            new[1:] = token[1:] != token[:-1]
-            starts = np.flatnonzero(new)
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # a class that several tasks have is one member
+            token, size, cls = token[new], size[new], cls[new]
+            n = len(token)
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             ends = np.append(starts[1:], n)
             # Lists that begin and end inside the batch with one row need no work at all.
             work = (ends - starts > 1) | (starts == 0) | (ends == n)
             for s, e in zip(starts[work].tolist(), ends[work].tolist(), strict=True):
                 t = int(token[s])
-                if t != at or s:
+                if t != at:
                     close()
-                    at, held, is_long = t, [], False
-                for k in range(s, e):
-                    row = (int(size[k]), int(cls[k]))
-                    if held and held[-1] == row:
-                        continue
-                    if is_long:
-                        held = [row]
-                        long.append((t, row[1], row[0], None, None))
-                    else:
-                        held.append(row)
-                        if len(held) > most:
-                            is_long = True
-                            long.extend((t, c, m, None, None) for m, c in held)
-                            held = [row]
-                if len(pairs) + len(long) > OUT_ROWS:
+                    at, held_c, held_s, passed = t, [], [], False
+                elif held_c and held_c[-1][-1] == cls[s]:
+                    s += 1
+                if s < e:
+                    held_c.append(cls[s:e])
+                    held_s.append(size[s:e])
+                if sum(map(len, held_c)) > HELD:
+                    passed = True
+                    close()
+                    held_c, held_s = [held_c[-1][-1:]], [held_s[-1][-1:]]
+                if rows > OUT_ROWS:
                     yield flush()
         close()
-        if pairs or long:
+    if rows:
+        yield flush()
+
+
+def _pairs(percent: int):
+    """Streams members sorted by (list, size): pairs within length reach whose parts differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
+        at, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for name, node, size, part in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if name != at:
+                    at, held = name, []
+                held = [x for x in held if 100 * x[1] >= percent * size]
+                out.update((min(x[0], node), max(x[0], node)) for x in held if x[2] != part)
+                held.append((node, size, part))
+            if len(out) > OUT_ROWS:
+                yield flush()
+        if out:
             yield flush()
 
     return run
 
 
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches, folded to ``words`` 64-bit words."""
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+class _Side:
+    """Members of one side of a block, by the length of their sketches and then by size."""
+
+    def __init__(self, rows: list[tuple]):
+        by_words: dict[int, list] = {}
+        for node, part, size, sketch in rows:
+            by_words.setdefault(len(sketch) // 8, []).append((size, node, part, sketch))
+        self.by_words = {}
+        for w, own in sorted(by_words.items()):
+            own.sort(key=lambda x: x[0])
+            size, node, part = (np.array([x[k] for x in own], np.int64) for k in range(3))
+            self.by_words[w] = size, node, part, np.frombuffer(b"".join(x[3] for x in own), np.uint64).reshape(len(own), w)
+
+
+def plausible_pairs(x: _Side, y: _Side, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(least distance, a, b, part of a, part of b) of pairs in different parts that the sketches don't exclude."""
+    most = 1 - percent / 100
+    for wx, (size_x, node_x, part_x, bits_x) in x.by_words.items():
+        for wy, (size_y, node_y, part_y, bits_y) in y.by_words.items():
+            if not wx <= 2 * wy <= 4 * wx:  # sizes within reach have sketches of the same or twice the length
+                continue
+            w = min(wx, wy)
+            bx, by = folded(bits_x, w), folded(bits_y, w)
+            first = np.searchsorted(size_y, -(-percent * size_x // 100))
+            last = np.searchsorted(size_y, 100 * size_x // percent, "right")
+            for i, (f, l) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+                if f >= l:
+                    continue
+                apart = np.bitwise_count(by[f:l] ^ bx[i]).sum(1)
+                least = 2 * apart / (size_x[i] + size_y[f:l] + apart)
+                k = np.flatnonzero((least <= most + 1e-9) & (part_y[f:l] != part_x[i]))
+                if len(k):
+                    yield least[k], np.full(len(k), node_x[i]), node_y[f:l][k], np.full(len(k), part_x[i]), part_y[f:l][k]
+
+
+def forest(found: list[tuple[np.ndarray, ...]]) -> list[tuple[int, int]]:
+    """Pairs that connect the parts as all of ``found`` would, nearest first."""
+    least, a, b, pa_, pb = (np.concatenate(x) for x in zip(*found, strict=True))
+    root: dict[int, int] = {}
+
+    def find(p: int) -> int:
+        while root.setdefault(p, p) != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    out = []
+    order = np.argsort(least, kind="stable")
+    for i, j, p, q in zip(a[order].tolist(), b[order].tolist(), pa_[order].tolist(), pb[order].tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q:
+            root[p] = q
+            out.append((min(i, j), max(i, j)))
+    return out
+
+
+def _cross(percent: int, dense: int | None):
+    """Streams blocks (list, x, y; side, node, part, size, sketch): plausible pairs of different parts.
+
+    A block of more than ``dense`` such pairs per member gives a forest, and a row of nulls to say that there are more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
+
+        def close() -> pa.RecordBatch | None:
+            x = _Side(sides[0])
+            y = _Side(sides[1]) if sides[1] else x
+            found = list(plausible_pairs(x, y, percent))
+            if not found:
+                return None
+            if dense is not None and sum(len(f[0]) for f in found) > dense * (len(sides[0]) + len(sides[1])):
+                pairs = [(None, None), *forest(found)]
+            else:
+                pairs = {(min(p, q), max(p, q)) for f in found for p, q in zip(f[1].tolist(), f[2].tolist(), strict=True)}
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            sketches = batch.column(7)
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
+                if row[:3] != at:
+                    if sides[0] and (out := close()) is not None:
+                        yield out
+                    at, sides = row[:3], ([], [])
+                sides[row[3]].append((row[4], row[5], row[6], sketches[k].as_buffer().to_pybytes()))
+        if sides[0] and (out := close()) is not None:
+            yield out
+
+    return run
+
+
 def _stored(n: int):
+    """Sets of the nodes whose text it is; a row of the same doc_id with another text falls out by its signature."""
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in ta.texts_of(batch):
                 h, off = shingle_sets(data, at, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([h[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], names=["class", "set"])
+                node, lo, hi = (batch.column(k)[i:j].to_pylist() for k in range(3))
+                sets = [h[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                own = [k for k, s in enumerate(sets) if signature(s) == (lo[k], hi[k])]
+                yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], schema=schema)
 
     return run
 
 
 def _segments(fragments: int):
-    """Sets cut at the fragment bounds of the order, one row per fragment and block that waits for the class."""
+    """Sets cut at the fragment bounds of the order, one row per fragment and block that waits for the node."""
     bits = fragments.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for cls, blob, seats in zip(*(batch.column(batch.schema.get_field_index(k)) for k in ("class", "set", "seats")), strict=True):
+            for cls, blob, seats in zip(*(batch.column(batch.schema.get_field_index(k)) for k in ("node", "set", "seats")), strict=True):
                 s = np.frombuffer(blob.as_buffer(), np.uint64)
                 cut = np.searchsorted(s >> ta.U64(64 - bits), np.arange(fragments + 1)) if bits else [0, len(s)]
                 parts = [s[cut[f] : cut[f + 1]].tobytes() for f in range(fragments)]
@@ -266,7 +423,7 @@ def _segments(fragments: int):
     return run
 
 
-SEGMENT = "block long, fragment int, salt int, member boolean, class long, size int, segment binary"
+SEGMENT = "block long, fragment int, salt int, member boolean, node long, size int, segment binary"
 
 
 def _segment_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -297,163 +454,158 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        most, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+        most, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
         apart = np.zeros(batch.num_rows)
-        for i, (p, q) in enumerate(zip(batch.column(6), batch.column(7), strict=True)):
-            x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            if len(x) < len(y):
-                x, y = y, x
-            while len(x) > len(y):  # a longer sketch folds to the length of the shorter
-                half = len(x) // 2
-                x = x[:half] ^ x[half:]
-            apart[i] = np.bitwise_count(x ^ y).sum()
+        for i, (p, q) in enumerate(zip(batch.column(5), batch.column(6), strict=True)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64)[None] for v in (p, q))
+            w = min(x.shape[1], y.shape[1])
+            apart[i] = np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()
         keep = 2 * apart <= (most + 1e-9) * (na.astype(float) + nb + apart)
-        least = 2 * apart / (na.astype(float) + nb + apart)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(least)], names=["a", "b", "count", "least"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
 
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sketches allow a Jaccard similarity of ``percent`` or more."""
+    side = lambda k: sketches.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", F.lit(1 - percent / 100))
+    return joined.select("a", "b", "most", "na", "nb", "sa", "sb").mapInArrow(_within, "a long, b long")
 
-def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of pairs (a, b, count, most), those whose sketches allow a Jaccard distance of ``most`` or less, with the ``least`` they allow."""
-    side = lambda k: sketches.select(F.col("class").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    joined = pairs.select("a", "b", "count", "most").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "count", "most", "na", "nb", "sa", "sb").mapInArrow(_within, "a long, b long, count long, least double")
+
+def small(df: DataFrame, rows: int = BROADCAST_NODES) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def distances(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
-    """(a, b, na, nb, common, d): exact overlap and Jaccard distance of each pair (a, b) of classes.
+    """(a, b, na, nb, common): exact overlap of each pair (a, b) of nodes.
 
     b's set travels to a's block once per pair, a's once per block; a block of very many members is salted.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("salts"))
-    seats = pairs.join(blocks, "a").select(F.col("b").alias("class"), F.col("a").alias("block"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(True).alias("member"))
-    own = blocks.select(F.col("a").alias("class"), F.col("a").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
-    wanted = seats.union(own).groupBy("class").agg(F.collect_list(F.struct("block", "salt", "member")).alias("seats"))
-    parts = sets.join(wanted, "class").mapInArrow(_segments(fragments), SEGMENT)
+    seats = pairs.join(blocks, "a").select(F.col("b").alias("node"), F.col("a").alias("block"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(True).alias("member"))
+    own = blocks.select(F.col("a").alias("node"), F.col("a").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    wanted = seats.union(own).groupBy("node").agg(F.collect_list(F.struct("block", "salt", "member")).alias("seats"))
+    parts = sets.join(wanted, "node").mapInArrow(_segments(fragments), SEGMENT)
     counted = parts.repartition("block", "fragment", "salt").sortWithinPartitions("block", "fragment", "salt", "member").mapInArrow(_overlaps, "a long, na int, b long, nb int, common long")
-    total = counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
-    return materialize(total.withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), "ngram-distances")
+    return counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
+
 
+def blocks_of(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Blocks of long lists, in which all members of different parts meet once.
 
-def rejoined(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """``placed`` with the parts joined that ``links`` (a, b) of classes connect."""
-    part = lambda k: placed.select(F.col("class").alias(k), F.col("part").alias(f"p{k}"))
-    edges = links.join(part("a"), "a").join(part("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    new = components(edges).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    return materialize(placed.join(new, "part", "left").select("class", F.coalesce("whole", "part").alias("part"), "centre", "r"), "ngram-balls")
+    A chunk holds about ``CHUNK`` members: several small parts, or a piece of one larger part. Two chunks of the same
+    large part need not meet, so a list with one large part takes rows in proportion to its members.
+    """
+    sizes = mixed.groupBy("list", "part").agg(F.count("*").alias("own"))
+    big = F.when(F.col("own") > CHUNK, F.col("part"))
+    sub = F.pmod(F.hash("node"), F.ceil(F.col("own") / CHUNK).cast("int"))
+    chunk = F.concat_ws(":", F.pmod(F.hash("part"), F.ceil(F.col("n") / CHUNK).cast("int")), F.coalesce(big.cast("string"), F.lit("")), F.when(big.isNull(), 0).otherwise(sub))
+    members = materialize(mixed.join(sizes, ["list", "part"]).select("list", "node", "part", chunk.alias("chunk"), big.alias("big")), "ngram-chunks")
+    chunks = members.select("list", "chunk", "big").distinct()
+    x, y = (chunks.select("list", F.col("chunk").alias(k), F.col("big").alias(f"{k}_big")) for k in "xy")
+    met = x.join(y, "list").where("x <= y AND NOT coalesce(x_big = y_big, false)").select("list", "x", "y")
+    seats = met.select("list", "x", "y", F.lit(0).alias("side"), F.col("x").alias("chunk")).union(met.where("x < y").select("list", "x", "y", F.lit(1), "y"))
+    return seats.join(members, ["list", "chunk"]).join(sketches, "node").select("list", "x", "y", "side", "node", "part", "size", "sketch")
 
 
 def _near_duplicates(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
-    """``near_duplicates`` without the clean-up; its result still reads the tables written on the way."""
+    """(doc_id, lo, hi, size, component): ``near_duplicates`` with the names of the sets, without the clean-up."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    first = materialize(docs.mapInArrow(_classes(n), "doc_id long, size int, class long, sketch binary, often binary"), "ngram-classes", compression="zstd")
-    each = first.where("often IS NULL").select("doc_id", "size", "class")
-    reps = materialize(first.where("often IS NULL AND size > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "ngram-reps", compression="zstd")
-    sketches, reps = reps.select("class", "size", "sketch"), reps.select("class", "rep")
+    first = materialize(docs.mapInArrow(_classes(n), CLASSES), "ngram-classes", compression="zstd")
+    each = first.where("often IS NULL").select("doc_id", "size", "lo", "hi")
+    # Numbers of the nodes are written once, so they hold whatever executor is lost later.
+    nodes = each.where("size > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
     frequent = spark.sparkContext.broadcast(frequent_bitmap(first.where("often IS NOT NULL").select("often")))
     postings = docs.mapInArrow(_postings(frequent, n, percent), "token long, size int, class long")
-    found = materialize(
-        postings.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(_candidates(percent, LONG_LIST), "token long, a long, na int, b long, nb int"),
-        "ngram-candidates",
-    )
-    reach, linked = 1 - percent / 100, f"100 * common >= {percent} * (na + nb - common)"
-    near = found.where("b IS NOT NULL").groupBy("a", "na", "b", "nb").count()
-    lists = found.where("b IS NULL").select("token", F.col("a").alias("class"), F.col("na").alias("size"))
-    pivots = lists.groupBy("token").agg(F.min(F.struct("size", "class")).alias("p"))
-    stars = lists.join(pivots, "token").where(f"class <> p.class AND 100 * p.size >= {percent} * size").groupBy(F.col("p.class").alias("a"), F.col("p.size").alias("na"), F.col("class").alias("b"), F.col("size").alias("nb")).count()
-    near = materialize(plausible(near.select("a", "b", "count", F.lit(reach).alias("most")), sketches).drop("least"), "ngram-near")
-    stars = plausible(stars.select("a", "b", "count", F.lit(reach).alias("most")), sketches).drop("least")
-    promising = materialize(near.union(stars), "ngram-promising")
-    # The sets of all classes that any later step may compare, fetched once.
-    active = promising.select(F.col("a").alias("class")).union(promising.select("b")).union(lists.select("class")).distinct().join(reps, "class")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(active, "rep").select("class", "text")
-    sets = materialize(texts.mapInArrow(_stored(n), "class long, set binary"), "ngram-sets")
-    # First one partner for every class, the one that most classes are promising for. Pairs that this connects need no check.
-    fame = promising.groupBy("a").agg(F.count("*").alias("fame"))
-    partners = promising.join(fame, "a").groupBy("b").agg(F.max_by("a", F.struct("fame", "count", "a")).alias("a")).select("a", "b")
-    links = distances(partners, sets, fragments).where(linked).select("a", "b", "d")
-    centres = links.select(F.col("a").alias("class")).distinct().withColumn("centre", F.col("class")).withColumn("r", F.lit(0.0))
-    ball = centres.unionByName(links.join(centres.select(F.col("class").alias("b")), "b", "left_anti").select(F.col("b").alias("class"), F.col("a").alias("centre"), F.col("d").alias("r")))
-    placed = reps.select("class", F.col("class").alias("part")).join(ball, "class", "left").select("class", "part", F.coalesce("centre", "class").alias("centre"), F.coalesce("r", F.lit(0.0)).alias("r"))
-    placed = rejoined(materialize(placed, "ngram-balls"), links)
-    radius = materialize(placed.groupBy("centre").agg(F.max("r").alias("radius")), "ngram-radii")
-
-    def mixed_lists() -> DataFrame:
-        """Members of long lists whose members are in several components."""
-        seats = lists.join(placed, "class")
-        mixed = seats.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-        return materialize(seats.join(mixed, "token", "left_semi"), "ngram-mixed")
-
-    def balls_of(seats: DataFrame) -> DataFrame:
-        return seats.groupBy("token", "centre", "part").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
-
-    def new_pairs(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "most").groupBy("a", "b").agg(F.max("most").alias("most"))
-        pairs = plausible(pairs.join(apart.select("a", "b"), ["a", "b"], "left_anti").withColumn("count", F.lit(1).cast("long")), sketches)
-        return materialize(pairs.select("a", "b"), label)
-
-    # Then the balls of a long list against a few of its largest component, which joins dense groups in few comparisons.
-    apart = materialize(spark.createDataFrame([], "a long, b long, na int, nb int, common long, d double"), "ngram-distances")
-    x_reach = f"100 * x_hi >= {percent} * y_lo AND 100 * y_hi >= {percent} * x_lo"
-    for turn in range(HUB_ROUNDS):
-        balls = balls_of(mixed_lists())
-        mass = F.sum("n").over(Window.partitionBy("token", "part"))
-        place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("mass"), F.hash("centre", F.lit(turn)), "centre"))
-        hubs = balls.withColumn("mass", mass).withColumn("place", place).where(f"place <= {HUBS}").select("token", F.struct("centre", "part", "lo", "hi").alias("h"))
-        met = balls.join(hubs, "token").where("part <> h.part").withColumns({"x_lo": F.col("lo"), "x_hi": F.col("hi"), "y_lo": F.col("h.lo"), "y_hi": F.col("h.hi")}).where(x_reach)
-        pairs = new_pairs(met.select(F.col("centre").alias("a"), F.col("h.centre").alias("b"), F.lit(reach).alias("most")), "ngram-hubs")
+    lists = postings.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(_lists, "list long, class long, size int").distinct()
+    seats = materialize(lists.join(nodes.select(F.col("lo").alias("class"), "node"), "class").select("list", "node", "size"), "ngram-seats")
+    active = materialize(seats.groupBy("node").agg(F.count("*").alias("fame")).join(nodes, "node").select("node", "fame", "lo", "hi", F.col("rep").alias("doc_id")), "ngram-active")
+    sketches = first.where("often IS NULL").join(small(active), ["lo", "hi", "doc_id"]).groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    sketches = materialize(sketches, "ngram-sketches")
+    linked = f"100 * common >= {percent} * (na + nb - common)"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs``, a written table."""
+        wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(active, "node").select("node", "lo", "hi", "doc_id"), "ngram-wanted")
+        texts = docs.join(small(wanted), "doc_id").select("node", "lo", "hi", "text")
+        sets = materialize(texts.mapInArrow(_stored(n), "node long, set binary").dropDuplicates(["node"]), "ngram-sets")
+        return materialize(distances(pairs, sets, fragments).where(linked).select("a", "b"), "ngram-links")
+
+    # Round one: every member against the pivot of its list.
+    pivots = seats.join(active.select("node", "fame"), "node").groupBy("list").agg(F.max_by(F.struct("node", "size"), F.struct("fame", "node")).alias("p"))
+    stars = seats.join(pivots, "list").where(f"node <> p.node AND 100 * least(size, p.size) >= {percent} * greatest(size, p.size)")
+    stars = stars.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    tried = materialize(plausible(stars, sketches, percent), "ngram-pairs")
+    links = verified(tried)
+    parts = components(links)
+    # Then members of different components; dense blocks give a forest first.
+    for dense in (DENSE, None):
+        placed = seats.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        spread = placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("list", "n")
+        mixed = materialize(placed.join(spread, "list"), "ngram-mixed")
+        long = blocks_of(mixed.where(f"n > {SHORT_LIST}"), sketches).repartition("list", "x", "y").sortWithinPartitions("list", "x", "y", "side")
+        crossed = materialize(long.mapInArrow(_cross(percent, dense), "a long, b long").distinct(), "ngram-crossed")
+        pairs = crossed.where("a IS NOT NULL")
+        if dense:  # short lists give all their pairs at once
+            short = mixed.where(f"n <= {SHORT_LIST}").select("list", "node", "size", "part").repartition("list").sortWithinPartitions("list", "size", "node")
+            short = short.mapInArrow(_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.union(plausible(short, sketches, percent)).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         if pairs.isEmpty():
             break
-        found_now = distances(pairs, sets, fragments)
-        apart = apart.unionByName(found_now)
-        joined = found_now.where(linked).select("a", "b")
-        if joined.isEmpty():
+        links, tried = links.union(verified(pairs)), tried.union(pairs)
+        parts = components(links)
+        if crossed.where("a IS NULL").isEmpty():  # no block held pairs back
             break
-        placed = rejoined(placed, joined)
-    # Last, all balls of different components that share a list or a candidate pair.
-    side = lambda k: placed.select(F.col("class").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("part", "centre", "r")])
-    balls = materialize(balls_of(mixed_lists()), "ngram-rivals")
-    x, y = (balls.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("centre", "part", "lo", "hi")]) for k in "xy")
-    rivals = x.join(y, "token").where(f"x_centre < y_centre AND x_part <> y_part AND {x_reach}").select(F.col("x_centre").alias("a"), F.col("y_centre").alias("b"))
-    open_pairs = near.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("a_part <> b_part")
-    radii = lambda k: radius.select(F.col("centre").alias(k), F.col("radius").alias(f"r{k}"))
-    reached = rivals.union(open_pairs.select(F.least("a_centre", "b_centre"), F.greatest("a_centre", "b_centre"))).distinct().join(radii("a"), "a").join(radii("b"), "b")
-    # Members of two balls that may touch: candidates, less those that the triangle inequality excludes.
-    touching = materialize(plausible(reached.select("a", "b", F.lit(1).cast("long").alias("count"), (F.col("ra") + F.col("rb") + reach).alias("most")), sketches).select("a", "b", F.col("least").alias("d")), "ngram-touching")
-    all_links = links.select("a", "b").union(apart.where(linked).select("a", "b"))
-    few = open_pairs.withColumn("ca", F.least("a_centre", "b_centre")).withColumn("cb", F.greatest("a_centre", "b_centre"))
-    few = few.join(touching.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "d"), ["ca", "cb"]).where(f"d - a_r - b_r <= {reach} + 1e-9").select("a", "b")
-    seats = mixed_lists()
-    sx, sy = (seats.select("token", F.col("class").alias(f"{k}_class"), F.col("centre").alias(k), F.col("r").alias(f"{k}_r"), F.col("size").alias(f"{k}_size")) for k in "ab")
-    many = touching.join(sx, "a").join(sy, ["token", "b"]).where(f"d - a_r - b_r <= {reach} + 1e-9 AND 100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
-    rest = new_pairs(few.union(many).withColumn("most", F.lit(reach)), "ngram-rest")
-    if not rest.isEmpty():
-        all_links = all_links.union(distances(rest, sets, fragments).where(linked).select("a", "b"))
-    by_rep = all_links.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    grouped = components(by_rep).select(F.col("node").alias("rep"), "component")
-    named = reps.join(grouped, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    return (
-        each.join(named, "class", "left")
-        .select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    placed = nodes.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    least = placed.groupBy("part").agg(F.min("rep").alias("component"))
+    named = placed.join(least, "part").select("lo", "hi", "component")
+    return each.join(named, ["lo", "hi"], "left").select("doc_id", "lo", "hi", "size", F.when(F.expr("size > 0 AND doc_id IS NOT NULL"), F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id. ``fragments`` is a power of two.
+    """Per row of ``docs``: doc_id, n_shingles, component_id. ``fragments`` is a power of two.
 
     Null, empty and blank texts have an empty set and are alone. A text of fewer than ``n`` words has its whole
-    sequence as its one shingle. Rows that repeat a doc_id must repeat its text. A row
-    without doc_id represents no component. Other columns are ignored.
+    sequence as its one shingle. Rows that repeat a doc_id are judged one by one, each by its own text; a row without
+    doc_id links with nothing and has no component. An empty table gives no rows. Other columns are ignored.
     """
     with scratch(docs.sparkSession):
-        return materialize(_near_duplicates(docs, n, percent, fragments), "near-duplicates", keep=True)
+        found = _near_duplicates(docs, n, percent, fragments)
+        return materialize(found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id")), "near-duplicates", keep=True)
+
+
+def _named(n: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ta.buffers(batch.column(text_at))
+            for i, j in ta.chunks(offsets):
+                h, off = shingle_sets(data, offsets[i : j + 1], n)
+                names = [signature(h[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64())], names=[*own.schema.names, "__lo", "__hi"])
+
+    return run
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component, with all columns."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept, docs["doc_id"] == F.col("__keep"), "left_semi")
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
+    """The rows of ``docs`` that are the smallest doc_id of their component, with all columns.
+
+    Of rows that repeat both doc_id and set, one stays; rows without doc_id stay.
+    """
+    with scratch(docs.sparkSession):
+        found = materialize(_near_duplicates(docs, n, percent, fragments), "near-found", keep=True)
+    lost = found.where("doc_id <> component").select(F.col("doc_id").alias("__id"), F.col("lo").alias("__a"), F.col("hi").alias("__b")).distinct()
+    lost = small(materialize(lost, "near-lost"))
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(lost, docs["doc_id"] == F.col("__id"), "left_anti")
+    # Repeated ids: rows are told apart by their sets as well.
+    named = docs.mapInArrow(_named(n, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__lo", T.LongType()), T.StructField("__hi", T.LongType())]))
+    left = named.where("doc_id IS NOT NULL").join(lost, (F.col("doc_id") == F.col("__id")) & (F.col("__lo") == F.col("__a")) & (F.col("__hi") == F.col("__b")), "left_anti")
+    return left.dropDuplicates(["doc_id", "__lo", "__hi"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 SQL = r"""
