@@ -1,24 +1,30 @@
 """Exact deduplication by an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Index entries (hash, doc_id, code points, SHA-256 of the normalised text), one per document.
-2. The directory starts with one bucket. While a bucket holds more than ``capacity`` entries the directory
-   doubles: the bucket splits by the next bit of the hash, up to ``max_depth`` bits. All doublings are computed
-   at once from the counts of the ``2**max_depth`` prefixes (a fixed bound, so the directory is safe to broadcast).
-3. The index is written to the shared folder, ordered by bucket; owner tasks read ranges of it.
-4. Entries with the same hash form a chain. Their texts are fetched and compared byte for byte; texts that share
-   hash and digest but not bytes become separate groups.
-
-A group of copies is only ever aggregated (count and best row, combined before the shuffle), never collected.
+1. Entries (hash, digest of the normalised text, doc_id, code points, row number), one per document, are written once.
+2. Keys: entries with equal digests are combined before the shuffle to one key with a count and the row that stays, so
+   a group of copies, whatever its size, is one key.
+3. The directory starts with one bucket. While a bucket holds more than ``capacity`` keys, the directory doubles and the
+   bucket splits by the next bit of the hash; ``LEVEL`` doublings are taken on the counts of that many bits, and only
+   buckets that are still overfull go on to the next ones.
+4. Keys are dealt to owner tasks by ranges of (bucket, hash). An owner orders its buckets, links keys of one hash into a
+   chain, and writes its part of the index to the shared folder. Range partitioning keeps a chain inside its owner, so
+   this takes no further shuffle.
+5. Texts of keys with several entries are compared byte for byte: least and greatest text of every digest, combined
+   before the shuffle. Texts that share a digest but not their bytes become separate groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch
+from .shared import materialize, scratch, small
 
 BLANKS = r"[\x20\x09-\x0D]"
+#: Bits of a hash, and of them those that one level of the directory counts (at most 16 384 counts).
+HASH_BITS, LEVEL = 60, 14
 
 
 def normalised(text: Column) -> Column:
@@ -26,77 +32,105 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """(prefix, bucket, depth): the bucket of every ``max_depth``-bit prefix in use; a bucket is named by depth and bits."""
-    counts = entries.groupBy("prefix").count()
-    depth = F.lit(max_depth)
-    for d in range(max_depth - 1, -1, -1):
-        w = F.shiftright("prefix", max_depth - d)
-        counts = counts.withColumn(f"n{d}", F.sum("count").over(Window.partitionBy(w)))
-        depth = F.when(F.col(f"n{d}") <= capacity, d).otherwise(depth)
-    depth = depth.cast("int")
-    bits = F.expr(f"shiftright(prefix, {max_depth} - depth)") + F.expr("shiftleft(1, depth)")
-    return counts.withColumn("depth", depth).select("prefix", "depth", bits.alias("bucket"))
-
-
-def _exact_groups(docs: DataFrame, capacity: int, max_depth: int, id_col: str, text_col: str) -> DataFrame:
-    """``exact_groups`` without the clean-up; its result still reads the index."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    norm = normalised(F.col("text"))
-    entries = d.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2(norm, 256).alias("sha"))
-    entries = materialize(entries, "dedup-entries", compression="zstd").withColumn("hash", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
-    bits = 60 - max_depth
-    entries = entries.withColumn("prefix", F.shiftright("hash", bits).cast("int"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column] | None) -> DataFrame:
+    """(doc_id, chars, sha, digest, norm) of every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    norm = normalised(text)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("chars"), F.sha2(norm, 256).alias("sha"), norm.alias("norm"))
+    return d.withColumn("digest", digest(F.col("norm")) if digest else F.col("sha"))
+
+
+def doubled(keys: DataFrame, level: int, capacity: int) -> DataFrame:
+    """(prefix, held, depth): buckets of the prefixes of one level after its doublings, with the keys that they hold."""
+    top = (level + 1) * LEVEL
+    prefix = F.shiftright("hash", HASH_BITS - top) if top <= HASH_BITS else F.shiftleft("hash", top - HASH_BITS)
+    d = keys.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).withColumn("depth", F.lit(level * LEVEL))
+    for split in range(LEVEL + 1):
+        bucket = Window.partitionBy("depth", F.expr(f"shiftright(prefix, {top} - depth)"))
+        d = d.withColumn("held", F.sum("n").over(bucket))
+        if split < LEVEL:  # a bucket that has stayed behind once is not overfull and stays
+            d = d.withColumn("depth", F.when(F.expr(f"held > {capacity} AND depth = {level * LEVEL + split}"), F.col("depth") + 1).otherwise(F.col("depth")))
+    return d
+
+
+def bucketed(keys: DataFrame, capacity: int) -> DataFrame:
+    """``keys`` with the bucket of each, named by a one and the bits that its depth takes."""
+    out, level = None, 0
+    while True:
+        top = (level + 1) * LEVEL
+        buckets = materialize(doubled(keys, level, capacity), "dedup-directory")  # at most 2 ** LEVEL rows for each overfull bucket
+        here = keys.withColumn("prefix", F.shiftright("hash", HASH_BITS - top) if top <= HASH_BITS else F.shiftleft("hash", top - HASH_BITS)).join(small(buckets), "prefix")
+        full = F.expr(f"held > {capacity} AND depth = {top}") if top < HASH_BITS else F.lit(False)
+        name = F.expr(f"shiftright(prefix, {top} - depth)") + F.expr("shiftleft(1L, depth)")
+        done = here.where(~full).withColumn("bucket", name).drop("prefix", "n", "depth", "held")
+        out = done if out is None else out.unionByName(done)
+        if top >= HASH_BITS or buckets.where(full).isEmpty():
+            return out.select("bucket", *keys.columns)
+        keys = materialize(here.where(full).select(*keys.columns), "dedup-overfull")
+        level += 1
+
+
+def _exact_groups(docs: DataFrame, capacity: int, id_col: str, text_col: str, digest: Callable[[Column], Column] | None) -> DataFrame:
+    """``exact_groups`` with the columns chars and sha, without the clean-up; its result still reads the index."""
+    d = keyed(docs, id_col, text_col, digest)
+    hashed = F.conv(F.substring("digest", 1, HASH_BITS // 4), 16, 10).cast("long")
+    stored = d.select("doc_id", "chars", "sha", *(["digest"] if digest else []), F.monotonically_increasing_id().alias("row"))
+    entries = materialize(stored, "dedup-entries", compression="zstd").withColumn("digest", F.col("digest" if digest else "sha")).withColumn("hash", hashed)
+    best = F.min(F.struct((-F.col("chars")).alias("c"), "doc_id", "row")).alias("best")
+    keys = materialize(entries.groupBy("hash", "digest").agg(F.count("*").alias("size"), best), "dedup-keys", compression="zstd")
+    owned = bucketed(keys, capacity).repartitionByRange("bucket", "hash")
+    chain = Window.partitionBy("bucket", "hash")
     index = materialize(
-        entries.join(F.broadcast(directory(entries, capacity, max_depth)), "prefix").select("bucket", "hash", "doc_id", "chars", "sha").repartitionByRange("bucket", "hash").sortWithinPartitions("bucket", "hash"),
+        owned.withColumn("links", F.count("*").over(chain)).withColumn("link", F.row_number().over(chain.orderBy("digest"))),
         "dedup-index",
         compression="zstd",
     )
-    chains = index.groupBy("bucket", "hash").agg(F.count("*").alias("links")).where("links > 1").select("bucket", "hash")
-    members = index.join(chains, ["bucket", "hash"], "left_semi").select("doc_id", "hash", "sha")
-    # Byte comparison of each chain: least and greatest text of every digest, combined map-side.
-    compared = (
-        d.join(members.dropDuplicates(["doc_id"]), "doc_id")
-        .select("hash", "sha", norm.alias("norm"))
-        .groupBy("hash", "sha")
-        .agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    )
-    differ = materialize(compared.where("least <> most").select("hash", "sha"), "dedup-differ")
-    grouped = index.withColumn("variant", F.lit(None).cast("string"))
-    if not differ.isEmpty():  # texts that share hash and digest: told apart by their bytes
-        split = d.join(members.join(differ, ["hash", "sha"], "left_semi").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", norm.alias("variant"))
-        grouped = index.join(split, "doc_id", "left")
-    key = ["bucket", "hash", "sha", "variant"]
-    groups = grouped.groupBy(*key).agg(F.count("*").alias("group_size"), F.min_by("doc_id", F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("i"))).alias("keep_id"))
-    g, e = groups.alias("g"), grouped.alias("e")
-    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) if k == "variant" else F.col(f"g.{k}") == F.col(f"e.{k}") for k in key]
-    on = same[0] & same[1] & same[2] & same[3]
-    return e.join(g, on).select(
-        F.col("e.doc_id").alias("doc_id"), F.col("g.keep_id").alias("keep_id"), F.col("g.group_size").alias("group_size"), F.col("e.doc_id").eqNullSafe(F.col("g.keep_id")).alias("kept"), F.col("e.sha").alias("text_sha256")
-    )
-
-
-def exact_groups(docs: DataFrame, capacity: int = 100_000, max_depth: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    copies = small(materialize(index.where("size > 1").select("digest"), "dedup-copies"))
+    compared = d.select("digest", "norm").join(copies, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    differ = materialize(compared.where("least <> most").select("digest"), "dedup-differ")
+    shape = ["doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.expr("row = best.row").alias("kept"), F.col("sha").alias("text_sha256"), "chars"]
+    grouped = entries.join(index.select("hash", "digest", "size", "best"), ["hash", "digest"])
+    if differ.isEmpty():
+        return grouped.select(*shape)
+    # Texts that share a digest: told apart by their bytes.
+    apart = materialize(d.join(differ, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "dedup-apart")
+    groups = apart.groupBy("digest", "norm").agg(F.count("*").alias("size"), best)
+    return grouped.join(differ, "digest", "left_anti").select(*shape).union(apart.join(groups, ["digest", "norm"]).select(*shape))
+
+
+def exact_groups(docs: DataFrame, capacity: int = 100_000, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Kept is, of equal normalised texts, the row with the most code points in its original text, then the smallest id.
-    Null texts count as empty; all empty texts form one group. Rows that repeat an id are grouped as separate rows
-    with equal results; a null id counts as the smallest. An empty table gives no rows. Other columns of ``docs`` are not looked at.
+    Kept is, of equal normalised texts, the row with the most code points in its original text, then the smallest id;
+    of rows that repeat both, one. Null texts count as empty; all empty texts form one group. Rows that repeat an id
+    are grouped one by one; a null id counts as the smallest. An empty table gives no rows. Other columns of ``docs``
+    are not looked at. ``digest`` makes hexadecimal digests of 15 digits or more from normalised texts (SHA-256).
     """
     with scratch(docs.sparkSession):
-        return materialize(_exact_groups(docs, capacity, max_depth, id_col, text_col), "exact-groups", keep=True, compression="zstd")
+        found = _exact_groups(docs, capacity, id_col, text_col, digest).drop("chars")
+        return materialize(found, "exact-groups", keep=True, compression="zstd")
 
 
-def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text no kept row repeats, with all columns."""
-    kept = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("__keep")), "left_semi")
+def drop_exact_copies(docs: DataFrame, capacity: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all columns."""
+    with scratch(docs.sparkSession):
+        found = materialize(_exact_groups(docs, capacity, id_col, text_col, None).select("doc_id", "kept", "text_sha256", "chars"), "exact-found", keep=True, compression="zstd")
+    own = docs[id_col]
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        lost = small(materialize(found.where("NOT kept").select(F.col("doc_id").alias("__lost")), "exact-lost"))
+        return docs.join(lost, own.eqNullSafe(F.col("__lost")), "left_anti")
+    # Repeated ids: rows are told apart by text and length as well, and of rows that are alike in all three one stays.
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("chars").alias("__chars"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    on = own.eqNullSafe(F.col("__id")) & (F.sha2(normalised(text), 256) == F.col("__sha")) & (F.length(text) == F.col("__chars"))
+    return docs.join(kept, on).dropDuplicates(["__id", "__sha"]).select(*[docs[c] for c in docs.columns])
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, length(t) AS chars, regexp_replace(t, '[\x20\x09-\x0D]', '', 'g') AS s FROM d),
 g AS (SELECT doc_id, s, count(*) OVER (PARTITION BY s) AS group_size,
-             first_value(doc_id) OVER (PARTITION BY s ORDER BY chars DESC, doc_id) AS keep_id FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM g
+             first_value(doc_id) OVER (PARTITION BY s ORDER BY chars DESC, doc_id NULLS FIRST) AS keep_id,
+             row_number() OVER (PARTITION BY s ORDER BY chars DESC, doc_id NULLS FIRST) = 1 AS kept FROM n)
+SELECT doc_id, keep_id, group_size, kept, sha256(s) AS text_sha256 FROM g
 """

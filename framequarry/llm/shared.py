@@ -9,15 +9,18 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handed to a Python worker at once; keeps a task's memory independent of the partition's size.
 ARROW_BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """URI of a new folder under ``spark.checkpoint.dir`` (a temporary folder where that is unset, as in tests)."""
+    """URI of a new folder under ``spark.checkpoint.dir`` (a temporary folder where that is unset and Spark runs in this process, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
@@ -51,6 +54,16 @@ def materialize(df: DataFrame, label: str, keep: bool = False, **options) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def few(df: DataFrame, rows: int, each: int = 50_000, least: int = 8) -> DataFrame:
+    """``df``, made of ``rows`` rows or about, in tasks of about ``each`` rows: small tables need no task per shuffle partition."""
+    return df.coalesce(max(least, -(-rows // each)))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Spark hands to Python by bytes, not only by rows."""
     for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
