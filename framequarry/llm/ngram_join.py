@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .components import components
-from .shared import bounded_batches, materialize, scratch
+from .components import components, gathered
+from .shared import bounded_batches, few, materialize, scratch, small
 
 #: Documents that make a shingle frequent; most bits of the bitmap of frequent shingles (128 MB).
 FREQUENT, MOST_BITS = 12, 30
@@ -42,11 +42,11 @@ COUNTED = 2_000_000
 #: task holds to find out whether another shingle has the same members (a longer one is passed on under its own name).
 SHORT_LIST, CHUNK, HELD = 24, 1000, 1 << 18
 #: Plausible pairs per member beyond which a block gives a forest over its components first.
-DENSE = 4
-#: Nodes whose texts are looked up by a broadcast join (32 bytes each); more are joined by a shuffle.
-BROADCAST_NODES = 1 << 18
+DENSE = 16
 #: Members of a block of comparisons at most; a node with more partners has several blocks.
 BLOCK_MEMBERS = 500
+#: Pairs whose sets a task compares, about.
+PAIRS_A_TASK = 5_000
 OUT_ROWS = 100_000
 
 
@@ -471,26 +471,23 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "most", "na", "nb", "sa", "sb").mapInArrow(_within, "a long, b long")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_NODES) -> DataFrame:
-    """``df``, a written table, to be broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def distances(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
-    """(a, b, na, nb, common): exact overlap of each pair (a, b) of nodes.
+    """(a, b, na, nb, common): exact overlap of each pair (a, b) of nodes, a written table.
 
     b's set travels to a's block once per pair, a's once per block; a block of very many members is salted.
     """
+    n = pairs.count()
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("salts"))
-    seats = pairs.join(blocks, "a").select(F.col("b").alias("node"), F.col("a").alias("block"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(True).alias("member"))
-    own = blocks.select(F.col("a").alias("node"), F.col("a").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
-    wanted = seats.union(own).groupBy("node").agg(F.collect_list(F.struct("block", "salt", "member")).alias("seats"))
-    parts = sets.join(wanted, "node").mapInArrow(_segments(fragments), SEGMENT)
-    counted = parts.repartition("block", "fragment", "salt").sortWithinPartitions("block", "fragment", "salt", "member").mapInArrow(_overlaps, "a long, na int, b long, nb int, common long")
-    return counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
+    seats = few(pairs.join(blocks, "a"), n).select(F.col("b").alias("node"), F.col("a").alias("block"), F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(True).alias("member"))
+    own = few(blocks, n).select(F.col("a").alias("node"), F.col("a").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    wanted = few(seats.union(own).groupBy("node").agg(F.collect_list(F.struct("block", "salt", "member")).alias("seats")), n)
+    parts = few(sets.join(wanted, "node"), n, PAIRS_A_TASK).mapInArrow(_segments(fragments), SEGMENT)
+    dealt = few(parts.repartition("block", "fragment", "salt"), n, PAIRS_A_TASK).sortWithinPartitions("block", "fragment", "salt", "member")
+    counted = dealt.mapInArrow(_overlaps, "a long, na int, b long, nb int, common long")
+    return few(counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common")), n)
 
 
-def blocks_of(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+def blocks_of(mixed: DataFrame, sketches: DataFrame, rows: int) -> DataFrame:
     """Blocks of long lists, in which all members of different parts meet once.
 
     A chunk holds about ``CHUNK`` members: several small parts, or a piece of one larger part. Two chunks of the same
@@ -500,12 +497,12 @@ def blocks_of(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     big = F.when(F.col("own") > CHUNK, F.col("part"))
     sub = F.pmod(F.hash("node"), F.ceil(F.col("own") / CHUNK).cast("int"))
     chunk = F.concat_ws(":", F.pmod(F.hash("part"), F.ceil(F.col("n") / CHUNK).cast("int")), F.coalesce(big.cast("string"), F.lit("")), F.when(big.isNull(), 0).otherwise(sub))
-    members = materialize(mixed.join(sizes, ["list", "part"]).select("list", "node", "part", chunk.alias("chunk"), big.alias("big")), "ngram-chunks")
-    chunks = members.select("list", "chunk", "big").distinct()
+    members = materialize(few(mixed.join(sizes, ["list", "part"]), rows).select("list", "node", "part", chunk.alias("chunk"), big.alias("big")), "ngram-chunks")
+    chunks = few(members.select("list", "chunk", "big").distinct(), rows)
     x, y = (chunks.select("list", F.col("chunk").alias(k), F.col("big").alias(f"{k}_big")) for k in "xy")
     met = x.join(y, "list").where("x <= y AND NOT coalesce(x_big = y_big, false)").select("list", "x", "y")
     seats = met.select("list", "x", "y", F.lit(0).alias("side"), F.col("x").alias("chunk")).union(met.where("x < y").select("list", "x", "y", F.lit(1), "y"))
-    return seats.join(members, ["list", "chunk"]).join(sketches, "node").select("list", "x", "y", "side", "node", "part", "size", "sketch")
+    return few(few(seats.join(members, ["list", "chunk"]), rows).join(sketches, "node"), rows).select("list", "x", "y", "side", "node", "part", "size", "sketch")
 
 
 def _near_duplicates(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
@@ -522,44 +519,48 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int, fragments: int) -> D
     postings = docs.mapInArrow(_postings(frequent, n, percent), "token long, size int, class long")
     lists = postings.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(_lists, "list long, class long, size int").distinct()
     seats = materialize(lists.join(nodes.select(F.col("lo").alias("class"), "node"), "class").select("list", "node", "size"), "ngram-seats")
-    active = materialize(seats.groupBy("node").agg(F.count("*").alias("fame")).join(nodes, "node").select("node", "fame", "lo", "hi", F.col("rep").alias("doc_id")), "ngram-active")
+    rows = seats.count()
+    active = materialize(few(seats.groupBy("node").agg(F.count("*").alias("fame")).join(nodes, "node"), rows).select("node", "fame", "lo", "hi", F.col("rep").alias("doc_id")), "ngram-active")
     sketches = first.where("often IS NULL").join(small(active), ["lo", "hi", "doc_id"]).groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    sketches = materialize(sketches, "ngram-sketches")
+    sketches = materialize(few(sketches, rows, 20_000), "ngram-sketches")
     linked = f"100 * common >= {percent} * (na + nb - common)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs``, a written table."""
-        wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(active, "node").select("node", "lo", "hi", "doc_id"), "ngram-wanted")
+        k = pairs.count()
+        wanted = few(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k).join(active, "node")
+        wanted = materialize(few(wanted, k).select("node", "lo", "hi", "doc_id"), "ngram-wanted")
         texts = docs.join(small(wanted), "doc_id").select("node", "lo", "hi", "text")
-        sets = materialize(texts.mapInArrow(_stored(n), "node long, set binary").dropDuplicates(["node"]), "ngram-sets")
+        sets = materialize(few(texts.mapInArrow(_stored(n), "node long, set binary").dropDuplicates(["node"]), k, PAIRS_A_TASK), "ngram-sets")
         return materialize(distances(pairs, sets, fragments).where(linked).select("a", "b"), "ngram-links")
 
     # Round one: every member against the pivot of its list.
-    pivots = seats.join(active.select("node", "fame"), "node").groupBy("list").agg(F.max_by(F.struct("node", "size"), F.struct("fame", "node")).alias("p"))
-    stars = seats.join(pivots, "list").where(f"node <> p.node AND 100 * least(size, p.size) >= {percent} * greatest(size, p.size)")
-    stars = stars.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    tried = materialize(plausible(stars, sketches, percent), "ngram-pairs")
+    pivots = few(seats.join(active.select("node", "fame"), "node"), rows).groupBy("list").agg(F.max_by(F.struct("node", "size"), F.struct("fame", "node")).alias("p"))
+    stars = few(seats.join(pivots, "list"), rows).where(f"node <> p.node AND 100 * least(size, p.size) >= {percent} * greatest(size, p.size)")
+    stars = few(stars.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), rows)
+    tried = materialize(few(plausible(stars, sketches, percent), rows), "ngram-pairs")
     links = verified(tried)
-    parts = components(links)
+    parts = gathered(links, rows)
     # Then members of different components; dense blocks give a forest first.
     for dense in (DENSE, None):
-        placed = seats.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        placed = few(seats.join(parts.withColumnRenamed("component", "part"), "node", "left"), rows).withColumn("part", F.coalesce("part", "node"))
         spread = placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("list", "n")
-        mixed = materialize(placed.join(spread, "list"), "ngram-mixed")
-        long = blocks_of(mixed.where(f"n > {SHORT_LIST}"), sketches).repartition("list", "x", "y").sortWithinPartitions("list", "x", "y", "side")
-        crossed = materialize(long.mapInArrow(_cross(percent, dense), "a long, b long").distinct(), "ngram-crossed")
+        mixed = materialize(few(placed.join(spread, "list"), rows), "ngram-mixed")
+        long = few(blocks_of(mixed.where(f"n > {SHORT_LIST}"), sketches, rows).repartition("list", "x", "y"), rows, 10_000).sortWithinPartitions("list", "x", "y", "side")
+        crossed = materialize(few(long.mapInArrow(_cross(percent, dense), "a long, b long").distinct(), rows), "ngram-crossed")
         pairs = crossed.where("a IS NOT NULL")
         if dense:  # short lists give all their pairs at once
-            short = mixed.where(f"n <= {SHORT_LIST}").select("list", "node", "size", "part").repartition("list").sortWithinPartitions("list", "size", "node")
-            short = short.mapInArrow(_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+            short = few(mixed.where(f"n <= {SHORT_LIST}").select("list", "node", "size", "part").repartition("list"), rows).sortWithinPartitions("list", "size", "node")
+            short = few(short.mapInArrow(_pairs(percent), "a long, b long").distinct(), rows).join(tried, ["a", "b"], "left_anti")
             pairs = pairs.union(plausible(short, sketches, percent)).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        pairs = materialize(few(pairs.join(tried, ["a", "b"], "left_anti"), rows), "ngram-pairs")
         if pairs.isEmpty():
             break
         links, tried = links.union(verified(pairs)), tried.union(pairs)
-        parts = components(links)
         if crossed.where("a IS NULL").isEmpty():  # no block held pairs back
             break
+        parts = components(links)
+    parts = components(links)
     placed = nodes.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = placed.groupBy("part").agg(F.min("rep").alias("component"))
     named = placed.join(least, "part").select("lo", "hi", "component")
