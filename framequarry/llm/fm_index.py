@@ -72,11 +72,16 @@ class FMIndex:
         symbols = np.arange(sigma)
         self.offset = less - self.wavelet.descend(symbols, np.zeros(sigma, np.int64))
 
+    def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of suffixes that begin with ``symbol[i]`` and go on with one of the range i: a step of backward search."""
+        m = len(symbol)
+        c = np.tile(symbol, 2)
+        ends = self.offset[c] + self.wavelet.descend(c, np.concatenate([lo, hi]))
+        return ends[:m], ends[m:]
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range of suffixes that begin with each row of ``patterns`` (all of one length), empty where there is none."""
-        m = len(patterns)
-        ends = np.concatenate([np.zeros(m, np.int64), np.full(m, self.n, np.int64)])
+        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         for t in range(patterns.shape[1] - 1, -1, -1):
-            c = np.tile(patterns[:, t], 2)
-            ends = self.offset[c] + self.wavelet.descend(c, ends)
-        return ends[:m], ends[m:]
+            lo, hi = self.extend(patterns[:, t], lo, hi)
+        return lo, hi

@@ -138,6 +138,15 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.n
     return Words(data, start, end, h, np.searchsorted(start, at))
 
 
+def spaced(w: Words, is_word: np.ndarray, fold: np.ndarray = SAME) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The chunk's words joined by single spaces, and where each word starts and ends in it."""
+    size = w.end - w.start
+    start = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    out[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = fold[w.data[is_word[w.data]]]
+    return out.tobytes(), start, start + size
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, data, offsets) chunk by chunk."""
     data, offsets = buffers(batch.column(batch.schema.get_field_index(name)))
