@@ -1,76 +1,79 @@
 """Benchmark decontamination: a broadcast hash set of normalised test windows against all training windows.
 
 A window is 13 consecutive words of a benchmark item, or the whole item if it has fewer words. Windows go to the
-tasks as a hash set; every hit is verified by comparing its words. The benchmark is split into blocks of at most
-``block_bytes`` of text, so what is broadcast has a fixed bound; each block is a scan of all documents, and the
-hits of all blocks are put together per document.
+tasks as a hash set (sorted 64-bit hashes with the places of their words in one byte buffer); every hit is verified by
+comparing its words. The benchmark is split into blocks of at most ``block_bytes`` of text, about six times that in
+memory; the driver holds one block at a time, and each block is a scan of all rows. Where there are several, the rows
+are numbered and written once, each block's hits are written by row number, and all are put together per row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import bounded_batches
+from .shared import bounded_batches, materialize, scratch
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 FILTER_BITS = 22
 
 
-def window_set(items: list[tuple[str, str]], n: int) -> dict[int, dict[int, dict[bytes, set[str]]]]:
-    """{window length: {hash: {normalised words: item ids}}}."""
-    out: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-    for item, text in items:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        w = ta.words(raw, np.array([0, len(raw)]), ta.ALNUM, ta.LOWER)
-        if not len(w.hash):
-            continue
-        k = min(n, len(w.hash))
-        h, fits = w.windows(k)
-        low = ta.LOWER[w.data].tobytes()
-        for i in np.flatnonzero(fits).tolist():
-            out.setdefault(k, {}).setdefault(int(h[i]), {}).setdefault(_norm(low, w, i, k), set()).add(item)
-    return out
-
+class Windows:
+    """Hash set of the windows of a block of items (id, text)."""
+
+    def __init__(self, items: list[tuple[str, str]], n: int):
+        raw = [(text or "").encode() for _, text in items]
+        at = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum([len(x) for x in raw], out=at[1:])
+        w = ta.words(np.frombuffer(b"".join(raw), np.uint8), at, ta.ALNUM, ta.LOWER)
+        self.items = [item for item, _ in items]
+        text, start, end = ta.spaced(w, ta.ALNUM, ta.LOWER)
+        self.text, self.start, self.end = text, start.astype(np.int32), end.astype(np.int32)
+        #: {window length: (sorted hashes, first word of each, item of each)}
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        doc, counts = w.doc, w.counts
+        for k in sorted({min(n, c) for c in counts[counts > 0].tolist()}):
+            h, fits = w.windows(k)
+            mine = np.flatnonzero(fits & ((counts[doc] >= n) if k == n else (counts[doc] == k)))
+            order = mine[np.argsort(h[mine], kind="stable")]
+            self.sets[k] = h[order], order.astype(np.int32), doc[order].astype(np.int32)
 
-def _norm(low: bytes, w: ta.Words, i: int, k: int) -> bytes:
-    return b" ".join(low[s:e] for s, e in zip(w.start[i : i + k].tolist(), w.end[i : i + k].tolist(), strict=True))
+    def words(self, first: int, k: int) -> bytes:
+        return self.text[self.start[first] : self.end[first + k - 1]]
 
 
 class Scanner:
     """Verified hits in chunks of documents."""
 
-    def __init__(self, windows: dict):
+    def __init__(self, windows: Windows):
         self.windows = windows
-        self.lookup = {}
-        for k, by_hash in windows.items():
-            keys = np.sort(np.fromiter(by_hash, dtype=np.uint64, count=len(by_hash)))
-            seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[keys >> ta.U64(64 - FILTER_BITS)] = True
-            self.lookup[k] = keys, seen
+        self.seen = {}
+        for k, (keys, _, _) in windows.sets.items():
+            self.seen[k] = np.zeros(1 << FILTER_BITS, bool)
+            self.seen[k][keys >> ta.U64(64 - FILTER_BITS)] = True
 
     def hits(self, w: ta.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Whether each word is hit, and the items found in each document of the chunk."""
         edge = np.zeros(len(w.hash) + 1, np.int32)
         items: dict[int, set[str]] = {}
         low, doc = None, None
-        for k, (keys, seen) in self.lookup.items():
+        for k, (keys, first, item) in self.windows.sets.items():
             h, fits = w.windows(k)
-            at = np.flatnonzero(seen[h >> ta.U64(64 - FILTER_BITS)] & fits)
-            if len(at):
-                at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
-            for i in at.tolist():
+            at = np.flatnonzero(self.seen[k][h >> ta.U64(64 - FILTER_BITS)] & fits)
+            lo, hi = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], "right")
+            for i, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 if low is None:
                     low, doc = ta.LOWER[w.data].tobytes(), w.doc
-                found = self.windows[k][int(h[i])].get(_norm(low, w, i, k))
+                words = b" ".join(low[s:e] for s, e in zip(w.start[i : i + k].tolist(), w.end[i : i + k].tolist(), strict=True))
+                found = {self.windows.items[item[x]] for x in range(a, b) if self.windows.words(int(first[x]), k) == words}
                 if found:
                     edge[i] += 1
                     edge[i + k] -= 1
@@ -78,153 +81,154 @@ class Scanner:
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks that are small enough for the driver and a broadcast. An item is in one block, whatever its size."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    for i in range(n):
-        yield [(r.item, r.text) for r in (b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)).toLocalIterator()]
-
-
-def _all_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    return list(_blocks(benchmark, block_bytes))
+#: What becomes of a slice of rows, given its words, the hit words, and the items of its rows.
+Finish = Callable[[pa.RecordBatch, ta.Words, np.ndarray, dict[int, set[str]]], pa.RecordBatch]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, clean: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``clean`` also ``clean_text``.
-
-    ``clean_text`` lacks the bytes from the first to the last word of every run of hit words. Null texts have no
-    words (and a null clean text); items without words or id are never found; items that repeat an id count once;
-    an empty benchmark leaves every document clean. Rows that repeat a doc_id are judged one by one.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = docs.select("doc_id", "text")
-    blocks = _all_blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(window_set(blocks[0], n)), clean, None), RESULT + ", clean_text string" * clean)
-    # Several blocks: hit runs and items of each, put together by row (the number of a row in its scan is stable).
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    found = None
-    for block in blocks:
-        part = numbered.mapInArrow(_scan(spark.sparkContext.broadcast(window_set(block, n)), False, "row"), "row long, hits binary, items array<string>")
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("row").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return numbered.join(merged, "row", "left").select("doc_id", "text", "hits", "items").mapInArrow(_merge(clean), RESULT + ", clean_text string" * clean)
-
-
-def _rows(w: ta.Words, hit: np.ndarray, items: dict, ids: list, clean: bool, texts) -> pa.RecordBatch:
-    counts = w.counts
-    n_hit = np.bincount(w.doc[hit], minlength=len(counts)) if len(counts) else np.zeros(0, int)
-    listed = [",".join(sorted(items.get(d, ()))) for d in range(len(counts))]
-    nothing = hashlib.sha256(b"").hexdigest()
-    out = {
-        "doc_id": pa.array(ids, pa.int64()),
-        "n_words": pa.array(counts, pa.int64()),
-        "n_hit": pa.array(n_hit, pa.int64()),
-        "n_items": pa.array([len(items.get(d, ())) for d in range(len(counts))], pa.int64()),
-        "items_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() if x else nothing for x in listed], pa.string()),
-        "contaminated": pa.array((n_hit > 0) & (20 * n_hit >= counts)),
-    }
-    if clean:
-        kept = []
-        for d, text in enumerate(texts):
-            a, b = w.first[d], w.first[d + 1]
-            if text is None or not n_hit[d]:
-                kept.append(text)
-                continue
-            on = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8)))
-            raw, base, parts, at = text.encode(), None, [], 0
-            base = w.doc_start[d]
-            for s, e in zip(on[::2] + a, on[1::2] + a - 1, strict=True):
-                parts.append(raw[at : w.start[s] - base])
-                at = w.end[e] - base
-            kept.append(b"".join([*parts, raw[at:]]).decode())
-        out["clean_text"] = pa.array(kept, pa.string())
-    return pa.RecordBatch.from_pydict(out)
+def _chunks(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, ta.Words]]:
+    data, offsets = ta.buffers(batch.column(text_at))
+    for i, j in ta.chunks(offsets):
+        w = ta.words(data, offsets[i : j + 1], ta.ALNUM, ta.LOWER)
+        w.doc_start = offsets[i:j] - offsets[i]
+        yield batch.slice(i, j - i), w
 
 
-def _scan(windows, clean: bool, row: str | None):
+def _direct(windows, text_at: int, finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(windows.value)
         for batch in batches:
-            for i, j, data, at in ta.texts_of(batch):
-                w = ta.words(data, at, ta.ALNUM, ta.LOWER)
-                w.doc_start = at[:-1] - at[0]
-                hit, items = scanner.hits(w)
-                if row is None:
-                    yield _rows(w, hit, items, batch.column(0)[i:j].to_pylist(), clean, batch.column(1)[i:j].to_pylist() if clean else None)
-                    continue
-                found = sorted(items)
-                yield pa.RecordBatch.from_pydict({
-                    "row": pa.array([batch.column("row")[i + d].as_py() for d in found], pa.int64()),
-                    "hits": pa.array([np.packbits(hit[w.first[d] : w.first[d + 1]]).tobytes() for d in found], pa.binary()),
-                    "items": pa.array([sorted(items[d]) for d in found], pa.list_(pa.string())),
-                })
+            for rows, w in _chunks(batch, text_at):
+                yield finish(rows, w, *scanner.hits(w))
 
     return run
 
 
-def _pass(windows, remove: str, id_at: int, text_at: int):
+def _by_row(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(windows.value)
         for batch in batches:
-            names = batch.schema.names
-            text = batch.column(text_at)
-            data, offsets = ta.buffers(text)
-            for i, j in ta.chunks(offsets):
-                w = ta.words(data, offsets[i : j + 1], ta.ALNUM, ta.LOWER)
-                w.doc_start = offsets[i:j] - offsets[i]
+            for rows, w in _chunks(batch, 1):
                 hit, items = scanner.hits(w)
-                part = batch.slice(i, j - i)
-                if items:
-                    verdict = _rows(w, hit, items, part.column(id_at).to_pylist(), remove == "spans", part.column(text_at).to_pylist())
-                    if remove == "documents":
-                        part = part.filter(pa.compute.invert(verdict.column("contaminated")))
-                    else:
-                        part = part.set_column(text_at, names[text_at], verdict.column("clean_text").cast(text.type))
-                yield part
+                found = sorted(items)
+                yield pa.RecordBatch.from_pydict({
+                    "__row": rows.column(0).take(pa.array(found, pa.int64())),
+                    "__hits": pa.array([np.packbits(hit[w.first[d] : w.first[d + 1]]).tobytes() for d in found], pa.binary()),
+                    "__items": pa.array([sorted(items[d]) for d in found], pa.list_(pa.string())),
+                })
 
     return run
 
 
-def _merge(clean: bool):
+def _merged(text_at: int, finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, at in ta.texts_of(batch):
-                w = ta.words(data, at, ta.ALNUM, ta.LOWER)
-                w.doc_start = at[:-1] - at[0]
+            for rows, w in _chunks(batch, text_at):
                 hit, items = np.zeros(len(w.hash), bool), {}
-                for d in range(j - i):
+                every_hit, every_item = rows.column(rows.num_columns - 2), rows.column(rows.num_columns - 1)
+                for d in range(rows.num_rows):
                     a, b = w.first[d], w.first[d + 1]
-                    for bits in batch.column("hits")[i + d].as_py() or ():
+                    for bits in every_hit[d].as_py() or ():
                         hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-                    if found := batch.column("items")[i + d].as_py():
+                    if found := every_item[d].as_py():
                         items[d] = set(found)
-                yield _rows(w, hit, items, batch.column(0)[i:j].to_pylist(), clean, batch.column(1)[i:j].to_pylist() if clean else None)
+                yield finish(pa.RecordBatch.from_arrays(rows.columns[:-2], schema=pa.schema(list(rows.schema)[:-2])), w, hit, items)
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 13) -> DataFrame:
-    """``docs`` without contaminated documents (``remove="documents"``) or with hit spans cut out (``"spans"``).
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """(number of blocks, the items of a block). An item is in one block, whatever its size; repeated rows are one."""
+    b = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-2 * size // block_bytes) if size > block_bytes else 1
+
+    def block(i: int) -> list[tuple[str, str]]:
+        return [(r.item, r.text) for r in (b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)).toLocalIterator()]
+
+    return n, block
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, finish: Finish, schema) -> DataFrame:
+    """``finish`` over all rows of ``docs``, the same for any number of blocks."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    text_at = docs.columns.index("text")
+    blocks, block = _blocks(benchmark, block_bytes)
+    if blocks == 1:
+        return docs.mapInArrow(_direct(spark.sparkContext.broadcast(Windows(block(0), n)), text_at, finish), schema)
+    with scratch(spark):
+        numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontamination-rows", compression="zstd")
+        found = None
+        for i in range(blocks):
+            windows = spark.sparkContext.broadcast(Windows(block(i), n))
+            part = materialize(numbered.select("__row", "text").mapInArrow(_by_row(windows), "__row long, __hits binary, __items array<string>"), "decontamination-hits")
+            windows.destroy()
+            found = part if found is None else found.unionByName(part)
+        merged = found.groupBy("__row").agg(F.collect_list("__hits").alias("__hits"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))  # one per block at most
+        joined = numbered.join(merged, "__row", "left").select(*docs.columns, "__hits", "__items")
+        return materialize(joined.mapInArrow(_merged(text_at, finish), schema), "decontaminated", keep=True, compression="zstd")
+
+
+def _verdict(w: ta.Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hit words, contaminated) per row."""
+    n_hit = np.bincount(w.doc[hit], minlength=len(w.counts)) if len(w.counts) else np.zeros(0, int)
+    return n_hit, (n_hit > 0) & (20 * n_hit >= w.counts)
+
+
+def _scanned(rows: pa.RecordBatch, w: ta.Words, hit: np.ndarray, items: dict) -> pa.RecordBatch:
+    n_hit, bad = _verdict(w, hit)
+    listed = [",".join(sorted(items.get(d, ()))) for d in range(rows.num_rows)]
+    return pa.RecordBatch.from_pydict({
+        "doc_id": rows.column(0).cast(pa.int64()),
+        "n_words": pa.array(w.counts, pa.int64()),
+        "n_hit": pa.array(n_hit, pa.int64()),
+        "n_items": pa.array([len(items.get(d, ())) for d in range(rows.num_rows)], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed], pa.string()),
+        "contaminated": pa.array(bad),
+    })
+
+
+def _without_documents(rows: pa.RecordBatch, w: ta.Words, hit: np.ndarray, items: dict) -> pa.RecordBatch:
+    return rows.filter(pa.array(~_verdict(w, hit)[1])) if items else rows
+
+
+def _without_spans(text_at: int) -> Finish:
+    def finish(rows: pa.RecordBatch, w: ta.Words, hit: np.ndarray, items: dict) -> pa.RecordBatch:
+        if not items:
+            return rows
+        column = rows.column(text_at)
+        texts = column.to_pylist()
+        for d in sorted(items):
+            a, b = w.first[d], w.first[d + 1]
+            on = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8)))
+            raw, base, parts, at = texts[d].encode(), w.doc_start[d], [], 0
+            for s, e in zip(on[::2] + a, on[1::2] + a - 1, strict=True):
+                parts.append(raw[at : w.start[s] - base])
+                at = w.end[e] - base
+            texts[d] = b"".join([*parts, raw[at:]]).decode()
+        return rows.set_column(text_at, rows.schema.field(text_at), pa.array(texts, column.type))
+
+    return finish
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null texts have no words; items without words or id are never found; items that repeat an id count once; an empty
+    benchmark leaves every document clean, an empty table gives no rows. Rows that repeat a doc_id are judged one by
+    one. Other columns are ignored.
+    """
+    return _judged(docs.select("doc_id", "text"), benchmark, n, block_bytes, _scanned, RESULT)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without contaminated rows (``remove="documents"``) or with hit spans cut out (``"spans"``), with all columns.
 
-    All columns of ``docs`` come back. Rows whose doc_id is shared are kept or dropped together.
+    A span is the text from the first to the last word of a run of hit words. Every row is judged by its own text,
+    whether or not its doc_id is repeated; null texts stay as they are.
     """
-    blocks = _all_blocks(benchmark, BLOCK_BYTES)
-    if len(blocks) == 1:
-        bounded_batches(docs.sparkSession)
-        windows = docs.sparkSession.sparkContext.broadcast(window_set(blocks[0], n))
-        return docs.mapInArrow(_pass(windows, remove, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
-    verdict = scan(docs, benchmark, n, clean=remove == "spans")
-    if remove == "documents":
-        bad = verdict.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
-    new = verdict.where("n_hit > 0").select(F.col("doc_id").alias("__hit"), "clean_text").dropDuplicates(["__hit"])
-    text: Column = F.when(F.col("__hit").isNotNull(), F.col("clean_text")).otherwise(docs["text"])
-    joined = docs.join(new, docs["doc_id"] == F.col("__hit"), "left")
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    finish = {"documents": _without_documents, "spans": _without_spans(docs.columns.index("text"))}[remove]
+    return _judged(docs, benchmark, n, block_bytes, finish, docs.schema)
 
 
 SQL = r"""
