@@ -1,12 +1,15 @@
 """Chat formatting with prefix-target expansion.
 
-A conversation is rendered turn by turn with a template that is stable under prefixes, so the example of an assistant
-turn (all turns before it as context, only its reply trainable) is a prefix of the rendered conversation and a loss
-span at its end. The output therefore holds every conversation once, in segments of one turn, and one row per example;
-``examples`` expands them to full texts. Storage is linear in the corpus although the examples are quadratic.
+A conversation is rendered turn by turn with a template that is stable under prefixes: the context of an assistant turn
+(all turns before it) is a prefix of the rendered conversation. Every assistant turn is exploded into an example of its
+own. Two tables are written: ``segments``, every conversation once, one row per turn, and ``examples``, one row per
+assistant turn with the end of its context and the span of its reply, the only trainable part. A trainer cuts an example
+from the segments by these numbers; ``expand`` writes the texts out in full. So storage is linear in the corpus, although
+the texts of the examples are quadratic in a conversation.
 
 Template: user turns ``[INST] text [/INST]``, assistant turns `` text </s>``, other roles ``<<role>> text <</>> ``.
-Control strings inside texts and roles are escaped with a backslash and come back exactly.
+A backslash inside each control string of a text or role (``<\\/s>``) takes it apart, and unescaping puts it together, so
+formatted texts hold no control strings but the template's own.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from .shared import bounded_batches, materialize
 
 # The control strings of the template.
 USER, USER_END, REPLY, REPLY_END, ROLE, ROLE_NAMED, ROLE_END = "[INST] ", " [/INST]", " ", " </s>", "<<", ">> ", " <</>> "
-CONTROL = re.compile(r"\\|\[(?=/?INST\])|<(?=/?s>|<)|>(?=>)")
+#: Backslashes, and the places inside control strings (behind their first character).
+CONTROL = re.compile(r"\\|(?<=\[)(?=/?INST\])|(?<=<)(?=/?s>|<)|(?<=>)(?=>)")
 ESCAPED = re.compile(r"\\(.)", re.S)
 SEGMENT = re.compile(r"\A(?:\[INST\] (?P<user>.*) \[/INST\]|<<(?P<role>.*?)>> (?P<other>.*) <</>> | (?P<reply>.*) </s>)\Z", re.S)
-SEGMENTS = "conv_id long, seq long, segment string, start long, chars long, loss_start long, loss_chars long"
+SEGMENTS = "conv_id long, seq long, segment string, start long, chars long"
 FOUND = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
 
@@ -63,50 +67,52 @@ def parse(segment: str) -> tuple[str, str]:
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams turns sorted by conversation; holds one conversation's offset, never its text."""
-    conv, seq, at = None, 0, 0
-    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+    conv, seq, at, example = None, 0, 0, 0
+    names = [x.split()[0] for x in SEGMENTS.split(", ")] + ["example", "loss_start", "loss_chars"]
     for batch in batches:
         rows = []
         for c, role, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if c != conv or seq == 0:
-                conv, seq, at = c, 0, 0
+                conv, seq, at, example = c, 0, 0, 0
             segment, loss, n = render(role or "", text or "")
-            rows.append((c, seq, segment, at, len(segment), at + loss if role == "assistant" else None, n if role == "assistant" else None))
-            seq, at = seq + 1, at + len(segment)
+            reply = role == "assistant"
+            rows.append((c, seq, segment, at, len(segment), *((example, at + loss, n) if reply else (None, None, None))))
+            seq, at, example = seq + 1, at + len(segment), example + reply
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(col, pa.string() if k == 2 else pa.int64()) for k, col in enumerate(zip(*rows, strict=True))], names=names)
 
 
-def format_chats(conversations: DataFrame, folder_label: str = "chat") -> DataFrame:
-    """Segments of all conversations, written to the shared folder and read back.
+def format_chats(conversations: DataFrame, folder_label: str = "chat") -> tuple[DataFrame, DataFrame]:
+    """(segments, examples) of all conversations, written to the shared folder and read back.
 
-    Columns: conv_id, seq (place of the turn), segment, start (its place in the rendered conversation), chars, and for
-    assistant turns loss_start and loss_chars: the example of that turn is the text up to start + chars, trainable in
-    that span. Null texts and roles count as empty; rows without conv_id are left out; turns with the same number stay
-    in the order of role, then text; repeated rows are turns of their own.
+    Segments: conv_id, seq (place of the turn), segment, start (its place in the rendered conversation), chars.
+    Examples, one row per assistant turn: conv_id, example (its number), seq, context_end (the context is the rendered
+    conversation up to here), loss_start and loss_chars (the trainable span), in code points of the rendered
+    conversation. Null texts and roles count as empty; rows without conv_id are left out; turns with the same number
+    stay in the order of role, then text; repeated rows are turns of their own. Empty tables give empty tables.
     """
     bounded_batches(conversations.sparkSession)
     rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return materialize(ordered.mapInArrow(_format, SEGMENTS), folder_label)
+    turns = materialize(ordered.mapInArrow(_format, SEGMENTS + ", example long, loss_start long, loss_chars long"), folder_label)
+    examples = turns.where("example IS NOT NULL").select("conv_id", "example", "seq", F.col("start").alias("context_end"), "loss_start", "loss_chars")
+    return turns.drop("example", "loss_start", "loss_chars"), materialize(examples, f"{folder_label}-examples")
 
 
-def examples(segments: DataFrame) -> DataFrame:
-    """Training examples in full: conv_id, example, text, loss_start, loss_chars (in code points).
+def expand(segments: DataFrame, examples: DataFrame) -> DataFrame:
+    """Training examples in full: conv_id, example, text, loss_start, loss_chars (in code points of ``text``).
 
-    For long conversations this is quadratic, as the expansion is; a trainer can cut the same spans from the segments.
+    For long conversations this is quadratic, as the expansion is; a trainer can cut the same texts from the segments.
     """
     upto = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = segments.withColumn("text", F.array_join(F.collect_list("segment").over(upto), ""))
-    replies = whole.where("loss_start IS NOT NULL")
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")) - 1
-    return replies.select("conv_id", number.alias("example"), "text", "loss_start", "loss_chars")
+    whole = segments.withColumn("text", F.array_join(F.collect_list("segment").over(upto), "")).select("conv_id", "seq", "text")
+    return examples.join(whole, ["conv_id", "seq"]).select("conv_id", "example", "text", "loss_start", "loss_chars")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams segments sorted by conversation and parses them back; digests grow turn by turn."""
+    """Streams segments sorted by conversation, each followed by its example if it has one; digests grow turn by turn."""
     names = [x.split()[0] for x in FOUND.split(", ")]
-    state = None
+    state, last = None, ("", 0, 0)
 
     def row():
         c, n, turns, chars, loss, formatted, ex = state
@@ -118,29 +124,36 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for c, segment, start, loss_start, loss_chars in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for c, seq, segment, start, loss_start, loss_chars in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if state is None or state[0] != c:
                 if state:
                     rows.append(row())
                 state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-            role, text = parse(segment)
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if loss_start is not None:
-                trained = unescape(segment[loss_start - start : loss_start - start + loss_chars])
+            if segment is None:  # the example of the turn before: its context ends where that turn starts
+                if last[1:] != (seq, start):
+                    raise ValueError(f"example at {start} of conversation {c} has no turn")
+                trained = unescape(last[0][loss_start - start : loss_start - start + loss_chars])
                 state[3] += len(trained)
                 state[4].update(trained.encode("utf-8", "surrogatepass"))
                 state[6] += 1
+                continue
+            role, text = parse(segment)
+            state[1] += 1
+            state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             state[5] += len(segment)
+            last = segment, seq, start
         if rows:
             yield out(rows)
     if state:
         yield out([row()])
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Per conversation, parsed from the formatted output: its turns' digest, the text under the loss masks, its length."""
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "segment", "start", "loss_start", "loss_chars")
+def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
+    """Per conversation, from the two tables: its turns' digest, the text under the examples' loss masks, its length."""
+    null = F.lit(None)
+    both = segments.select("conv_id", "seq", F.lit(0).alias("kind"), "segment", "start", null.cast("long").alias("loss_start"), null.cast("long").alias("loss_chars"))
+    both = both.union(examples.select("conv_id", "seq", F.lit(1), null.cast("string"), "context_end", "loss_start", "loss_chars"))
+    ordered = both.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind").select("conv_id", "seq", "segment", "start", "loss_start", "loss_chars")
     return ordered.mapInArrow(_read, FOUND)
 
 
@@ -156,6 +169,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 x AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
         + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7
+        + 2 * length(text) - length(regexp_replace(text, '<+', '<', 'g')) - length(regexp_replace(text, '>+', '>', 'g'))
         + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4 AS body FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,

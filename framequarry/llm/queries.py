@@ -23,7 +23,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.read_back(chat_format.format_chats(chat_format.with_planted(table(spark, sf_dir, "conversations"))))
+    return chat_format.read_back(*chat_format.format_chats(chat_format.with_planted(table(spark, sf_dir, "conversations"))))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
