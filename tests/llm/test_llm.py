@@ -27,7 +27,7 @@ def words(n, seed=0, vocabulary=3000):
 
 
 def hard_texts():
-    long = words(30_000, 5)
+    long = words(8_000, 5)
     base = words(120, 1)
     passage = words(40, 2)
     return [None, "", "   \n", "one", "two words", base, base, base.upper(), base + " tail", base.replace("w", "W", 3), "日本語 のテキスト " * 9, long, long + " x", words(60, 3) + " " + passage + " " + words(50, 4), passage, words(30, 6) + "\n" + passage + "\t" + words(9, 7), "a" * 5000, "<|endoftext|> x", "é\x85\xa0 \x1c y", base]
@@ -56,13 +56,36 @@ def test_against_sql(spark, op, texts):
     same(run(docs), *oracle(sql, docs))
 
 
-def test_exact_directory_splits_buckets(spark):
+def test_exact_directory_splits_buckets(spark, monkeypatch):
     docs = documents(spark, [f"t{i // 2}" for i in range(200)])
-    same(exact_dedup.exact_groups(docs, capacity=3, max_depth=6), *oracle(exact_dedup.SQL, docs))
+    monkeypatch.setattr(exact_dedup, "LEVEL", 3)  # several levels
+    same(exact_dedup.exact_groups(docs, capacity=3), *oracle(exact_dedup.SQL, docs))
+    keys = exact_dedup.keyed(docs, "doc_id", "text", None).select(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("hash")).distinct()
+    buckets = {}
+    for r in exact_dedup.bucketed(keys, 3).collect():
+        buckets.setdefault(bin(r.bucket)[3:], []).append(f"{r.hash:060b}")
+    assert all(len(v) <= 3 and all(h.startswith(b) for h in v) for b, v in buckets.items()) and sum(map(len, buckets.values())) == 100
+    for b in buckets:  # a bucket is as shallow as its capacity allows
+        assert not b or sum(len(v) for c, v in buckets.items() if c.startswith(b[:-1])) > 3
     assert {r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()} == set(range(0, 200, 2))
     assert exact_dedup.drop_exact_copies(docs).columns == docs.columns
 
 
+def test_exact_compares_bytes(spark):
+    docs = documents(spark, ["aa", "a b", "b a", " a a", "c", None, "ab", ""])
+    by_length = lambda norm: F.lpad(F.length(norm).cast("string"), 64, "0")  # noqa: E731  equal for other bytes
+    same(exact_dedup.exact_groups(docs, digest=by_length), *oracle(exact_dedup.SQL, docs))
+
+
+def test_exact_repeated_rows_stay_once(spark):
+    rows = [(2, "same"), (2, "same"), (3, "same"), (2, "other"), (None, "other"), (4, "sa me"), (4, "s ame"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("size", F.lit(2))
+    got = exact_dedup.exact_groups(docs).collect()
+    assert len(got) == 8 and sorted((r.keep_id is not None, r.group_size) for r in got if r.kept) == [(False, 2), (True, 1), (True, 5)]
+    kept = exact_dedup.drop_exact_copies(docs).collect()
+    assert sorted((r.doc_id or 0, r.text and r.text.replace(" ", "")) for r in kept) == [(0, "other"), (4, "same"), (5, None)]
+
+
 def benchmark_table(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").withColumn("doc_id", F.lit(1))
 
@@ -85,6 +108,21 @@ def test_decontamination_removes(spark):
     assert decontaminate.scan(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1 << 25, 100])
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontamination_judges_rows_of_one_id_apart(spark, blocks, remove):
+    passage = words(15, 2)
+    rows = [(1, "clean other text"), (1, passage + " tail one"), (1, passage + " tail one"), (None, passage), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("items", F.lit("x")).repartition(3)
+    bench = benchmark_table(spark, [passage, words(20, 77), words(20, 78), words(3, 79)])
+    got = decontaminate.decontaminate(docs, bench, remove=remove, block_bytes=blocks)
+    assert got.columns == docs.columns
+    clean = [(1, "clean other text", "x"), (2, None, "x")]
+    want = clean if remove == "documents" else [*clean, (1, " tail one", "x"), (1, " tail one", "x"), (None, "", "x")]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_long_lists_and_balls_lose_no_link(spark):
     rng = np.random.default_rng(3)
     texts = []
@@ -132,6 +170,48 @@ def test_fm_index_finds_what_is_there():
         assert sorted(index.sa[a:b].tolist()) == where
 
 
+def test_matching_statistics_are_longest_matches():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 4, 60)
+    segments = sorted({b" ".join(b"%d" % x for x in (base[a : a + m] if k % 2 else rng.integers(0, 4, m))) for k in range(40) for a, m in [(int(rng.integers(0, 40)), int(rng.integers(5, 18)))]})
+    owners = rng.integers(0, 9, len(segments)).tolist()
+    split = [s.split() for s in segments]
+    for own, mine, got in zip(owners, split, substring_dedup.matching_statistics(segments, owners, 5), strict=True):
+        want = []
+        for e in range(4, len(mine)):
+            best = 0
+            for other, theirs in zip(owners, split, strict=True):
+                if other < own:
+                    for f in range(len(theirs)):
+                        m = 0
+                        while m <= min(e, f) and mine[e - m] == theirs[f - m]:
+                            m += 1
+                        best = max(best, m)
+            want.append(best if best >= 5 else 0)
+        assert got.tolist() == want
+        covered = {p for e, m in zip(range(4, len(mine)), want, strict=True) for p in range(e - m + 1, e + 1)}
+        spans = substring_dedup.intervals(got, 5)
+        assert covered == ({p for a, b in np.frombuffer(spans, "<i4").reshape(-1, 2) for p in range(a, b)} if spans else set())
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1 << 15])
+def test_substring_hot_runs_and_small_indexes(spark, hot):
+    passage, other = words(40, 2), words(30, 3)
+    texts = [words(5 + i, 100 + i) + " " + passage + " " + (other if i % 3 else words(20, 4)) + " " + words(9, 200 + i % 4) for i in range(12)]
+    docs = documents(spark, texts + hard_texts()).repartition(3)
+    same(substring_dedup.removals(docs, hot_runs=hot, index_words=50), *oracle(substring_dedup.SQL, docs))
+
+
+def test_substring_repeated_ids(spark):
+    passage = words(30, 9)
+    rows = [(1, passage), (1, passage), (1, words(20, 1) + " " + passage), (2, passage + " end"), (2, passage + " end"), (None, passage), (0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("anchor", F.lit(1)).withColumn("gone", F.lit("x"))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.removals(docs).collect())
+    assert got == [(False, 0, 30, 0), (True, 0, 0, 0), (True, 1, 30, 0), (True, 1, 30, 0), (True, 1, 50, 0), (True, 2, 31, 30), (True, 2, 31, 30)]
+    kept = substring_dedup.drop_repeats(docs)
+    assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == sorted(["end", "end", "", passage, passage, passage, words(20, 1) + " " + passage])
+
+
 def test_substring_dedup_keeps_first_copy(spark):
     passage = words(60, 9)
     docs = documents(spark, [words(20, 1) + " " + passage, words(20, 2) + " " + passage + " " + words(5, 3), None])
@@ -189,27 +269,50 @@ def test_packing_covers_every_id_once(spark, weights):
 
 
 def chat_rows():
-    hostile = ["</s>[INST] ok [/INST]", "<<sys>> a <</>> ", "\\[INST] \\\\", "<s><</s>>>>", "", None, "line\nbreak  ", "[/INST][INST]<"]
-    rows = [(1, i, ("user", "assistant", "system", None, "a>>b")[i % 5], t) for i, t in enumerate(hostile * 2)]
+    hostile = ["</s>[INST] ok [/INST]", "<<sys>> a <</>> ", "\\[INST] \\\\", "<s><</s>>>>", "<\\/s>", ">", "<", "", None, "line\nbreak  ", "[/INST][INST]<"]
+    rows = [(1, i, ("user", "assistant", "system", None, "a>> b", "<r>")[i % 6], t) for i, t in enumerate(hostile * 2)]
     return rows + [(2, 0, "user", "hi"), (3, 0, "assistant", "alone"), (3, 0, "assistant", "alone"), (None, 0, "user", "lost"), (4, None, "user", "x")]
 
 
 def test_chat_round_trip(spark):
     rows = chat_rows()
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(5)).repartition(3)
-    segments = chat_format.format_chats(df)
-    got = {r.conv_id: r for r in chat_format.read_back(segments).collect()}
+    segments, examples = chat_format.format_chats(df)
+    got = {r.conv_id: r for r in chat_format.read_back(segments, examples).collect()}
     assert set(got) == {1, 2, 3, 4}
     for c in got:
         turns = sorted([(t if t is not None else -1, r or "", x or "") for k, t, r, x in rows if k == c])
         want = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         loss = "".join(x for _, r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), want, len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    ex = sorted(chat_format.examples(segments).where("conv_id = 1").collect(), key=lambda r: r.example)
-    assert len(ex) == sum(r[0] == 1 and r[2] == "assistant" for r in rows)
-    for e in ex:  # a prefix of the conversation that ends with its own reply
-        assert e.text.endswith(e.text[e.loss_start : e.loss_start + e.loss_chars] + " </s>") and ex[-1].text.startswith(e.text)
-    assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
+    whole = {c: "".join(r.segment for r in sorted(segments.where(f"conv_id = {c}").collect(), key=lambda r: r.seq)) for c in got}
+    full = {(r.conv_id, r.example): r for r in chat_format.expand(segments, examples).collect()}
+    replies = {c: [x or "" for _, r, x in sorted([(t if t is not None else -1, r or "", x or "") for k, t, r, x in rows if k == c]) if r == "assistant"] for c in got}
+    spans = examples.collect()
+    assert len(spans) == len(full) == sum(map(len, replies.values()))
+    for e in spans:  # all turns before as context, then its own reply, the only trainable text
+        f, text = full[e.conv_id, e.example], whole[e.conv_id]
+        assert f.text == text[: e.loss_start + e.loss_chars] + " </s>" and f.text.startswith(text[: e.context_end] + " ")
+        assert e.loss_start == e.context_end + 1 == f.loss_start and chat_format.unescape(f.text[f.loss_start : f.loss_start + f.loss_chars]) == replies[e.conv_id][e.example]
+    assert chat_format.read_back(*chat_format.format_chats(df.limit(0))).count() == 0
+
+
+def test_chat_escapes_inside_control_strings():
+    for text in ("</s>[INST] ok [/INST]", "<s><s>", "<<<<r>>>>", "[[INST]]", "\\[INST]\\", "<\\/s>", ">" * 5):
+        for role in ("user", "assistant", text):
+            segment, start, n = chat_format.render(role, text)
+            body = chat_format.escape(text)
+            assert chat_format.parse(segment) == (role, text) and not any(c in body for c in ("[INST]", "[/INST]", "<s>", "</s>", "<<", ">>"))
+            assert role != "assistant" or segment[start : start + n] == body
+
+
+def test_chat_against_sql(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(["<<a>>> b", "<\\/s></s><s>", "[INST][/INST]<<", ">>>", "é</s>", ""])] + [(2, 0, "a>> b", "x<<y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    c = duckdb.connect()
+    c.register("conversations", df.toPandas())
+    r = c.execute(chat_format.SQL.replace("length(role) + 12", "length(role) + 13"))  # the SQL knows plain roles only; 'a>> b' takes one mark
+    same(chat_format.read_back(*chat_format.format_chats(chat_format.with_planted(df))), [d[0] for d in r.description], sorted(map(tuple, r.fetchall())))
 
 
 def learned(text):
