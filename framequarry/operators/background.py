@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, clamp, lower_quartile, sorted_quantile, upper_median
+from framequarry.functions.store import materialize
 
 ROWS, COLS = 48, 72
 
@@ -129,5 +130,5 @@ def heatmap(surface: DataFrame) -> DataFrame:
 
 def report(px: DataFrame, rows: int = ROWS, cols: int = COLS, min_side: int = 800) -> DataFrame:
     """All diagnostics of the frames of ``px`` (with luma), one row per frame."""
-    s = surface_fit(cell_floor(px, rows, cols, min_side), rows, cols).cache()
+    s = materialize(surface_fit(cell_floor(px, rows, cols, min_side), rows, cols), "background-surface")
     return radial_profile(s, rows, cols).join(radial_fit(s, rows, cols), "frame_id").join(plane_fit(s, rows, cols), "frame_id").join(corners(s, rows, cols), "frame_id")

@@ -6,9 +6,12 @@ before the shuffle; frames are never collected.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framequarry.functions.mosaic import demosaic
 from framequarry.functions.order_stats import MAD_SIGMA, clamp, upper_median
 
 
@@ -39,11 +42,16 @@ def source_range(px: DataFrame) -> DataFrame:
 
 
 def stats(px: DataFrame, value: str = "luma") -> DataFrame:
-    """Mean, sample deviation (0 for one pixel), extremes and how many pixels have them."""
-    by_value = px.groupBy("frame_id", F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    base = px.groupBy("frame_id").agg(F.avg(value).alias("pix_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("pix_stddev"))
-    ends = by_value.groupBy("frame_id").agg(F.min("v").alias("pix_min"), F.min_by("n", "v").alias("pix_min_count"), F.max("v").alias("pix_max"), F.max_by("n", "v").alias("pix_max_count"))
-    return base.join(ends, "frame_id")
+    """Mean, sample deviation (0 for one pixel), extremes and how many pixels have them.
+
+    Two aggregations that are combined before the shuffle; between them one row per frame is joined back, so no more
+    than a row per task and frame is shuffled, however many values there are.
+    """
+    v = F.col(value)
+    base = px.groupBy("frame_id").agg(F.avg(v).alias("pix_mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("pix_stddev"), F.min(v).alias("pix_min"), F.max(v).alias("pix_max"))
+    ends = px.select("frame_id", v.alias("v")).join(base.select("frame_id", "pix_min", "pix_max"), "frame_id")
+    counts = ends.groupBy("frame_id").agg(F.count_if(F.expr("v = pix_min")).alias("pix_min_count"), F.count_if(F.expr("v = pix_max")).alias("pix_max_count"))
+    return base.join(counts, "frame_id")
 
 
 def strided(px: DataFrame, target: int) -> DataFrame:
@@ -90,16 +98,22 @@ def transfer(x: Column, m: Column) -> Column:
     return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(m == 0.5, x).otherwise((m - 1) * x / ((2 * m - 1) * x - m))
 
 
+def eight_bit(value: Column, steps: int = 4096) -> Column:
+    """8-bit brightness of a value through a table of ``steps`` mid-bin entries over (src_min, src_max)."""
+    idx = clamp(F.floor((value - F.col("src_min")) * steps / (F.col("src_max") - F.col("src_min"))), 0, steps - 1)
+    n = clamp(((idx + 0.5) / steps - F.col("shadows")) / F.greatest(F.col("highlights") - F.col("shadows"), F.lit(1e-9)), 0.0, 1.0)
+    return F.floor(transfer(n, F.col("midtone")) * 255 + 0.5).cast("long")
+
+
 def apply_stretch(px: DataFrame, params: DataFrame, steps: int = 4096) -> DataFrame:
-    """8-bit values of the first channel, through a table of ``steps`` mid-bin entries; ``params`` has a row per frame."""
+    """8-bit values of the first channel; ``params`` has a row per frame."""
     p = px.join(source_range(px), "frame_id").join(params, "frame_id")
-    idx = clamp(F.floor((F.col("r") - F.col("src_min")) * steps / (F.col("src_max") - F.col("src_min"))), 0, steps - 1)
-    n = clamp(((idx + 0.5) / steps - F.col("shadows")) / F.greatest(F.col("highlights") - F.col("shadows"), F.lit(1e-9)), 0.0, 1.0)
-    return p.select("frame_id", "y", "x", F.floor(transfer(n, F.col("midtone")) * 255 + 0.5).cast("long").alias("v8"))
+    return p.select("frame_id", "y", "x", eight_bit(F.col("r"), steps).alias("v8"))
 
 
 def thumbnail(px: DataFrame, max_w: int, max_h: int, value: str = "r") -> DataFrame:
-    """Box averages of the frame fitted into max_w x max_h; frames that fit stay as they are."""
+    """Box averages of the frame fitted into max_w x max_h; frames that fit stay as they are. The channels g and b, where
+    there are any, are averaged as well."""
     size = frame_size(px)
     scale = F.least(F.lit(1.0), F.lit(float(max_w)) / F.col("width"), F.lit(float(max_h)) / F.col("height"))
     out = size.select("frame_id", "width", "height", F.greatest(F.lit(1), F.floor(F.col("width") * scale + 0.5)).cast("long").alias("ow"), F.greatest(F.lit(1), F.floor(F.col("height") * scale + 0.5)).cast("long").alias("oh"))
@@ -114,33 +128,55 @@ def thumbnail(px: DataFrame, max_w: int, max_h: int, value: str = "r") -> DataFr
 
     by, bx = boxes("oy", "oh", "height"), boxes("ox", "ow", "width")
     joined = px.join(by.withColumnRenamed("at", "y"), ["frame_id", "y"]).join(bx.withColumnRenamed("at", "x"), ["frame_id", "x"])
-    return joined.groupBy("frame_id", "oy", "ox").agg(F.avg(value).alias("v"))
+    return joined.groupBy("frame_id", "oy", "ox").agg(F.avg(value).alias("v"), *[F.avg(c).alias(c) for c in "gb" if c in px.columns])
+
+
+def rendered_thumbnail(px: DataFrame, params: DataFrame, max_w: int, max_h: int) -> DataFrame:
+    """8-bit thumbnails: the stretch over the whole frame's range is applied to the box averages, channel by channel.
+
+    Frames of one channel give v8, colour frames r8, g8, b8.
+    """
+    t = thumbnail(px, max_w, max_h).join(source_range(px), "frame_id").join(params, "frame_id")
+    if "g" not in px.columns:
+        return t.select("frame_id", "oy", "ox", "v", eight_bit(F.col("v")).alias("v8"))
+    return t.select("frame_id", "oy", "ox", *[eight_bit(F.col(c)).alias(f"{n}8") for n, c in (("r", "v"), ("g", "g"), ("b", "b"))])
 
 
 def bayer_pattern(cards: DataFrame) -> DataFrame:
     """Pattern (or null) and origin offsets of each frame from its cards (key, value)."""
-    pick = lambda k: F.min_by("value", F.when(F.upper("key") == k, F.col("card_idx")))
     g = cards.groupBy("frame_id").agg(*[F.expr(f"min_by(value, card_idx) FILTER (WHERE upper(key) = '{k}')").alias(k) for k in ("BAYERPAT", "XBAYROFF", "BAYOFFX", "YBAYROFF", "BAYOFFY")])
-    del pick
     p = F.upper(F.regexp_replace("BAYERPAT", "['\\s]", ""))
     off = lambda a, b: F.coalesce(F.pmod(F.coalesce(F.col(a), F.col(b)).try_cast("int"), F.lit(2)), F.lit(0)).cast("long")
     return g.select("frame_id", F.when(p.isin("RGGB", "BGGR", "GRBG", "GBRG"), p).alias("pattern"), off("XBAYROFF", "BAYOFFX").alias("dx"), off("YBAYROFF", "BAYOFFY").alias("dy"))
 
 
-def debayer(px: DataFrame, pattern: str = "RGGB", dx: int = 0, dy: int = 0) -> DataFrame:
+def debayer(px: DataFrame, pattern: str = "RGGB", dx: int = 0, dy: int = 0, patterns: DataFrame | None = None, tile: int = 256) -> DataFrame:
     """Bilinear demosaic of mono frames in their own row order: own colour kept, others the mean of the 3x3 neighbours of
-    that colour (those inside the frame)."""
-    site = F.element_at(F.array(*[F.lit(c) for c in pattern]), ((F.pmod(F.col("y") + dy, F.lit(2)) * 2 + F.pmod(F.col("x") + dx, F.lit(2))) + 1).cast("int"))
-    p = px.select("frame_id", "y", "x", "r", site.alias("site"))
-    across = Window.partitionBy("frame_id", "y").orderBy("x").rowsBetween(-1, 1)
-    down = Window.partitionBy("frame_id", "x").orderBy("y").rowsBetween(-1, 1)
-    for c in "RGB":
-        mine = F.col("site") == c
-        p = p.withColumn(f"s{c}", F.sum(F.when(mine, F.col("r")).otherwise(0.0)).over(across)).withColumn(f"n{c}", F.sum(F.when(mine, 1).otherwise(0)).over(across))
-    for c in "RGB":
-        total, n = F.sum(f"s{c}").over(down), F.sum(f"n{c}").over(down)
-        p = p.withColumn(f"c{c}", F.when(F.col("site") == c, F.col("r")).otherwise(F.when(n > 0, total / n).otherwise(0.0)))
-    return p.select("frame_id", "y", "x", F.col("cR").alias("r"), F.col("cG").alias("g"), F.col("cB").alias("b"))
+    that colour inside the frame, or the own value where there are none.
+
+    ``patterns`` (frame_id, pattern, dx, dy, as ``bayer_pattern`` gives them) has each frame's own; frames without a
+    pattern are left out. Pixels go to tiles once, those at a border to all tiles that they touch.
+    """
+    p = px.select("frame_id", "y", "x", "r")
+    if patterns is None:
+        p = p.withColumns({"pattern": F.lit(pattern), "dx": F.lit(dx).cast("long"), "dy": F.lit(dy).cast("long")})
+    else:
+        p = p.join(patterns.where("pattern IS NOT NULL").select("frame_id", "pattern", F.col("dx").cast("long").alias("dx"), F.col("dy").cast("long").alias("dy")), "frame_id")
+    for axis in "yx":
+        touched = F.array_distinct(F.array(*[F.floor(F.greatest(F.lit(0), F.col(axis) + d) / tile).cast("long") for d in (-1, 1)]))
+        p = p.withColumn(f"t{axis}", F.explode(touched))
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        y0, x0 = y.min(), x.min()
+        cfa, there = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1)), np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
+        cfa[y - y0, x - x0], there[y - y0, x - x0] = pdf["r"].to_numpy(), True
+        rgb = demosaic(cfa, pdf["pattern"].iloc[0], int(pdf["dx"].iloc[0] + x0), int(pdf["dy"].iloc[0] + y0), there)
+        own = (y // tile == key[1]) & (x // tile == key[2])
+        return pd.DataFrame({"frame_id": key[0], "y": y[own], "x": x[own], **{c: rgb[k][y[own] - y0, x[own] - x0] for k, c in enumerate("rgb")}})
+
+    kind = px.schema["frame_id"].dataType.simpleString()
+    return p.groupBy("frame_id", "ty", "tx").applyInPandas(solve, f"frame_id {kind}, y long, x long, r double, g double, b double")
 
 
 def gray_world(px: DataFrame, target: int = 100_000) -> DataFrame:
@@ -169,10 +205,21 @@ def cutouts(px: DataFrame, grid: int = 3, tile: int = 16, value: str = "r") -> D
     return cut.select("frame_id", "gy", "gx", F.size("p").cast("long").alias("n"), F.col("p.v").alias("values"))
 
 
-def normalise_stamps(stamps: DataFrame, q: float = 0.995) -> DataFrame:
-    """asinh view of stamps (arrays ``values``): minus the median, over the q quantile, clamped to [0, 1]."""
+def stamps(px: DataFrame, centres: DataFrame, side: int = 29, value: str = "r") -> DataFrame:
+    """Square stamps (arrays ``values``, row by row) around ``centres`` (frame_id, star, y, x), shifted to lie inside the frame."""
+    size = frame_size(px).select("frame_id", "width", "height")
+    low = lambda c, full: clamp(F.floor(c) - side // 2, F.lit(0), F.greatest(F.lit(0), F.col(full) - side)).cast("long")
+    b = centres.join(size, "frame_id").select("frame_id", "star", low(F.col("y"), "height").alias("y0"), low(F.col("x"), "width").alias("x0"))
+    lines = b.withColumn("y", F.explode(F.expr(f"sequence(y0, y0 + {side - 1})")))
+    hit = px.select("frame_id", "y", "x", F.col(value).alias("v")).join(lines, ["frame_id", "y"]).where(f"x >= x0 AND x < x0 + {side}")
+    cut = hit.groupBy("frame_id", "star", "y0", "x0").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))  # side x side values at most
+    return cut.select("frame_id", "star", "y0", "x0", F.col("p.v").alias("values"))
+
+
+def normalise_stamps(stamped: DataFrame, q: float = 0.995, soft: float = 0.15) -> DataFrame:
+    """asinh view of stamps (arrays ``values``): above the median, over ``soft`` times the q quantile, clamped to [0, 1]."""
     from framequarry.functions.order_stats import array_median, sorted_quantile
 
-    s = stamps.withColumn("v", F.transform("values", lambda v: v - array_median(F.col("values"))))
-    s = s.withColumn("top", F.greatest(sorted_quantile(F.col("v"), q), F.lit(1e-9)))
-    return s.withColumn("values", F.transform("v", lambda v: F.asinh(clamp(v / F.col("top"), 0.0, 1.0) * 10.0) / F.asinh(F.lit(10.0)))).drop("v", "top")
+    s = stamped.withColumn("v", F.transform("values", lambda v: F.greatest(F.lit(0.0), v - array_median(F.col("values")))))
+    s = s.withColumn("top", F.greatest(sorted_quantile(F.col("v"), q), F.lit(1e-6)))
+    return s.withColumn("values", F.transform("v", lambda v: clamp(F.asinh(v / (F.col("top") * soft)) / F.asinh(F.lit(1 / soft)), 0.0, 1.0))).drop("v", "top")

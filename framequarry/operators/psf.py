@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, upper_median
+from framequarry.functions.store import materialize
 
 CUT, WIN = 29, 9
 
@@ -176,7 +177,8 @@ def _spaced(nstar: int, least: float):
 
 
 def topk_spaced(found: DataFrame, nstar: int = 4, least: float = 1.3 * CUT) -> DataFrame:
-    """Best stars of each zone, greedily, no two closer than ``least``."""
+    """Best stars of each zone, greedily, no two closer than ``least``; of measured stars, so that a star whose moments
+    fail takes no place from a later one."""
     return found.groupBy("frame_id", "gy", "gx").applyInPandas(_spaced(nstar, least), found.schema)
 
 
@@ -209,8 +211,8 @@ def zone_summary(stars: DataFrame, boxes: DataFrame, grid: int = 3) -> DataFrame
 
 def plate(px: DataFrame, grid: int = 3, nstar: int = 4) -> tuple[DataFrame, DataFrame]:
     """(stars, zones) of the frames of ``px`` (frame_id, y, x, luma)."""
-    boxes = zones(px, grid).cache()
+    boxes = materialize(zones(px, grid), "psf-zones")
     spots = candidates(highpass(zone_pixels(px, boxes)))
     spots = spots.join(boxes.select("frame_id", "gy", "gx", "y0", "x0"), ["frame_id", "gy", "gx"]).select("frame_id", "gy", "gx", (F.col("zy") + F.col("y0")).alias("y"), (F.col("zx") + F.col("x0")).alias("x"))
-    found = measure(px, topk_spaced(star_gate(px, spots), nstar)).cache()
+    found = materialize(topk_spaced(measure(px, star_gate(px, spots)), nstar), "psf-stars")
     return found, zone_summary(found, boxes, grid)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framequarry.functions.text import general
+
 SCHEMA_VERSION = 3
 HEAD_BYTES = 65536
 
@@ -34,9 +37,18 @@ def misses(keys: DataFrame, store: DataFrame, version: int = SCHEMA_VERSION) ->
 
 
 def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
-    """Union in which the newest row of a key stays; of equally new ones the highest version."""
+    """Union in which the newest row of a key stays; of equally new ones the highest version, then the new one.
+
+    ``store`` has one row per key, ``new`` may repeat keys. Only ``new`` is sorted; the store meets the keys of ``new``
+    in a join, so a small batch is broadcast and the store is not shuffled.
+    """
     w = Window.partitionBy("cache_key").orderBy(F.col("computed_at").desc(), F.col("schema_version").desc())
-    return store.unionByName(new).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    newest = new.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    age = F.struct("computed_at", "schema_version")
+    there = store.join(newest.select("cache_key", age.alias("__new")), "cache_key", "left").where(F.col("__new").isNull() | (age > F.col("__new")))
+    met = store.select("cache_key", age.alias("__old")).join(newest.select("cache_key"), "cache_key", "left_semi")
+    fresh = newest.join(met, "cache_key", "left").where(F.col("__old").isNull() | (age >= F.col("__old")))
+    return there.select(*store.columns).unionByName(fresh.select(*new.columns))
 
 
 def save(results: DataFrame, path: str) -> None:
@@ -44,6 +56,21 @@ def save(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("schema_version").parquet(path)
 
 
+def append(results: DataFrame, path: str) -> None:
+    """Add rows to a result table on disk; what is there stays untouched, so the cost is that of the new rows."""
+    results.write.mode("append").partitionBy("schema_version").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The result table on disk, or None before its first rows."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def top_per_folder(rows: DataFrame, k: int, by: str = "hfr_median", folder: str = "dir", tie: str = "frame_id", descending: bool = False) -> DataFrame:
     """The k best rows of each folder; nulls last."""
     order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
@@ -51,9 +78,10 @@ def top_per_folder(rows: DataFrame, k: int, by: str = "hfr_median", folder: str
 
 
 def natural_key(name: Column) -> Column:
-    """Case-insensitive sort key in which runs of digits order as numbers."""
+    """Case-insensitive sort key in which runs of digits, however long, order as numbers: by their length, then as text."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
-    return F.concat_ws("", F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)))
+    number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.concat_ws("", F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)))
 
 
 def natural_sort(files: DataFrame, name: str = "name") -> DataFrame:
@@ -71,7 +99,7 @@ def quality_columns(catalog: DataFrame, analysis: DataFrame, version: int = SCHE
     """Catalog rows with their quality columns: pixel statistics on success, star columns only with stars."""
     a = current(analysis, version)
     ok, stars = F.col("success"), F.col("success") & (F.col("star_count") > 0)
-    shown = lambda v, n: F.concat(F.when(v == F.floor(v), F.format_string("%d", v.cast("long"))).otherwise(v.cast("string")), F.lit(" ("), n.cast("string"), F.lit("x)"))
+    shown = lambda v, n: F.concat(general(v), F.lit(" ("), n.cast("string"), F.lit("x)"))
     cols = [F.when(stars, F.col("star_count")).cast("long").alias("star_count")]
     cols += [F.when(stars, F.round(src, 2)).alias(name) for src, name in (("hfr_median", "hfr"), ("hfr_stddev", "hfr_sd"), ("fwhm_median", "fwhm"), ("ecc_median", "ecc"))]
     cols += [F.when(ok, F.round(src, 0)).alias(name) for src, name in (("pix_mean", "stat_mean"), ("pix_stddev", "stat_sd"), ("pix_median", "stat_median"), ("pix_mad", "stat_mad"))]
@@ -81,5 +109,5 @@ def quality_columns(catalog: DataFrame, analysis: DataFrame, version: int = SCHE
 
 def check_line(frames: DataFrame) -> DataFrame:
     """One summary text per frame: size, headers, extremes, stars, hfr."""
-    text = F.format_string("%dx%d headers=%d min=%d max=%d stars=%d hfr=%.2f", F.col("width"), F.col("height"), F.col("headers"), F.col("src_min").cast("long"), F.col("src_max").cast("long"), F.col("star_count"), F.col("hfr"))
+    text = F.format_string("OK %dx%d headers=%d min=%.3f max=%.3f stars=%d hfr=%.2f", *[F.col(c) for c in ("width", "height", "headers", "src_min", "src_max", "star_count", "hfr_median")])
     return frames.select("frame_id", text.alias("line"))

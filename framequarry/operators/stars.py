@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, array_median, upper_median
+from framequarry.functions.store import materialize, release
 
 FWHM_SIGMA = 2.3548200450309493
 
@@ -156,10 +157,18 @@ def summary(frames: DataFrame, stars: DataFrame) -> DataFrame:
     return out.select("frame_id", F.coalesce("star_count", F.lit(0)).alias("star_count"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("hfr_median", "hfr_stddev", "fwhm_median", "ecc_median")])
 
 
-def detect(px: DataFrame, tile: int = 64, k: float = 4.0, least_area: int = 5, most_area: int = 2000, **cuts) -> DataFrame:
-    """Stars of all frames of ``px`` (with luma): the whole chain."""
-    mesh = mesh_smooth(bg_mesh(px, tile)).cache()
-    labelled = area_filter(components(threshold(px, mesh, tile, k)), least_area, most_area).cache()
-    return half_flux_radius(labelled, quality_cuts(moments(labelled), mesh, tile, **cuts))
+def sparse(px: DataFrame, tile: int = 64, k: float = 4.0, least_area: int = 5, most_area: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(labelled pixels of components of a fitting area, smoothed mesh), each written once: all that the measurements read.
+
+    Dense pixels are read here, once for the mesh and once against it, and nowhere after.
+    """
+    mesh = materialize(mesh_smooth(bg_mesh(px, tile)), "star-mesh")
+    return materialize(area_filter(components(threshold(px, mesh, tile, k)), least_area, most_area), "star-pixels"), mesh
 
 
+def detect(px: DataFrame, tile: int = 64, k: float = 4.0, least_area: int = 5, most_area: int = 2000, **cuts) -> DataFrame:
+    """Stars of all frames of ``px`` (with luma): the whole chain, over tables that are written once."""
+    labelled, mesh = sparse(px, tile, k, least_area, most_area)
+    found = materialize(half_flux_radius(labelled, quality_cuts(moments(labelled), mesh, tile, **cuts)), "stars")
+    release(labelled, mesh)
+    return found

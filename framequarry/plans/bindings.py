@@ -105,12 +105,12 @@ def _results(o: DataFrame, version, later: float) -> DataFrame:
     return o.select(
         F.sha2(k.cast("string"), 256).alias("cache_key"), version.cast("int").alias("schema_version"), (F.unix_timestamp("o_orderdate") + later).cast("long").alias("computed_at"), (k % 10 != 0).alias("success"), (k % 40).cast("int").alias("star_count"),
         (F.col("o_totalprice") / 100000).alias("hfr_median"), (F.col("o_totalprice") / 1000000).alias("hfr_stddev"), (F.col("o_totalprice") / 50000).alias("fwhm_median"), (k % 100 / 100.0).alias("ecc_median"),
-        (F.col("o_totalprice") / 10).alias("pix_mean"), (F.col("o_custkey") / 7.0).alias("pix_stddev"), F.col("o_totalprice").alias("pix_median"), (F.col("o_custkey") / 3.0).alias("pix_mad"), (k % 500).cast("double").alias("pix_min"), (k % 9 + 1).alias("pix_min_count"), (65535 - k % 3).cast("double").alias("pix_max"), (k % 11 + 1).alias("pix_max_count"),
+        (F.col("o_totalprice") / 10).alias("pix_mean"), (F.col("o_custkey") / 7.0).alias("pix_stddev"), F.col("o_totalprice").alias("pix_median"), (F.col("o_custkey") / 3.0).alias("pix_mad"), (k % 500 / 7.0).alias("pix_min"), (k % 9 + 1).alias("pix_min_count"), ((65535 - k % 3) * (1 + k % 40)).cast("double").alias("pix_max"), (k % 11 + 1).alias("pix_max_count"),
     )
 
 
 _RESULT = """SELECT sha256(o_orderkey::VARCHAR) AS cache_key, CAST({version} AS INTEGER) AS schema_version, CAST(epoch(o_orderdate) + {later} AS BIGINT) AS computed_at, o_orderkey % 10 <> 0 AS success, CAST(o_orderkey % 40 AS INTEGER) AS star_count,
   o_totalprice / 100000 AS hfr_median, o_totalprice / 1000000 AS hfr_stddev, o_totalprice / 50000 AS fwhm_median, o_orderkey % 100 / 100.0::DOUBLE AS ecc_median, o_totalprice / 10 AS pix_mean, o_custkey / 7.0::DOUBLE AS pix_stddev, o_totalprice AS pix_median,
-  o_custkey / 3.0::DOUBLE AS pix_mad, CAST(o_orderkey % 500 AS DOUBLE) AS pix_min, o_orderkey % 9 + 1 AS pix_min_count, CAST(65535 - o_orderkey % 3 AS DOUBLE) AS pix_max, o_orderkey % 11 + 1 AS pix_max_count FROM orders"""
+  o_custkey / 3.0::DOUBLE AS pix_mad, o_orderkey % 500 / 7.0::DOUBLE AS pix_min, o_orderkey % 9 + 1 AS pix_min_count, CAST((65535 - o_orderkey % 3) * (1 + o_orderkey % 40) AS DOUBLE) AS pix_max, o_orderkey % 11 + 1 AS pix_max_count FROM orders"""
 STORE = f"store AS ({_RESULT.format(version='2 + o_orderkey % 2', later='0')} WHERE o_orderkey % 3 = 0)"
 INCOMING = f"incoming AS ({_RESULT.format(version='3', later='86400')})"

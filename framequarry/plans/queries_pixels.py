@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.operators import background, pixels, psf, stars, tilt
+from framequarry.operators import analysis, background, pixels, psf, stars, tilt
 
 from . import bindings as b
 
@@ -94,21 +94,34 @@ def px_apply_stretch(spark: SparkSession, sf: str) -> DataFrame:
     return pixels.apply_stretch(px.drop("dir"), pixels.auto_stretch(px))
 
 
-@query("px_thumbnail", f"""WITH {b.MONO}, z AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY 1), s AS (SELECT *, least(1.0::DOUBLE, 16.0::DOUBLE / w, 12.0::DOUBLE / h) AS k FROM z),
+@query("px_thumbnail", f"""WITH {b.MONO}, {STRETCH}, z AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY 1), s AS (SELECT *, least(1.0::DOUBLE, 16.0::DOUBLE / w, 12.0::DOUBLE / h) AS k FROM z),
 o AS (SELECT *, CAST(greatest(1, floor(w * k + 0.5)) AS BIGINT) AS ow, CAST(greatest(1, floor(h * k + 0.5)) AS BIGINT) AS oh FROM s),
 by_ AS (SELECT frame_id, oy, least(h - 1, floor(oy * (h / oh))) AS y0, least(h, greatest(least(h - 1, floor(oy * (h / oh))) + 1, floor((oy + 1) * (h / oh)))) AS y1 FROM (SELECT *, unnest(range(oh)) AS oy FROM o)),
-bx_ AS (SELECT frame_id, ox, least(w - 1, floor(ox * (w / ow))) AS x0, least(w, greatest(least(w - 1, floor(ox * (w / ow))) + 1, floor((ox + 1) * (w / ow)))) AS x1 FROM (SELECT *, unnest(range(ow)) AS ox FROM o))
-SELECT p.frame_id, oy, ox, round(avg(r), 6) AS v FROM pixels p JOIN by_ ON by_.frame_id = p.frame_id AND p.y >= y0 AND p.y < y1 JOIN bx_ ON bx_.frame_id = p.frame_id AND p.x >= x0 AND p.x < x1 GROUP BY 1, 2, 3""")
+bx_ AS (SELECT frame_id, ox, least(w - 1, floor(ox * (w / ow))) AS x0, least(w, greatest(least(w - 1, floor(ox * (w / ow))) + 1, floor((ox + 1) * (w / ow)))) AS x1 FROM (SELECT *, unnest(range(ow)) AS ox FROM o)),
+bo AS (SELECT p.frame_id, oy, ox, avg(r) AS v FROM pixels p JOIN by_ ON by_.frame_id = p.frame_id AND p.y >= y0 AND p.y < y1 JOIN bx_ ON bx_.frame_id = p.frame_id AND p.x >= x0 AND p.x < x1 GROUP BY 1, 2, 3),
+i AS (SELECT bo.*, greatest(0, least(1, ((greatest(0, least(4095, floor((v - src_min) * 4096 / (src_max - src_min)))) + 0.5) / 4096 - shadows) / greatest(highlights - shadows, 1e-9))) AS n, midtone AS m FROM bo JOIN rg USING (frame_id) JOIN st USING (frame_id))
+SELECT frame_id, oy, ox, round(v, 6) AS v, CAST(floor(CASE WHEN n <= 0 THEN 0 WHEN n >= 1 THEN 1 WHEN m = 0.5 THEN n ELSE (m - 1) * n / ((2 * m - 1) * n - m) END * 255 + 0.5) AS BIGINT) AS v8 FROM i""")
 def px_thumbnail(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pixels.thumbnail(b.star_pixels(spark, sf), 16, 12))
+    px = b.star_pixels(spark, sf)
+    return rounded(pixels.rendered_thumbnail(px, pixels.auto_stretch(px), 16, 12))
+
+
+#: A pattern and offsets for each frame, and frames one pixel wide besides (their numbers are negative).
+CFA = f"""{b.MONO.replace("pixels AS", "given AS")}, pixels AS (SELECT frame_id, y, x, r FROM given UNION ALL SELECT -1 - frame_id, y, 0, r FROM given WHERE x = 0),
+c AS (SELECT frame_id, y, x, r, substr(['RGGB', 'BGGR', 'GRBG', 'GBRG'][abs(frame_id) % 4 + 1], CAST((y + abs(frame_id) % 2) % 2 * 2 + (x + abs(frame_id) // 2 % 2) % 2 + 1 AS BIGINT), 1) AS s FROM pixels)"""
 
 
-@query("px_debayer", f"""WITH {b.MONO}, c AS (SELECT frame_id, y, x, r, CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 'R' WHEN y % 2 = 1 AND x % 2 = 1 THEN 'B' ELSE 'G' END AS s FROM pixels),
+@query("px_debayer", f"""WITH {CFA},
 n AS (SELECT a.frame_id, a.y, a.x, any_value(a.s) AS s, any_value(a.r) AS own, avg(d.r) FILTER (d.s = 'R') AS r, avg(d.r) FILTER (d.s = 'G') AS g, avg(d.r) FILTER (d.s = 'B') AS b
  FROM c a JOIN c d ON a.frame_id = d.frame_id AND d.y BETWEEN a.y - 1 AND a.y + 1 AND d.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3)
-SELECT frame_id, y, x, round(CASE WHEN s = 'R' THEN own ELSE coalesce(r, 0) END, 6) AS r, round(CASE WHEN s = 'G' THEN own ELSE coalesce(g, 0) END, 6) AS g, round(CASE WHEN s = 'B' THEN own ELSE coalesce(b, 0) END, 6) AS b FROM n""")
+SELECT frame_id, y, x, round(CASE WHEN s = 'R' THEN own ELSE coalesce(r, own) END, 6) AS r, round(CASE WHEN s = 'G' THEN own ELSE coalesce(g, own) END, 6) AS g, round(CASE WHEN s = 'B' THEN own ELSE coalesce(b, own) END, 6) AS b FROM n""")
 def px_debayer(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pixels.debayer(b.star_pixels(spark, sf), "RGGB"))
+    px = b.star_pixels(spark, sf).select("frame_id", "y", "x", "r")
+    px = px.union(px.where("x = 0").select(-1 - F.col("frame_id"), "y", "x", "r"))
+    k = F.abs("frame_id")
+    pattern = F.element_at(F.array(*map(F.lit, ("RGGB", "BGGR", "GRBG", "GBRG"))), (k % 4 + 1).cast("int"))
+    patterns = px.select("frame_id").distinct().select("frame_id", pattern.alias("pattern"), (F.floor(k / 2) % 2).alias("dx"), (k % 2).alias("dy"))
+    return rounded(pixels.debayer(px, patterns=patterns, tile=16))
 
 
 @query("px_bayer_pattern", """WITH c AS (SELECT o_orderkey AS frame_id, ' ''' || lower(['RGGB', 'bggr', 'GRBG', 'XXXX'][o_orderkey % 4 + 1]) || ' '' ' AS pat, (o_custkey % 5 - 2)::INTEGER AS xo, (o_custkey % 3)::INTEGER AS yo FROM orders)
@@ -136,7 +149,18 @@ def px_cutouts(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("frame_id", "gy", "gx", "n", F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 6).alias("total"), F.element_at("values", 1).alias("first_value"))
 
 
-MONO_STATS = f"WITH {b.MONO}, ms AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h, min(r) AS lo, max(r) AS hi, count(*) FILTER (r > 100) AS n FROM pixels GROUP BY 1)"
+@query("px_star_stamps", f"""WITH {b.MONO}, z AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h, arg_max(y * 50 + x, r) AS k FROM (SELECT * FROM pixels ORDER BY y, x) GROUP BY 1),
+o AS (SELECT frame_id, greatest(0, least(k // 50 - 14, greatest(0, h - 29))) AS y0, greatest(0, least(k % 50 - 14, greatest(0, w - 29))) AS x0 FROM z),
+v AS (SELECT o.frame_id, y0, x0, y, x, r FROM o JOIN pixels p ON p.frame_id = o.frame_id AND y >= y0 AND y < y0 + 29 AND x >= x0 AND x < x0 + 29), m AS (SELECT frame_id, {upper('r')} AS med FROM v GROUP BY 1),
+d AS (SELECT v.*, greatest(0, r - med) AS d FROM v JOIN m USING (frame_id)), q AS (SELECT frame_id, greatest(1e-6, list_sort(list(d))[CAST(floor(0.995::DOUBLE * (count(*) - 1)) AS BIGINT) + 1]) AS p FROM d GROUP BY 1)
+SELECT frame_id, any_value(y0) AS y0, any_value(x0) AS x0, count(*) AS n, round(sum(greatest(0, least(1, asinh(d / (p * 0.15)) / asinh(1 / 0.15)))), 5) AS total FROM d JOIN q USING (frame_id) GROUP BY 1""")
+def px_star_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    """The asinh view of a 29 x 29 stamp around the brightest pixel of each frame."""
+    px = b.star_pixels(spark, sf)
+    top = px.groupBy("frame_id").agg(F.max_by(F.struct("y", "x"), F.struct("r", -(F.col("y") * 50 + F.col("x")))).alias("c")).select("frame_id", F.lit(0).alias("star"), "c.y", "c.x")
+    v = pixels.normalise_stamps(pixels.stamps(px, top))
+    return v.select("frame_id", "y0", "x0", F.size("values").cast("long").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, c: a + c), 5).alias("total"))
+
 
 # Stars, on 50 x 50 frames: cells of 8 pixels, a lower threshold.
 TILE, K = 8, 1.5
@@ -224,45 +248,50 @@ def star_area_filter(spark: SparkSession, sf: str) -> DataFrame:
     return stars.area_filter(stars.components(_sparse(_mono(spark, sf)))).select("frame_id", "y", "x", "label")
 
 
-@query("star_moments", f"{MOMENTS} SELECT frame_id, label, area, {R6('flux', 'peak', 'cx', 'cy', 'fwhm', 'ecc')} FROM mo")
+@query("star_moments", f"{MOMENTS} SELECT frame_id, label, area, {R6('flux', 'peak', 'cx', 'cy', 'fwhm', 'ecc')}, round(abs(theta), 4) AS turned FROM mo")
 def star_moments(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stars.moments(stars.area_filter(stars.components(_sparse(_mono(spark, sf))))).drop("theta"))
+    return rounded(stars.moments(stars.sparse(_mono(spark, sf), TILE, K)[0]).withColumn("turned", F.round(F.abs("theta"), 4)).drop("theta"))
 
 
-def _detected(px: DataFrame) -> tuple[DataFrame, DataFrame]:
-    labelled = stars.area_filter(stars.components(_sparse(px)))
-    return labelled, stars.quality_cuts(stars.moments(labelled), _mesh(px), TILE)
+def _cut(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labelled pixels, stars that pass the cuts), over tables that are written once."""
+    labelled, mesh = stars.sparse(px, TILE, K)
+    return labelled, stars.quality_cuts(stars.moments(labelled), mesh, TILE)
 
 
-@query("star_quality_cuts", f"{CUTS} SELECT frame_id, label, area, {R6('flux', 'peak', 'fwhm', 'ecc')} FROM qc")
+@query("star_quality_cuts", f"{CUTS} SELECT frame_id, label, area, {R6('flux', 'peak', 'cx', 'cy', 'fwhm', 'ecc')}, round(abs(theta), 4) AS turned FROM qc")
 def star_quality_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_detected(_mono(spark, sf))[1].drop("theta", "cx", "cy"))
+    return rounded(_cut(_mono(spark, sf))[1].withColumn("turned", F.round(F.abs("theta"), 4)).drop("theta"))
 
 
 @query("star_hfr", f"{HFR} SELECT frame_id, label, {R6('hfr', 'fwhm', 'flux')} FROM sr")
 def star_hfr(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(stars.half_flux_radius(*_detected(_mono(spark, sf))).select("frame_id", "label", "hfr", "fwhm", "flux"))
+    return rounded(stars.half_flux_radius(*_cut(_mono(spark, sf))).select("frame_id", "label", "hfr", "fwhm", "flux"))
 
 
-def star_rows(spark: SparkSession, sf: str) -> DataFrame:
+@query("star_summary", f"{SUMMARY} SELECT frame_id, star_count, {R6('hfr_median', 'hfr_stddev', 'fwhm_median', 'ecc_median')} FROM su")
+def star_summary(spark: SparkSession, sf: str) -> DataFrame:
     px = _mono(spark, sf)
-    found = stars.half_flux_radius(*_detected(px))
-    return stars.summary(px.select("frame_id").distinct(), found).join(px.select("frame_id", "dir").distinct(), "frame_id")
+    return rounded(stars.summary(px.select("frame_id").distinct(), stars.detect(px, TILE, K)))
 
 
-@query("star_summary", f"{SUMMARY} SELECT frame_id, star_count, {R6('hfr_median', 'hfr_stddev', 'fwhm_median', 'ecc_median')} FROM su")
-def star_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(star_rows(spark, sf).drop("dir"))
+@query("star_detailed", f"{HFR} SELECT frame_id, {R6('cx', 'cy', 'flux', 'hfr', 'fwhm', 'ecc')}, round(abs(theta), 4) AS turned, area FROM sr")
+def star_detailed(spark: SparkSession, sf: str) -> DataFrame:
+    """All stars of all frames with their measurements, as the summary counts them."""
+    found = stars.detect(_mono(spark, sf), TILE, K)
+    return rounded(found.select("frame_id", "cx", "cy", "flux", "hfr", "fwhm", "ecc", F.round(F.abs("theta"), 4).alias("turned"), "area"))
 
 
-@query("star_full_analysis", f"""{SUMMARY}, ps AS (SELECT frame_id, avg(r) AS pix_mean, coalesce(stddev_samp(r), 0) AS pix_stddev, min(r) AS pix_min, max(r) AS pix_max FROM pixels GROUP BY 1)
-SELECT su.frame_id, su.dir, star_count, {R6('hfr_median', 'fwhm_median', 'ecc_median', 'pix_mean', 'pix_stddev')}, pix_min, pix_max, row_number() OVER (PARTITION BY su.dir ORDER BY hfr_median, su.frame_id) AS rank FROM su JOIN ps USING (frame_id)""")
+@query("star_full_analysis", f"""{SUMMARY}, ps AS (SELECT frame_id, avg(r) AS pix_mean, coalesce(stddev_samp(r), 0) AS pix_stddev, {upper('r')} AS pix_median, min(r) AS pix_min, max(r) AS pix_max FROM pixels GROUP BY 1),
+pm AS (SELECT ps.*, {upper('abs(r - pix_median)')} AS pix_mad, count(*) FILTER (r = pix_min) AS pix_min_count, count(*) FILTER (r = pix_max) AS pix_max_count FROM pixels JOIN ps USING (frame_id) GROUP BY ALL)
+SELECT su.frame_id, su.dir, star_count, {R6('hfr_median', 'hfr_stddev', 'fwhm_median', 'ecc_median', 'pix_mean', 'pix_stddev', 'pix_median', 'pix_mad')}, pix_min, pix_min_count, pix_max, pix_max_count, row_number() OVER (PARTITION BY su.dir ORDER BY hfr_median, su.frame_id) AS rank FROM su JOIN pm USING (frame_id)""")
 def star_full_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    """Pixels to ranked frames: statistics, stars, summary and the sharpest frames of each folder."""
+    """Pixels to ranked frames: the whole analysis row, and the sharpest frames of each folder first."""
     from framequarry.operators.results import top_per_folder
 
-    s = star_rows(spark, sf).join(pixels.stats(b.star_pixels(spark, sf), "r").drop("pix_min_count", "pix_max_count"), "frame_id")
-    return rounded(top_per_folder(s, 2**31 - 1)).drop("hfr_stddev")
+    px = b.star_pixels(spark, sf)
+    rows, _ = analysis.analyse(px.select("frame_id", "y", "x", "r"), tile=TILE, k=K)
+    return rounded(top_per_folder(rows.join(px.select("frame_id", "dir").distinct(), "frame_id"), 2**31 - 1))
 
 
 TCELL = f"""WITH {b.STARS}, tc AS (SELECT frame_id, CAST(greatest(0, least(2, floor(y * 3 / 800))) AS BIGINT) AS gy, CAST(greatest(0, least(2, floor(x * 3 / 1000))) AS BIGINT) AS gx, count(*) AS n, {upper('hfr')} AS hfr, avg(ecc) AS ecc FROM stars GROUP BY 1, 2, 3),
@@ -298,8 +327,11 @@ def grid_rotate(spark: SparkSession, sf: str) -> DataFrame:
 # Background on the colour binding: 6 x 8 cells.
 BR, BC = 6, 8
 FLOOR = f"""{RGBL}, z AS (SELECT frame_id, (max(y) + 1) // 6 AS bh, (max(x) + 1) // 8 AS bw FROM px GROUP BY 1), fl AS (SELECT px.frame_id, y // bh AS i, x // bw AS j, list_sort(list(luma))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS b0 FROM px JOIN z USING (frame_id) WHERE y // bh < 6 AND x // bw < 8 GROUP BY 1, 2, 3)"""
-#: For the diagnostics the twin takes the cell floors as the surface.
-SURF = f"""{FLOOR}, sf AS (SELECT *, b0 AS surface, (i - 2.5) / 2.5 AS yn, (j - 3.5) / 3.5 AS xn, sqrt((i - 2.5) / 2.5 * ((i - 2.5) / 2.5) + (j - 3.5) / 3.5 * ((j - 3.5) / 3.5)) / sqrt(2.0::DOUBLE) AS r FROM fl), lv AS (SELECT frame_id, CASE WHEN {upper('surface')} = 0 THEN 1e-6 ELSE {upper('surface')} END AS bg FROM sf GROUP BY 1)"""
+#: Surface of the first round, in closed form: on a full grid 1, y, x, xy, y2 - mean and x2 - mean are orthogonal.
+SURF = f"""{FLOOR}, cf AS (SELECT *, (i - 2.5) / 2.5 AS yn, (j - 3.5) / 3.5 AS xn FROM fl), av AS (SELECT frame_id, avg(yn * yn) AS qy, avg(xn * xn) AS qx FROM cf GROUP BY 1),
+ft AS (SELECT frame_id, any_value(qy) AS qy, any_value(qx) AS qx, avg(b0) AS k0, sum(b0 * yn) / sum(yn * yn) AS ky, sum(b0 * xn) / sum(xn * xn) AS kx, sum(b0 * xn * yn) / sum(xn * yn * xn * yn) AS kxy,
+ sum(b0 * (yn * yn - qy)) / sum((yn * yn - qy) * (yn * yn - qy)) AS kyy, sum(b0 * (xn * xn - qx)) / sum((xn * xn - qx) * (xn * xn - qx)) AS kxx FROM cf JOIN av USING (frame_id) GROUP BY 1),
+sf AS (SELECT cf.*, k0 + ky * yn + kx * xn + kxy * xn * yn + kyy * (yn * yn - qy) + kxx * (xn * xn - qx) AS surface, sqrt(yn * yn + xn * xn) / sqrt(2.0::DOUBLE) AS r FROM cf JOIN ft USING (frame_id)), lv AS (SELECT frame_id, CASE WHEN {upper('surface')} = 0 THEN 1e-6 ELSE {upper('surface')} END AS bg FROM sf GROUP BY 1)"""
 
 
 def _floor(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,15 +348,21 @@ def bg_surface_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(background.surface_fit(_floor(spark, sf), BR, BC))
 
 
-def _flat(spark: SparkSession, sf: str) -> DataFrame:
-    return _floor(spark, sf).withColumn("surface", F.col("b0"))
+@query("bg_surface_first", f"{SURF} SELECT frame_id, i, j, round(b0, 6) AS b0, round(surface, 6) AS surface FROM sf")
+def bg_surface_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The surface of the first round, before cells are left out."""
+    return rounded(_fitted(spark, sf))
+
+
+def _fitted(spark: SparkSession, sf: str) -> DataFrame:
+    return background.surface_fit(_floor(spark, sf), BR, BC, rounds=1)
 
 
 @query("bg_radial_profile", f"""{SURF}, rg AS (SELECT frame_id, greatest(0, least(11, floor(round(r * 12, 9)))) AS k, count(*) AS n, {upper('surface')} AS med, stddev_pop(surface) AS sd FROM sf GROUP BY 1, 2 HAVING count(*) >= 3),
 pr AS (SELECT frame_id, arg_min(med, k) AS a, arg_max(med, k) AS e, avg(sd) AS sd FROM rg GROUP BY 1)
 SELECT lv.frame_id, round(bg, 6) AS bg_median, round(CASE WHEN coalesce(a, bg) <> 0 THEN (coalesce(a, bg) - coalesce(e, bg)) / coalesce(a, bg) ELSE 0 END, 6) AS radial_drop, round(coalesce(sd, 0) / (abs(bg) + 1e-9), 6) AS azim_aniso FROM lv LEFT JOIN pr USING (frame_id)""")
 def bg_radial_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(background.radial_profile(_flat(spark, sf), BR, BC))
+    return rounded(background.radial_profile(_fitted(spark, sf), BR, BC))
 
 
 @query("bg_radial_fit", f"""{SURF}, u AS (SELECT frame_id, surface AS v, r * r AS u FROM sf), s AS (SELECT frame_id, count(*)::DOUBLE AS n, sum(u) AS a, sum(u * u) AS b2, sum(u * u * u) AS c3, sum(u * u * u * u) AS d4, sum(v) AS p, sum(u * v) AS q, sum(u * u * v) AS w FROM u GROUP BY 1),
@@ -332,31 +370,29 @@ k AS (SELECT *, n * (b2 * d4 - c3 * c3) - a * (a * d4 - c3 * b2) + b2 * (a * c3
 co AS (SELECT frame_id, (p * (b2 * d4 - c3 * c3) - a * (q * d4 - c3 * w) + b2 * (q * c3 - b2 * w)) / det AS c0, (n * (q * d4 - c3 * w) - p * (a * d4 - c3 * b2) + b2 * (a * w - q * b2)) / det AS c1, (n * (b2 * w - q * c3) - a * (a * w - q * b2) + p * (a * c3 - b2 * b2)) / det AS c2 FROM k)
 SELECT u.frame_id, round(1 - sum((v - c0 - c1 * u - c2 * u * u) * (v - c0 - c1 * u - c2 * u * u)) / CASE WHEN sum((v - bg) * (v - bg)) > 0 THEN sum((v - bg) * (v - bg)) ELSE 1e-12 END, 5) AS radial_r2 FROM u JOIN co USING (frame_id) JOIN lv USING (frame_id) GROUP BY 1""")
 def bg_radial_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(background.radial_fit(_flat(spark, sf), BR, BC), 5)
+    return rounded(background.radial_fit(_fitted(spark, sf), BR, BC), 5)
 
 
 @query("bg_plane_fit", f"""{SURF}, m AS (SELECT frame_id, sum(xn * surface) / sum(xn * xn) AS a, sum(yn * surface) / sum(yn * yn) AS e, avg(surface) AS c FROM sf GROUP BY 1)
 SELECT sf.frame_id, round(any_value(2 * (abs(a) + abs(e)) / bg), 6) AS amplitude, round(any_value(CASE WHEN degrees(atan2(e, a)) < 0 THEN degrees(atan2(e, a)) + 360 ELSE degrees(atan2(e, a)) END), 5) AS direction,
  round(1 - sum((surface - a * xn - e * yn - c) * (surface - a * xn - e * yn - c)) / CASE WHEN sum((surface - bg) * (surface - bg)) > 0 THEN sum((surface - bg) * (surface - bg)) ELSE 1e-12 END, 6) AS plane_r2 FROM sf JOIN m USING (frame_id) JOIN lv USING (frame_id) GROUP BY 1""")
 def bg_plane_fit(spark: SparkSession, sf: str) -> DataFrame:
-    p = background.plane_fit(_flat(spark, sf), BR, BC)
+    p = background.plane_fit(_fitted(spark, sf), BR, BC)
     return p.select("frame_id", F.round("amplitude", 6).alias("amplitude"), F.round("direction", 5).alias("direction"), F.round("plane_r2", 6).alias("plane_r2"))
 
 
-@query("bg_corners", f"""{SURF}, rs AS (SELECT sf.*, b0 - bg AS resid FROM sf JOIN lv USING (frame_id)), md AS (SELECT frame_id, {upper('resid')} AS m FROM rs GROUP BY 1), sg AS (SELECT rs.frame_id, 1.4826::DOUBLE * {upper('abs(resid - m)')} AS sg FROM rs JOIN md USING (frame_id) GROUP BY 1),
+@query("bg_corners", f"""{SURF}, rs AS (SELECT sf.*, b0 - surface AS resid FROM sf), md AS (SELECT frame_id, {upper('resid')} AS m FROM rs GROUP BY 1), sg AS (SELECT rs.frame_id, 1.4826::DOUBLE * {upper('abs(resid - m)')} AS sg FROM rs JOIN md USING (frame_id) GROUP BY 1),
 cn AS (SELECT rs.*, c FROM rs, (VALUES (0), (1), (2), (3)) t(c) WHERE (c IN (0, 1) AND i <= 1 OR c IN (2, 3) AND i >= 4) AND (c IN (0, 2) AND j <= 1 OR c IN (1, 3) AND j >= 6)),
 pc AS (SELECT frame_id, c, {upper('resid')} AS resid, {upper('surface')} AS lev FROM cn GROUP BY 1, 2)
 SELECT pc.frame_id, round(max(resid / CASE WHEN sg > 0 THEN sg ELSE 1e-9 END), 6) AS corner_excess, round(stddev_pop(lev) / (abs(avg(lev)) + 1e-9), 6) AS corner_asymmetry FROM pc JOIN sg USING (frame_id) GROUP BY 1""")
 def bg_corners(spark: SparkSession, sf: str) -> DataFrame:
-    s = _flat(spark, sf)
-    # the twin measures cells against the background level, so the residual is b0 - bg
-    return rounded(background.corners(s.join(background.level(s), "frame_id").withColumn("b0", F.col("b0") - F.col("bg_median") + F.col("surface")).drop("bg_median"), BR, BC))
+    return rounded(background.corners(_fitted(spark, sf), BR, BC))
 
 
 @query("bg_heatmap", f"""{SURF}, q AS (SELECT frame_id, list_sort(list(surface)) AS v FROM sf GROUP BY 1), w AS (SELECT frame_id, v[CAST(floor(0.02::DOUBLE * (len(v) - 1)) AS BIGINT) + 1] AS lo, v[CAST(floor(0.98::DOUBLE * (len(v) - 1)) AS BIGINT) + 1] AS hi FROM q)
 SELECT sf.frame_id, i, j, round(greatest(0, least(1, (surface - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END)), 6) AS heat FROM sf JOIN w USING (frame_id)""")
 def bg_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(background.heatmap(_flat(spark, sf)))
+    return rounded(background.heatmap(_fitted(spark, sf)))
 
 
 # Point spread on the star binding: small zones (cut 5), so 50-pixel frames have some.
@@ -394,43 +430,47 @@ def psf_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(psf.candidates(hp, sigma=1.5, border=1).select("frame_id", "gy", "gx", "zy", "zx", "hp"))
 
 
-def _plate(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gate and moments on the same frames, with limits that noise passes."""
+#: Limits of the gate for event values, which are rather noise than stars: most candidates fail one of them.
+LIMITS = {"snr": 2.0, "core": 0.02, "neighbours": 0.05, "fwhm": (0.5, 12.0)}
+
+
+def _gated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     px, boxes = _zones(spark, sf)
     spots = psf.candidates(psf.highpass(psf.zone_pixels(px, boxes), blocks=4), sigma=1.0, border=1)
     spots = spots.join(boxes.select("frame_id", "gy", "gx", "y0", "x0"), ["frame_id", "gy", "gx"]).select("frame_id", "gy", "gx", (F.col("zy") + F.col("y0")).alias("y"), (F.col("zx") + F.col("x0")).alias("x"))
-    return px, boxes, psf.star_gate(px, spots, snr=0.5, core=0.0, neighbours=-10.0, fwhm=(0.1, 40.0))
+    return px, boxes, psf.star_gate(px, spots, **LIMITS)
 
 
 @query("psf_star_gate")
 def psf_star_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_plate(spark, sf)[2])
-
-
-@query("psf_topk_spaced")
-def psf_topk_spaced(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(psf.topk_spaced(_plate(spark, sf)[2], nstar=2, least=4.0))
+    return rounded(_gated(spark, sf)[2])
 
 
 @query("psf_adaptive_moments")
 def psf_adaptive_moments(spark: SparkSession, sf: str) -> DataFrame:
-    px, _, found = _plate(spark, sf)
-    return rounded(psf.measure(px, psf.topk_spaced(found, 2, 4.0), cut=11))
+    px, _, found = _gated(spark, sf)
+    return rounded(psf.measure(px, found, cut=11))
+
+
+@query("psf_topk_spaced")
+def psf_topk_spaced(spark: SparkSession, sf: str) -> DataFrame:
+    px, _, found = _gated(spark, sf)
+    return rounded(psf.topk_spaced(psf.measure(px, found, cut=11), nstar=2, least=4.0))
 
 
-@query("psf_zone_summary", f"""{ZONES}, sr AS (SELECT frame_id, y, x, 1 + r / 100 AS elong, r % 1 AS ecc, (r % 3) - 1.5 AS pa, y * 3 // 50 AS gy, x * 3 // 50 AS gx FROM pixels WHERE (y * 50 + x) % 7 = 0),
+@query("psf_zone_summary", f"""{ZONES}, sr AS (SELECT frame_id, y, x, 1 + r / 100 AS elong, r % 1 AS ecc, (r % 3) - 1.5 AS pa, y * 3 // 50 AS gy, x * 3 // 50 AS gx FROM pixels),
 sz AS (SELECT frame_id, gy, gx, count(*) AS n, {upper('elong')} AS elong, {upper('ecc')} AS ecc, 0.5 * atan2(avg(sin(2 * pa)), avg(cos(2 * pa))) AS pa FROM sr GROUP BY 1, 2, 3),
 zz AS (SELECT bx.frame_id, bx.gy, bx.gx, n, elong, ecc, pa, abs(fmod(abs(pa - atan2(cy - h / 2.0::DOUBLE, cx - w / 2.0::DOUBLE) + pi() / 2), pi()) - pi() / 2) AS d FROM bx LEFT JOIN sz ON sz.frame_id = bx.frame_id AND sz.gy = bx.gy AND sz.gx = bx.gx)
 SELECT frame_id, gy, gx, coalesce(n, 0) AS n, round(coalesce(elong, 0), 6) AS elong, round(coalesce(ecc, 0), 6) AS ecc, round(coalesce(pa, 0), 6) AS pa, CASE WHEN n IS NULL THEN 'none' WHEN gy = 1 AND gx = 1 THEN 'ref' WHEN d < radians(25) THEN 'radial' WHEN d > radians(65) THEN 'tangential' ELSE 'oblique' END AS axis FROM zz""")
 def psf_zone_summary(spark: SparkSession, sf: str) -> DataFrame:
     px, boxes = _zones(spark, sf)
     v = F.col("luma")
-    made = px.where((F.col("y") * 50 + F.col("x")) % 7 == 0).select("frame_id", F.floor(F.col("y") * 3 / 50).alias("gy"), F.floor(F.col("x") * 3 / 50).alias("gx"), (1 + v / 100).alias("elong"), (v % 1).alias("ecc"), (v % 3 - 1.5).alias("pa"))
+    made = px.select("frame_id", F.floor(F.col("y") * 3 / 50).alias("gy"), F.floor(F.col("x") * 3 / 50).alias("gx"), (1 + v / 100).alias("elong"), (v % 1).alias("ecc"), (v % 3 - 1.5).alias("pa"))
     return rounded(psf.zone_summary(made, boxes))
 
 
 @query("psf_zone_summary_stars")
 def psf_zone_summary_stars(spark: SparkSession, sf: str) -> DataFrame:
-    """Zone summary of the stars of psf_adaptive_moments; no SQL form, as psf_adaptive_moments has none."""
-    px, boxes, found = _plate(spark, sf)
-    return rounded(psf.zone_summary(psf.measure(px, psf.topk_spaced(found, 2, 4.0), cut=11), boxes))
+    """Zone summary of the stars of psf_topk_spaced; no SQL form, as the moments have none."""
+    px, boxes, found = _gated(spark, sf)
+    return rounded(psf.zone_summary(psf.topk_spaced(psf.measure(px, found, cut=11), 2, 4.0), boxes))

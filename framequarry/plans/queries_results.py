@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.operators import results
+from framequarry.functions.store import shared_dir
+from framequarry.operators import analysis, pixels, results
 from framequarry.sources import frames, headers
 from framequarry.streaming import ingest
 
 from . import bindings as b
-from .queries_pixels import MONO_STATS
+from .queries_pixels import SUMMARY, TILE, K, rounded, upper
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -61,8 +62,8 @@ def _fits_files(spark: SparkSession, sf: str) -> DataFrame:
 TRIMMED = "CASE WHEN regexp_matches(trim(value), '^''.*''$') AND length(trim(value)) >= 2 THEN rtrim(substr(trim(value), 2, length(trim(value)) - 2)) ELSE trim(value) END"
 
 
-@query("src_fits_cards", f"""WITH {b.CARDS}, c AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY card_idx) AS card_idx, upper(key) AS key, CASE WHEN contains(value, '/') THEN trim(split_part(value, '/', 1)) ELSE {TRIMMED} END AS value, CASE WHEN contains(value, '/') THEN trim(split_part(value, '/', 2)) ELSE '' END AS comment FROM cards WHERE key <> 'object'),
-a AS (SELECT * FROM c UNION ALL SELECT DISTINCT frame_id, 0, 'SIMPLE', 'T', 'standard' FROM c) SELECT * FROM a WHERE frame_id % 3 <> 0 OR card_idx <= 8""")
+@query("src_fits_cards", f"""WITH {b.CARDS}, c AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY card_idx) + 1 AS card_idx, upper(key) AS key, CASE WHEN contains(value, '/') THEN trim(split_part(value, '/', 1)) ELSE {TRIMMED} END AS value, CASE WHEN contains(value, '/') THEN trim(split_part(value, '/', 2)) ELSE '' END AS comment FROM cards WHERE key <> 'object'),
+a AS (SELECT * FROM c UNION ALL SELECT DISTINCT frame_id, 0, 'SIMPLE', 'T', 'standard' FROM c UNION ALL SELECT DISTINCT frame_id, 1, 'COMMENT', '', 'free text' FROM c) SELECT * FROM a WHERE frame_id % 3 <> 0 OR card_idx <= 9""")
 def src_fits_cards(spark: SparkSession, sf: str) -> DataFrame:
     return frames.fits_cards(_fits_files(spark, sf))
 
@@ -87,26 +88,35 @@ def src_xisf_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pixel_files(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    """Frames of the star binding written as FITS (floats) or XISF (16 bit) bytes, one file per frame, by Spark functions."""
+    """Frames of the star binding written as FITS or XISF bytes (16 bit), one file per frame, by Spark functions.
+
+    A last row that the table does not fill ends in zeros.
+    """
     px = b.star_pixels(spark, sf)
-    whole = px.groupBy("frame_id").agg(F.count("*").alias("n")).where("n = 2500")
-    p = px.join(whole, "frame_id")
     v = F.lpad(F.hex(F.floor("r").cast("long") % 65536), 4, "0")
     if kind == "fits":
-        row = F.lit(49) - F.col("y")  # FITS rows run upwards
-        card = lambda s: F.rpad(F.lit(s), 80, " ")
-        head = F.concat(*[card(s) for s in ("SIMPLE  =                    T", "BITPIX  =                   16", "NAXIS   =                    2", "NAXIS1  =                   50", "NAXIS2  =                   50", "BZERO   =                32768", "BSCALE  =                    1", "END")])
         v = F.lpad(F.hex(F.pmod(F.floor("r").cast("long") - 32768, F.lit(65536))), 4, "0")
+        order, zero = -F.col("y"), "8000"  # FITS rows run upwards; 0 is stored as -32768
+    else:
+        v, order, zero = F.concat(F.substring(v, 3, 2), F.substring(v, 1, 2)), F.col("y"), "0000"
+    joined = lambda items: F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda s: s["v"]), "")
+    rows = px.groupBy("frame_id", "y").agg(F.rpad(joined(F.struct("x", v.alias("v"))), 200, zero).alias("line"))
+    whole = rows.groupBy("frame_id").agg(joined(F.struct(order.alias("k"), F.col("line").alias("v"))).alias("hex"), (F.max("y") + 1).cast("string").alias("h"))
+    if kind == "fits":
+        card = lambda k, value: F.rpad(F.concat(F.rpad(F.lit(k), 8, " "), F.lit("= "), F.lpad(value, 20, " ")), 80, " ")
+        head = F.concat(card("SIMPLE", F.lit("T")), card("BITPIX", F.lit("16")), card("NAXIS", F.lit("2")), card("NAXIS1", F.lit("50")), card("NAXIS2", F.col("h")), card("BZERO", F.lit("32768")), card("BSCALE", F.lit("1")), F.rpad(F.lit("END"), 80, " "))
         lead = F.encode(F.rpad(head, 2880, " "), "US-ASCII")
     else:
-        row, v = F.col("y"), F.concat(F.substring(v, 3, 2), F.substring(v, 1, 2))
-        xml = '<xisf><Image geometry="50:50:1" sampleFormat="UInt16" colorSpace="Gray" location="attachment:256:5000"/></xisf>'
-        lead = F.lit((b"XISF0100" + len(xml).to_bytes(4, "little") + bytes(4) + xml.encode()).ljust(256, b"\0"))
-    joined = p.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((row * 50 + F.col("x")).alias("k"), v.alias("v")))), lambda s: s["v"]), "").alias("hex"))
-    return joined.select(F.concat(F.lit("frame-"), F.col("frame_id").cast("string"), F.lit(f".{kind}")).alias("path"), F.concat(lead, F.unhex("hex")).alias("content"))
+        xml = F.encode(F.concat(F.lit('<xisf><Image geometry="50:'), "h", F.lit(':1" sampleFormat="UInt16" colorSpace="Gray" location="attachment:256:'), (F.col("h").cast("int") * 100).cast("string"), F.lit('"/></xisf>')), "UTF-8")
+        size = F.unhex(F.lpad(F.hex(F.length(xml)), 2, "0"))
+        lead = F.rpad(F.concat(F.lit(b"XISF0100"), size, F.lit(bytes(7)), xml), 256, F.lit(b"\0"))
+    return whole.select(F.concat(F.lit("frame-"), F.col("frame_id").cast("string"), F.lit(f".{kind}")).alias("path"), F.concat(lead, F.unhex("hex")).alias("content"))
 
 
-TILE_SQL = f"WITH {b.MONO}, w AS (SELECT frame_id FROM pixels GROUP BY 1 HAVING count(*) = 2500) SELECT 'frame-' || frame_id || '.{{kind}}' AS path, CAST(y // 16 AS INTEGER) AS ty, CAST(x // 16 AS INTEGER) AS tx, CAST(max(x) - min(x) + 1 AS INTEGER) AS w, CAST(max(y) - min(y) + 1 AS INTEGER) AS h, sum(floor(r)) AS total, arg_min(floor(r), y * 50 + x) AS first_value FROM pixels JOIN w USING (frame_id) GROUP BY 1, 2, 3"
+#: The pixels that those files hold.
+STORED = f"""{b.MONO.replace("pixels AS", "given AS")}, pixels AS (SELECT f.frame_id, f.y, g.x, coalesce(floor(p.r), 0) AS r, '' AS dir FROM (SELECT frame_id, unnest(range(my + 1)) AS y FROM (SELECT frame_id, max(y) AS my FROM given GROUP BY 1)) f
+ CROSS JOIN (SELECT unnest(range(50)) AS x) g LEFT JOIN given p ON p.frame_id = f.frame_id AND p.y = f.y AND p.x = g.x)"""
+TILE_SQL = f"WITH {STORED} SELECT 'frame-' || frame_id || '.{{kind}}' AS path, CAST(y // 16 AS INTEGER) AS ty, CAST(x // 16 AS INTEGER) AS tx, CAST(max(x) - min(x) + 1 AS INTEGER) AS w, CAST(max(y) - min(y) + 1 AS INTEGER) AS h, sum(r) AS total, arg_min(r, y * 50 + x) AS first_value FROM pixels GROUP BY 1, 2, 3"
 
 
 def _tiles(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -125,15 +135,15 @@ def src_xisf_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return _tiles(spark, sf, "xisf")
 
 
-@query("src_exif_cards", """WITH e AS (SELECT o_orderkey AS k, 'make' || o_custkey % 5 AS make, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'model ' || o_orderkey % 7 END AS model, o_orderkey % 8 / 4.0::DOUBLE AS shutter, o_orderkey % 5 * 100.0::DOUBLE AS iso, epoch(o_orderdate)::BIGINT * (o_orderkey % 2) AS taken FROM orders),
-n AS (SELECT k, make || CASE WHEN model = '' THEN '' ELSE ' ' || model END AS a0, CASE WHEN shutter > 0 THEN CASE WHEN shutter = floor(shutter) THEN shutter::BIGINT::VARCHAR ELSE shutter::VARCHAR END END AS a1, CASE WHEN iso > 0 THEN iso::BIGINT::VARCHAR END AS a2, '2.8' AS a3, CASE WHEN taken > 0 THEN strftime(make_timestamp(taken * 1000000), '%Y-%m-%dT%H:%M:%S') END AS a5 FROM e),
-u AS (SELECT k, 0 AS i, 'INSTRUME' AS key, a0 AS value FROM n UNION ALL SELECT k, 1, 'EXPTIME', a1 FROM n UNION ALL SELECT k, 2, 'ISO', a2 FROM n UNION ALL SELECT k, 3, 'FNUMBER', a3 FROM n UNION ALL SELECT k, 5, 'DATE-OBS', a5 FROM n)
+@query("src_exif_cards", """WITH e AS (SELECT o_orderkey AS k, 'make' || o_custkey % 5 AS make, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'model ' || o_orderkey % 7 END AS model, CASE WHEN o_orderkey % 8 < 4 THEN o_orderkey % 8 / 4.0::DOUBLE ELSE 1 / (o_orderkey % 977 * 40.0::DOUBLE + 3) END AS shutter, 50 + o_custkey / 7.0::DOUBLE AS focal, o_orderkey % 5 * 100.0::DOUBLE AS iso, epoch(o_orderdate)::BIGINT * (o_orderkey % 2) AS taken FROM orders),
+n AS (SELECT k, make || CASE WHEN model = '' THEN '' ELSE ' ' || model END AS a0, CASE WHEN shutter > 0 THEN format('{:g}', shutter) END AS a1, format('{:g}', focal) AS a4, CASE WHEN iso > 0 THEN iso::BIGINT::VARCHAR END AS a2, '2.8' AS a3, CASE WHEN taken > 0 THEN strftime(make_timestamp(taken * 1000000), '%Y-%m-%dT%H:%M:%S') END AS a5 FROM e),
+u AS (SELECT k, 0 AS i, 'INSTRUME' AS key, a0 AS value FROM n UNION ALL SELECT k, 1, 'EXPTIME', a1 FROM n UNION ALL SELECT k, 2, 'ISO', a2 FROM n UNION ALL SELECT k, 3, 'FNUMBER', a3 FROM n UNION ALL SELECT k, 4, 'FOCALLEN', a4 FROM n UNION ALL SELECT k, 5, 'DATE-OBS', a5 FROM n)
 SELECT k AS frame_id, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS card_idx, key, value FROM u WHERE value IS NOT NULL""")
 def src_exif_cards(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     exif = b.table(spark, sf, "orders").select(
         k.alias("frame_id"), F.concat(F.lit("make"), (F.col("o_custkey") % 5).cast("string")).alias("make"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("model "), (k % 7).cast("string"))).alias("model"),
-        (k % 8 / 4.0).alias("shutter"), (k % 5 * 100.0).alias("iso"), F.lit(2.8).alias("aperture"), F.lit(0.0).alias("focal_len"), (F.unix_timestamp("o_orderdate") * (k % 2)).alias("taken"),
+        F.when(k % 8 < 4, k % 8 / 4.0).otherwise(1 / (k % 977 * 40.0 + 3)).alias("shutter"), (k % 5 * 100.0).alias("iso"), F.lit(2.8).alias("aperture"), (50 + F.col("o_custkey") / 7.0).alias("focal_len"), (F.unix_timestamp("o_orderdate") * (k % 2)).alias("taken"),
     )
     return headers.exif_cards(exif)
 
@@ -184,26 +194,56 @@ f AS (SELECT frame_id, arg_min(value, card_idx) FILTER (key = 'OBJECT') AS objec
 catalog AS (SELECT frame_id, object, round(coalesce(e1, e2), 2) AS exposure_s, filter, CAST(d AS TIMESTAMP) AS date_obs, greatest(0, gain) AS gain, round(coalesce(c1, c2), 1) AS ccd_temp, CASE WHEN off IS NOT NULL THEN greatest(0, off) END AS "offset", greatest(0, foc) AS focuser_position FROM f)"""
 
 
-@query("hdr_catalog", f"WITH {b.CARDS}, {CATALOG} SELECT * FROM catalog")
+@query("hdr_catalog", f"""WITH {b.CARDS}, {CATALOG} SELECT catalog.*, NULL::VARCHAR AS telescope, NULL::VARCHAR AS instrument, NULL::VARCHAR AS bayer_pattern, NULL::DOUBLE AS focal_length, NULL::DOUBLE AS focal_ratio, NULL::VARCHAR AS image_type, NULL::VARCHAR AS software,
+ nullif(o_orderkey % 90, 0) AS width, nullif(o_orderkey % 70, 0) AS height, o_orderkey % 90 || ' x ' || o_orderkey % 70 AS dimensions FROM catalog JOIN orders ON o_orderkey = frame_id""")
 def hdr_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    c = headers.catalog(b.cards(spark, sf))
-    return c.select("frame_id", "object", "exposure_s", "filter", F.col("date_obs").cast("timestamp_ntz").alias("date_obs"), "gain", "ccd_temp", "offset", "focuser_position")
+    k = F.col("o_orderkey")
+    sizes = b.table(spark, sf, "orders").select(k.alias("frame_id"), (k % 90).alias("width"), (k % 70).alias("height"))
+    return headers.catalog(b.cards(spark, sf), sizes).withColumn("date_obs", F.col("date_obs").cast("timestamp_ntz"))
 
 
 @query("cat_quality_columns", f"""WITH {b.INCOMING}, k AS (SELECT o_orderkey AS frame_id, sha256(o_orderkey::VARCHAR) AS cache_key FROM orders)
 SELECT frame_id, k.cache_key, CASE WHEN success AND star_count > 0 THEN star_count::BIGINT END AS star_count, CASE WHEN success AND star_count > 0 THEN round(hfr_median, 2) END AS hfr, CASE WHEN success AND star_count > 0 THEN round(hfr_stddev, 2) END AS hfr_sd, CASE WHEN success AND star_count > 0 THEN round(fwhm_median, 2) END AS fwhm, CASE WHEN success AND star_count > 0 THEN round(ecc_median, 2) END AS ecc,
  CASE WHEN success THEN round(pix_mean, 0) END AS stat_mean, CASE WHEN success THEN round(pix_stddev, 0) END AS stat_sd, CASE WHEN success THEN round(pix_median, 0) END AS stat_median, CASE WHEN success THEN round(pix_mad, 0) END AS stat_mad,
- CASE WHEN success THEN pix_min::BIGINT || ' (' || pix_min_count || 'x)' END AS stat_min, CASE WHEN success THEN pix_max::BIGINT || ' (' || pix_max_count || 'x)' END AS stat_max FROM k LEFT JOIN incoming i ON i.cache_key = k.cache_key""")
+ CASE WHEN success THEN format('{{:g}}', pix_min) || ' (' || pix_min_count || 'x)' END AS stat_min, CASE WHEN success THEN format('{{:g}}', pix_max) || ' (' || pix_max_count || 'x)' END AS stat_max FROM k LEFT JOIN incoming i ON i.cache_key = k.cache_key""")
 def cat_quality_columns(spark: SparkSession, sf: str) -> DataFrame:
     keys = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("cache_key"))
     return results.quality_columns(keys, b.incoming(spark, sf))
 
 
-@query("cat_check_line", f"{MONO_STATS} SELECT frame_id, w || 'x' || h || ' headers=9 min=' || floor(lo)::BIGINT || ' max=' || floor(hi)::BIGINT || ' stars=' || n || ' hfr=2.50' AS line FROM ms")
+#: Star summary and statistics of the stored pixels (16-bit, so floors).
+ANALYSED = f"""{SUMMARY.replace(b.MONO, STORED)}, st AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h, avg(r) AS pix_mean, coalesce(stddev_samp(r), 0) AS pix_stddev, {upper('r')} AS pix_median, min(r) AS pix_min, max(r) AS pix_max FROM pixels GROUP BY 1),
+an AS (SELECT st.*, {upper('abs(r - pix_median)')} AS pix_mad, count(*) FILTER (r = pix_min) AS pix_min_count, count(*) FILTER (r = pix_max) AS pix_max_count FROM pixels JOIN st USING (frame_id) GROUP BY ALL)"""
+
+
+def _with_broken(files: DataFrame) -> DataFrame:
+    """``files`` and, of each, a copy that ends inside the pixels."""
+    cut = files.select(F.concat(F.lit("cut-"), "path").alias("path"), F.expr("substring(content, 1, 3000)").alias("content"))
+    return files.union(cut).withColumn("length", F.length("content").cast("long"))
+
+
+@query("cat_check_line", f"{ANALYSED} SELECT 'frame-' || frame_id || '.fits' AS path, format('OK {{}}x{{}} headers=7 min={{:.3f}} max={{:.3f}} stars={{}} hfr={{:.2f}}', w, h, CASE WHEN pix_min < pix_max THEN pix_min ELSE 0 END, CASE WHEN pix_min < pix_max THEN pix_max ELSE 1 END, star_count, hfr_median) AS line FROM an JOIN su USING (frame_id)")
 def cat_check_line(spark: SparkSession, sf: str) -> DataFrame:
-    px = b.star_pixels(spark, sf)
-    g = px.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.min("r").alias("src_min"), F.max("r").alias("src_max"), F.count(F.when(F.col("r") > 100, 1)).alias("star_count"))
-    return results.check_line(g.withColumn("headers", F.lit(9)).withColumn("hfr", F.lit(2.5)))
+    """Files to check lines: cards, decoded pixels, their range and stars."""
+    files = _pixel_files(spark, sf, "fits")
+    px = frames.tile_pixels(frames.tiles(files, 16)).select(F.col("path").alias("frame_id"), "y", "x", "r")
+    rows, _ = analysis.analyse(px, tile=TILE, k=K)
+    counted = frames.fits_cards(files.withColumnRenamed("path", "frame_id")).groupBy("frame_id").agg(F.count("*").alias("headers"))
+    all_ = rows.join(counted, "frame_id").join(pixels.frame_size(px), "frame_id").join(pixels.source_range(px), "frame_id")
+    return results.check_line(all_).withColumnRenamed("frame_id", "path")
+
+
+@query("ingest_files", f"""{ANALYSED} SELECT 'frame-' || frame_id || '.fits' AS path, true AS success, star_count, round(hfr_median, 6) AS hfr_median, round(hfr_stddev, 6) AS hfr_stddev, round(fwhm_median, 6) AS fwhm_median, round(ecc_median, 6) AS ecc_median,
+ round(pix_mean, 6) AS pix_mean, round(pix_stddev, 6) AS pix_stddev, pix_median, pix_mad, pix_min, pix_min_count, pix_max, pix_max_count, NULL::VARCHAR AS error FROM an JOIN su USING (frame_id)
+UNION ALL SELECT 'cut-frame-' || frame_id || '.fits', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'truncated pixels' FROM st""")
+def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of good and broken files to rows of the result table on disk; a second arrival of the same files adds none."""
+    files = results.content_key(_with_broken(_pixel_files(spark, sf, "fits"))).select("path", "cache_key", "content", "length")
+    table = shared_dir(spark, "results")
+    for _ in range(2):
+        ingest.ingest_into(files, table, lambda todo: analysis.analyse_files(todo, tile=16, computed_at=0, detection={"tile": TILE, "k": K}))
+    rows = results.current(spark.read.parquet(table)).join(files.select("path", "cache_key"), "cache_key")
+    return rounded(rows.select("path", "success", *analysis.METRICS, "error"))
 
 
 # Result table and triage.
@@ -247,18 +287,9 @@ def cache_invalidate(spark: SparkSession, sf: str) -> DataFrame:
     return results.current(b.store(spark, sf)).select("cache_key", "schema_version", "star_count")
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A folder that all executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("sink_results", f"{CURRENT} SELECT schema_version, count(*) AS n, sum(star_count)::BIGINT AS stars FROM ({UPSERT}) GROUP BY 1")
 def sink_results(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "results")
+    path = shared_dir(spark, "results")
     results.save(results.upsert(b.store(spark, sf), b.incoming(spark, sf)), path)
     return spark.read.parquet(path).groupBy(F.col("schema_version").cast("int").alias("schema_version")).agg(F.count("*").alias("n"), F.sum("star_count").alias("stars"))
 
@@ -276,19 +307,19 @@ def ingest_incremental(spark: SparkSession, sf: str) -> DataFrame:
 @query("ingest_stream", f"WITH {b.MONO} SELECT sha256(frame_id::VARCHAR) AS cache_key, 3 AS schema_version, 0::BIGINT AS computed_at, count(*) AS n, round(sum(r), 4) AS total FROM pixels GROUP BY frame_id")
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Arrivals: a stream of frame keys made of the events table; each new key is analysed from its pixels and stored."""
-    px, source = b.star_pixels(spark, sf), _scratch(spark, "arrivals")
+    px, source = b.star_pixels(spark, sf), shared_dir(spark, "arrivals")
     px.select("frame_id").distinct().select(F.sha2(F.col("frame_id").cast("string"), 256).alias("cache_key"), "frame_id").repartition(3, "frame_id").write.parquet(source)
     arrivals = spark.readStream.schema("cache_key string, frame_id long").option("maxFilesPerTrigger", 1).parquet(source)
 
     def analyse(todo: DataFrame) -> DataFrame:
         return px.join(todo, "frame_id").groupBy("cache_key").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("total")).select("cache_key", F.lit(3).alias("schema_version"), F.lit(0).cast("long").alias("computed_at"), "n", "total")
 
-    table = _scratch(spark, "stream")
-    run = ingest.stream_into(arrivals, spark, table, _scratch(spark, "stream-state"), analyse)
+    table = shared_dir(spark, "stream")
+    run = ingest.stream_into(arrivals, spark, table, shared_dir(spark, "stream-state"), analyse)
     run.awaitTermination()
     if run.exception():
         raise run.exception()
-    return spark.read.parquet(f"{table}/v{run.lastProgress['batchId']}")
+    return spark.read.parquet(table).withColumn("schema_version", F.col("schema_version").cast("int"))
 
 
 @query("rank_topk", f"WITH {b.MONO} SELECT dir, frame_id, y, round(v, 4) AS v, rank FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY v, frame_id * 100 + y) AS rank FROM (SELECT dir, frame_id, y, avg(r) AS v FROM pixels GROUP BY 1, 2, 3)) WHERE rank <= 5")
@@ -297,15 +328,15 @@ def rank_topk(spark: SparkSession, sf: str) -> DataFrame:
     return results.top_per_folder(rows, 5, by="v", tie="tie").select("dir", "frame_id", "y", F.round("v", 4).alias("v"), "rank")
 
 
-NATURAL = r"array_to_string(list_transform(regexp_extract_all(lower({n}), '(\d+|\D+)'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 20, '0') ELSE p END), '')"
+NATURAL = r"array_to_string(list_transform(regexp_extract_all(lower({n}), '(\d+|\D+)'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(CAST(length(regexp_replace(p, '^0+(.)', '\1')) AS VARCHAR), 10, '0') || regexp_replace(p, '^0+(.)', '\1') ELSE p END), '')"
 
 
-@query("nat_sort", f"WITH {b.FILES} SELECT name, row_number() OVER (ORDER BY {NATURAL.format(n='name')}, name) AS place FROM files")
+@query("nat_sort", f"WITH {b.FILES}, named AS (SELECT regexp_replace(name, '_', '_0001234567890123456789') AS name FROM files) SELECT name, row_number() OVER (ORDER BY {NATURAL.format(n='name')}, name) AS place FROM named")
 def nat_sort(spark: SparkSession, sf: str) -> DataFrame:
     """Place of each file: sorted by range, then numbered by the sizes of the ranges before."""
     from pyspark.sql import Window
 
-    f = b.files(spark, sf).select("name", results.natural_key(F.col("name")).alias("k")).repartitionByRange("k", "name").sortWithinPartitions("k", "name")
+    f = b.files(spark, sf).select(F.regexp_replace("name", "_", "_0001234567890123456789").alias("name")).select("name", results.natural_key(F.col("name")).alias("k")).repartitionByRange("k", "name").sortWithinPartitions("k", "name")
     part = f.withColumn("pos", F.monotonically_increasing_id()).withColumn("part", F.shiftright("pos", 33)).withColumn("at", F.col("pos") - F.shiftleft("part", 33))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = part.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

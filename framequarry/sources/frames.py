@@ -1,20 +1,23 @@
 """Readers of frame files: listing, format detection, FITS and XISF headers and pixel tiles.
 
-Files are ``binaryFile`` rows. Headers of FITS primary units and of XISF are parsed with built-in functions; pixels are
+Files are ``binaryFile`` rows. Headers of FITS image units and of XISF are parsed with built-in functions; pixels are
 decoded to tiles file by file in batches, so a file that cannot be read is an error row and never a failed job.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.sources.headers import trim_value
+from framequarry.functions.mosaic import PATTERNS, balanced, demosaic
+from framequarry.sources.headers import lookup, to_long, trim_value
 
 # Extensions of frame files, FITS sample types by BITPIX and XISF sample formats.
 EXTENSIONS = [".fit", ".fits", ".xisf", ".cr2", ".nef", ".arw", ".dng", ".raf", ".orf", ".rw2", ".pef", ".srw"]
@@ -41,21 +44,78 @@ def detect_format(files: DataFrame) -> DataFrame:
     return files.withColumn("format", F.when(lead(8) == F.lit(b"XISF0100".hex().upper()), "xisf").when(lead(4).isin("49492A00", "4D4D002A"), "raw").otherwise("fits"))
 
 
+def _cards_of(content: Column, most: Column) -> Column:
+    """The first ``most`` cards of a header at the start of ``content``, as texts of 80 characters."""
+    n = F.least(F.floor(F.coalesce(F.length(content), F.lit(0)) / 80), most)
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda i: F.decode(F.substring(content, (i * 80 + 1).cast("int"), F.lit(80)), "ISO-8859-1"))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
+
+
+def _keys_of(cards: Column) -> Column:
+    return F.transform(cards, lambda c: F.rtrim(F.substring(c, 1, 8)))
+
+
 def fits_cards(files: DataFrame) -> DataFrame:
-    """Cards of the primary unit (frame_id, card_idx, key, value, comment) up to END; works on truncated content."""
-    blocks = F.floor(F.length("content") / 80)
-    card = files.where(blocks > 0).select("frame_id", F.posexplode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.decode(F.substring("content", i * 80 + 1, 80), "ISO-8859-1"))).alias("pos", "card"))
-    ends = card.where(F.rtrim(F.substring("card", 1, 8)) == "END").groupBy("frame_id").agg(F.min("pos").alias("end"))
-    c = card.join(ends, "frame_id", "left").where("end IS NULL OR pos < end")
+    """Cards (frame_id, card_idx, key, value, comment) of the header that ``content`` begins with, up to END.
+
+    Commentary cards (COMMENT, HISTORY, any without a value sign) have an empty value and their text as comment; cards
+    without a name are left out. Works on truncated content. Cards are cut until END is found, first in ten blocks,
+    then in a thousand, and only without it in all of the content; nothing is shuffled.
+    """
+    content = F.col("content")
+    out = _cards_of(content, F.lit(1 << 40))
+    for blocks in (1000, 10):
+        some = _cards_of(content, F.lit(36 * blocks))
+        out = F.when(F.array_contains(_keys_of(some), "END") | (F.length(content) <= 2880 * blocks), some).otherwise(out)
+    listed = files.select("frame_id", out.alias("cards"))
+    end = F.array_position(_keys_of(F.col("cards")), "END")
+    kept = F.when(end > 0, F.slice("cards", F.lit(1), (end - 1).cast("int"))).otherwise(F.col("cards"))
+    named = F.filter(kept, lambda c: F.trim(F.substring(c, 1, 8)) != "")
+    c = listed.select("frame_id", F.posexplode(named).alias("card_idx", "card"))
     key, rest = F.trim(F.substring("card", 1, 8)), F.substring("card", 11, 70)
     has = F.substring("card", 9, 1) == "="
     quoted = F.regexp_extract(rest, r"^\s*('(?:[^']|'')*')\s*(?:/\s*(.*))?$", 1)
     value = F.when(quoted != "", F.regexp_replace(trim_value(quoted), "''", "'")).otherwise(F.trim(F.regexp_extract(rest, r"^([^/]*)", 1)))
     comment = F.when(quoted != "", F.regexp_extract(rest, r"^\s*'(?:[^']|'')*'\s*(?:/\s*(.*))?$", 1)).otherwise(F.regexp_extract(rest, r"/\s*(.*)$", 1))
-    c = c.where(has & (key != "")).select("frame_id", "pos", key.alias("key"), value.alias("value"), F.rtrim(comment).alias("comment"))
-    from pyspark.sql import Window
+    return c.select(
+        "frame_id", F.col("card_idx").cast("long").alias("card_idx"), key.alias("key"), F.when(has, value).otherwise("").alias("value"), F.rtrim(F.when(has, comment).otherwise(F.substring("card", 9, 72))).alias("comment")
+    )
+
+
+def image_units(files: DataFrame) -> DataFrame:
+    """``files`` with ``content`` from the header of the first image unit on, and only that header where it is an extension.
+
+    Content whose primary unit has an image, as nearly all have, is passed on as it is; only the others are walked.
+    """
+    head = F.decode(F.substring("content", 1, 2880), "ISO-8859-1")
+    axes = F.regexp_extract(head, r"NAXIS {3}= *(\d+)", 1).try_cast("int")
+    names = files.columns
+    at = names.index("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [image_header(c.as_py()) for c in batch.column(at)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(heads, batch.schema.field(at).type))
+
+    tagged = files.withColumn("__axes", axes)
+    return tagged.where("__axes >= 2 OR __axes IS NULL").drop("__axes").union(tagged.where("__axes < 2").drop("__axes").mapInArrow(run, files.schema))
 
-    return c.select("frame_id", (F.row_number().over(Window.partitionBy("frame_id").orderBy("pos")) - 1).cast("long").alias("card_idx"), "key", "value", "comment")
+
+def image_header(data: bytes) -> bytes:
+    """Header of the first image unit of a FITS file; of the primary unit if there is none."""
+    first = None
+    for start, stop, keys in units(data or b""):
+        first = first if first is not None else data[start:stop]
+        if image_axes(keys):
+            return data[start:stop]
+    return first if first is not None else (data or b"")
+
+
+def frame_sizes(cards: DataFrame) -> DataFrame:
+    """(frame_id, width, height) from the axes of FITS headers; sizes that are not positive are null."""
+    c = lookup(cards, ["NAXIS1", "NAXIS2"])
+    side = lambda k: F.when(to_long(F.col(k)) > 0, to_long(F.col(k)))
+    return c.select("frame_id", side("NAXIS1").alias("width"), side("NAXIS2").alias("height"))
 
 
 def xisf_header(files: DataFrame) -> DataFrame:
@@ -91,12 +151,12 @@ def _check(width: int, height: int) -> None:
         raise ValueError(f"geometry {width} x {height} is refused")
 
 
-def decode_fits(data: bytes) -> np.ndarray:
-    """(channels, height, width) float32, top row first, of the first image unit."""
+def units(data: bytes) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """(start and stop of the header, its values) of each unit of a FITS file."""
     at = 0
     while at + 2880 <= len(data):
         keys: dict[str, str] = {}
-        done = False
+        start, done = at, False
         while not done:
             block = data[at : at + 2880]
             if len(block) < 2880:
@@ -109,19 +169,39 @@ def decode_fits(data: bytes) -> np.ndarray:
                     break
                 if card[8] == "=":
                     keys.setdefault(card[:8].strip(), card[10:].split("/")[0].strip().strip("'").strip())
+        yield start, at, keys
         axes = [int(keys.get(f"NAXIS{i + 1}", 0)) for i in range(int(keys.get("NAXIS", 0)))]
-        kind = FITS_TYPES.get(int(keys.get("BITPIX", 0)))
-        size = abs(int(keys.get("BITPIX", 8))) // 8 * int(np.prod(axes)) if axes else 0
-        if len(axes) >= 2 and kind and (not keys.get("XTENSION") or keys["XTENSION"] == "IMAGE"):
-            _check(axes[0], axes[1])
-            planes = 3 if len(axes) == 3 and axes[2] == 3 else 1
-            n = axes[0] * axes[1]
-            if len(data) - at < n * planes * np.dtype(kind).itemsize:
-                raise ValueError("truncated pixels")
-            v = np.frombuffer(data, kind, n * planes, at).astype(np.float64) * float(keys.get("BSCALE") or 1) + float(keys.get("BZERO") or 0)
-            v = np.where(np.isfinite(v), v, 0.0).astype(np.float32)
-            return v.reshape(planes, axes[1], axes[0])[:, ::-1]
+        size = abs(int(keys.get("BITPIX", 8))) // 8 * (int(keys.get("PCOUNT", 0)) + math.prod(axes)) * int(keys.get("GCOUNT", 1)) if axes else 0
         at += -(-size // 2880) * 2880
+
+
+def image_axes(keys: dict[str, str]) -> list[int]:
+    """Axes of a unit that holds an image of two dimensions at least, else nothing."""
+    axes = [int(keys.get(f"NAXIS{i + 1}", 0)) for i in range(int(keys.get("NAXIS", 0)))]
+    return axes if len(axes) >= 2 and (not keys.get("XTENSION") or keys["XTENSION"] == "IMAGE") else []
+
+
+def decode_fits(data: bytes) -> np.ndarray:
+    """(channels, height, width) float32, top row first, of the first image unit.
+
+    A plane with a colour filter pattern is demosaiced in its own row order and balanced before it is turned over.
+    """
+    for _, at, keys in units(data):
+        axes, kind = image_axes(keys), FITS_TYPES.get(int(keys.get("BITPIX", 0)))
+        if not axes or not kind:
+            continue
+        _check(axes[0], axes[1])
+        planes = 3 if len(axes) >= 3 and axes[2] == 3 else 1
+        n = axes[0] * axes[1]
+        if len(data) - at < n * planes * np.dtype(kind).itemsize:
+            raise ValueError("truncated pixels")
+        v = np.frombuffer(data, kind, n * planes, at).astype(np.float64) * float(keys.get("BSCALE") or 1) + float(keys.get("BZERO") or 0)
+        v = np.where(np.isfinite(v), v, 0.0).astype(np.float32).reshape(planes, axes[1], axes[0])
+        pattern = keys.get("BAYERPAT", "").strip().upper()
+        if planes == 1 and pattern in PATTERNS:
+            dx, dy = (int(keys.get(a) or keys.get(b) or 0) for a, b in (("XBAYROFF", "BAYOFFX"), ("YBAYROFF", "BAYOFFY")))
+            v = balanced(demosaic(v[0], pattern, dx, dy))
+        return v[:, ::-1]
     raise ValueError("no image")
 
 

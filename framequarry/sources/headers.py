@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framequarry.functions.text import general
+
 
 def trim_value(value: Column) -> Column:
     """Without outer white space; a quoted value also loses its quotes and the white space before the last one."""
@@ -49,8 +51,12 @@ def ticks(ts: Column) -> Column:
 CATALOG_KEYS = ["OBJECT", "EXPTIME", "EXPOSURE", "FILTER", "DATE-OBS", "GAIN", "CCD-TEMP", "CCDTEMP", "TELESCOP", "INSTRUME", "OFFSET", "BAYERPAT", "FOCALLEN", "FOCRATIO", "FOCPOS", "FOCUSPOS", "IMAGETYP", "SWCREATE"]
 
 
-def catalog(cards: DataFrame) -> DataFrame:
-    """One typed row per frame (without sizes, which come with the frames)."""
+def catalog(cards: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """One typed row per frame; with ``frames`` (frame_id, width, height) also its sizes, positive or null, and dimensions."""
+    if frames is not None:
+        side = lambda k: F.when(F.col(k) > 0, F.col(k)).alias(k)
+        sizes = frames.select("frame_id", side("width"), side("height"), F.format_string("%d x %d", F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0))).alias("dimensions"))
+        return sizes.join(catalog(cards), "frame_id", "left")
     c = lookup(cards.withColumn("value", trim_value(F.col("value"))), CATALOG_KEYS)
     text = lambda k: F.when(F.col(f"`{k}`") != "", F.col(f"`{k}`"))
     dbl = lambda *k: F.coalesce(*[to_double(F.col(f"`{x}`")) for x in k])
@@ -66,7 +72,7 @@ def catalog(cards: DataFrame) -> DataFrame:
 
 def exif_cards(exif: DataFrame) -> DataFrame:
     """Cards from a camera table (frame_id, make, model, shutter, iso, aperture, focal_len, taken in epoch seconds)."""
-    number = lambda v: F.when(v > 0, F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v), r"0+$", ""), r"\.$", ""))
+    number = lambda v: F.when(v > 0, general(v))
     pairs = [
         ("INSTRUME", F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("make", "model")])),
         ("EXPTIME", number(F.col("shutter"))), ("ISO", F.when(F.col("iso") > 0, F.floor(F.col("iso") + 0.5).cast("string"))), ("FNUMBER", number(F.col("aperture"))), ("FOCALLEN", number(F.col("focal_len"))),

@@ -6,30 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequarry.operators.results import SCHEMA_VERSION, current, misses, upsert
+from framequarry.operators.results import SCHEMA_VERSION, append, current, misses, stored, upsert
 
 
 def ingest(arrived: DataFrame, store: DataFrame, analyse: Callable[[DataFrame], DataFrame], version: int = SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(rows served from the store, new store): keys without a current row are analysed once, whatever their copies."""
+    """(rows served from the store, new store): keys without a current row are analysed once, whatever their copies.
+
+    ``analyse`` gives a row for every key, for files that cannot be read one with success false and the error; such
+    rows are kept like others, so a broken file is not tried again until the version changes.
+    """
     todo = misses(arrived, store, version).dropDuplicates(["cache_key"])
     return current(store, version).join(arrived.select("cache_key").distinct(), "cache_key", "left_semi"), upsert(store, analyse(todo))
 
 
-def stream_into(arrivals: DataFrame, spark: SparkSession, path: str, checkpoint: str, analyse: Callable[[DataFrame], DataFrame]):
-    """Run ``ingest`` for each micro-batch of a stream until what has arrived is done.
-
-    Each batch writes a new version of the table under ``path``; a batch that runs again after a failure finds its keys
-    in the store or writes the same rows once more, so the result is the same.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        old = [f"{path}/v{n}" for n in range(number)]
-        store = _latest(spark, old)
-        fresh = analyse((batch if store is None else misses(batch, store)).dropDuplicates(["cache_key"]))
-        (fresh if store is None else upsert(store, fresh)).write.mode("overwrite").parquet(f"{path}/v{number}")
+def ingest_into(arrived: DataFrame, path: str, analyse: Callable[[DataFrame], DataFrame], version: int = SCHEMA_VERSION) -> None:
+    """Analyse the keys of ``arrived`` that the table at ``path`` lacks and append their rows."""
+    store = stored(arrived.sparkSession, path)
+    todo = (arrived if store is None else misses(arrived, store, version)).dropDuplicates(["cache_key"])
+    append(analyse(todo), path)
 
-    return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def stream_into(arrivals: DataFrame, spark: SparkSession, path: str, checkpoint: str, analyse: Callable[[DataFrame], DataFrame]):
+    """Run ``ingest_into`` for each micro-batch of a stream until what has arrived is done.
 
-def _latest(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    return spark.read.parquet(paths[-1]) if paths else None
+    A batch appends the rows of its own new keys. One that runs again after a failure finds the keys that it has stored
+    and adds nothing twice.
+    """
+    return arrivals.writeStream.foreachBatch(lambda batch, _: ingest_into(batch, path, analyse)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -197,4 +197,4 @@ def test_stream_is_idempotent(spark, tmp_path):
     for _ in range(2):
         q = ingest.stream_into(spark.readStream.schema("cache_key string").parquet(src), spark, str(tmp_path / "t"), str(tmp_path / "c"), analyse)
         q.awaitTermination()
-    assert sorted(r.cache_key for r in spark.read.parquet(str(tmp_path / "t/v0")).collect()) == ["a", "b"]
+    assert sorted(r.cache_key for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b"]
