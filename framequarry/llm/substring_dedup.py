@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .fm_index import FMIndex
-from .shared import bounded_batches, materialize, scratch
+from .shared import bounded_batches, materialize, scratch, small
 
 #: Runs of one minimiser beyond which they are cut again, and words of the grams for that.
 HOT, HOT_GRAM = 1 << 15, 9
@@ -116,8 +116,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from keep.combine_chunks().to_batches()
 
 
-def _cut(n: int, hot):
-    """The words of each run, as bytes joined by one space, with its place; ``hot`` minimisers, a sorted array, are cut again."""
+def _cut(n: int, hot, again: bool):
+    """The words of each run, as bytes joined by one space, with its place: of the ``hot`` minimisers (a sorted array),
+    cut again by longer grams, or of all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = hot.value
@@ -133,20 +134,17 @@ def _cut(n: int, hot):
                 anchor, first, windows = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "first", "windows"))
                 a = np.repeat(w.first[:-1], counts) + first
                 row = np.repeat(np.arange(i, j), counts)
-                again = np.zeros(len(a), bool)
                 if len(listed):
-                    again = listed[np.minimum(np.searchsorted(listed, anchor), len(listed) - 1)] == anchor
-                if again.any():
+                    mine = (listed[np.minimum(np.searchsorted(listed, anchor), len(listed) - 1)] == anchor) == again
+                    anchor, first, windows, a, row = (v[mine] for v in (anchor, first, windows, a, row))
+                if again and len(a):
                     finer, at2, _ = runs_of(w, n, HOT_GRAM)
                     f, t = np.searchsorted(at2, a, "right") - 1, np.searchsorted(at2, a + windows, "left")  # finer runs of each run
-                    pieces = np.where(again, t - f, 1)
-                    which = np.repeat(np.arange(len(a)), pieces)
-                    own = f[which] + np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                    cut = again[which]
-                    lo = np.where(cut, np.maximum(a[which], at2[np.minimum(own, len(at2) - 1)]), a[which])
-                    hi = np.where(cut, np.minimum((a + windows)[which], np.append(at2, 1 << 62)[np.minimum(own + 1, len(at2))]), (a + windows)[which])
-                    anchor = np.where(cut, finer.view(np.int64)[np.minimum(own, len(at2) - 1)], anchor[which])
-                    first, windows, a, row, again = first[which] + (lo - a[which]), hi - lo, lo, row[which], cut
+                    which = np.repeat(np.arange(len(a)), t - f)
+                    own = f[which] + np.arange(len(which)) - np.repeat(np.cumsum(t - f) - (t - f), t - f)
+                    lo = np.maximum(a[which], at2[own])
+                    hi = np.minimum((a + windows)[which], np.append(at2, 1 << 62)[own + 1])
+                    anchor, first, windows, row, a = finer.view(np.int64)[own], first[which] + (lo - a[which]), hi - lo, row[which], lo
                 s, e = start[a].tolist(), end[a + windows + n - 2].tolist()
                 if len(s):
                     yield pa.RecordBatch.from_pydict({
@@ -156,7 +154,6 @@ def _cut(n: int, hot):
                         "text_key": pa.array(keys[row], pa.int64()),
                         "first": pa.array(first, pa.int32()),
                         "words": pa.array(windows + n - 1, pa.int32()),
-                        "hot": pa.array(again),
                     })
 
     return run
@@ -325,13 +322,16 @@ def repeated_windows(docs: DataFrame, n: int = 13, k: int = 5, hot_runs: int = H
     shared = materialize(anchors.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_shared, RUNS), "substring-runs", compression="zstd")
     hot = materialize(shared.groupBy("anchor").count().where(f"count > {hot_runs}").select("anchor"), "substring-hot")
     listed = np.sort(np.array([r.anchor for r in hot.toLocalIterator()], np.int64))  # at most one for every ``hot_runs`` runs
-    per_doc = shared.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "first", "windows")).alias("runs"))  # bounded by the document
-    texts = materialize(docs.join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs"), "substring-texts", compression="zstd")
-    cut = texts.mapInArrow(_cut(n, spark.sparkContext.broadcast(listed)), "anchor long, segment binary, doc_id long, text_key long, first int, words int, hot boolean")
-    own = cut.where("NOT hot") if len(listed) else cut
-    found = own.drop("hot").repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id").mapInArrow(_search(n, index_words, False), GONE)
+    marked = shared.join(small(hot).withColumn("hot", F.lit(True)), "anchor", "left") if len(listed) else shared.withColumn("hot", F.lit(None).cast("boolean"))
+    runs = F.collect_set(F.struct("anchor", "first", "windows")).alias("runs")  # bounded by the document
+    per_doc = marked.groupBy("doc_id", "text_key").agg(runs, F.bool_or(F.coalesce("hot", F.lit(False))).alias("hot"))
+    texts = materialize(docs.join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs", "hot"), "substring-texts", compression="zstd")
+    shared_list = spark.sparkContext.broadcast(listed)
+    cut = "anchor long, segment binary, doc_id long, text_key long, first int, words int"
+    own = texts.mapInArrow(_cut(n, shared_list, False), cut)
+    found = own.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id").mapInArrow(_search(n, index_words, False), GONE)
     if len(listed):
-        rows = materialize(cut.where("hot").drop("hot"), "substring-hot-rows", compression="zstd")
+        rows = materialize(texts.where("hot").mapInArrow(_cut(n, shared_list, True), cut), "substring-hot-rows", compression="zstd")
         owners = rows.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner"))
         verdicts = owners.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_search(n, index_words, True), VERDICTS)
         some = F.when(F.expr("doc_id = owner"), F.col("some")).alias("some")
