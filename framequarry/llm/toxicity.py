@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes (insult stem, threat, target, negation, speech verb, quote mark, other). Small weighted
-transducers, each a table of transitions, read the classes of a clause: TARGET + INSULT (a person is insulted), THREAT +
-YOU, or OBJECT on either side (harm is announced; without somebody it is done to it has no weight), INSULT before a
-threat, NEGATION before an insult or threat (weight is taken back), SPEECH before a clause (somebody else is reported to
-have said it). Words masked with digits or signs are read in their place. Their composition is the product of their states; the weight of a clause is the best
-weight of a path. Clause weights add up to the document's log-odds, so long documents are not toxic for one word.
+Words become classes (insult stem, threat, target, negation, speech verb, other). Small weighted transducers, each a
+table of transitions, read the classes of a clause: TARGET + INSULT in either order (a person is insulted), THREAT + YOU,
+or OBJECT on either side (harm is announced; without somebody it is done to it has no weight), INSULT before a threat,
+NEGATION before an insult or threat (weight is taken back), SPEECH before a clause (somebody else is reported to have
+said it; the state reaches over a colon or an opening quote into the clause that is reported). Words masked with digits
+or signs are read in their place. The grammar is the composition of the transducers: its states are tuples of theirs,
+its factors the products. Clause weights add up to the document's log-odds; a clause that is nothing but one word is no
+pattern and does not pass the threshold by itself.
 
 The insult stems and their weights are learned from labelled documents that are not held out (a bounded
 sample of each label): word beginnings and whole words that toxic documents have and others have not. The
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out
@@ -36,14 +38,14 @@ THREATS = frozenset("kill hurt destroy murder beat punch shoot stab burn töten
 NEGATIONS = frozenset("not no never n't isn't aren't wasn't don't won't nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split())
 SPEECH = frozenset("said says say told called reported wrote quoted sagte sagt nannte schrieb berichtete dit disait appelait écrit rapporte dijo dice llamó escribió".split())
 OTHER, INSULT, THREAT, TARGET, NEGATION, SPEAKS, SUFFERER, OBJECT = range(8)
-CLAUSE = regex.compile(r"[.!?;:\n]+")
+CLAUSE = regex.compile(r"[.!?;\n]+|:")
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
 LEET = str.maketrans("013457@$", "oieastas")
 MASKED = regex.compile(r"\b(?=[\p{L}@$0-9]*\p{L})(?=\p{L}*[@$0-9])[\p{L}@$0-9]{3,}\b")
 MARKS = regex.compile(r"[@$0-9]")
 STEM_LENGTHS = range(3, 9)
 #: Weights of the grammar in units of the stem's weight.
-DIRECTED, NEGATED, REPORTED = 1.5, 0.5, 0.8
+DIRECTED, NEGATED, REPORTED, LONE = 1.5, 0.5, 0.8, 0.8
 #: Weight of a word of harm, before the factors of its clause; one that is aimed at somebody passes the threshold.
 THREATENED = 4.0
 #: Log-odds of a text without evidence; least and greatest weight of a stem.
@@ -60,6 +62,22 @@ REPORT_T = {("", SPEAKS): ("told", 1), ("told", INSULT): ("told", REPORTED), ("t
 INSULT_T = {("", INSULT): ("insulted", 1), ("insulted", THREAT): ("insulted", DIRECTED)}
 THREAT_T = {("", OBJECT): ("object", 1), ("object", THREAT): ("announced", DIRECTED), ("", THREAT): ("threat", DIRECTED), ("threat", SUFFERER): ("announced", 1), ("threat", OBJECT): ("announced", 1)}
 GRAMMAR = (NEGATION_T, TARGET_T, REPORT_T, INSULT_T, THREAT_T)
+AIMS = frozenset((TARGET, SUFFERER, OBJECT))
+#: States of the composition: one of each transducer.
+START = ("",) * len(GRAMMAR)
+
+
+class Composition(dict):
+    """{(state, class): (next state, factor)} of the composed transducers, made as they are asked for."""
+
+    def __missing__(self, key: tuple) -> tuple:
+        states, kind = key
+        steps = [table.get((q, kind), (q, 1)) for table, q in zip(GRAMMAR, states, strict=True)]
+        self[key] = tuple(q for q, _ in steps), math.prod(f for _, f in steps)
+        return self[key]
+
+
+COMPOSED = Composition()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -92,21 +110,22 @@ class Grammar:
                 self.classes[word] = got
         return got
 
-    def clause(self, kinds: list[tuple[int, float]]) -> float:
-        """Weight of a clause: every transducer reads every class; factors multiply (composition)."""
-        states, total, harm = [""] * len(GRAMMAR), 0.0, 0.0
+    def clause(self, kinds: list[tuple[int, float]], told: bool = False) -> float:
+        """Weight of a clause, read by the composed grammar; ``told`` if it is what somebody is reported to have said."""
+        state = tuple("told" if told and table is REPORT_T else "" for table in GRAMMAR)
+        total, harm, loose = 0.0, 0.0, 0.0
         for kind, weight in kinds:
-            factor = 1.0
-            for k, table in enumerate(GRAMMAR):
-                step = table.get((states[k], kind))
-                if step:
-                    states[k], f = step
-                    factor *= f
+            state, factor = COMPOSED[state, kind]
             if kind == INSULT:
                 total += weight * factor
+                if state[1] != "aimed":
+                    loose += weight * factor
             elif kind == THREAT:
                 harm = max(harm, THREATENED * factor)
-        return total + (harm if states[-1] == "announced" else 0.0)
+            elif kind in AIMS and loose:  # the one insulted is named after the insult
+                total += loose * (DIRECTED - 1)
+                loose = 0.0
+        return (total if len(kinds) > 1 else total * LONE) + (harm if state[-1] == "announced" else 0.0)
 
     def weight(self, text: str | None) -> float:
         low = (text or "").lower()
@@ -114,11 +133,16 @@ class Grammar:
             low = MASKED.sub(self.unmask, low)
         if not any(self.classify(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(low))):
             return 0.0
-        total = 0.0
-        for part in CLAUSE.split(low):
+        total, at, told = 0.0, 0, False
+        for end in [*CLAUSE.finditer(low), None]:
+            part = low[at : end.start() if end else len(low)]
             kinds = [self.classify(w) for w in WORD.findall(part)]
             if any(k in (INSULT, THREAT) for k, _ in kinds):
-                total += self.clause(kinds)
+                total += self.clause(kinds, told)
+            if end:
+                spoken = told or any(k == SPEAKS for k, _ in kinds)
+                told = spoken and (end[0] == ":" or low[at : end.start()].count('"') % 2 == 1 and not told)
+                at = end.end()
         return total
 
     def unmask(self, found: regex.Match) -> str:
@@ -132,15 +156,16 @@ class Grammar:
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 12000, least_support: int = 5) -> Grammar:
     """Learn stems from labelled documents that are not held out: at most ``toxic_rows`` and ``clean_rows`` of them.
 
-    Rows without id, text or label do not count; a document with conflicting labels counts as toxic. Without toxic
+    Rows without id, text or label do not count; a document with conflicting labels counts as toxic. Rows of ``docs``
+    that repeat a chosen doc_id are examples of their own, all with its label. Without toxic
     examples the grammar has no stems and scores every text alike.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
-    chosen = rows.withColumn("turn", turn).where(f"(toxic = 1 AND turn <= {toxic_rows}) OR turn <= {clean_rows} AND toxic = 0")
-    shared = spark.sparkContext.broadcast({r.doc_id: int(r.toxic) for r in chosen.collect()})  # toxic_rows + clean_rows ids
+    order = F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")
+    chosen = [r for kind, most in ((1, toxic_rows), (0, clean_rows)) for r in rows.where(f"toxic = {kind}").orderBy(*order).limit(most).collect()]
+    shared = spark.sparkContext.broadcast({r.doc_id: int(r.toxic) for r in chosen})  # toxic_rows + clean_rows ids
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +245,8 @@ def learn(names: list[str], docs: list[tuple[int, np.ndarray]], support: int) ->
 
 
 def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.7) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Null and empty texts get the score of no evidence."""
+    """Per row: doc_id, held_out, score, predicted. Null and empty texts get the score of no evidence; rows that repeat a
+    doc_id are scored one by one, each by its own text; an empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
