@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +46,8 @@ BOILERPLATE = re.compile(
 NEUTRAL = re.compile(r"\d*|\d+x\d+|the|site|page|main|global|top|bottom|left|right|box|wrap|wrapper|container|area|section|block|bar|list|items?|links?|inner|outer|primary|secondary|slot|unit|group|row|col|panel|buttons?|icons?|form|title|heading|body|count|meta|posts?|entry|article|user|reader|mobile|desktop", re.I)
 JOINED = re.compile(r"\b(side|skip)-(bar|link)\b", re.I)
 PARTS = re.compile(r"[_-]")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z]|[^<]+|<", re.S)
+IN_TAG = re.compile(r"[\"'>]")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
@@ -79,12 +81,46 @@ def votes(named: str) -> bool:
     return False
 
 
+class Tags:
+    """Where tags of a page end: at the first ``>`` outside quoted values.
+
+    Linear in the page, however broken it is: a quote that never closes is an ordinary character, which its last place
+    tells at once, and after one tag whose quotes hide every ``>`` quotes are ordinary on the rest of the page.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, {c: page.rfind(c) for c in "\"'>"}, True
+
+    def end(self, at: int) -> int:
+        """Place behind the tag that starts at ``at``, or -1 if no tag does."""
+        if at > self.last[">"]:
+            return -1
+        k = at
+        while self.quoted and (m := IN_TAG.search(self.page, k)):
+            k = m.end()
+            if m[0] == ">":
+                return k
+            if k <= self.last[m[0]]:
+                k = self.page.index(m[0], k) + 1
+        self.quoted = False
+        return self.page.index(">", at) + 1
+
+
 def parse(page: str | None) -> Node:
     """DOM tree of a page, with the end tags that HTML lets authors leave out."""
     root = Node("html")
     stack, at, page = [root], 0, page or ""
+    tags, opened = Tags(page), Counter()
+
+    def shut(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while m := TOKEN.match(page, at):
-        token, at = m[0], m.end()
+        token, start, at = m[0], at, m.end()
+        if token[0] == "<" and len(token) > 1 and token[1] not in "!?":
+            end = tags.end(start)
+            token, at = (page[start:end], end) if end > 0 else ("<", start + 1)
         if token[0] != "<" or token == "<":
             stack[-1].children.append(token)
             continue
@@ -92,33 +128,33 @@ def parse(page: str | None) -> Node:
             continue
         tag = NAME.match(token)[1].lower()
         if token[1] == "/":
-            if tag in ("html", "body"):
+            if tag in ("html", "body") or not opened[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    shut(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break  # an inline end tag does not close blocks
             continue
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in stack)):
+        if tag in ("html", "body") and (tag == "html" or opened["body"]):
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(opened[t] for t in SIBLINGS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in SIBLINGS[tag]:
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in HOLDS[tag]:
                     break
         if tag == "body":
-            del stack[1:]
+            shut(1)
         rest = token[len(tag) + 1 : -1]
         skip, main, voted, named = tag in DROPPED, tag in ("article", "main"), tag == "form", ""
         if rest.strip(" /"):
@@ -134,10 +170,9 @@ def parse(page: str | None) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not token.endswith("/>"):
+        elif tag not in VOID:  # HTML ignores a slash at the end
             stack.append(node)
-        elif token.endswith("/>") and tag not in VOID:
-            stack.append(node)  # HTML ignores the slash on other elements
+            opened[tag] += 1
     return root
 
 
