@@ -117,7 +117,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, label_col: str = "lang", per_language: int = 200, sample: int = 2000, centroids: int = 4) -> Model:
     """Model from the labelled rows of ``docs`` (doc_id, text, label) that are not held out.
 
-    Rows without label, text or id do not count. With no labelled rows the model knows no language.
+    Rows without label, text or id do not count; of rows that repeat a chosen doc_id, one does, so the sample is at most
+    ``sample`` rows (or one of each language, if there are more languages). With no labelled rows the model knows no language.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -136,7 +137,8 @@ def fit(docs: DataFrame, label_col: str = "lang", per_language: int = 200, sampl
                 ids = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "label": [labels.value[d] for d in ids], "counts": [counts(t)[0].astype("<f4").tobytes() for t in part.column(1).to_pylist()]})
 
-    rows = docs.where(F.col(label_col).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(vectors, "doc_id long, label string, counts binary").collect()
+    rows = docs.where(F.col(label_col).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(vectors, "doc_id long, label string, counts binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "counts")).alias("r")).select("doc_id", "r.label", "r.counts").collect()  # a row for each chosen id
     rows.sort(key=lambda r: (r.label, r.doc_id))
     if not rows:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.ones(1 << BITS, np.float32), 0.0)
