@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
     """Write the token files of ``docs`` (doc_id, text) and return (folder, manifest).
 
     Null texts are empty: they hold only ``end_id`` (nothing if that is None). Rows that repeat a doc_id stay, side by
-    side, ordered by text. An empty table has no shards. Other columns are ignored.
+    side, ordered by text; rows without doc_id, which have no place in the order, are left out. An empty table has no shards. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -334,6 +334,25 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_language_rejects_and_agrees_with_plain_cosines(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs, per_language=60)
+    texts = {1: "Привет мир, это совсем другой язык", 2: "これは日本語の文章です", 3: "xqzj kwvv zzqx " * 20, 4: docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 200").orderBy("doc_id").first().text}
+    rows = {r.doc_id: r for r in language_id.classify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    assert rows[1].rejected and rows[2].rejected and not rows[4].rejected
+    kept = language_id.keep_recognised(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model)
+    assert 4 in {r.doc_id for r in kept.collect()} and not {1, 2} & {r.doc_id for r in kept.collect()}
+    for i, text in texts.items():  # the centroid of the greatest cosine, by loops
+        c = language_id.counts(text)[0]
+        v = {k: float(np.log1p(c[k]) * model.idf[k]) for k in np.flatnonzero(c).tolist()}
+        cosines = [sum(x * float(row[g]) for g, x in v.items()) / np.sqrt(sum(x * x for x in v.values())) for row in model.centroids]
+        best = int(np.argmax(cosines))
+        assert rows[i].lang_pred == model.languages[model.owner[best]] and rows[i].rejected == (cosines[best] < model.reach(np.array([language_id.counts(text)[1]]))[0])
+    twice = docs.union(docs.withColumn("text", F.lit("other words")))
+    again = language_id.fit(twice, per_language=60)
+    assert again.centroids.shape == model.centroids.shape
+
+
 def test_language_centroid_by_hand():
     model = language_id.Model(["a", "b"], np.eye(2, 1 << language_id.BITS, dtype=np.float32), np.array([0, 1]), np.ones(1 << language_id.BITS, np.float32), 0.1)
     assert model.reach(np.array([0, 10**9]))[1] == pytest.approx(0.1)
@@ -361,9 +380,41 @@ def test_packing_has_a_queue_for_every_source(spark, weights):
 def test_toxicity_grammar():
     g = toxicity.Grammar({"=idiot": 6.0, "lowei": 6.0, "weak": 2.5}, toxicity.BIAS)
     assert g.score("you idiot") >= 0.7 and g.score("a loweient thing") >= 0.7 and g.score("nothing here") < 0.1 and g.score(None) == g.score("")
-    assert g.score("not idiot") < g.score("idiot") < g.score("you idiot")
+    assert g.score("not idiot") < g.score("an idiot") < g.score("you idiot")
     assert g.score("he said: x") == g.score("") and g.score("she said you idiot") < g.score("well, you idiot")
-    assert g.score("id1ot") == pytest.approx(g.score("idiot")) and g.score("weakness") < 0.7 <= g.score("weakness. weakly. weaker")
+    assert g.score("an id1ot") == pytest.approx(g.score("an idiot")) and g.score("weakness") < 0.7 <= g.score("weakness. weakly. weaker")
+
+
+def test_toxicity_is_in_clauses():
+    g = toxicity.Grammar({"=idiot": 6.0}, toxicity.BIAS)
+    assert g.score("idiot") < 0.7 <= g.score("what an idiot") < g.score("you idiot") == g.score("idiot you are")
+    for said in ('she said: you idiot', 'she said you idiot', 'he wrote: "you idiot"'):
+        assert g.score(said) < g.score("you idiot")
+    assert g.score("she said: fine. you idiot") == g.score("you idiot") and g.score("note: you idiot") == g.score("you idiot")
+    none = g.score("")
+    assert g.score("i will kill you") >= 0.7 and g.score("he will stab them and burn their house") >= 0.7 and none < 0.05
+    assert g.score("she said: i will kill you") < g.score("i will kill you")
+
+
+def test_toxicity_composition_is_the_product():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        kinds = rng.integers(0, 8, 7).tolist()
+        state, single = toxicity.START, [""] * len(toxicity.GRAMMAR)
+        for k in kinds:
+            state, factor = toxicity.COMPOSED[state, k]
+            want = 1.0
+            for i, table in enumerate(toxicity.GRAMMAR):
+                if (single[i], k) in table:
+                    single[i], f = table[single[i], k]
+                    want *= f
+            assert list(state) == single and factor == pytest.approx(want)
+
+
+def test_toxicity_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "you vile man"), (1, "fine"), (1, None), (None, "you vile man")], "doc_id long, text string").withColumn("score", F.lit("x"))
+    got = sorted((r.doc_id or 0, r.predicted) for r in toxicity.score(docs, toxicity.Grammar({"=vile": 6.0}, toxicity.BIAS)).collect())
+    assert got == [(0, 1), (1, 0), (1, 0), (1, 1)]
 
 
 def test_toxicity_threats():
@@ -415,6 +466,65 @@ def test_html_wrapper(spark):
     assert (got[200].text, got[201].text, got[202].text, got[203].text) == ("", "", "no tags <here", "unclosed bold\nnext")
 
 
+def test_html_parser_is_linear_on_broken_pages():
+    import time
+
+    for broken in ('<a href="x>', "<p title='", '<a b="c>" \'', "<b>", "<li><b>", "</i>", "<a <", "<!-- "):
+        times = []
+        for n in (4_000, 32_000):
+            start = time.process_time()
+            html_extract.blocks(html_extract.parse(broken * n + "text"))
+            times.append(time.process_time() - start)
+        assert times[1] < 24 * times[0] + 0.5, broken
+    assert html_extract.blocks(html_extract.parse("a <p title='x>y' b=\"c'd\">one</p> 1 < 2 <p class=it's>two"))[-1][-1] == "two"
+
+
+def tree(rng, depth=0):
+    return html_extract.Node(rng.choice(["p", "div", "ul"]) if depth else "html"), [tree(rng, depth + 1) for _ in range(int(rng.integers(0, 4)) if depth < 4 else 0)]
+
+
+def linked(t):
+    t[0].children = [linked(c) for c in t[1]]
+    return t[0]
+
+
+def heaviest(a, b):
+    """Weight of the largest matching of two trees that keeps order and ancestors, by trying all of them."""
+    if a.tag != b.tag:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + heaviest(x[0], y[0]))
+
+    return 1 + best(a.children, b.children)
+
+
+def test_html_tree_matching_is_the_largest():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        ref, page = linked(tree(rng)), linked(tree(rng))
+        total = html_extract.number(ref)
+        html_extract.align(ref, page)
+        slots, todo = [], [(page, None)]
+        place = {}
+        walk = [ref]
+        while walk:
+            n = walk.pop()
+            place[n.slot] = n
+            walk.extend(n.children)
+        while todo:
+            n, above = todo.pop()
+            if n.slot >= 0:
+                slots.append(n.slot)
+                assert place[n.slot].tag == n.tag and (above is None or place[n.slot] in place[above].children)
+            todo.extend((c, n.slot) for c in n.children)
+            kept = [c.slot for c in n.children if c.slot >= 0]
+            assert kept == sorted(kept) and (n.slot >= 0 or not kept)
+        assert len(set(slots)) == len(slots) == heaviest(ref, page) <= total
+
+
 def test_html_alignment_keeps_order():
     ref, page = html_extract.parse("<div><h1>a</h1><p>b</p><p>c</p></div>"), html_extract.parse("<div><p>new</p><h1>a</h1><p>b</p></div>")
     html_extract.number(ref)
