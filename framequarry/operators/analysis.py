@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.functions.store import materialize
-from framequarry.operators import pixels, stars
+from framequarry.operators import pixels, stars, tilework
 from framequarry.operators.results import SCHEMA_VERSION, content_key
 from framequarry.sources import frames
 
@@ -29,12 +29,11 @@ def analyse_files(files: DataFrame, version: int = SCHEMA_VERSION, tile: int = 2
     the ``METRICS``, and error.
 
     Files with the same content key are read once. A file that cannot be decoded gives a row with success false, its
-    error and no metrics. Pixels are decoded once and written as tiles.
+    error and no metrics. Pixels are decoded once, written as tiles, and analysed as tiles.
     """
     keyed = content_key(files).dropDuplicates(["cache_key"]).select("cache_key", "content")
     tiles = materialize(frames.tiles(keyed.select(F.col("cache_key").alias("path"), "content"), tile), "frame-tiles")
-    px = frames.tile_pixels(tiles).select(F.col("path").alias("frame_id"), "y", "x", "r", "g", "b")
-    rows, _ = analyse(px, **(detection or {}))
+    rows, _ = tilework.analyse(tiles, **(detection or {}))
     ok = rows.withColumnRenamed("frame_id", "cache_key").withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
     failed = tiles.where("error IS NOT NULL").select(F.col("path").alias("cache_key"), F.lit(False).alias("success"), "error")
     when = F.unix_timestamp(F.current_timestamp()) if computed_at is None else F.lit(computed_at).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.functions.store import shared_dir
-from framequarry.operators import analysis, pixels, results
+from framequarry.operators import analysis, pixels, results, tilework
 from framequarry.sources import frames, headers
 from framequarry.streaming import ingest
 
@@ -226,8 +226,9 @@ def _with_broken(files: DataFrame) -> DataFrame:
 def cat_check_line(spark: SparkSession, sf: str) -> DataFrame:
     """Files to check lines: cards, decoded pixels, their range and stars."""
     files = _pixel_files(spark, sf, "fits")
-    px = frames.tile_pixels(frames.tiles(files, 16)).select(F.col("path").alias("frame_id"), "y", "x", "r")
-    rows, _ = analysis.analyse(px, tile=TILE, k=K)
+    tiles = frames.tiles(files, 16)
+    px = frames.tile_pixels(tiles).select(F.col("path").alias("frame_id"), "y", "x", "r")
+    rows, _ = tilework.analyse(tiles, tile=TILE, k=K)
     counted = frames.fits_cards(files.withColumnRenamed("path", "frame_id")).groupBy("frame_id").agg(F.count("*").alias("headers"))
     all_ = rows.join(counted, "frame_id").join(pixels.frame_size(px), "frame_id").join(pixels.source_range(px), "frame_id")
     return results.check_line(all_).withColumnRenamed("frame_id", "path")

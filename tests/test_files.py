@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framequarry.functions.mosaic import balanced, demosaic
 from framequarry.functions.text import general
-from framequarry.operators import analysis, background, pixels, psf, results
+from framequarry.operators import analysis, background, pixels, psf, results, tilework
 from framequarry.sources import frames, headers
 from framequarry.streaming import ingest
 
@@ -235,3 +235,22 @@ def test_natural_order_of_long_numbers(spark):
     names = ["a" + "9" * 25 + ".fit", "a1" + "0" * 25 + ".fit", "a007.fit", "a7b.fit", "a10.fit", "a.fit"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert [r.name for r in results.natural_sort(df).collect()] == ["a.fit", "a007.fit", "a7b.fit", "a10.fit", "a" + "9" * 25 + ".fit", "a1" + "0" * 25 + ".fit"]
+
+
+def test_tiles_and_pixels_give_the_same_analysis(spark):
+    img, _ = fields.star_field(300, 260, 20)
+    colour = np.stack([img, img * 0.7 + 5, img[::-1] * 0.4])
+    df = spark.createDataFrame([("a", image(img)), ("b", fields.fits(colour)), ("c", image(np.full((70, 90), 3.0)))], "path string, content binary")
+    tiles = frames.tiles(df, 128)
+    px = frames.tile_pixels(tiles).select(F.col("path").alias("frame_id"), "y", "x", "r", "g", "b")
+    for options in ({}, {"target": 5000}):
+        rows, found = tilework.analyse(tiles, **options)
+        got = {r.frame_id: r for r in rows.collect()}
+        want, stars_of = analysis.analyse(px)
+        want = {r.frame_id: r for r in want.collect()}
+        assert got.keys() == want.keys() == {"a", "b", "c"}
+        skip = {"pix_median", "pix_mad"} if options else set()
+        assert all(got[f][c] == pytest.approx(want[f][c], rel=1e-9, abs=1e-9) for f in got for c in analysis.METRICS if c not in skip)
+        assert found.count() == stars_of.count() > 20
+    sampled = {r.frame_id: r for r in pixels.median_mad(pixels.luma(px), target=5000).collect()}
+    assert all(got[f][c] == pytest.approx(sampled[f][c]) for f in got for c in ("pix_median", "pix_mad"))
