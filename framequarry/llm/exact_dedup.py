@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch, small
+from .shared import few, materialize, scratch, small
 
 BLANKS = r"[\x20\x09-\x0D]"
 #: Bits of a hash, and of them those that one level of the directory counts (at most 16 384 counts).
@@ -58,7 +58,7 @@ def bucketed(keys: DataFrame, capacity: int) -> DataFrame:
     out, level = None, 0
     while True:
         top = (level + 1) * LEVEL
-        buckets = materialize(doubled(keys, level, capacity), "dedup-directory")  # at most 2 ** LEVEL rows for each overfull bucket
+        buckets = materialize(few(doubled(keys, level, capacity), 1 << LEVEL), "dedup-directory")  # at most 2 ** LEVEL rows for each overfull bucket
         here = keys.withColumn("prefix", F.shiftright("hash", HASH_BITS - top) if top <= HASH_BITS else F.shiftleft("hash", top - HASH_BITS)).join(small(buckets), "prefix")
         full = F.expr(f"held > {capacity} AND depth = {top}") if top < HASH_BITS else F.lit(False)
         name = F.expr(f"shiftright(prefix, {top} - depth)") + F.expr("shiftleft(1L, depth)")
