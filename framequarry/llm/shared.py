@@ -33,25 +33,37 @@ _active = threading.local()
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``materialize`` writes inside are deleted at the end, but for those written with ``keep=True``."""
-    outer, mine = getattr(_active, "paths", None), []
-    _active.paths = mine
+    """Tables that ``materialize`` writes inside are deleted at the end. Those written with ``keep=True`` outlive it, and
+    are deleted with the scratch around it, if there is one."""
+    levels = _active.__dict__.setdefault("levels", [])
+    levels.append([])
     try:
         yield
     finally:
-        _active.paths = outer
-        for path in mine:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        for path in levels.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str, keep: bool = False, **options) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: survives lost executors, has no lineage."""
     path = shared_dir(df.sparkSession, label)
-    if not keep and getattr(_active, "paths", None) is not None:
-        _active.paths.append(path)
+    levels = getattr(_active, "levels", [])
+    if len(levels) > keep:
+        levels[-1 - keep].append(path)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` has written."""
+    delete(table.sparkSession, table.stored_at)
 
 
 def small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -34,9 +36,29 @@ def test_stages_against_brute_force(spark):
         docs = out
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "some words here", None, "s", 15)]], ids=["empty", "odd"])
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "s", 0),
+    (2, "", "en", "s", 0),
+    (3, "some words here", None, "s", 15),
+    (3, "some words here", None, "s", 15),
+    (4, "some  words here", "en", None, 16),
+    (5, "and other words there", "en", "s", None),
+    (None, "words without an id", "en", "s", 1),
+    (6, "a b c", "en", "s", 5),
+    (7, "long words " * 3000, "en", "s", 1),
+]
+
+
+@pytest.mark.parametrize("rows", [[], ODD], ids=["empty", "odd"])
 def test_odd_tables(spark, tmp_path, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.withColumn("class", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.withColumn("class", F.lit("x")).withColumn("lo", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # 1 and 2 have no letters, 3 is shorter than 4 but for blanks, 6 is the benchmark.
+    assert {r.doc_id for r in out} == ({4, 5, 7, None} if rows else set())
+    assert all(sum(r.length for r in out if r.doc_id == d) == n for d, n in {(r.doc_id, r.doc_tokens) for r in out})
+    assert len([x for x in set(os.listdir(shared)) - before if not x.startswith(".")]) == 1  # only the result is left
