@@ -1,8 +1,10 @@
 """Corpus cleaning pipeline: language ID, exact dedup, near dedup, benchmark decontamination, packing.
 
 Each stage works on all rows that the stage before it kept, and its result is written to the shared folder and read
-back, so a lost executor costs part of one stage. Stages but the last return the columns of ``documents``; rows with
-nulls, empty texts, ties or extra columns are treated as the operators' docstrings say.
+back, so a lost executor costs part of one stage. Stages but the last return the columns of ``documents``, extra ones
+included. Null, empty and blank texts and texts without letters go in the first stage (no language); very long texts
+are read whole; repeated rows, and of rows with equal texts all but one, go in the second. Rows without doc_id represent
+no near-duplicate group and stay. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framequarry.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
 from framequarry.llm.queries import byte_bpe, table
-from framequarry.llm.shared import materialize
+from framequarry.llm.shared import discard, materialize, scratch
 
 
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage writes on the way goes when its result is written
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
