@@ -101,10 +101,45 @@ def _label(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def components(sparse: DataFrame) -> DataFrame:
-    """8-connected components of the sparse pixels; label = y * 1000000 + x of the first pixel in raster order."""
+def _label_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """As ``_label``, of runs of pixels (y, first, last) of a frame: the label is the first pixel of the component."""
+    pdf = pdf.sort_values(["y", "first"])
+    y, first, last = (pdf[c].to_numpy() for c in ("y", "first", "last"))
+    width = int(last.max()) + 3
+    lo = np.searchsorted(y * width + last, (y + 1) * width + first - 1)
+    hi = np.searchsorted(y * width + first, (y + 1) * width + last + 1, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.repeat(lo, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    label = np.arange(len(y))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return pdf.assign(label=y[label] * 1_000_000 + first[label])[["frame_id", "y", "island", "label"]]
+
+
+def components(sparse: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """8-connected components of the sparse pixels; label = y * 1000000 + x of the first pixel in raster order.
+
+    Frames of more than ``most`` pixels (a bright sky, a nebula) are labelled by their runs along rows, of which there
+    are few, so no task holds all pixels of such a frame. The labels are the same.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sparse.schema) + ", label long"
-    return sparse.groupBy("frame_id").applyInPandas(_label, schema)
+    crowded = sparse.groupBy("frame_id").count().where(F.col("count") > most).select("frame_id")
+    if crowded.isEmpty():
+        return sparse.groupBy("frame_id").applyInPandas(_label, schema)
+    few = sparse.join(crowded, "frame_id", "left_anti").groupBy("frame_id").applyInPandas(_label, schema)
+    island = F.col("x") - F.row_number().over(Window.partitionBy("frame_id", "y").orderBy("x"))
+    many = sparse.join(crowded, "frame_id", "left_semi").withColumn("island", island)
+    runs = many.groupBy("frame_id", "y", "island").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    kind = sparse.schema["frame_id"].dataType.simpleString()
+    labels = runs.groupBy("frame_id").applyInPandas(_label_runs, f"frame_id {kind}, y long, island long, label long")
+    return few.union(many.join(labels, ["frame_id", "y", "island"]).select(*sparse.columns, "label"))
 
 
 def area_filter(labelled: DataFrame, least: int = 5, most: int = 2000) -> DataFrame:
@@ -163,7 +198,10 @@ def sparse(px: DataFrame, tile: int = 64, k: float = 4.0, least_area: int = 5, m
     Dense pixels are read here, once for the mesh and once against it, and nowhere after.
     """
     mesh = materialize(mesh_smooth(bg_mesh(px, tile)), "star-mesh")
-    return materialize(area_filter(components(threshold(px, mesh, tile, k)), least_area, most_area), "star-pixels"), mesh
+    bright = materialize(threshold(px, mesh, tile, k), "star-bright")
+    labelled = materialize(area_filter(components(bright), least_area, most_area), "star-pixels")
+    release(bright)
+    return labelled, mesh
 
 
 def detect(px: DataFrame, tile: int = 64, k: float = 4.0, least_area: int = 5, most_area: int = 2000, **cuts) -> DataFrame:

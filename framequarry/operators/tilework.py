@@ -114,8 +114,9 @@ def analyse(tiles: DataFrame, tile: int = 64, k: float = 4.0, least_area: int =
     """
     parts = materialize(reduced(tiles, tile, target), "tile-parts")
     mesh = materialize(stars.mesh_smooth(parts.select("frame_id", F.inline("cells"))), "tile-mesh")
-    labelled = materialize(stars.area_filter(stars.components(above(tiles, mesh, tile, k)), least_area, most_area), "tile-stars")
+    bright = materialize(above(tiles, mesh, tile, k), "tile-bright")
+    labelled = materialize(stars.area_filter(stars.components(bright), least_area, most_area), "tile-stars")
     found = materialize(stars.half_flux_radius(labelled, stars.quality_cuts(stars.moments(labelled), mesh, tile, **cuts)), "stars")
     stats = materialize(statistics(parts), "tile-statistics")
-    release(parts, mesh, labelled)
+    release(parts, mesh, bright, labelled)
     return stats.join(stars.summary(stats, found), "frame_id"), found

@@ -61,6 +61,22 @@ def test_components_join_diagonals(spark):
     assert got[(0, 0)] == got[(1, 1)] == got[(2, 0)] == got[(1, 0)] == 0 and got[(5, 5)] == got[(5, 6)] == 5_000_005 and got[(0, 9)] == 9
 
 
+def test_crowded_frames_have_the_same_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f, int(y), int(x), 1.0, 1.0, 1.0) for f, share in ((0, 0.35), (1, 0.5), (2, 0.05)) for y, x in zip(*np.nonzero(rng.random((40, 50)) < share), strict=True)]
+    df = spark.createDataFrame(rows, "frame_id long, y long, x long, luma double, residual double, noise double")
+    want = sorted(tuple(r) for r in stars.components(df).collect())
+    for most in (0, 500):
+        assert sorted(tuple(r) for r in stars.components(df, most).collect()) == want
+
+
+def test_tilt_takes_each_frame_by_its_size(spark):
+    df = spark.createDataFrame([(1, 90.0, 90.0, 2.0, 0.1), (2, 90.0, 90.0, 3.0, 0.2)], "frame_id long, x double, y double, hfr double, ecc double")
+    sizes = spark.createDataFrame([(1, 100, 100), (2, 1000, 400), (3, 10, 10)], "frame_id long, width int, height int")
+    got = {(r.frame_id, r.gy, r.gx): r.n for r in tilt.cells(df, frames=sizes).collect()}
+    assert len(got) == 27 and {k for k, n in got.items() if n} == {(1, 2, 2), (2, 0, 0)}
+
+
 def test_tilt(spark):
     rows = [(0, 20.0 + i, 20.0, 2.0, 0.1) for i in range(5)] + [(0, 220.0 + i, 220.0, 5.0, 0.1) for i in range(5)]
     df = spark.createDataFrame(rows, "frame_id long, x double, y double, hfr double, ecc double")
