@@ -77,7 +77,8 @@ def _tidy(query: Callable) -> Callable:
 
 
 def queries() -> dict:
-    return {k: _tidy(f) for k, f in globals().items() if k.startswith("op") and callable(f)}
+    """All queries. The result of packing is as long as its token store, so writing it twice is not worth the store."""
+    return {k: f if f is op4_packing else _tidy(f) for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
