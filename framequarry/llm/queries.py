@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, packing, substring_dedup, token_files, toxicity
+from . import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, language_id, ngram_join, packing, substring_dedup, token_files, toxicity
 from .shared import materialize, scratch
 
 
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _tidy(query: Callable) -> Callable:
     """The query with its result written, so that the tables that it made on the way can go."""
 
@@ -82,4 +86,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op6_decontamination": decontaminate.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op6_decontamination": decontaminate.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL, "op12_filter_audit": filter_audit.SQL}

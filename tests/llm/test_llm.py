@@ -43,6 +43,15 @@ def oracle(sql, docs, benchmark=None):
     return names, sorted(map(tuple, r.fetchall()))
 
 
+def oracle_tables(sql, **tables):
+    c = duckdb.connect()
+    for name, df in tables.items():
+        c.register(name, df.toArrow())
+    r = c.execute(sql)
+    names = [d[0] for d in r.description]
+    return names, sorted(map(tuple, r.fetchall()))
+
+
 def same(df, names, rows):
     got = sorted(tuple(r[c] for c in names) for r in df.collect())
     assert got == rows
