@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, language_id, ngram_join, packing, substring_dedup, token_files, toxicity
+from . import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, language_id, ngram_join, packing, substring_dedup, token_alignment, token_files, toxicity
 from .shared import materialize, scratch
 
 
@@ -69,6 +69,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _tidy(query: Callable) -> Callable:
     """The query with its result written, so that the tables that it made on the way can go."""
 

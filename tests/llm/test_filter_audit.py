@@ -9,18 +9,22 @@ from framequarry.llm import filter_audit
 
 from .test_llm import oracle_tables, words
 
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part string, mask int, n long, rank int, digest string"
 LABELS = "doc_id long, quality int, toxic int, good int"
 
+
 def rows(texts):
     return [(i, t, "en", (None, "a", "b", "")[(i or 0) % 4], 1, "x", 7, 3, 2, "d") for i, t in texts]
 
+
 def odd():
     long = words(300, 1)
     texts = [None, "", "  \n", "a b c", "x" * 3000, long, long.upper(), long + " $", "same " * 250, "SAME " * 250, words(5000, 2), "ÉÉ ABC " + words(220, 3), "a|b", long, long, "", None, words(400, 4, 30), "  a  b\tc\x0bd  "]
     out = list(enumerate(texts))
     return [*out, (3, "a b c"), (3, "a b c"), (5, "other " + long), (None, long), (None, "a b c"), (40, "a b c"), (40, "a b c")]
 
+
 def loops(docs, labels):
     """Rows by applying every order to every document."""
     good, toxic = {d for d, q, *_ in labels if q == 1 and d is not None}, {d for d, _, t, *_ in labels if t == 1 and d is not None}
@@ -51,8 +55,10 @@ def loops(docs, labels):
                 r.append(first[r[3]])
     return sorted(map(tuple, out))
 
+
 COLUMNS = ["part", "filter_order", "step", "filter", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 
+
 @pytest.mark.parametrize("texts", [odd(), []], ids=["odd", "empty"])
 def test_audit(spark, texts):
     docs = rows(texts)
@@ -66,6 +72,7 @@ def test_audit(spark, texts):
     names, want = oracle_tables(filter_audit.SQL, documents=named, labels=marks)
     assert sorted(tuple(r[c] for c in names) for r in filter_audit.audit(named, marks).collect()) == want
 
+
 def test_audit_of_other_filters(spark):
     docs = spark.createDataFrame(rows([(1, "a"), (2, "a b"), (3, "b"), (4, "a")]), DOCS)
     has = lambda letter: lambda: F.col("text").contains(letter)
@@ -74,6 +81,7 @@ def test_audit_of_other_filters(spark):
     with pytest.raises(ValueError):
         filter_audit.audit(docs, docs, {}, copies=None)
 
+
 def test_intervals_cover_every_order_once():
     for k in (1, 3, 5):
         for mask in range(1 << k):
