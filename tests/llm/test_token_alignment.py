@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -61,7 +62,7 @@ def plain(rows):
 @pytest.mark.parametrize("most", [token_alignment.BLOCK_PAIRS, 40], ids=["one block", "blocks"])
 def test_alignment(spark, most, monkeypatch):
     rows = list(enumerate(texts()))
-    monkeypatch.setattr(token_alignment, "BLOCK_CHARS", 700)
+    monkeypatch.setattr(token_alignment, "PART_CHARS", 700)
     got = sorted(map(tuple, token_alignment.align(documents(spark, [t for _, t in rows]).repartition(3), A, B, most_pairs=most).collect()))
     want = plain(rows)
     for g, w in zip(got, want, strict=True):
@@ -72,11 +73,17 @@ def test_alignment(spark, most, monkeypatch):
 def test_small_store_and_parts(monkeypatch):
     both = token_alignment.vocabularies((A, B))
     assert both.cuts
-    text = "ein Satz  mit\nWörtern und don't " * 300
-    whole = token_alignment._figures(token_alignment.Chunks(both), text)[:2]
-    monkeypatch.setattr(token_alignment, "BLOCK_CHARS", 50)
-    assert len(list(token_alignment.blocks(text))) > 100 and "".join(token_alignment.blocks(text)) == " " + text
-    assert token_alignment._figures(token_alignment.Chunks(both), text)[:2] == whole
+    texts = ["ein Satz  mit\nWörtern und don't " * 300, None, "x\u2581y " * 20, "", "a b"]
+    whole = token_alignment._rows(token_alignment.Chunks(both), texts)
+    assert whole[1] == whole[2] == whole[3] == token_alignment.NONE and whole[0][0][0] > 2000
+    monkeypatch.setattr(token_alignment, "PART_CHARS", 50)
+    assert len(list(token_alignment.parts_of(texts[0]))) > 100 and "".join(token_alignment.parts_of(texts[0])) == " " + texts[0]
+    assert token_alignment._rows(token_alignment.Chunks(both), texts) == whole
+    monkeypatch.setattr(token_alignment, "KEPT_CHUNKS", 1)
+    assert token_alignment._rows(token_alignment.Chunks(both), texts) == whole
+    monkeypatch.setattr(both, "dtype", np.dtype("<u8"))
+    wide = token_alignment._rows(token_alignment.Chunks(both), texts)
+    assert [r[:2] for r in wide] == [r[:2] for r in whole] and np.array_equal(np.frombuffer(wide[0][2], "<u8"), np.frombuffer(whole[0][2], "<u4"))
 
 
 def test_empty_table_and_repeated_rows(spark):
