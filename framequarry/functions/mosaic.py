@@ -6,6 +6,8 @@ import numpy as np
 
 # Colours of the four sites of each filter pattern, row by row.
 PATTERNS = ("RGGB", "BGGR", "GRBG", "GBRG")
+#: Least and greatest gain of a channel.
+GAIN_RANGE = (0.2, 5.0)
 
 
 def demosaic(cfa: np.ndarray, pattern: str, dx: int = 0, dy: int = 0, inside: np.ndarray | None = None) -> np.ndarray:
@@ -27,10 +29,10 @@ def demosaic(cfa: np.ndarray, pattern: str, dx: int = 0, dy: int = 0, inside: np
 
 
 def balanced(rgb: np.ndarray, target: int = 100_000) -> np.ndarray:
-    """Planes scaled so that their medians agree, by gains between 0.2 and 5; untouched where a median is not positive."""
+    """Planes scaled so that their medians agree, by gains within ``GAIN_RANGE``; untouched where a median is not positive."""
     flat = rgb.reshape(3, -1)
     some = np.sort(flat[:, :: max(1, flat.shape[1] // target)], 1)
     medians = some[:, some.shape[1] // 2].astype(np.float64)
     if medians.min() <= 0:
         return rgb
-    return (rgb * np.clip(medians.mean() / medians, 0.2, 5.0)[:, None, None]).astype(rgb.dtype)
+    return (rgb * np.clip(medians.mean() / medians, *GAIN_RANGE)[:, None, None]).astype(rgb.dtype)

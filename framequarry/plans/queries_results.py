@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framequarry.functions.store import shared_dir
 from framequarry.operators import analysis, pixels, results, tilework
-from framequarry.sources import frames, headers
+from framequarry.sources import blocks, frames, headers
 from framequarry.streaming import ingest
 
 from . import bindings as b
@@ -116,23 +116,45 @@ def _pixel_files(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 #: The pixels that those files hold.
 STORED = f"""{b.MONO.replace("pixels AS", "given AS")}, pixels AS (SELECT f.frame_id, f.y, g.x, coalesce(floor(p.r), 0) AS r, '' AS dir FROM (SELECT frame_id, unnest(range(my + 1)) AS y FROM (SELECT frame_id, max(y) AS my FROM given GROUP BY 1)) f
  CROSS JOIN (SELECT unnest(range(50)) AS x) g LEFT JOIN given p ON p.frame_id = f.frame_id AND p.y = f.y AND p.x = g.x)"""
-TILE_SQL = f"WITH {STORED} SELECT 'frame-' || frame_id || '.{{kind}}' AS path, CAST(y // 16 AS INTEGER) AS ty, CAST(x // 16 AS INTEGER) AS tx, CAST(max(x) - min(x) + 1 AS INTEGER) AS w, CAST(max(y) - min(y) + 1 AS INTEGER) AS h, sum(r) AS total, arg_min(r, y * 50 + x) AS first_value FROM pixels GROUP BY 1, 2, 3"
+TILE_SELECT = "SELECT 'frame-' || frame_id || '.{kind}' AS path, CAST(y // 16 AS INTEGER) AS ty, CAST(x // 16 AS INTEGER) AS tx, CAST(max(x) - min(x) + 1 AS INTEGER) AS w, CAST(max(y) - min(y) + 1 AS INTEGER) AS h, sum(r) AS total, arg_min(r, y * 50 + x) AS first_value FROM pixels GROUP BY 1, 2, 3"
+TILE_SQL = f"WITH {STORED} {TILE_SELECT}"
 
 
-def _tiles(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    t = frames.tiles(_pixel_files(spark, sf, kind), tile=16)
+def _summed_tiles(t: DataFrame) -> DataFrame:
     total = F.aggregate("r", F.lit(0.0).cast("double"), lambda s, v: s + v.cast("double"))
-    return t.select("path", "ty", "tx", "w", "h", total.alias("total"), F.element_at("r", 1).cast("double").alias("first_value"))
+    return t.select(F.element_at(F.split("path", "/"), -1).alias("path"), "ty", "tx", "w", "h", total.alias("total"), F.element_at("r", 1).cast("double").alias("first_value"))
 
 
 @query("src_fits_tiles", TILE_SQL.format(kind="fits"))
 def src_fits_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    return _tiles(spark, sf, "fits")
+    return _summed_tiles(frames.tiles(_pixel_files(spark, sf, "fits"), tile=16))
 
 
 @query("src_xisf_tiles", TILE_SQL.format(kind="xisf"))
 def src_xisf_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    return _tiles(spark, sf, "xisf")
+    return _summed_tiles(frames.tiles(_pixel_files(spark, sf, "xisf"), tile=16))
+
+
+def _headers(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    """Headers of those frames once they are written as files into the shared folder."""
+    folder = shared_dir(spark, "frame-files")
+    for kind in kinds:
+        blocks.write_files(_pixel_files(spark, sf, kind), folder).write.format("noop").mode("overwrite").save()
+    return blocks.read_headers(spark, folder)
+
+
+@query("src_header_blocks", f"""WITH {STORED}, h AS (SELECT frame_id, max(y) + 1 AS height FROM pixels GROUP BY 1),
+c AS (SELECT frame_id, unnest(['SIMPLE', 'BITPIX', 'NAXIS', 'NAXIS1', 'NAXIS2', 'BZERO', 'BSCALE']) AS key, unnest(['T', '16', '2', '50', height::VARCHAR, '32768', '1']) AS value, unnest(range(7)) AS card_idx, 2880 + height * 100 AS length FROM h)
+SELECT 'frame-' || frame_id || '.fits' AS path, CAST(length AS BIGINT) AS length, card_idx, key, value, true AS few_bytes FROM c""")
+def src_header_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    h = _headers(spark, sf, "fits").select("*", (F.col("bytes_read") <= blocks.WINDOW).alias("few_bytes"))
+    c = blocks.cards(h).withColumnRenamed("frame_id", "path").join(h.select("path", "length", "few_bytes"), "path")
+    return c.select(F.element_at(F.split("path", "/"), -1).alias("path"), "length", "card_idx", "key", "value", "few_bytes")
+
+
+@query("src_row_ranges", f"WITH {STORED} {TILE_SELECT.format(kind='fits')} UNION ALL {TILE_SELECT.format(kind='xisf')}")
+def src_row_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return _summed_tiles(blocks.tiles(_headers(spark, sf, "fits", "xisf"), 16, range_bytes=3200))
 
 
 @query("src_exif_cards", """WITH e AS (SELECT o_orderkey AS k, 'make' || o_custkey % 5 AS make, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'model ' || o_orderkey % 7 END AS model, CASE WHEN o_orderkey % 8 < 4 THEN o_orderkey % 8 / 4.0::DOUBLE ELSE 1 / (o_orderkey % 977 * 40.0::DOUBLE + 3) END AS shutter, 50 + o_custkey / 7.0::DOUBLE AS focal, o_orderkey % 5 * 100.0::DOUBLE AS iso, epoch(o_orderdate)::BIGINT * (o_orderkey % 2) AS taken FROM orders),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -170,9 +171,14 @@ def units(data: bytes) -> Iterator[tuple[int, int, dict[str, str]]]:
                 if card[8] == "=":
                     keys.setdefault(card[:8].strip(), card[10:].split("/")[0].strip().strip("'").strip())
         yield start, at, keys
-        axes = [int(keys.get(f"NAXIS{i + 1}", 0)) for i in range(int(keys.get("NAXIS", 0)))]
-        size = abs(int(keys.get("BITPIX", 8))) // 8 * (int(keys.get("PCOUNT", 0)) + math.prod(axes)) * int(keys.get("GCOUNT", 1)) if axes else 0
-        at += -(-size // 2880) * 2880
+        at = next_unit(at, keys)
+
+
+def next_unit(at: int, keys: dict[str, str]) -> int:
+    """Where the unit after the one with these values begins, whose data begin at ``at``."""
+    axes = [int(keys.get(f"NAXIS{i + 1}", 0)) for i in range(int(keys.get("NAXIS", 0)))]
+    size = abs(int(keys.get("BITPIX", 8))) // 8 * (int(keys.get("PCOUNT", 0)) + math.prod(axes)) * int(keys.get("GCOUNT", 1)) if axes else 0
+    return at + -(-size // 2880) * 2880
 
 
 def image_axes(keys: dict[str, str]) -> list[int]:
@@ -181,6 +187,37 @@ def image_axes(keys: dict[str, str]) -> list[int]:
     return axes if len(axes) >= 2 and (not keys.get("XTENSION") or keys["XTENSION"] == "IMAGE") else []
 
 
+@dataclass
+class Image:
+    """Geometry and sample type of an image, and what its samples are turned into values with."""
+
+    kind: str
+    width: int
+    height: int
+    planes: int
+    start: int = 0
+    size: int = 0
+    scale: float = 1.0
+    zero: float = 0.0
+    pattern: str | None = None
+    dx: int = 0
+    dy: int = 0
+
+    @property
+    def need(self) -> int:
+        return self.width * self.height * self.planes * np.dtype(self.kind).itemsize
+
+
+def fits_image(axes: list[int], kind: str, keys: dict[str, str]) -> Image:
+    _check(axes[0], axes[1])
+    out = Image(kind, axes[0], axes[1], 3 if len(axes) >= 3 and axes[2] == 3 else 1, scale=float(keys.get("BSCALE") or 1), zero=float(keys.get("BZERO") or 0))
+    pattern = keys.get("BAYERPAT", "").strip().upper()
+    if out.planes == 1 and pattern in PATTERNS:
+        out.pattern = pattern
+        out.dx, out.dy = (int(keys.get(a) or keys.get(b) or 0) for a, b in (("XBAYROFF", "BAYOFFX"), ("YBAYROFF", "BAYOFFY")))
+    return out
+
+
 def decode_fits(data: bytes) -> np.ndarray:
     """(channels, height, width) float32, top row first, of the first image unit.
 
@@ -190,22 +227,17 @@ def decode_fits(data: bytes) -> np.ndarray:
         axes, kind = image_axes(keys), FITS_TYPES.get(int(keys.get("BITPIX", 0)))
         if not axes or not kind:
             continue
-        _check(axes[0], axes[1])
-        planes = 3 if len(axes) >= 3 and axes[2] == 3 else 1
-        n = axes[0] * axes[1]
-        if len(data) - at < n * planes * np.dtype(kind).itemsize:
+        image = fits_image(axes, kind, keys)
+        if len(data) - at < image.need:
             raise ValueError("truncated pixels")
-        v = np.frombuffer(data, kind, n * planes, at).astype(np.float64) * float(keys.get("BSCALE") or 1) + float(keys.get("BZERO") or 0)
-        v = np.where(np.isfinite(v), v, 0.0).astype(np.float32).reshape(planes, axes[1], axes[0])
-        pattern = keys.get("BAYERPAT", "").strip().upper()
-        if planes == 1 and pattern in PATTERNS:
-            dx, dy = (int(keys.get(a) or keys.get(b) or 0) for a, b in (("XBAYROFF", "BAYOFFX"), ("YBAYROFF", "BAYOFFY")))
-            v = balanced(demosaic(v[0], pattern, dx, dy))
-        return v[:, ::-1]
+        v = np.frombuffer(data, kind, image.need // np.dtype(kind).itemsize, at).astype(np.float64) * image.scale + image.zero
+        v = np.where(np.isfinite(v), v, 0.0).astype(np.float32).reshape(image.planes, image.height, image.width)
+        return (balanced(demosaic(v[0], image.pattern, image.dx, image.dy)) if image.pattern else v)[:, ::-1]
     raise ValueError("no image")
 
 
-def decode_xisf(data: bytes) -> np.ndarray:
+def xisf_image(data: bytes) -> Image:
+    """Geometry, sample type and place of the image, from the header that ``data`` begins with."""
     if data[:8] != b"XISF0100" or len(data) < 16:
         raise ValueError("not an XISF file")
     xml = data[16 : 16 + int.from_bytes(data[8:12], "little")].decode("utf-8", "replace")
@@ -220,13 +252,15 @@ def decode_xisf(data: bytes) -> np.ndarray:
         raise ValueError("unknown sample format or location")
     if get("compression"):
         raise ValueError("compressed pixels are not read")
-    planes = 3 if c == 3 and get("colorSpace") == "RGB" else 1
-    start, size = int(where[1]), int(where[2])
-    need = w * h * planes * np.dtype(kind).itemsize
-    if start > len(data) or size > len(data) - start or need > size:
+    return Image(kind, w, h, 3 if c == 3 and get("colorSpace") == "RGB" else 1, int(where[1]), int(where[2]))
+
+
+def decode_xisf(data: bytes) -> np.ndarray:
+    image = xisf_image(data)
+    if image.start > len(data) or image.size > len(data) - image.start or image.need > image.size:
         raise ValueError("pixels outside the file")
-    v = np.frombuffer(data, kind, w * h * planes, start).astype(np.float32)
-    return np.where(np.isfinite(v), v, np.float32(0)).reshape(planes, h, w)
+    v = np.frombuffer(data, image.kind, image.need // np.dtype(image.kind).itemsize, image.start).astype(np.float32)
+    return np.where(np.isfinite(v), v, np.float32(0)).reshape(image.planes, image.height, image.width)
 
 
 def tiles(files: DataFrame, tile: int = 256) -> DataFrame:
