@@ -33,5 +33,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` has written."""
     for t in tables:
-        target = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        target.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        delete(t.sparkSession, t.stored_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

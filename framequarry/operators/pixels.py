@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framequarry.functions.bound import bound
 from framequarry.functions.mosaic import demosaic
-from framequarry.functions.order_stats import MAD_SIGMA, clamp, upper_median
+from framequarry.functions.order_stats import MAD_SIGMA, array_median, clamp, sorted_quantile, upper_median
 
 
 def luma(px: DataFrame) -> DataFrame:
@@ -218,8 +219,6 @@ def stamps(px: DataFrame, centres: DataFrame, side: int = 29, value: str = "r")
 
 def normalise_stamps(stamped: DataFrame, q: float = 0.995, soft: float = 0.15) -> DataFrame:
     """asinh view of stamps (arrays ``values``): above the median, over ``soft`` times the q quantile, clamped to [0, 1]."""
-    from framequarry.functions.order_stats import array_median, sorted_quantile
-
-    s = stamped.withColumn("v", F.transform("values", lambda v: F.greatest(F.lit(0.0), v - array_median(F.col("values")))))
-    s = s.withColumn("top", F.greatest(sorted_quantile(F.col("v"), q), F.lit(1e-6)))
-    return s.withColumn("values", F.transform("v", lambda v: clamp(F.asinh(v / (F.col("top") * soft)) / F.asinh(F.lit(1 / soft)), 0.0, 1.0))).drop("v", "top")
+    over = bound(array_median(F.col("values")), lambda m: F.transform("values", lambda v: F.greatest(F.lit(0.0), v - m)))
+    seen = lambda v, top: F.transform(v, lambda x: clamp(F.asinh(x / (top * soft)) / F.asinh(F.lit(1 / soft)), 0.0, 1.0))
+    return stamped.withColumn("values", bound(over, lambda v: bound(F.greatest(sorted_quantile(v, q), F.lit(1e-6)), lambda top: seen(v, top))))

@@ -74,33 +74,65 @@ def threshold(px: DataFrame, mesh: DataFrame, tile: int = 64, k: float = 4.0) ->
     return p.where(F.col("luma") > F.col("bg") + k * F.col("noise")).select("frame_id", "y", "x", "luma", (F.col("luma") - F.col("bg")).alias("residual"), "noise")
 
 
-def _label(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Labels of 8-connected pixels of a frame: the smallest raster index of the component."""
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    width = int(x.max()) + 2
-    key = y * width + x
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    label = np.arange(len(key))
-    pairs = []
-    for step in (1, width - 1, width, width + 1):  # right, and the three below
-        at = np.searchsorted(key, key + step)
-        ok = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + step)
-        pairs.append((np.flatnonzero(ok), at[ok]))
-    a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the least node that the links a - b reach from it."""
+    label = np.arange(n)
     while True:  # minima spread along links, with pointer jumping
         new = label.copy()
         np.minimum.at(new, a, label[b])
         np.minimum.at(new, b, label[a])
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def touching(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of pixels that touch, in sorted raster places ``key`` of rows of ``width``, one more than any x and gap."""
+    pairs = []
+    for step in (1, width - 1, width, width + 1):  # right, and the three below
+        at = np.searchsorted(key, key + step)
+        ok = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + step)
+        pairs.append((np.flatnonzero(ok), at[ok]))
+    a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
+    return a, b
+
+
+def _label(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Labels of 8-connected pixels of a frame: the smallest raster index of the component."""
+    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+    width = int(x.max()) + 2
+    key = y * width + x
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    label = least_linked(len(key), *touching(key, width))
     out = pdf.iloc[order].copy()
     out["label"] = key[label] // width * 1_000_000 + key[label] % width
     return out
 
 
+def _across_borders(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(frame_id, label, whole): labels of tiles that go on in other tiles, from the pixels along the tiles' borders."""
+    width = int(pdf["x"].max()) + 2
+    key = pdf["y"].to_numpy() * width + pdf["x"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    labels, node = np.unique(pdf["label"].to_numpy()[order], return_inverse=True)
+    a, b = touching(key[order], width)
+    root = least_linked(len(labels), node[a], node[b])
+    moved = root != np.arange(len(labels))
+    return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "label": labels[moved], "whole": labels[root[moved]]})
+
+
+def joined_labels(labelled: DataFrame) -> DataFrame:
+    """Components of frames from those of their tiles: (frame_id, y, x, label, edge, ...) with ``edge`` for pixels that
+    touch another tile. Only these meet in one task per frame; labels are those of ``components``."""
+    border = labelled.where("edge").select("frame_id", "y", "x", "label")
+    kind = labelled.schema["frame_id"].dataType.simpleString()
+    moved = border.groupBy("frame_id").applyInPandas(_across_borders, f"frame_id {kind}, label long, whole long")
+    names = [c for c in labelled.columns if c not in ("label", "edge")]
+    return labelled.join(moved, ["frame_id", "label"], "left").select(*names, F.coalesce("whole", "label").alias("label"))
+
+
 def _label_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     """As ``_label``, of runs of pixels (y, first, last) of a frame: the label is the first pixel of the component."""
     pdf = pdf.sort_values(["y", "first"])
@@ -111,15 +143,7 @@ def _label_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     n = np.maximum(hi - lo, 0)
     a = np.repeat(np.arange(len(y)), n)
     b = np.repeat(lo, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-    label = np.arange(len(y))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    label = least_linked(len(y), a, b)
     return pdf.assign(label=y[label] * 1_000_000 + first[label])[["frame_id", "y", "island", "label"]]
 
 

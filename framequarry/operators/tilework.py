@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from framequarry.functions.order_stats import MAD_SIGMA, upper_median
 from framequarry.functions.store import materialize, release
 from framequarry.operators import stars
+from framequarry.operators.tiletable import BAND, TileTable, band_of, banded, with_bands
 
-REDUCED = "frame_id string, n long, total double, spread double, lo double, n_lo long, hi double, n_hi long, cells array<struct<cy:long,cx:long,bg:double,noise:double>>, sample array<double>"
-SPARSE = "frame_id string, y long, x long, luma double, residual double, noise double"
+REDUCED = "frame_id string, h int, n long, total double, spread double, lo double, n_lo long, hi double, n_hi long, cells array<struct<cy:long,cx:long,bg:double,noise:double>>, sample array<double>"
+SPARSE = "frame_id string, y long, x long, luma double, residual double, noise double, label long, edge boolean"
 
 
 def luma_of(row) -> np.ndarray:
@@ -61,7 +62,7 @@ def reduced(tiles: DataFrame, cell: int, target: int) -> DataFrame:
                 step = max(1, t.width * t.height // target)
                 at = (t.y0 + np.arange(t.h))[:, None] * t.width + t.x0 + np.arange(t.w)
                 mean = float(v.mean())
-                rows.append((t.path, v.size, float(v.sum()), float(((v - mean) ** 2).sum()), float(lo), int((v == lo).sum()), float(hi), int((v == hi).sum()), cells, v[at % step == 0]))
+                rows.append((t.path, t.h, v.size, float(v.sum()), float(((v - mean) ** 2).sum()), float(lo), int((v == lo).sum()), float(hi), int((v == hi).sum()), cells, v[at % step == 0]))
             if rows:
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in REDUCED.split(", ")])
 
@@ -81,10 +82,14 @@ def statistics(parts: DataFrame) -> DataFrame:
     return base.join(end("lo", "n_lo", "min"), "frame_id").join(end("hi", "n_hi", "max"), "frame_id").join(dev, "frame_id")
 
 
-def above(tiles: DataFrame, mesh: DataFrame, cell: int, k: float) -> DataFrame:
-    """Pixels above background + k noise, the smoothed mesh interpolated between the centres of its cells."""
-    packed = mesh.groupBy("frame_id").agg((F.max("cx") + 1).alias("gw"), F.array_sort(F.collect_list(F.struct("cy", "cx", "bg", "noise"))).alias("m"))
-    packed = packed.select(F.col("frame_id").alias("path"), "gw", F.col("m.bg").alias("mb"), F.col("m.noise").alias("mn"))  # a row per frame
+def above(tiles: DataFrame, mesh: DataFrame, cell: int, k: float, band: int = BAND, stay: bool = False) -> DataFrame:
+    """Pixels above background + k noise, the smoothed mesh interpolated between the centres of its cells, with the label
+    of their component within the tile, and whether they touch another tile.
+
+    The mesh is cut into bands and joined on (path, band). With ``stay`` it is dealt to the tiles' buckets
+    (``tiletable``), and the tiles are not moved.
+    """
+    packed = with_bands(mesh, cell, band)
 
     def axis(start: int, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         f = np.clip((start + np.arange(n)) / cell - 0.5, 0.0, cells - 1.0)
@@ -96,27 +101,35 @@ def above(tiles: DataFrame, mesh: DataFrame, cell: int, k: float) -> DataFrame:
             for t in pdf.itertuples():
                 v, gw = luma_of(t), int(t.gw)
                 grids = [np.asarray(g, np.float64).reshape(-1, gw) for g in (t.mb, t.mn)]
-                (i, j, ty), (a, b, tx) = axis(t.y0, t.h, len(grids[0])), axis(t.x0, t.w, gw)
-                across = [[g[r][:, a] * (1 - tx) + g[r][:, b] * tx for r in (i, j)] for g in grids]
+                (i, j, ty), (a, b, tx) = axis(t.y0, t.h, -(-t.height // cell)), axis(t.x0, t.w, gw)
+                across = [[g[r - t.cy0][:, a] * (1 - tx) + g[r - t.cy0][:, b] * tx for r in (i, j)] for g in grids]
                 bg, noise = (top * (1 - ty)[:, None] + low * ty[:, None] for top, low in across)
                 y, x = np.nonzero(v > bg + k * noise)
                 if len(y):
-                    yield pd.DataFrame({"frame_id": t.path, "y": y + t.y0, "x": x + t.x0, "luma": v[y, x], "residual": v[y, x] - bg[y, x], "noise": noise[y, x]})
+                    edge = (y == 0) & (t.y0 > 0) | (y == t.h - 1) & (t.y0 + t.h < t.height) | (x == 0) & (t.x0 > 0) | (x == t.w - 1) & (t.x0 + t.w < t.width)
+                    yield stars._label(pd.DataFrame({"frame_id": t.path, "y": y + t.y0, "x": x + t.x0, "luma": v[y, x], "residual": v[y, x] - bg[y, x], "noise": noise[y, x], "edge": edge}))[[c.split()[0] for c in SPARSE.split(", ")]]
 
-    return tiles.where("error IS NULL").join(packed, "path").mapInPandas(run, SPARSE)
+    ok = banded(tiles.where("error IS NULL"), band)
+    return ok.join(packed.hint("shuffle_hash") if stay else packed, ["path", "band"]).mapInPandas(run, SPARSE)
 
 
-def analyse(tiles: DataFrame, tile: int = 64, k: float = 4.0, least_area: int = 5, most_area: int = 2000, target: int = 200_000, **cuts) -> tuple[DataFrame, DataFrame]:
+def analyse(tiles: DataFrame | TileTable, tile: int = 64, k: float = 4.0, least_area: int = 5, most_area: int = 2000, target: int = 200_000, **cuts) -> tuple[DataFrame, DataFrame]:
     """(statistics and star summary per frame, stars) of ``frames.tiles``, whose side must be a multiple of the cell ``tile``.
 
     The frame is named by the tiles' path. Tiles are read twice; what is shuffled are rows per tile, cell, sample and
-    pixel above threshold.
+    pixel above threshold. Tiles of a ``TileTable`` stay in their buckets; others may be dealt by (path, band).
     """
+    stay = isinstance(tiles, TileTable)
+    table, tiles = (tiles, tiles.tiles) if stay else (None, tiles)
     parts = materialize(reduced(tiles, tile, target), "tile-parts")
+    band = table.band if stay else band_of(parts.agg(F.max("h")).first()[0] or tile)
+    if band % tile:
+        raise ValueError(f"tiles, and bands of tiles, must be made of whole cells of {tile} rows")
     mesh = materialize(stars.mesh_smooth(parts.select("frame_id", F.inline("cells"))), "tile-mesh")
-    bright = materialize(above(tiles, mesh, tile, k), "tile-bright")
-    labelled = materialize(stars.area_filter(stars.components(bright), least_area, most_area), "tile-stars")
+    bright = materialize(above(tiles, mesh, tile, k, band, stay), "tile-bright")
+    labelled = materialize(stars.area_filter(stars.joined_labels(bright), least_area, most_area), "tile-stars")
     found = materialize(stars.half_flux_radius(labelled, stars.quality_cuts(stars.moments(labelled), mesh, tile, **cuts)), "stars")
     stats = materialize(statistics(parts), "tile-statistics")
-    release(parts, mesh, bright, labelled)
-    return stats.join(stars.summary(stats, found), "frame_id"), found
+    rows = materialize(stats.join(stars.summary(stats, found), "frame_id"), "frame-rows")
+    release(parts, mesh, bright, labelled, stats)
+    return rows, found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_pixels, queries_results
+from . import queries_pixels, queries_results, queries_tiles
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +12,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return queries_pixels.Q | queries_results.Q
+    return queries_pixels.Q | queries_results.Q | queries_tiles.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_pixels.SQL | queries_results.SQL
+    return queries_pixels.SQL | queries_results.SQL | queries_tiles.SQL

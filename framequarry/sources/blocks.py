@@ -11,7 +11,7 @@ Paths are those that ``pyarrow.fs`` opens; for other stores ``frames.read_frames
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,13 +28,17 @@ from framequarry.functions.order_stats import upper_median
 from framequarry.functions.store import materialize
 from framequarry.sources import frames
 
+#: Columns of a header; ``cache_key`` is read when asked for.
 HEADERS = "path string, length long, format string, content binary, data_at long, bytes_read long, error string"
-RANGES = "path string, kind string, width int, height int, channels int, data_at long, scale double, zero double, flipped boolean, pattern string, dx int, dy int, y0 int, y1 int, error string"
+KEYED = HEADERS + ", cache_key string"
+RANGES = "path string, name string, kind string, width int, height int, channels int, data_at long, scale double, zero double, flipped boolean, pattern string, dx int, dy int, y0 int, y1 int, error string"
 #: Leading bytes of camera files, and the most that a header may take.
 RAW_LEADS = (b"II*\0", b"MM\0*")
 MOST_HEADER = 32 << 20
 #: Bytes of one read of a header, in FITS blocks of 2 880.
 WINDOW = 8 * 2880
+#: Bytes of a file that its key is made of, beside its size.
+HEAD_BYTES = 65536
 #: Bytes of a range of rows, about.
 RANGE_BYTES = 32 << 20
 FILES_A_TASK = 64
@@ -119,13 +123,15 @@ class HeaderReader(DataSourceReader):
         return [Files(known[i : i + self.each]) for i in range(0, len(known), self.each)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        opens = bool({"format", "content", "data_at", "bytes_read", "error"} & set(self.columns))
+        opens = bool({"format", "content", "data_at", "bytes_read", "error", "cache_key"} & set(self.columns))
         for path, length in partition.found:
             row = {"path": path, "length": length}
             if opens:
                 try:
                     data = ByteRanges(path)
                     row |= zip(("format", "content", "data_at", "error"), header_of(data), strict=True)
+                    if "cache_key" in self.columns:  # as ``results.content_key`` has it
+                        row["cache_key"] = hashlib.sha256(data[0:HEAD_BYTES] + str(length).encode()).hexdigest()
                     row["bytes_read"] = data.read
                 except OSError as e:
                     row["error"] = str(e)[:200]
@@ -147,10 +153,10 @@ class HeaderSource(DataSource):
 
 
 def read_headers(spark: SparkSession, path: str, columns: Sequence[str] | None = None, files_a_task: int = FILES_A_TASK) -> DataFrame:
-    """Headers of the frame files below ``path``; of ``HEADERS`` only ``columns``, if given."""
+    """Headers of the frame files below ``path``; the columns are ``HEADERS``, or those of ``KEYED`` that are named."""
     spark.dataSource.register(HeaderSource)
-    kinds = dict(c.split() for c in HEADERS.split(", "))
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (kinds if columns is None else columns))
+    kinds = dict(c.split() for c in KEYED.split(", "))
+    schema = HEADERS if columns is None else ", ".join(f"{c} {kinds[c]}" for c in columns)
     return spark.read.format("frame_headers").option("filesATask", files_a_task).schema(schema).load(path)
 
 
@@ -181,7 +187,7 @@ def _geometry(path: str, kind: str, header: bytes, data_at: int | None, length:
 
 def row_ranges(headers: DataFrame, tile: int = 256, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Ranges of whole rows of tiles of all frames, ``range_bytes`` of the file each or one row of tiles; a row with
-    ``error`` for a file whose pixels cannot be read."""
+    ``error`` for a file whose pixels cannot be read. A frame's name is its cache_key, if ``headers`` have one, or its path."""
     names = [x.split()[0] for x in RANGES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,19 +199,20 @@ def row_ranges(headers: DataFrame, tile: int = 256, range_bytes: int = RANGE_BYT
                         raise ValueError(h.error)
                     g = _geometry(h.path, h.format, bytes(h.content), None if pd.isna(h.data_at) else int(h.data_at), int(h.length))
                 except Exception as e:  # noqa: BLE001  any broken file becomes an error row
-                    rows.append({"path": h.path, "error": str(e)[:200] or type(e).__name__})
+                    rows.append({"path": h.path, "name": h.name, "error": str(e)[:200] or type(e).__name__})
                     continue
                 line = g["width"] * np.dtype(g["kind"]).itemsize * g["channels"]
                 step = tile * max(1, range_bytes // (line * tile))
-                rows += [{"path": h.path, "y0": y, "y1": min(y + step, g["height"])} | g for y in range(0, g["height"], step)]
+                rows += [{"path": h.path, "name": h.name, "y0": y, "y1": min(y + step, g["height"])} | g for y in range(0, g["height"], step)]
             out = pd.DataFrame(rows, columns=names)
             for c in ("width", "height", "channels", "data_at", "dx", "dy", "y0", "y1"):
                 out[c] = out[c].astype("Int64")
-            for c in ("path", "kind", "pattern", "error"):
+            for c in ("path", "name", "kind", "pattern", "error"):
                 out[c] = out[c].astype(object).where(out[c].notna(), None)
             yield out.astype({"flipped": "boolean"})
 
-    return headers.select("path", "length", "format", "content", "data_at", "error").mapInPandas(run, RANGES)
+    name = F.coalesce("cache_key", "path") if "cache_key" in headers.columns else F.col("path")
+    return headers.select("path", name.alias("name"), "length", "format", "content", "data_at", "error").mapInPandas(run, RANGES)
 
 
 def planes_of(data: ByteRanges, r, y0: int, y1: int) -> np.ndarray:
@@ -281,7 +288,7 @@ def range_tiles(spark: SparkSession, ranges: DataFrame, tile: int) -> DataFrame:
                 try:
                     yield from rows_of(r)
                 except Exception as e:  # noqa: BLE001  a range that cannot be read is an error row
-                    yield pd.DataFrame([[r.path, *[None] * 12, str(e)[:200] or type(e).__name__]], columns=names)
+                    yield pd.DataFrame([[r.name, *[None] * 12, str(e)[:200] or type(e).__name__]], columns=names)
 
     def rows_of(r) -> Iterator[pd.DataFrame]:
         data, width, height = ByteRanges(r.path), int(r.width), int(r.height)
@@ -292,11 +299,11 @@ def range_tiles(spark: SparkSession, ranges: DataFrame, tile: int) -> DataFrame:
             rows = []
             for x0 in range(0, width, tile):
                 flat = [p.ravel() for p in v[:, :, x0 : x0 + tile]]
-                rows.append([r.path, width, height, len(v), y0 // tile, x0 // tile, y0, x0, v.shape[1], min(tile, width - x0), flat[0], *(flat[1:] if len(v) == 3 else (None, None)), None])
+                rows.append([r.name, width, height, len(v), y0 // tile, x0 // tile, y0, x0, v.shape[1], min(tile, width - x0), flat[0], *(flat[1:] if len(v) == 3 else (None, None)), None])
             yield pd.DataFrame(rows, columns=names)
 
     read = dealt.mapInPandas(run, frames.TILES)
-    failed = ranges.where("error IS NOT NULL").select("path", "error")
+    failed = ranges.where("error IS NOT NULL").select(F.col("name").alias("path"), "error")
     kinds = dict(c.split() for c in frames.TILES.split(", "))
     return read.unionByName(failed.select(*[F.col(c) if c in ("path", "error") else F.lit(None).cast(kinds[c]).alias(c) for c in names]))
 

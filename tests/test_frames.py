@@ -98,7 +98,7 @@ def test_rotation_is_a_permutation(spark, rows, cols):
 def test_background(spark):
     flat = pixels.luma(fields.pixels(spark, np.full((120, 150), 1000.0)))
     r = one(background.report(flat, 12, 15, min_side=100))
-    assert abs(r.radial_drop) < 1e-9 and r.bg_median == 1000
+    assert abs(r.radial_drop) < 1e-9 and r.bg_median == pytest.approx(1000, rel=1e-12)  # the solver rounds as the machine's library does
     assert background.cell_floor(flat, 12, 15).count() == 0  # too small for the default
     y, x = np.mgrid[:120, :150]
     s = one(background.report(pixels.luma(fields.pixels(spark, 1000.0 + x)), 12, 15, min_side=100))
