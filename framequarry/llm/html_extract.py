@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,12 +65,12 @@ BLOCKS = "page_id long, url string, host string, blocks array<struct<slot:long,
 
 
 class Node:
-    __slots__ = ("tag", "skip", "children", "size", "slot", "main", "voted", "names")
+    __slots__ = ("tag", "skip", "children", "size", "slot", "shape", "main", "voted", "names")
 
     def __init__(self, tag: str, skip: bool = False, main: bool = False, voted: bool = False, names: str = ""):
         self.tag, self.skip, self.main, self.voted, self.names = tag, skip, main, voted, names
         self.children: list = []
-        self.size, self.slot = 1, -1
+        self.size, self.slot, self.shape = 1, -1, -1
 
 
 def votes(named: str) -> bool:
@@ -176,66 +177,178 @@ def parse(page: str | None) -> Node:
     return root
 
 
-def number(root: Node) -> int:
-    """Give every element its place in document order as slot, and its subtree's size."""
+#: Children of one tag from which on they share slots: each meets the reference's first child of its shape, or of its tag.
+REPEATED = 48
+#: Cells of a table of the dynamic programme that is kept whole; larger ones are halved until they fit.
+TABLE_CELLS = 1 << 20
+Shapes = dict[tuple, int]
+
+
+def elements(n: Node) -> list[Node]:
+    return [c for c in n.children if isinstance(c, Node)]
+
+
+def number(root: Node, shapes: Shapes, slots: bool = False) -> int:
+    """Give every element its shape, a number that subtrees of equal tags share, and its subtree's size; with ``slots``
+    also its place in document order as slot."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
-        n.slot = len(order)
+        if slots:
+            n.slot = len(order)
         order.append(n)
-        todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+        todo.extend(reversed(elements(n)))
     for n in reversed(order):
-        n.size = 1 + sum(c.size for c in n.children if isinstance(c, Node))
+        own = elements(n)
+        n.size = 1 + sum(c.size for c in own)
+        n.shape = shapes.setdefault((n.tag, *[c.shape for c in own]), len(shapes))
     return len(order)
 
 
-def align(ref: Node, page: Node) -> None:
-    """Simple tree matching of ``page`` with the numbered tree ``ref``; matched nodes of the page get the slots."""
-    memo: dict[tuple[int, int], tuple[int, list | None]] = {}
-    work = [(ref, page)] if ref.tag == page.tag else []
-    while work:
-        a, b = work[-1]
-        if (id(a), id(b)) in memo:
-            work.pop()
-            continue
-        x, y = [c for c in a.children if isinstance(c, Node)], [c for c in b.children if isinstance(c, Node)]
-        if not x or not y:
-            memo[id(a), id(b)] = (1, None)
-            work.pop()
-            continue
-        inner = [any(isinstance(c, Node) for c in ca.children) for ca in x]
-        wait = [(ca, cb) for ca, deep in zip(x, inner, strict=True) if deep for cb in y if ca.tag == cb.tag and (id(ca), id(cb)) not in memo]
-        if wait:
-            work.extend(wait)
-            continue
-        rows = [[0] * (len(y) + 1)]
-        for ca, deep in zip(x, inner, strict=True):
-            prev, row = rows[-1], [0]
-            for j, cb in enumerate(y):
-                w = 0 if ca.tag != cb.tag else memo[id(ca), id(cb)][0] if deep else 1
-                best = prev[j + 1] if prev[j + 1] >= row[j] else row[j]
-                row.append(prev[j] + w if w and prev[j] + w > best else best)
-            rows.append(row)
-        memo[id(a), id(b)] = (1 + rows[-1][-1], rows)
-        work.pop()
-
+def split_repeated(x: list[Node], y: list[Node]) -> tuple[list[Node], list[Node], list[tuple[list[Node], list[Node]]]]:
+    """(children of a and of b that are matched in order, the repeated children of both by tag)."""
+    if max(len(x), len(y)) <= REPEATED:
+        return x, y, []
+    n, m = Counter(c.tag for c in x), Counter(c.tag for c in y)
+    tags = [t for t in n.keys() | m.keys() if max(n[t], m[t]) > REPEATED]
+    if not tags:
+        return x, y, []
+    many = [([c for c in x if c.tag == t], [c for c in y if c.tag == t]) for t in tags]
+    return [c for c in x if c.tag not in tags], [c for c in y if c.tag not in tags], many
+
+
+def trimmed(x: list[Node], y: list[Node]) -> tuple[int, int]:
+    """Equal shapes at the head and at the tail; some best matching has them all."""
+    head, most = 0, min(len(x), len(y))
+    while head < most and x[head].shape == y[head].shape:
+        head += 1
+    tail = 0
+    while tail < most - head and x[-1 - tail].shape == y[-1 - tail].shape:
+        tail += 1
+    return head, tail
+
+
+class Matcher:
+    """Largest matchings of subtrees. What two subtrees share depends on their shapes alone, so it is kept by shapes."""
+
+    def __init__(self) -> None:
+        self.shared: dict[tuple[int, int], int] = {}
+
+    def weight(self, a: Node, b: Node) -> int | None:
+        """Matched elements of two subtrees, if known."""
+        if a.shape == b.shape:
+            return a.size
+        if a.tag != b.tag:
+            return 0
+        return self.shared.get((a.shape, b.shape))
+
+    def weigh(self, a: Node, b: Node) -> int:
+        todo = [(a, b)]
+        while todo:
+            p, q = todo[-1]
+            if self.weight(p, q) is not None:
+                todo.pop()
+                continue
+            x, y, many = split_repeated(elements(p), elements(q))
+            head, tail = trimmed(x, y)
+            inner_x, inner_y = x[head : len(x) - tail], y[head : len(y) - tail]
+            wait = self.missing(inner_x, inner_y)
+            if wait:
+                todo.extend(wait)
+                continue
+            total = 1 + sum(c.size for c in x[:head] + x[len(x) - tail :]) + (int(self.last_row(inner_x, inner_y)[-1]) if inner_x and inner_y else 0)
+            for own, other in many:
+                n, m = Counter(c.shape for c in own), Counter(c.shape for c in other)
+                size = {c.shape: c.size for c in own}
+                equal = {k: min(n[k], m[k]) for k in n.keys() & m.keys()}
+                total += sum(size[k] * v for k, v in equal.items()) + min(len(own), len(other)) - sum(equal.values())
+            self.shared[p.shape, q.shape] = total
+            todo.pop()
+        return self.weight(a, b)
+
+    def missing(self, x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+        """A pair of each two shapes of ``x`` and ``y`` whose weight is not known yet."""
+        first_x, first_y = {c.shape: c for c in reversed(x)}, {c.shape: c for c in reversed(y)}
+        by_tag: dict[str, list[Node]] = {}
+        for c in first_y.values():
+            by_tag.setdefault(c.tag, []).append(c)
+        return [(c, d) for c in first_x.values() for d in by_tag.get(c.tag, ()) if self.weight(c, d) is None]
+
+    def rows(self, x: list[Node], y: list[Node]) -> Iterator[np.ndarray]:
+        """Rows of the dynamic programme: the best matching of the first children of ``x`` with the first j of ``y``."""
+        kinds, place = np.unique([c.shape for c in y], return_inverse=True)
+        one = {c.shape: c for c in y}
+        sample = [one[k] for k in kinds.tolist()]
+        known: dict[int, np.ndarray] = {}
+        row = np.zeros(len(y) + 1, np.int64)
+        for c in x:
+            w = known.get(c.shape)
+            if w is None:
+                w = known[c.shape] = np.array([self.weight(c, d) for d in sample], np.int64)[place]
+            best = np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0))
+            row = np.concatenate([[0], np.maximum.accumulate(best)])
+            yield row
+
+    def last_row(self, x: list[Node], y: list[Node]) -> np.ndarray:
+        row = np.zeros(len(y) + 1, np.int64)
+        for row in self.rows(x, y):  # noqa: B007
+            pass
+        return row
+
+    def pairs(self, x: list[Node], y: list[Node]) -> Iterator[tuple[Node, Node]]:
+        """Children that a largest matching in order pairs. Large tables are never held: ``x`` is halved where the best
+        matchings of its halves meet."""
+        todo = [(x, y)]
+        while todo:
+            x, y = todo.pop()
+            head, tail = trimmed(x, y)
+            yield from zip(x[:head], y[:head], strict=True)
+            yield from zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)
+            x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+            if not x or not y:
+                continue
+            if len(x) > 1 and len(x) * len(y) > TABLE_CELLS:
+                half = len(x) // 2
+                cut = int((self.last_row(x[:half], y) + self.last_row(x[half:][::-1], y[::-1])[::-1]).argmax())
+                todo += [(x[:half], y[:cut]), (x[half:], y[cut:])]
+                continue
+            table = np.stack([np.zeros(len(y) + 1, np.int64), *self.rows(x, y)])
+            i, j = len(x), len(y)
+            while i and j:
+                if table[i, j] == table[i - 1, j]:
+                    i -= 1
+                elif table[i, j] == table[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield x[i], y[j]
+
+
+def align(ref: Node, page: Node, matcher: Matcher | None = None) -> None:
+    """Simple tree matching of ``page`` with the numbered tree ``ref``; matched nodes of the page get the slots.
+
+    Subtrees of equal shape are matched as they are. Where one tag has more than ``REPEATED`` children, as the rows of a
+    table, these children share slots, and the work is in proportion to them. Other children are matched in order by the
+    dynamic programme, after equal ones at either end.
+    """
+    matcher = matcher or Matcher()
     todo = [(ref, page)] if ref.tag == page.tag else []
     while todo:
         a, b = todo.pop()
         b.slot = a.slot
-        rows = memo.get((id(a), id(b)), (0, None))[1]
-        if rows is None:
+        x, y = elements(a), elements(b)
+        if a.shape == b.shape and len(x) <= REPEATED:
+            todo.extend(zip(x, y, strict=True))
             continue
-        x, y = [c for c in a.children if isinstance(c, Node)], [c for c in b.children if isinstance(c, Node)]
-        i, j = len(x), len(y)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((x[i], y[j]))
+        x, y, many = split_repeated(x, y)
+        for own, other in many:
+            by_shape = {c.shape: c for c in reversed(own)}
+            if own:
+                todo.extend((by_shape.get(c.shape, own[0]), c) for c in other)
+        head, tail = trimmed(x, y)
+        for c, d in matcher.missing(x[head : len(x) - tail], y[head : len(y) - tail]):
+            matcher.weigh(c, d)
+        todo.extend(matcher.pairs(x, y))
 
 
 def settle(root: Node) -> None:
@@ -315,7 +428,8 @@ def blocks(root: Node) -> list[tuple[int, bool, int, list[int], int, str]]:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Node] = {}
+    held: dict[str, tuple[Node, Matcher]] = {}
+    shapes: Shapes = {}
     kind = pa.list_(pa.struct([("slot", pa.int64()), ("marked", pa.bool_()), ("mass", pa.int32()), ("votes", pa.list_(pa.int32())), ("line", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
@@ -323,12 +437,14 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for page, host, ref in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                 root = parse(page)
+                if len(held) > 500 or len(shapes) > 1_000_000:
+                    held.clear()
+                    shapes.clear()
                 if host not in held:
-                    if len(held) > 500:
-                        held.clear()
-                    held[host] = parse(ref)
-                    number(held[host])
-                align(held[host], root)
+                    held[host] = parse(ref), Matcher()
+                    number(held[host][0], shapes, slots=True)
+                number(root, shapes)
+                align(held[host][0], root, held[host][1])
                 found.append([{"slot": s, "marked": m, "mass": n, "votes": v, "line": k, "text": t} for s, m, n, v, k, t in blocks(root)])
             yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "host": part.column(3), "blocks": pa.array(found, kind)})
 

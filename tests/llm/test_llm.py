@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -65,6 +66,30 @@ def test_against_sql(spark, op, texts):
     same(run(docs), *oracle(sql, docs))
 
 
+def test_ngram_pairs_that_dense_blocks_hold_back(spark, monkeypatch):
+    """A dense pass without a new pair is not the end where blocks held pairs back."""
+    cross = ngram_join._cross
+
+    def nothing_new(percent, dense):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield pa.RecordBatch.from_pydict({"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
+
+        return run if dense else cross(percent, dense)
+
+    rng = np.random.default_rng(4)
+    base = words(60, 3).split()
+    texts = []
+    for i in range(24):  # a chain of edits: neighbours are linked, far ones are not
+        base = [f"e{i}-{k}" if k in set(rng.integers(0, 60, 2).tolist()) else w for k, w in enumerate(base)]
+        texts.append(" ".join(base))
+    docs = documents(spark, texts + texts[::5])
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 1)
+    monkeypatch.setattr(ngram_join, "_cross", nothing_new)
+    same(ngram_join.near_duplicates(docs), *oracle(ngram_join.SQL, docs))
+
+
 def test_exact_directory_splits_buckets(spark, monkeypatch):
     docs = documents(spark, [f"t{i // 2}" for i in range(200)])
     monkeypatch.setattr(exact_dedup, "LEVEL", 3)  # several levels
@@ -510,11 +535,15 @@ def heaviest(a, b):
     return 1 + best(a.children, b.children)
 
 
-def test_html_tree_matching_is_the_largest():
+@pytest.mark.parametrize("cells", [1, 1 << 20], ids=["halved tables", "whole tables"])
+def test_html_tree_matching_is_the_largest(monkeypatch, cells):
+    monkeypatch.setattr(html_extract, "TABLE_CELLS", cells)
     rng = np.random.default_rng(7)
     for _ in range(40):
         ref, page = linked(tree(rng)), linked(tree(rng))
-        total = html_extract.number(ref)
+        shapes = {}
+        total = html_extract.number(ref, shapes, slots=True)
+        html_extract.number(page, shapes)
         html_extract.align(ref, page)
         slots, todo = [], [(page, None)]
         place = {}
@@ -536,7 +565,9 @@ def test_html_tree_matching_is_the_largest():
 
 def test_html_alignment_keeps_order():
     ref, page = html_extract.parse("<div><h1>a</h1><p>b</p><p>c</p></div>"), html_extract.parse("<div><p>new</p><h1>a</h1><p>b</p></div>")
-    html_extract.number(ref)
+    shapes = {}
+    html_extract.number(ref, shapes, slots=True)
+    html_extract.number(page, shapes)
     html_extract.align(ref, page)
     div = page.children[0]
     assert [c.slot for c in div.children] == [-1, 2, 4] or [c.slot for c in div.children] == [-1, 2, 3]
