@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import bounded_batches, materialize, scratch
+from .shared import bounded_batches, free, materialize, scratch
 
 BLOCK_BYTES = 16 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -111,9 +111,9 @@ def _by_row(windows):
                 hit, items = scanner.hits(w)
                 found = sorted(items)
                 yield pa.RecordBatch.from_pydict({
-                    "__row": rows.column(0).take(pa.array(found, pa.int64())),
-                    "__hits": pa.array([np.packbits(hit[w.first[d] : w.first[d + 1]]).tobytes() for d in found], pa.binary()),
-                    "__items": pa.array([sorted(items[d]) for d in found], pa.list_(pa.string())),
+                    "row": rows.column(0).take(pa.array(found, pa.int64())),
+                    "hits": pa.array([np.packbits(hit[w.first[d] : w.first[d + 1]]).tobytes() for d in found], pa.binary()),
+                    "items": pa.array([sorted(items[d]) for d in found], pa.list_(pa.string())),
                 })
 
     return run
@@ -157,15 +157,16 @@ def _judged(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, fin
     if blocks == 1:
         return docs.mapInArrow(_direct(spark.sparkContext.broadcast(Windows(block(0), n)), text_at, finish), schema)
     with scratch(spark):
-        numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontamination-rows", compression="zstd")
+        row, hits, items = free(docs, "row", "hits", "items")
+        numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows", compression="zstd")
         found = None
         for i in range(blocks):
             windows = spark.sparkContext.broadcast(Windows(block(i), n))
-            part = materialize(numbered.select("__row", "text").mapInArrow(_by_row(windows), "__row long, __hits binary, __items array<string>"), "decontamination-hits")
+            part = materialize(numbered.select(F.col(row).alias("row"), "text").mapInArrow(_by_row(windows), "row long, hits binary, items array<string>"), "decontamination-hits")
             windows.destroy()
             found = part if found is None else found.unionByName(part)
-        merged = found.groupBy("__row").agg(F.collect_list("__hits").alias("__hits"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))  # one per block at most
-        joined = numbered.join(merged, "__row", "left").select(*docs.columns, "__hits", "__items")
+        merged = found.groupBy(F.col("row").alias(row)).agg(F.collect_list("hits").alias(hits), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items))  # one per block at most
+        joined = numbered.join(merged, row, "left").select(*[numbered[c] for c in docs.columns], hits, items)
         return materialize(joined.mapInArrow(_merged(text_at, finish), schema), "decontaminated", keep=True, compression="zstd")
 
 

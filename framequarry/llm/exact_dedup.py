@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import few, materialize, scratch, small
+from .shared import few, free, materialize, scratch, small
 
 BLANKS = r"[\x20\x09-\x0D]"
 #: Bits of a hash, and of them those that one level of the directory counts (at most 16 384 counts).
@@ -115,15 +115,16 @@ def drop_exact_copies(docs: DataFrame, capacity: int = 100_000, id_col: str = "d
     """The rows of ``docs`` that ``exact_groups`` keeps, with all columns."""
     with scratch(docs.sparkSession):
         found = materialize(_exact_groups(docs, capacity, id_col, text_col, None).select("doc_id", "kept", "text_sha256", "chars"), "exact-found", keep=True, compression="zstd")
+    lost_id, key, sha, chars = free(docs, "lost_id", "key", "sha", "chars")
     own = docs[id_col]
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        lost = small(materialize(found.where("NOT kept").select(F.col("doc_id").alias("__lost")), "exact-lost"))
-        return docs.join(lost, own.eqNullSafe(F.col("__lost")), "left_anti")
+        lost = small(materialize(found.where("NOT kept").select(F.col("doc_id").alias(lost_id)), "exact-lost"))
+        return docs.join(lost, own.eqNullSafe(F.col(lost_id)), "left_anti")
     # Repeated ids: rows are told apart by text and length as well, and of rows that are alike in all three one stays.
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("chars").alias("__chars"))
+    kept = found.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), F.col("chars").alias(chars))
     text = F.coalesce(docs[text_col], F.lit(""))
-    on = own.eqNullSafe(F.col("__id")) & (F.sha2(normalised(text), 256) == F.col("__sha")) & (F.length(text) == F.col("__chars"))
-    return docs.join(kept, on).dropDuplicates(["__id", "__sha"]).select(*[docs[c] for c in docs.columns])
+    on = own.eqNullSafe(F.col(key)) & (F.sha2(normalised(text), 256) == F.col(sha)) & (F.length(text) == F.col(chars))
+    return docs.join(kept, on).dropDuplicates([key, sha]).select(*[docs[c] for c in docs.columns])
 
 
 SQL = r"""

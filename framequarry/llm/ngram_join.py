@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .components import components, gathered
-from .shared import bounded_batches, few, materialize, scratch, small
+from .shared import bounded_batches, few, free, materialize, scratch, small
 
 #: Documents that make a shingle frequent; most bits of the bitmap of frequent shingles (128 MB).
 FREQUENT, MOST_BITS = 12, 30
@@ -554,10 +554,9 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int, fragments: int) -> D
             short = few(short.mapInArrow(_pairs(percent), "a long, b long").distinct(), rows).join(tried, ["a", "b"], "left_anti")
             pairs = pairs.union(plausible(short, sketches, percent)).distinct()
         pairs = materialize(few(pairs.join(tried, ["a", "b"], "left_anti"), rows), "ngram-pairs")
-        if pairs.isEmpty():
-            break
-        links, tried = links.union(verified(pairs)), tried.union(pairs)
-        if crossed.where("a IS NULL").isEmpty():  # no block held pairs back
+        if not pairs.isEmpty():
+            links, tried = links.union(verified(pairs)), tried.union(pairs)
+        if crossed.where("a IS NULL").isEmpty():  # no block held pairs back, whether or not there were new ones
             break
         parts = components(links)
     parts = components(links)
@@ -579,15 +578,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
         return materialize(found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id")), "near-duplicates", keep=True)
 
 
-def _named(n: int, text_at: int):
+def _named(n: int, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = ta.buffers(batch.column(text_at))
             for i, j in ta.chunks(offsets):
                 h, off = shingle_sets(data, offsets[i : j + 1], n)
-                names = [signature(h[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                signed = [signature(h[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64())], names=[*own.schema.names, "__lo", "__hi"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x[0] for x in signed], pa.int64()), pa.array([x[1] for x in signed], pa.int64())], names=[*own.schema.names, *names])
 
     return run
 
@@ -599,14 +598,15 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, fragmen
     """
     with scratch(docs.sparkSession):
         found = materialize(_near_duplicates(docs, n, percent, fragments), "near-found", keep=True)
-    lost = found.where("doc_id <> component").select(F.col("doc_id").alias("__id"), F.col("lo").alias("__a"), F.col("hi").alias("__b")).distinct()
+    key, a, b, lo, hi = free(docs, "key", "a", "b", "lo", "hi")
+    lost = found.where("doc_id <> component").select(F.col("doc_id").alias(key), F.col("lo").alias(a), F.col("hi").alias(b)).distinct()
     lost = small(materialize(lost, "near-lost"))
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(lost, docs["doc_id"] == F.col("__id"), "left_anti")
+        return docs.join(lost, docs["doc_id"] == F.col(key), "left_anti")
     # Repeated ids: rows are told apart by their sets as well.
-    named = docs.mapInArrow(_named(n, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__lo", T.LongType()), T.StructField("__hi", T.LongType())]))
-    left = named.where("doc_id IS NOT NULL").join(lost, (F.col("doc_id") == F.col("__id")) & (F.col("__lo") == F.col("__a")) & (F.col("__hi") == F.col("__b")), "left_anti")
-    return left.dropDuplicates(["doc_id", "__lo", "__hi"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    named = docs.mapInArrow(_named(n, docs.columns.index("text"), [lo, hi]), T.StructType([*docs.schema.fields, T.StructField(lo, T.LongType()), T.StructField(hi, T.LongType())]))
+    left = named.where("doc_id IS NOT NULL").join(lost, (F.col("doc_id") == F.col(key)) & (F.col(lo) == F.col(a)) & (F.col(hi) == F.col(b)), "left_anti")
+    return left.dropDuplicates(["doc_id", lo, hi]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 SQL = r"""

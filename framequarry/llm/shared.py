@@ -71,6 +71,17 @@ def small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as it takes for ``df`` not to have such a column, in any case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def few(df: DataFrame, rows: int, each: int = 50_000, least: int = 8) -> DataFrame:
     """``df``, made of ``rows`` rows or about, in tasks of about ``each`` rows: small tables need no task per shuffle partition."""
     return df.coalesce(max(least, -(-rows // each)))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .fm_index import FMIndex
-from .shared import bounded_batches, materialize, scratch, small
+from .shared import bounded_batches, free, materialize, scratch, small
 
 #: Runs of one minimiser beyond which they are cut again, and words of the grams for that.
 HOT, HOT_GRAM = 1 << 15, 9
@@ -363,10 +363,11 @@ def removals(docs: DataFrame, **options) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the text of changed rows replaced by its kept words, joined by single spaces."""
+    own, key, kept = free(docs, "own", "key", "kept_text")
     with scratch(docs.sparkSession):
-        changed = materialize(changes(docs, **options).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "kept_text").dropDuplicates(["__id", "__key"]), "substring-changed", keep=True)
-    joined = docs.join(changed, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
-    text = F.when(F.col("__id").isNotNull(), F.col("kept_text")).otherwise(docs["text"])
+        changed = materialize(changes(docs, **options).select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("kept_text").alias(kept)).dropDuplicates([own, key]), "substring-changed", keep=True)
+    joined = docs.join(changed, (docs["doc_id"] == F.col(own)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
+    text = F.when(F.col(own).isNotNull(), F.col(kept)).otherwise(docs["text"])
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
