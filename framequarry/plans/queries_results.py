@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.functions.store import shared_dir
-from framequarry.operators import analysis, pixels, results, tilework
+from framequarry.operators import analysis, pixels, results, tilework, triage
+from framequarry.operators.resulttable import ResultTable
 from framequarry.sources import blocks, frames, headers
 from framequarry.streaming import ingest
 
@@ -317,6 +318,32 @@ def sink_results(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("schema_version").cast("int").alias("schema_version")).agg(F.count("*").alias("n"), F.sum("star_count").alias("stars"))
 
 
+@query("sink_result_table", f"{CURRENT} SELECT *, true AS touched FROM ({UPSERT})")
+def sink_result_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The store is written as a table by key prefix, and the new results are folded in over its own path."""
+    table = ResultTable(spark, shared_dir(spark, "result-table"), letters=1)
+    new = b.incoming(spark, sf)
+    table.append(b.store(spark, sf))
+    touched = table.upsert(new)
+    table.vacuum()
+    return table.rows().withColumn("touched", F.substring("cache_key", 1, 1).isin(touched))
+
+
+@query("ingest_file_stream", f"""{ANALYSED} SELECT 'frame-' || frame_id || '.fits' AS path, true AS success, star_count, round(hfr_median, 6) AS hfr_median, round(pix_mean, 6) AS pix_mean, pix_median, pix_mad, pix_max_count, NULL::VARCHAR AS error FROM an JOIN su USING (frame_id)
+UNION ALL SELECT 'cut-frame-' || frame_id || '.fits', false, NULL, NULL, NULL, NULL, NULL, NULL, 'truncated pixels' FROM st""")
+def ingest_file_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Frame files, broken ones among them, arrive in a folder; a stream of their paths fills the result table."""
+    folder, state = shared_dir(spark, "frame-files"), shared_dir(spark, "stream-state")
+    blocks.write_files(_with_broken(_pixel_files(spark, sf, "fits")), folder).write.format("noop").mode("overwrite").save()
+    table = ResultTable(spark, shared_dir(spark, "result-table"))
+    run = ingest.stream_files(spark, folder, table, state, lambda todo: analysis.analyse_headers(todo, tile=16, computed_at=0, detection={"tile": TILE, "k": K}))
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    paths = blocks.read_headers(spark, folder, ["path", "cache_key"]).select(F.element_at(F.split("path", "/"), -1).alias("path"), "cache_key")
+    return rounded(table.rows().join(paths, "cache_key").select("path", "success", "star_count", "hfr_median", "pix_mean", "pix_median", "pix_mad", "pix_max_count", "error"))
+
+
 INGESTED = f"{CURRENT} SELECT * FROM store WHERE schema_version = 3 UNION ALL SELECT * FROM incoming WHERE cache_key NOT IN (SELECT cache_key FROM store WHERE schema_version = 3)"
 
 
@@ -357,16 +384,10 @@ NATURAL = r"array_to_string(list_transform(regexp_extract_all(lower({n}), '(\d+|
 @query("nat_sort", f"WITH {b.FILES}, named AS (SELECT regexp_replace(name, '_', '_0001234567890123456789') AS name FROM files) SELECT name, row_number() OVER (ORDER BY {NATURAL.format(n='name')}, name) AS place FROM named")
 def nat_sort(spark: SparkSession, sf: str) -> DataFrame:
     """Place of each file: sorted by range, then numbered by the sizes of the ranges before."""
-    from pyspark.sql import Window
-
-    f = b.files(spark, sf).select(F.regexp_replace("name", "_", "_0001234567890123456789").alias("name")).select("name", results.natural_key(F.col("name")).alias("k")).repartitionByRange("k", "name").sortWithinPartitions("k", "name")
-    part = f.withColumn("pos", F.monotonically_increasing_id()).withColumn("part", F.shiftright("pos", 33)).withColumn("at", F.col("pos") - F.shiftleft("part", 33))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = part.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    return part.join(base, "part").select("name", (F.col("base") + F.col("at") + 1).alias("place"))
+    return triage.places(b.files(spark, sf).select(F.regexp_replace("name", "_", "_0001234567890123456789").alias("name")))
 
 
 @query("nav_prev_next", f"WITH {b.FILES}, k AS (SELECT dir, name, {NATURAL.format(n='name')} AS k FROM files) SELECT dir, name, coalesce(lag(name) OVER w, last_value(name) OVER (PARTITION BY dir ORDER BY k, name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS prev_name, coalesce(lead(name) OVER w, first_value(name) OVER w) AS next_name FROM k WINDOW w AS (PARTITION BY dir ORDER BY k, name)")
 def nav_prev_next(spark: SparkSession, sf: str) -> DataFrame:
-    return results.neighbours(b.files(spark, sf))
+    return triage.neighbours(b.files(spark, sf))
 

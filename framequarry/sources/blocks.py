@@ -103,6 +103,22 @@ def header_of(data: ByteRanges | bytes) -> tuple[str, bytes, int | None, str | N
     return "fits", data[first[0] : first[0] + first[1]], None, "no image"
 
 
+def header_row(path: str, length: int, columns: Sequence[str]) -> dict:
+    """Columns of ``KEYED`` for a file, of which only those of ``columns`` are made for sure."""
+    row = {"path": path, "length": length}
+    if set(columns) <= {"path", "length"}:
+        return row
+    try:
+        data = ByteRanges(path)
+        row |= zip(("format", "content", "data_at", "error"), header_of(data), strict=True)
+        if "cache_key" in columns:  # as ``results.content_key`` has it
+            row["cache_key"] = hashlib.sha256(data[0:HEAD_BYTES] + str(length).encode()).hexdigest()
+        row["bytes_read"] = data.read
+    except OSError as e:
+        row["error"] = str(e)[:200]
+    return row
+
+
 @dataclass
 class Files(InputPartition):
     found: list[tuple[str, int]]
@@ -123,18 +139,8 @@ class HeaderReader(DataSourceReader):
         return [Files(known[i : i + self.each]) for i in range(0, len(known), self.each)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        opens = bool({"format", "content", "data_at", "bytes_read", "error", "cache_key"} & set(self.columns))
         for path, length in partition.found:
-            row = {"path": path, "length": length}
-            if opens:
-                try:
-                    data = ByteRanges(path)
-                    row |= zip(("format", "content", "data_at", "error"), header_of(data), strict=True)
-                    if "cache_key" in self.columns:  # as ``results.content_key`` has it
-                        row["cache_key"] = hashlib.sha256(data[0:HEAD_BYTES] + str(length).encode()).hexdigest()
-                    row["bytes_read"] = data.read
-                except OSError as e:
-                    row["error"] = str(e)[:200]
+            row = header_row(path, length, self.columns)
             yield tuple(row.get(c) for c in self.columns)
 
 
@@ -160,6 +166,19 @@ def read_headers(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return spark.read.format("frame_headers").option("filesATask", files_a_task).schema(schema).load(path)
 
 
+def headers_of(files: DataFrame) -> DataFrame:
+    """Headers, with cache_key, of the files of a listing (path, length), which may be a batch of a stream."""
+    names = [c.split()[0] for c in KEYED.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, length in zip(pdf["path"], pdf["length"], strict=True):
+                row = header_row(path, int(length), names)
+                yield pd.DataFrame([[row.get(c) for c in names]], columns=names).astype({"data_at": "Int64", "bytes_read": "Int64"})
+
+    return files.select("path", "length").mapInPandas(run, KEYED)
+
+
 def cards(headers: DataFrame) -> DataFrame:
     """Cards (frame_id, which is the path, card_idx, key, value, comment) of FITS and XISF headers."""
     h = headers.select(F.col("path").alias("frame_id"), "format", "content")

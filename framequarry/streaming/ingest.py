@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framequarry.functions.store import materialize, release
+from framequarry.operators.analysis import analyse_headers
 from framequarry.operators.results import SCHEMA_VERSION, append, current, misses, stored, upsert
+from framequarry.operators.resulttable import ResultTable
+from framequarry.sources.blocks import headers_of
+from framequarry.sources.frames import known_extension
 
 
 def ingest(arrived: DataFrame, store: DataFrame, analyse: Callable[[DataFrame], DataFrame], version: int = SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -33,3 +38,27 @@ def stream_into(arrivals: DataFrame, spark: SparkSession, path: str, checkpoint:
     and adds nothing twice.
     """
     return arrivals.writeStream.foreachBatch(lambda batch, _: ingest_into(batch, path, analyse)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def files_into(listing: DataFrame, table: ResultTable, analyse: Callable[[DataFrame], DataFrame] = analyse_headers, version: int = SCHEMA_VERSION) -> None:
+    """Analyse the files of ``listing`` (path, length) whose keys ``table`` lacks, and add their rows.
+
+    Of the files only headers and the bytes of their keys are read before it is known which are new; copies are read once.
+    A file that cannot be opened is left out, and comes again with the next listing that has it.
+    """
+    headers = materialize(headers_of(listing).where("cache_key IS NOT NULL"), "arrived-headers")
+    store = table.rows()
+    todo = headers if store is None else misses(headers, store, version)
+    if not todo.isEmpty():
+        table.append(analyse(todo))
+    release(headers)
+
+
+def stream_files(spark: SparkSession, folder: str, table: ResultTable, checkpoint: str, analyse: Callable[[DataFrame], DataFrame] = analyse_headers, files_a_batch: int = 1000):
+    """Run ``files_into`` for the frame files that arrive below ``folder``, until those that are there are done.
+
+    The stream lists files and carries no contents; files without bytes are not listed by Spark's file source. It goes on from its checkpoint; a batch that runs again finds its keys.
+    """
+    listed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(folder)
+    arrivals = known_extension(listed, "path").select("path", "length")
+    return arrivals.writeStream.foreachBatch(lambda batch, _: files_into(batch, table, analyse)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
