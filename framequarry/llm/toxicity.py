@@ -1,17 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes (insult stem, threat, target, negation, speech verb, other). Small weighted transducers, each a
-table of transitions, read the classes of a clause: TARGET + INSULT in either order (a person is insulted), THREAT + YOU,
-or OBJECT on either side (harm is announced; without somebody it is done to it has no weight), INSULT before a threat,
-NEGATION before an insult or threat (weight is taken back), SPEECH before a clause (somebody else is reported to have
-said it; the state reaches over a colon or an opening quote into the clause that is reported). Words masked with digits
-or signs are read in their place. The grammar is the composition of the transducers: its states are tuples of theirs,
+Words become classes (insult stem, harm, agent, intention, target, negation, speech verb, other). Small weighted transducers,
+each a table of transitions, read the classes of a clause: TARGET + INSULT in either order (a person is insulted), a threat:
+AGENT + INTENTION + HARM with a PERSON on either side of the harm (I will hurt you), or HARM at the head of the clause with
+a PERSON right after it (an order), INSULT before a threat, NEGATION before an insult or harm (weight is taken back), SPEECH
+before a clause (somebody else is reported to have said it; the state reaches over a colon or an opening quote into the
+clause that is reported). Harm without somebody who means to do it, or done to things, has no weight. Words masked with
+digits or signs are read in their place. The grammar is the composition of the transducers: its states are tuples of theirs,
 its factors the products. Clause weights add up to the document's log-odds; a clause that is nothing but one word is no
-pattern and does not pass the threshold by itself.
+pattern and does not pass the threshold by itself, and neither does an insult or a threat that is reported.
 
 The insult stems and their weights are learned from labelled documents that are not held out (a bounded
 sample of each label): word beginnings and whole words that toxic documents have and others have not. The
-closed classes (pronouns, negations, speech verbs) are fixed word lists of common European languages.
+closed classes (pronouns, intentions, negations, speech verbs) are fixed word lists of common European languages.
 """
 
 from __future__ import annotations
@@ -31,13 +32,22 @@ from .shared import bounded_batches, materialize
 
 # Closed word classes.
 TARGETS = frozenset("u he she they we du ihr sie er tu ton ta tes votre vos il elle ils elles leur tú usted ustedes tus ellos ellas él ella dein deine".split())
-#: Of the targets, those that suffer a deed named before them, and object pronouns that stand on either side of it.
-SUFFERS = frozenset("you your yours him them her his their us".split())
+#: Possessives that make a target of who they stand for, without being somebody to whom a deed is done.
+OWNERS = frozenset("your yours his their".split())
+#: Those to whom a deed named before them is done, and object pronouns that stand on either side of it.
+SUFFERS = frozenset("you him them her us".split())
+#: Who is said to mean a deed; those of the second list are targets of insults as well.
+AGENTS = frozenset("i ich je j'ai yo i'm i'd".split())
+AGENTS_TOO = frozenset("we they he she".split())
+OTHER_AGENTS = frozenset("wir nous nosotros we're we'd".split())
+#: That a deed is meant; in the second list together with who means it.
+INTENDS = frozenset("will shall gonna going wanna want werde werden möchte wollen vais allons veux voulons".split())
+WILLED = frozenset("i'll we'll they'll voy vamos quiero queremos".split())
 OBJECTS = frozenset("dich dir euch ihn ihm te toi vous lui ti".split())
 THREATS = frozenset("kill hurt destroy murder beat punch shoot stab burn töten schlagen vernichten umbringen tuer frapper détruire brûler matar golpear destruir quemar".split())
 NEGATIONS = frozenset("not no never n't isn't aren't wasn't don't won't nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split())
 SPEECH = frozenset("said says say told called reported wrote quoted sagte sagt nannte schrieb berichtete dit disait appelait écrit rapporte dijo dice llamó escribió".split())
-OTHER, INSULT, THREAT, TARGET, NEGATION, SPEAKS, SUFFERER, OBJECT = range(8)
+OTHER, INSULT, THREAT, TARGET, NEGATION, SPEAKS, SUFFERER, OBJECT, AGENT, WE, INTENTION, WILL, BEGIN = range(13)
 CLAUSE = regex.compile(r"[.!?;\n]+|:")
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?")
 LEET = str.maketrans("013457@$", "oieastas")
@@ -45,7 +55,7 @@ MASKED = regex.compile(r"\b(?=[\p{L}@$0-9]*\p{L})(?=\p{L}*[@$0-9])[\p{L}@$0-9]{3
 MARKS = regex.compile(r"[@$0-9]")
 STEM_LENGTHS = range(3, 9)
 #: Weights of the grammar in units of the stem's weight.
-DIRECTED, NEGATED, REPORTED, LONE = 1.5, 0.5, 0.8, 0.8
+DIRECTED, NEGATED, REPORTED, LONE = 1.5, 0.5, 0.55, 0.8
 #: Weight of a word of harm, before the factors of its clause; one that is aimed at somebody passes the threshold.
 THREATENED = 4.0
 #: Log-odds of a text without evidence; least and greatest weight of a stem.
@@ -57,12 +67,16 @@ EXPLAINED = 3
 
 #: Transducers as {(state, class): (next state, factor of an insult's or a threat's weight)}; a missing entry keeps the state.
 NEGATION_T = {("", NEGATION): ("neg", 1), ("neg", INSULT): ("", NEGATED), ("neg", THREAT): ("", NEGATED)}
-TARGET_T = {("", k): ("aimed", 1) for k in (TARGET, SUFFERER, OBJECT)} | {("aimed", INSULT): ("aimed", DIRECTED)}
+TARGET_T = {("", k): ("aimed", 1) for k in (TARGET, SUFFERER, OBJECT, WE)} | {("aimed", INSULT): ("aimed", DIRECTED)}
 REPORT_T = {("", SPEAKS): ("told", 1), ("told", INSULT): ("told", REPORTED), ("told", THREAT): ("told", REPORTED)}
 INSULT_T = {("", INSULT): ("insulted", 1), ("insulted", THREAT): ("insulted", DIRECTED)}
-THREAT_T = {("", OBJECT): ("object", 1), ("object", THREAT): ("announced", DIRECTED), ("", THREAT): ("threat", DIRECTED), ("threat", SUFFERER): ("announced", 1), ("threat", OBJECT): ("announced", 1)}
-GRAMMAR = (NEGATION_T, TARGET_T, REPORT_T, INSULT_T, THREAT_T)
-AIMS = frozenset((TARGET, SUFFERER, OBJECT))
+#: Somebody means to do it: agent, intention, then the harm with a person before or after it.
+THREAT_T = {("", AGENT): ("agent", 1), ("", WE): ("agent", 1), ("", WILL): ("meant", 1), ("agent", INTENTION): ("meant", 1), ("agent", WILL): ("meant", 1), ("", OBJECT): ("object", 1), ("object", AGENT): ("both", 1), ("object", WE): ("both", 1), ("object", WILL): ("somebody", 1), ("agent", OBJECT): ("both", 1), ("both", INTENTION): ("somebody", 1), ("both", WILL): ("somebody", 1), ("meant", OBJECT): ("somebody", 1), ("meant", THREAT): ("harm", DIRECTED), ("somebody", THREAT): ("announced", DIRECTED), ("harm", SUFFERER): ("announced", 1), ("harm", OBJECT): ("announced", 1)}
+#: It is ordered: the harm at the head of the clause, a person right after it.
+ORDER_T = {("", BEGIN): ("head", 1)} | {("head", k): ("past", 1) for k in range(BEGIN)} | {("head", THREAT): ("harm", DIRECTED)} | {("harm", k): ("past", 1) for k in range(BEGIN)} | {("harm", SUFFERER): ("announced", 1), ("harm", OBJECT): ("announced", 1)}
+GRAMMAR = (NEGATION_T, TARGET_T, REPORT_T, INSULT_T, THREAT_T, ORDER_T)
+AIMS = frozenset((TARGET, SUFFERER, OBJECT, WE))
+CLASSES = ((THREAT, THREATS), (WE, AGENTS_TOO), (TARGET, TARGETS | OWNERS), (SUFFERER, SUFFERS), (OBJECT, OBJECTS), (AGENT, AGENTS | OTHER_AGENTS), (INTENTION, INTENDS), (WILL, WILLED), (NEGATION, NEGATIONS), (SPEAKS, SPEECH))
 #: States of the composition: one of each transducer.
 START = ("",) * len(GRAMMAR)
 
@@ -102,7 +116,7 @@ class Grammar:
                         got = (INSULT, self.stems[word[:n]])
                         break
                 else:
-                    for kind, listed in ((THREAT, THREATS), (TARGET, TARGETS), (SUFFERER, SUFFERS), (OBJECT, OBJECTS), (NEGATION, NEGATIONS), (SPEAKS, SPEECH)):
+                    for kind, listed in CLASSES:
                         if word in listed:
                             got = (kind, 0.0)
                             break
@@ -114,6 +128,7 @@ class Grammar:
         """Weight of a clause, read by the composed grammar; ``told`` if it is what somebody is reported to have said."""
         state = tuple("told" if told and table is REPORT_T else "" for table in GRAMMAR)
         total, harm, loose = 0.0, 0.0, 0.0
+        state, _ = COMPOSED[state, BEGIN]
         for kind, weight in kinds:
             state, factor = COMPOSED[state, kind]
             if kind == INSULT:
@@ -125,7 +140,7 @@ class Grammar:
             elif kind in AIMS and loose:  # the one insulted is named after the insult
                 total += loose * (DIRECTED - 1)
                 loose = 0.0
-        return (total if len(kinds) > 1 else total * LONE) + (harm if state[-1] == "announced" else 0.0)
+        return (total if len(kinds) > 1 else total * LONE) + (harm if "announced" in state[-2:] else 0.0)
 
     def weight(self, text: str | None) -> float:
         low = (text or "").lower()

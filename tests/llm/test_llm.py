@@ -459,6 +459,10 @@ def test_toxicity_threats():
         assert g.score(t) >= 0.7 and g.score(f"A quiet day. {t}!") == g.score(t)
     assert none < g.score("I will not kill you") < g.score("he said they will kill you") < 0.7
     assert g.score("you burn wood") == g.score("they beat the eggs") == g.score("we kill time") == none
+    harmless = ["Rain can destroy their crops.", "We beat them at chess.", "The sun can burn your skin.", "These pills kill the pain in his back.", "To beat your best time, train daily.", "The virus will kill you.", "You will beat him."]
+    assert {g.score(t) for t in harmless} == {none}
+    assert min(map(g.score, ["Kill him!", "I'll hurt them all", "we are going to destroy them", "ich werde dich töten"])) >= 0.7
+    assert max(map(g.score, ["she said: you idiot", "she said you idiot", 'he said "you are an idiot"', "she said: I will kill you"])) < 0.7 <= g.score("you idiot")
     assert g.score("idiot, I will kill you") > g.score("idiot. I will kill you") > g.score("I will kill you")
     assert g.score("not an id1ot") == g.score("not an idiot") < g.score("you id1ot") == g.score("you idiot")
 
