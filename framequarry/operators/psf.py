@@ -21,7 +21,11 @@ CUT, WIN = 29, 9
 
 def zones(px: DataFrame, grid: int = 3, cut: int = CUT) -> DataFrame:
     """Search box of each zone and frame: frame_id, gy, gx, cy, cx, y0, x0, rh, rw, width, height."""
-    size = px.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max("luma").alias("top"))
+    return zone_boxes(px.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max("luma").alias("top")), grid, cut)
+
+
+def zone_boxes(size: DataFrame, grid: int = 3, cut: int = CUT) -> DataFrame:
+    """``zones`` from frame_id, width, height and top of each frame."""
     short = F.least("width", "height")
     b = size.withColumn("sr", F.greatest(F.lit(2 * cut), F.floor(0.20 * short)).cast("long")).withColumn("margin", F.floor(0.03 * short).cast("long"))
     side = F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))
@@ -216,3 +220,104 @@ def plate(px: DataFrame, grid: int = 3, nstar: int = 4) -> tuple[DataFrame, Data
     spots = spots.join(boxes.select("frame_id", "gy", "gx", "y0", "x0"), ["frame_id", "gy", "gx"]).select("frame_id", "gy", "gx", (F.col("zy") + F.col("y0")).alias("y"), (F.col("zx") + F.col("x0")).alias("x"))
     found = materialize(topk_spaced(measure(px, star_gate(px, spots)), nstar), "psf-stars")
     return found, zone_summary(found, boxes, grid)
+
+
+def boxes_of(width: int, height: int, grid: int = 3, cut: int = CUT) -> list[tuple[int, int, int, int, int, int]]:
+    """(gy, gx, y0, x0, rows, columns) of the search boxes of a frame, as ``zones`` has them: they follow from its size."""
+    short = min(width, height)
+    side, margin = max(2 * cut, int(0.20 * short)), int(0.03 * short)
+
+    def starts(length: int) -> list[int]:
+        first, last = margin + side // 2, length - margin - side // 2
+        centres = [length // 2 if grid <= 1 or last <= first else first + k * (last - first) // max(grid - 1, 1) for k in range(grid)]
+        return [max(0, min(c - side // 2, length - side)) for c in centres]
+
+    return [(gy, gx, y0, x0, min(side, height), min(side, width)) for gy, y0 in enumerate(starts(height)) for gx, x0 in enumerate(starts(width))]
+
+
+def zone_highpass(z: np.ndarray, blocks: int = 12) -> np.ndarray:
+    """``highpass`` of a zone held as an array."""
+    edges = []
+    for n in z.shape:
+        size = max(n // blocks, 1)
+        edges.append(np.arange(max(n // size, 1)) * size)
+    sums = np.add.reduceat(np.add.reduceat(z, edges[0], 0), edges[1], 1)
+    counts = [np.diff(np.append(e, n)) for e, n in zip(edges, z.shape, strict=True)]
+    mean = sums / np.outer(*counts)
+    return np.maximum(0.0, z - np.repeat(np.repeat(mean, counts[0], 0), counts[1], 1))
+
+
+def zone_candidates(z: np.ndarray, sigma: float = 10.0, k: int = 7, border: int = CUT) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``candidates`` of a zone, but for the limit of saturation, which is the frame's."""
+    hp = zone_highpass(z)
+    med = float(_upper(hp.reshape(1, -1))[0])
+    noise = MAD_SIGMA * float(_upper(np.abs(hp - med).reshape(1, -1))[0])
+    peaks = hp
+    for axis in (0, 1):
+        pad = [(k // 2, k // 2) if a == axis else (0, 0) for a in (0, 1)]
+        peaks = np.lib.stride_tricks.sliding_window_view(np.pad(peaks, pad, constant_values=-np.inf), k, axis).max(-1)
+    keep = (hp > med + sigma * (noise if noise > 0 else 1e-6)) & (hp >= peaks)
+    y, x = np.nonzero(keep)
+    inner = (y >= border) & (x >= border) & (y <= z.shape[0] - border) & (x <= z.shape[1] - border)
+    return y[inner], x[inner]
+
+
+FOUND = "y long, x long, luma double, score double, ecc double, elong double, pa double, fwhm double, x0 double, y0 double, siga double, sigb double"
+
+
+def measured_zone(z: np.ndarray, y0: int, x0: int, cut: int = CUT) -> pd.DataFrame:
+    """Stars of a zone whose first pixel is (y0, x0): candidates that pass the gate, with score and shape. What is read
+    around a star lies inside the zone, since candidates keep off its border."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    y, x = zone_candidates(z)
+    inside = lambda half: np.stack([z[a - half : a + half + 1, b - half : b + half + 1] for a, b in zip(y, x, strict=True)]) if len(y) else np.zeros((0, 2 * half + 1, 2 * half + 1))
+    score = gate(inside(WIN))
+    y, x, score = (v[~np.isnan(score)] for v in (y, x, score))
+    s = inside(cut // 2)
+    m = adaptive(np.maximum(s - _upper(s.reshape(len(s), -1))[:, None, None], 0)) if len(s) else {c: np.zeros(0) for c in (*names, "ok")}
+    found = pd.DataFrame({"y": y + y0, "x": x + x0, "luma": z[y, x], "score": score} | {c: m[c] for c in names[4:]})
+    return found[np.asarray(m["ok"], bool)]
+
+
+def plate_of_tiles(tiles: DataFrame, grid: int = 3, nstar: int = 4, sat: float = 0.92) -> tuple[DataFrame, DataFrame]:
+    """``plate`` of ``frames.tiles``: (stars, zones), frames named by their paths.
+
+    Boxes follow from a frame's size, so nothing is joined to pixels: tiles are cut by slices, the slices of a zone meet in
+    one task as arrays (a fifth of the frame's short side each way), and only stars leave it.
+    """
+    from framequarry.operators.tilework import luma_of
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf.itertuples():
+                v = luma_of(t)
+                for gy, gx, y0, x0, rh, rw in boxes_of(t.width, t.height, grid):
+                    part = v[max(0, y0 - t.y0) : max(0, y0 + rh - t.y0), max(0, x0 - t.x0) : max(0, x0 + rw - t.x0)]
+                    if part.size:
+                        out.append((t.path, gy, gx, y0, x0, rh, rw, max(0, t.y0 - y0), max(0, t.x0 - x0), part.shape[1], part.ravel()))
+            if out:
+                yield pd.DataFrame(out, columns=["frame_id", "gy", "gx", "y0", "x0", "rh", "rw", "zy", "zx", "w", "part"])
+
+    def measure_zone(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        z = np.zeros((first.rh, first.rw))
+        for r in pdf.itertuples():
+            part = np.asarray(r.part).reshape(-1, r.w)
+            z[r.zy : r.zy + part.shape[0], r.zx : r.zx + r.w] = part
+        return measured_zone(z, int(first.y0), int(first.x0)).assign(frame_id=first.frame_id, gy=first.gy, gx=first.gx)[["frame_id", "gy", "gx", *[c.split()[0] for c in FOUND.split(", ")]]]
+
+    def brightest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame([(t.path, t.width, t.height, luma_of(t).max()) for t in pdf.itertuples()], columns=["frame_id", "width", "height", "top"])
+
+    ok = tiles.where("error IS NULL")
+    top = ok.mapInPandas(brightest, "frame_id string, width long, height long, top double").groupBy("frame_id", "width", "height").agg(F.max("top").alias("top"))
+    boxes = materialize(zone_boxes(top, grid), "psf-zones")
+    slices = ok.mapInPandas(cut, "frame_id string, gy long, gx long, y0 long, x0 long, rh long, rw long, zy long, zx long, w long, part array<double>")
+    found = slices.groupBy("frame_id", "gy", "gx").applyInPandas(measure_zone, f"frame_id string, gy long, gx long, {FOUND}")
+    tops = boxes.select("frame_id", "gy", "gx", "top")
+    lit = found.join(tops, ["frame_id", "gy", "gx"]).where(F.col("luma") < sat * F.col("top")).drop("luma", "top")
+    chosen = materialize(topk_spaced(lit, nstar), "psf-stars")
+    return chosen, zone_summary(chosen, boxes, grid)

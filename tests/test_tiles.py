@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framequarry.operators import analysis, background, pixels, stars, tilereduce, tiletable, tilework
+from framequarry.operators import analysis, background, pixels, psf, stars, tilereduce, tiletable, tilework
 from framequarry.operators.results import content_key
 from framequarry.sources import blocks, frames
 
@@ -142,3 +142,29 @@ def test_files_to_rows_by_ranges(spark, tmp_path):
     assert got.where("NOT success").count() == want.where("NOT success").count() == 1 and got.count() == 5
     plan = analysis.once(content_key(df))._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "content" in line]
+
+
+@pytest.mark.parametrize("grid", [1, 3, 5])
+def test_plate_of_tiles(spark, grid):
+    """Zones that straddle tiles and overlap at grid 5, a saturated star, a frame too small for its boxes, a colour frame."""
+    img, _ = fields.star_field(420, 400, 81, sigma=2.2, margin=22, dimmest=0.3)
+    img[200:203, 200:203] += 60000
+    small, _ = fields.star_field(70, 50, 4, sigma=1.8, margin=18)
+    files = [("a", fields.fits(img)), ("small", fields.fits(small)), ("flat", fields.fits(np.full((200, 210), 5.0))), ("c", fields.fits(np.stack([img[:300], img[:300] * 0.7 + 5, img[50:350] * 0.4])))]
+    t = tilework.materialize(frames.tiles(spark.createDataFrame(files, "path string, content binary"), 64), "tiles")
+    names = {r.id: r.path for r in t.select(F.xxhash64("path").alias("id"), "path").distinct().collect()}
+    stars_, zones = psf.plate_of_tiles(t, grid)
+    want_stars, want_zones = psf.plate(pixels.luma(frames.tile_pixels(t)), grid)
+    got, want = ({(f(r.frame_id), r.gy, r.gx, r.y, r.x): r for r in df.collect()} for df, f in ((stars_, str), (want_stars, names.get)))
+    assert got.keys() == want.keys() and len(got) >= grid
+    assert all(got[k][c] == pytest.approx(w[c], rel=1e-6, abs=1e-6) for k, w in want.items() for c in ("score", "ecc", "elong", "pa", "fwhm", "x0", "y0", "siga", "sigb"))
+    got, want = ({(f(r.frame_id), r.gy, r.gx): (r.n, round(r.elong, 6), round(r.ecc, 6), round(r.pa, 6), r.axis) for r in df.collect()} for df, f in ((zones, str), (want_zones, names.get)))
+    assert got == want and len(got) == 4 * grid * grid
+
+
+def test_boxes_follow_from_the_size(spark):
+    sizes = [(w, h) for w in (30, 58, 300, 1001) for h in (29, 60, 777)]
+    df = spark.createDataFrame([(i, w, h, 1.0) for i, (w, h) in enumerate(sizes)], "frame_id long, width long, height long, top double")
+    for grid in (1, 3, 5):
+        got = sorted((r.frame_id, r.gy, r.gx, r.y0, r.x0, r.rh, r.rw) for r in psf.zone_boxes(df, grid).collect())
+        assert got == sorted((i, *b) for i, (w, h) in enumerate(sizes) for b in psf.boxes_of(w, h, grid))
