@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, upper_median
 from framequarry.functions.store import materialize
+from framequarry.operators.tilework import assembled, luma_of, sliced
 
 CUT, WIN = 29, 9
 
@@ -285,27 +286,9 @@ def plate_of_tiles(tiles: DataFrame, grid: int = 3, nstar: int = 4, sat: float =
     Boxes follow from a frame's size, so nothing is joined to pixels: tiles are cut by slices, the slices of a zone meet in
     one task as arrays (a fifth of the frame's short side each way), and only stars leave it.
     """
-    from framequarry.operators.tilework import luma_of
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf.itertuples():
-                v = luma_of(t)
-                for gy, gx, y0, x0, rh, rw in boxes_of(t.width, t.height, grid):
-                    part = v[max(0, y0 - t.y0) : max(0, y0 + rh - t.y0), max(0, x0 - t.x0) : max(0, x0 + rw - t.x0)]
-                    if part.size:
-                        out.append((t.path, gy, gx, y0, x0, rh, rw, max(0, t.y0 - y0), max(0, t.x0 - x0), part.shape[1], part.ravel()))
-            if out:
-                yield pd.DataFrame(out, columns=["frame_id", "gy", "gx", "y0", "x0", "rh", "rw", "zy", "zx", "w", "part"])
-
     def measure_zone(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        z = np.zeros((first.rh, first.rw))
-        for r in pdf.itertuples():
-            part = np.asarray(r.part).reshape(-1, r.w)
-            z[r.zy : r.zy + part.shape[0], r.zx : r.zx + r.w] = part
-        return measured_zone(z, int(first.y0), int(first.x0)).assign(frame_id=first.frame_id, gy=first.gy, gx=first.gx)[["frame_id", "gy", "gx", *[c.split()[0] for c in FOUND.split(", ")]]]
+        return measured_zone(assembled(pdf), int(first.y0), int(first.x0)).assign(frame_id=first.frame_id, gy=first.gy, gx=first.gx)[["frame_id", "gy", "gx", *[c.split()[0] for c in FOUND.split(", ")]]]
 
     def brightest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -315,7 +298,7 @@ def plate_of_tiles(tiles: DataFrame, grid: int = 3, nstar: int = 4, sat: float =
     ok = tiles.where("error IS NULL")
     top = ok.mapInPandas(brightest, "frame_id string, width long, height long, top double").groupBy("frame_id", "width", "height").agg(F.max("top").alias("top"))
     boxes = materialize(zone_boxes(top, grid), "psf-zones")
-    slices = ok.mapInPandas(cut, "frame_id string, gy long, gx long, y0 long, x0 long, rh long, rw long, zy long, zx long, w long, part array<double>")
+    slices = sliced(tiles, lambda width, height: boxes_of(width, height, grid))
     found = slices.groupBy("frame_id", "gy", "gx").applyInPandas(measure_zone, f"frame_id string, gy long, gx long, {FOUND}")
     tops = boxes.select("frame_id", "gy", "gx", "top")
     lit = found.join(tops, ["frame_id", "gy", "gx"]).where(F.col("luma") < sat * F.col("top")).drop("luma", "top")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from framequarry.functions.order_stats import clamp
 from framequarry.operators import pixels
 from framequarry.operators.background import COLS, ROWS
-from framequarry.operators.tilework import luma_of
+from framequarry.operators.tilework import assembled, luma_of, sliced
 
 COUNTS = "frame_id string, key int, v double, n long"
 #: Distinct values that a task gathers before it hands them on.
@@ -194,3 +194,24 @@ def rendered_thumbnail(tiles: DataFrame, params: DataFrame, max_w: int, max_h: i
     """8-bit thumbnails as ``pixels.rendered_thumbnail`` gives them: v8, and g8 and b8, null for frames of one channel."""
     t = thumbnail(tiles, max_w, max_h).join(source_range(tiles), "frame_id").join(params, "frame_id")
     return t.select("frame_id", "oy", "ox", "v", *[pixels.eight_bit(F.col(c)).alias(f"{c}8") for c in "vgb"])
+
+
+def crop_boxes(width: int, height: int, grid: int = 3, side: int = 16) -> list[tuple[int, int, int, int, int, int]]:
+    """(gy, gx, y0, x0, rows, columns) of grid x grid evenly spaced squares, as ``pixels.cutouts`` has them."""
+    c = min(side, width // grid, height // grid)
+    starts = lambda full: [full // 2 - c // 2 if grid <= 1 else k * (full - c) // (grid - 1) for k in range(grid)]
+    return [(gy, gx, y0, x0, c, c) for gy, y0 in enumerate(starts(height)) for gx, x0 in enumerate(starts(width))] if c else []
+
+
+def cutouts(tiles: DataFrame, grid: int = 3, side: int = 16, channel: str = "r") -> DataFrame:
+    """``pixels.cutouts`` from tiles: the squares follow from a frame's size, and only what lies in them is shuffled."""
+
+    def plane(t) -> np.ndarray:
+        return np.asarray(getattr(t, channel), np.float64).reshape(t.h, t.w)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = assembled(pdf)
+        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[:1], "gy": pdf["gy"].iloc[:1], "gx": pdf["gx"].iloc[:1], "n": z.size, "values": [z.ravel()]})
+
+    slices = sliced(tiles.where(F.col(channel).isNotNull()), lambda width, height: crop_boxes(width, height, grid, side), plane)
+    return slices.groupBy("frame_id", "gy", "gx").applyInPandas(whole, "frame_id string, gy long, gx long, n long, values array<double>")

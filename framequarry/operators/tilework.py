@@ -7,7 +7,7 @@ tiles; a frame, however large, is never in one place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,39 @@ def luma_of(row) -> np.ndarray:
     return r.reshape(row.h, row.w)
 
 
+SLICE = "frame_id string, gy long, gx long, y0 long, x0 long, rh long, rw long, zy long, zx long, w long, part array<double>"
+Box = tuple[int, int, int, int, int, int]
+
+
+def sliced(tiles: DataFrame, boxes_of: Callable[[int, int], list[Box]], values: Callable = luma_of) -> DataFrame:
+    """What tiles have of the boxes (gy, gx, y0, x0, rows, columns) of their frame, which follow from its size: a row of
+    ``SLICE`` for each tile and box that meet, cut by slices of the tile."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf.itertuples():
+                v = values(t)
+                for gy, gx, y0, x0, rh, rw in boxes_of(t.width, t.height):
+                    part = v[max(0, y0 - t.y0) : max(0, y0 + rh - t.y0), max(0, x0 - t.x0) : max(0, x0 + rw - t.x0)]
+                    if part.size:
+                        out.append((t.path, gy, gx, y0, x0, rh, rw, max(0, t.y0 - y0), max(0, t.x0 - x0), part.shape[1], part.ravel()))
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in SLICE.split(", ")])
+
+    return tiles.where("error IS NULL").mapInPandas(run, SLICE)
+
+
+def assembled(slices: pd.DataFrame) -> np.ndarray:
+    """A box from all its slices."""
+    first = slices.iloc[0]
+    z = np.zeros((first.rh, first.rw))
+    for r in slices.itertuples():
+        part = np.asarray(r.part, np.float64).reshape(-1, r.w)
+        z[r.zy : r.zy + part.shape[0], r.zx : r.zx + r.w] = part
+    return z
+
+
 def _upper(sorted_values: np.ndarray) -> float:
     return float(sorted_values[len(sorted_values) // 2])
 

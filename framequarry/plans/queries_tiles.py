@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framequarry.functions.store import materialize
 from framequarry.operators import tilereduce
@@ -61,3 +62,11 @@ def px_thumbnail_tiles(spark: SparkSession, sf: str) -> DataFrame:
 SELECT {PATH.replace('frame_id ||', 'p.frame_id ||')}, y // bh AS i, x // bw AS j, list_sort(list(r))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS b0 FROM pixels p JOIN z USING (frame_id) WHERE y // bh < 6 AND x // bw < 8 GROUP BY p.frame_id, i, j""")
 def bg_cell_floor_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return tilereduce.cell_floor(_tiles(spark, sf), 6, 8, min_side=30)
+
+
+@query("px_cutouts_tiles", f"""WITH {STORED}, z AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY 1), c AS (SELECT *, least(16, w // 3, h // 3) AS c FROM z),
+g AS (SELECT *, unnest(range(3)) AS gy FROM c), k AS (SELECT *, unnest(range(3)) AS gx FROM g), o AS (SELECT frame_id, gy, gx, c, gy * (h - c) // 2 AS y0, gx * (w - c) // 2 AS x0 FROM k)
+SELECT {PATH.replace('frame_id ||', 'o.frame_id ||')}, gy, gx, count(*) AS n, sum(r) AS total, list(r ORDER BY y, x)[1] AS first_value FROM o JOIN pixels p ON p.frame_id = o.frame_id AND y >= y0 AND y < y0 + c AND x >= x0 AND x < x0 + c GROUP BY o.frame_id, gy, gx""")
+def px_cutouts_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    c = tilereduce.cutouts(_tiles(spark, sf))
+    return c.select("frame_id", "gy", "gx", "n", F.aggregate("values", F.lit(0.0), lambda s, v: s + v).alias("total"), F.element_at("values", 1).alias("first_value"))

@@ -168,3 +168,9 @@ def test_boxes_follow_from_the_size(spark):
     for grid in (1, 3, 5):
         got = sorted((r.frame_id, r.gy, r.gx, r.y0, r.x0, r.rh, r.rw) for r in psf.zone_boxes(df, grid).collect())
         assert got == sorted((i, *b) for i, (w, h) in enumerate(sizes) for b in psf.boxes_of(w, h, grid))
+
+
+@pytest.mark.parametrize("grid, side", [(1, 30), (3, 16), (4, 70)])
+def test_cutouts_of_tiles(tiles, px, grid, side):
+    got, want = ({(r.frame_id, r.gy, r.gx): (r.n, list(r["values"])) for r in f(x, grid, side).collect()} for f, x in ((tilereduce.cutouts, tiles), (pixels.cutouts, px)))
+    assert got == want and len(got) >= 4 * grid * grid
