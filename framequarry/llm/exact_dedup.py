@@ -1,16 +1,17 @@
 """Exact deduplication by an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Entries (hash, digest of the normalised text, doc_id, code points, row number), one per document, are written once.
-2. Keys: entries with equal digests are combined before the shuffle to one key with a count and the row that stays, so
-   a group of copies, whatever its size, is one key.
-3. The directory starts with one bucket. While a bucket holds more than ``capacity`` keys, the directory doubles and the
+1. Entries (hash, digest of the normalised text, doc_id, code points), one per document, are written once. A hash that
+   one entry alone has needs no text; documents whose hash is shared are written with their texts.
+2. Equal texts are combined before they are dealt out, to at most ``SALTS`` entries with a count and the best row, so a
+   group of copies, whatever its size, is a few entries.
+3. The directory starts with one bucket. While a bucket holds more than ``capacity`` hashes, the directory doubles and the
    bucket splits by the next bit of the hash; ``LEVEL`` doublings are taken on the counts of that many bits, and only
    buckets that are still overfull go on to the next ones.
-4. Keys are dealt to owner tasks by ranges of (bucket, hash). An owner orders its buckets, links keys of one hash into a
-   chain, and writes its part of the index to the shared folder. Range partitioning keeps a chain inside its owner, so
-   this takes no further shuffle.
-5. Texts of keys with several entries are compared byte for byte: least and greatest text of every digest, combined
-   before the shuffle. Texts that share a digest but not their bytes become separate groups.
+4. Entries are dealt to owner tasks by ranges of (bucket, hash), which keeps a chain, all entries of one hash, inside its
+   owner. The owner compares the texts of a chain byte for byte, adds up entries that are equal, numbers the links of the
+   chain, and writes its part of the index to the shared folder. This takes no further shuffle.
+5. The index files are the verdicts: size and row that stays of every group are read from them by hash and digest, and
+   by the text as well where a chain holds several texts of one digest.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .shared import few, free, materialize, scratch, small
 BLANKS = r"[\x20\x09-\x0D]"
 #: Bits of a hash, and of them those that one level of the directory counts (at most 16 384 counts).
 HASH_BITS, LEVEL = 60, 14
+#: Entries that equal texts are combined to before owners add them up.
+SALTS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -41,10 +44,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column]
 
 
 def doubled(keys: DataFrame, level: int, capacity: int) -> DataFrame:
-    """(prefix, held, depth): buckets of the prefixes of one level after its doublings, with the keys that they hold."""
+    """(prefix, held, depth): buckets of the prefixes of one level after its doublings, with the hashes that they hold."""
     top = (level + 1) * LEVEL
     prefix = F.shiftright("hash", HASH_BITS - top) if top <= HASH_BITS else F.shiftleft("hash", top - HASH_BITS)
-    d = keys.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).withColumn("depth", F.lit(level * LEVEL))
+    d = keys.groupBy(prefix.alias("prefix")).agg(F.count_distinct("hash").alias("n")).withColumn("depth", F.lit(level * LEVEL))
     for split in range(LEVEL + 1):
         bucket = Window.partitionBy("depth", F.expr(f"shiftright(prefix, {top} - depth)"))
         d = d.withColumn("held", F.sum("n").over(bucket))
@@ -70,32 +73,37 @@ def bucketed(keys: DataFrame, capacity: int) -> DataFrame:
         level += 1
 
 
+def indexed(entries: DataFrame, capacity: int) -> DataFrame:
+    """The index of ``entries`` (hash, digest, norm, size, best), a written table: (bucket, hash, link, digest, texts, norm,
+    size, best), a row per group, made by the owner of its bucket. ``link`` is its place in the chain of its hash; ``texts``
+    are the groups that share its digest, and ``norm`` is kept where there are several.
+    """
+    owned = bucketed(entries, capacity).repartitionByRange("bucket", "hash")
+    groups = owned.groupBy("bucket", "hash", "digest", "norm").agg(F.sum("size").alias("size"), F.min("best").alias("best"))
+    link = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("digest", "norm"))
+    texts = F.count("*").over(Window.partitionBy("bucket", "hash", "digest"))
+    return groups.select("bucket", "hash", link.alias("link"), "digest", texts.alias("texts"), "norm", "size", "best").withColumn("norm", F.when(F.col("texts") > 1, F.col("norm")))
+
+
 def _exact_groups(docs: DataFrame, capacity: int, id_col: str, text_col: str, digest: Callable[[Column], Column] | None) -> DataFrame:
     """``exact_groups`` with the columns chars and sha, without the clean-up; its result still reads the index."""
-    d = keyed(docs, id_col, text_col, digest)
-    hashed = F.conv(F.substring("digest", 1, HASH_BITS // 4), 16, 10).cast("long")
-    stored = d.select("doc_id", "chars", "sha", *(["digest"] if digest else []), F.monotonically_increasing_id().alias("row"))
-    entries = materialize(stored, "dedup-entries", compression="zstd").withColumn("digest", F.col("digest" if digest else "sha")).withColumn("hash", hashed)
-    best = F.min(F.struct((-F.col("chars")).alias("c"), "doc_id", "row")).alias("best")
-    keys = materialize(entries.groupBy("hash", "digest").agg(F.count("*").alias("size"), best), "dedup-keys", compression="zstd")
-    owned = bucketed(keys, capacity).repartitionByRange("bucket", "hash")
-    chain = Window.partitionBy("bucket", "hash")
-    index = materialize(
-        owned.withColumn("links", F.count("*").over(chain)).withColumn("link", F.row_number().over(chain.orderBy("digest"))),
-        "dedup-index",
-        compression="zstd",
-    )
-    copies = small(materialize(index.where("size > 1").select("digest"), "dedup-copies"))
-    compared = d.select("digest", "norm").join(copies, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    differ = materialize(compared.where("least <> most").select("digest"), "dedup-differ")
+    d = keyed(docs, id_col, text_col, digest).withColumn("hash", F.conv(F.substring("digest", 1, HASH_BITS // 4), 16, 10).cast("long"))
+    narrow = ["hash", "digest", "doc_id", "chars", "sha"]
+    entries = materialize(d.select(*narrow), "dedup-entries", compression="zstd")
+    shared = small(materialize(entries.groupBy("hash").count().where("count > 1").select("hash"), "dedup-shared"))
+    alone = entries.join(shared, "hash", "left_anti").withColumn("row", F.lit(0).cast("long"))
+    copies = materialize(d.join(shared, "hash", "left_semi").select(*narrow, "norm", F.monotonically_increasing_id().alias("row")), "dedup-copies", compression="zstd")
+    rank = F.struct((-F.col("chars")).alias("c"), "doc_id", "row")
+    combined = copies.groupBy("hash", "digest", "norm", F.pmod("row", F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("size"), F.min(rank).alias("best")).drop("salt")
+    single = alone.select("hash", "digest", F.lit(None).cast("string").alias("norm"), F.lit(1).cast("long").alias("size"), rank.alias("best"))
+    dealt = materialize(single.unionByName(combined), "dedup-dealt", compression="zstd")
+    index = materialize(indexed(dealt, capacity), "dedup-index", compression="zstd")
     shape = ["doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.expr("row = best.row").alias("kept"), F.col("sha").alias("text_sha256"), "chars"]
-    grouped = entries.join(index.select("hash", "digest", "size", "best"), ["hash", "digest"])
-    if differ.isEmpty():
-        return grouped.select(*shape)
-    # Texts that share a digest: told apart by their bytes.
-    apart = materialize(d.join(differ, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "dedup-apart")
-    groups = apart.groupBy("digest", "norm").agg(F.count("*").alias("size"), best)
-    return grouped.join(differ, "digest", "left_anti").select(*shape).union(apart.join(groups, ["digest", "norm"]).select(*shape))
+    found = alone.unionByName(copies.drop("norm")).join(index.where("texts = 1").select("hash", "digest", "size", "best"), ["hash", "digest"]).select(*shape)
+    several = index.where("texts > 1").select("hash", "digest", "norm", "size", "best")
+    if several.isEmpty():
+        return found
+    return found.union(copies.join(several, ["hash", "digest", "norm"]).select(*shape))
 
 
 def exact_groups(docs: DataFrame, capacity: int = 100_000, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None) -> DataFrame:

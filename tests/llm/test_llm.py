@@ -112,6 +112,27 @@ def test_exact_compares_bytes(spark):
     same(exact_dedup.exact_groups(docs, digest=by_length), *oracle(exact_dedup.SQL, docs))
 
 
+def test_exact_owners_decide(spark):
+    """Entries of one text add up in its owner, texts of one digest and digests of one hash stay links of their own."""
+    entry = lambda h, d, t, n, c, i: (h, d, t, n, (-c, i, 0))
+    rows = [entry(7, "a", "x", 16, 1, 9), entry(7, "a", "x", 3, 2, 5), entry(7, "a", "y", 2, 1, 4), entry(7, "b", "z", 1, 1, 8), entry(1 << 59, "c", None, 1, 1, 1)]
+    entries = spark.createDataFrame(rows, "hash long, digest string, norm string, size long, best struct<c:long,doc_id:long,row:long>")
+    index = exact_dedup.indexed(entries, 1)
+    got = {(r.hash, r.link): (r.digest, r.texts, r.norm, r["size"], r.best.doc_id) for r in index.collect()}
+    assert got == {(7, 1): ("a", 2, "x", 19, 5), (7, 2): ("a", 2, "y", 2, 4), (7, 3): ("b", 1, None, 1, 8), (1 << 59, 1): ("c", 1, None, 1, 1)}
+    assert len({r.bucket for r in index.collect()}) == 2
+    plan = index._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("rangepartitioning(bucket") == 1 and "hashpartitioning" not in plan  # owners work where entries are dealt to
+
+
+def test_exact_verdicts_are_read_from_the_index(spark, monkeypatch):
+    docs = documents(spark, ["same text"] * 70 + ["other", "oth er", "third"])
+    same(exact_dedup.exact_groups(docs), *oracle(exact_dedup.SQL, docs))
+    whole = exact_dedup.indexed
+    monkeypatch.setattr(exact_dedup, "indexed", lambda entries, capacity: whole(entries, capacity).withColumn("size", F.lit(77).cast("long")))
+    assert {r.group_size for r in exact_dedup.exact_groups(docs).collect()} == {77}
+
+
 def test_exact_repeated_rows_stay_once(spark):
     rows = [(2, "same"), (2, "same"), (3, "same"), (2, "other"), (None, "other"), (4, "sa me"), (4, "s ame"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("size", F.lit(2))
