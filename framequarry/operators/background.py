@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, clamp, lower_quartile, sorted_quantile, upper_median
-from framequarry.functions.store import materialize
+from framequarry.functions.store import materialize, release
 
 ROWS, COLS = 48, 72
 
@@ -60,7 +60,7 @@ def _surface(rows: int, cols: int, rounds: int, reject: float):
 
 def surface_fit(cells: DataFrame, rows: int = ROWS, cols: int = COLS, rounds: int = 5, reject: float = 2.5) -> DataFrame:
     """Order-2 surface, from which cells well above it are left out round by round. A frame has rows x cols cells."""
-    return cells.select("frame_id", "i", "j", "b0").groupBy("frame_id").applyInPandas(_surface(rows, cols, rounds, reject), "frame_id long, i long, j long, b0 double, surface double")
+    return cells.select("frame_id", "i", "j", "b0").groupBy("frame_id").applyInPandas(_surface(rows, cols, rounds, reject), f"frame_id {cells.schema['frame_id'].dataType.simpleString()}, i long, j long, b0 double, surface double")
 
 
 def level(surface: DataFrame) -> DataFrame:
@@ -128,7 +128,14 @@ def heatmap(surface: DataFrame) -> DataFrame:
     return surface.join(q, "frame_id").select("frame_id", "i", "j", clamp((F.col("surface") - F.col("lo")) / span, 0.0, 1.0).alias("heat"))
 
 
+def diagnostics(surface: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFrame:
+    """All diagnostics of ``surface_fit`` (a written table), one row per frame."""
+    return radial_profile(surface, rows, cols).join(radial_fit(surface, rows, cols), "frame_id").join(plane_fit(surface, rows, cols), "frame_id").join(corners(surface, rows, cols), "frame_id")
+
+
 def report(px: DataFrame, rows: int = ROWS, cols: int = COLS, min_side: int = 800) -> DataFrame:
-    """All diagnostics of the frames of ``px`` (with luma), one row per frame."""
-    s = materialize(surface_fit(cell_floor(px, rows, cols, min_side), rows, cols), "background-surface")
-    return radial_profile(s, rows, cols).join(radial_fit(s, rows, cols), "frame_id").join(plane_fit(s, rows, cols), "frame_id").join(corners(s, rows, cols), "frame_id")
+    """All diagnostics of the frames of ``px`` (with luma), one row per frame; a written table."""
+    surface = materialize(surface_fit(cell_floor(px, rows, cols, min_side), rows, cols), "background-surface")
+    out = materialize(diagnostics(surface, rows, cols), "background-report")
+    release(surface)
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, upper_median
-from framequarry.functions.store import materialize
+from framequarry.functions.store import materialize, release
 from framequarry.operators.tilework import assembled, luma_of, sliced
 
 CUT, WIN = 29, 9
@@ -281,7 +281,7 @@ def measured_zone(z: np.ndarray, y0: int, x0: int, cut: int = CUT) -> pd.DataFra
 
 
 def plate_of_tiles(tiles: DataFrame, grid: int = 3, nstar: int = 4, sat: float = 0.92) -> tuple[DataFrame, DataFrame]:
-    """``plate`` of ``frames.tiles``: (stars, zones), frames named by their paths.
+    """``plate`` of ``frames.tiles``: (stars, zones), two written tables, frames named by their paths.
 
     Boxes follow from a frame's size, so nothing is joined to pixels: tiles are cut by slices, the slices of a zone meet in
     one task as arrays (a fifth of the frame's short side each way), and only stars leave it.
@@ -303,4 +303,6 @@ def plate_of_tiles(tiles: DataFrame, grid: int = 3, nstar: int = 4, sat: float =
     tops = boxes.select("frame_id", "gy", "gx", "top")
     lit = found.join(tops, ["frame_id", "gy", "gx"]).where(F.col("luma") < sat * F.col("top")).drop("luma", "top")
     chosen = materialize(topk_spaced(lit, nstar), "psf-stars")
-    return chosen, zone_summary(chosen, boxes, grid)
+    summed = materialize(zone_summary(chosen, boxes, grid), "psf-plate")
+    release(boxes)
+    return chosen, summed

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.functions.store import materialize
-from framequarry.operators import tilereduce
+from framequarry.operators import reports, tilereduce
+from framequarry.operators.results import content_key
 from framequarry.sources import frames
 
-from .queries_pixels import rounded
-from .queries_results import ANALYSED, STORED, _pixel_files
+from . import bindings as b
+from .queries_pixels import BC, BR, RGBL, SQL as PIXEL_SQL, TCELL, TILE, K, rounded
+from .queries_results import ANALYSED, STORED, _pixel_files, _with_broken
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -70,3 +72,26 @@ SELECT {PATH.replace('frame_id ||', 'o.frame_id ||')}, gy, gx, count(*) AS n, su
 def px_cutouts_tiles(spark: SparkSession, sf: str) -> DataFrame:
     c = tilereduce.cutouts(_tiles(spark, sf))
     return c.select("frame_id", "gy", "gx", "n", F.aggregate("values", F.lit(0.0), lambda s, v: s + v).alias("total"), F.element_at("values", 1).alias("first_value"))
+
+
+LARGE = "WITH px AS (SELECT frame_id, y, x, r AS luma FROM pixels WHERE frame_id IN (SELECT frame_id FROM pixels GROUP BY 1 HAVING least(max(y), max(x)) >= 29)),"
+#: Background diagnostics and tilt of the stored pixels, from the twins of the operators on pixel rows.
+_sky = lambda name: PIXEL_SQL[name].replace(f"{RGBL},", LARGE)
+FOUND = "stars AS (SELECT sr.frame_id, cx AS x, cy AS y, hfr, ecc, w, h FROM sr JOIN st ON st.frame_id = sr.frame_id)"
+LEAN = PIXEL_SQL["tilt_summary"].replace(b.STARS, FOUND).replace("y * 3 / 800", "y * 3 / h").replace("x * 3 / 1000", "x * 3 / w").replace("SELECT DISTINCT frame_id FROM stars", "SELECT frame_id FROM st")
+
+
+@query("report_files", f"""{ANALYSED}, lean AS ({LEAN}), b1 AS ({_sky("bg_radial_profile")}), b2 AS ({_sky("bg_radial_fit")}), b3 AS ({_sky("bg_plane_fit")}), b4 AS ({_sky("bg_corners")})
+SELECT 'frame-' || an.frame_id || '.fits' AS path, true AS success, star_count, round(hfr_median, 6) AS hfr_median, round(pix_mean, 6) AS pix_mean, lean.success AS tilt_known, hfr_min, hfr_max, best_corner, worst_corner, tilt_pct, curvature_pct,
+ bg_median, radial_drop, azim_aniso, radial_r2, amplitude, direction, plane_r2, corner_excess, corner_asymmetry, NULL::VARCHAR AS error
+FROM an JOIN su USING (frame_id) JOIN lean USING (frame_id) LEFT JOIN b1 USING (frame_id) LEFT JOIN b2 USING (frame_id) LEFT JOIN b3 USING (frame_id) LEFT JOIN b4 USING (frame_id)
+UNION ALL SELECT 'cut-frame-' || frame_id || '.fits', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'truncated pixels' FROM st""")
+def report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, some of them broken, to their report: stars, tilt and background (the surface of the first round, which SQL has)."""
+    files = materialize(_with_broken(_pixel_files(spark, sf, "fits")), "report-input")
+    found = reports.report_files(files, tile=16, sky={"rows": BR, "cols": BC, "min_side": 30, "rounds": 1}, detection={"tile": TILE, "k": K})
+    named = rounded(found.summary().join(content_key(files).select("path", "cache_key"), "cache_key"))
+    return named.select(
+        "path", "success", "star_count", "hfr_median", "pix_mean", "tilt_known", "hfr_min", "hfr_max", "best_corner", "worst_corner", "tilt_pct", "curvature_pct", "bg_median", "radial_drop", "azim_aniso",
+        F.round("radial_r2", 5).alias("radial_r2"), "amplitude", F.round("direction", 5).alias("direction"), "plane_r2", "corner_excess", "corner_asymmetry", "error",
+    )
