@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders dealt by key: what a row is expanded to is then made by many tasks, whatever row groups the file has, and is
+    grouped by key where it is."""
+    return table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+
+
 def rgb_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten colour frames 64 pixels wide: a row per embedding, a frame per label."""
     rows = table(spark, sf_dir, "embeddings").select("label", "embedding", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("y"))
@@ -51,7 +57,13 @@ STARS = """stars AS (SELECT l_suppkey AS frame_id, CAST(l_partkey * 37 % 1000 AS
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw header cards (key, quoted value text) of one frame per order, with doubles, mixed case and missing keys."""
-    o = table(spark, sf_dir, "orders")
+    c = card_lists(spark, sf_dir).select("frame_id", F.posexplode_outer("cards").alias("card_idx", "card"))  # never empty; the filter of posexplode would be made before they are dealt
+    return c.select("frame_id", F.col("card_idx").cast("long").alias("card_idx"), "card.key", "card.value")
+
+
+def card_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cards as one array per frame."""
+    o = orders(spark, sf_dir)
     k, even = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
     text = lambda v: v.cast("string")
     card = lambda key, value: F.struct((F.lit(key) if isinstance(key, str) else key).alias("key"), value.alias("value"))
@@ -66,7 +78,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         card("FOCUSPOS", text(k % 5000)),
         card("OFFSET", F.when(k % 7 == 0, F.lit("n/a")).otherwise(text(k % 50 - 5))),
     )
-    return o.select(k.alias("frame_id"), F.posexplode(listed).alias("card_idx", "card")).select("frame_id", F.col("card_idx").cast("long").alias("card_idx"), "card.key", "card.value")
+    return o.select(k.alias("frame_id"), listed.alias("cards"))
 
 
 CARDS = """cards AS (SELECT frame_id, idx - 1 AS card_idx, ks[idx] AS key, vs[idx] AS value FROM (SELECT o_orderkey AS frame_id, unnest(range(1, 10)) AS idx,

@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from framequarry.functions.text import general
 
 
+#: White space of a value.
+SPACE = " \t\n\x0b\f\r"
+
+
 def trim_value(value: Column) -> Column:
     """Without outer white space; a quoted value also loses its quotes and the white space before the last one."""
-    t = F.regexp_replace(value, r"^\s+|\s+$", "")
-    quoted = t.rlike("(?s)^'.*'$") & (F.length(t) >= 2)
-    return F.when(quoted, F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\s+$", "")).otherwise(t)
+    t = F.btrim(value, F.lit(SPACE))
+    quoted = t.startswith("'") & t.endswith("'") & (F.length(t) >= 2)
+    return F.when(quoted, F.rtrim(F.substring(t, F.lit(2), F.length(t) - 2), F.lit(SPACE))).otherwise(t)
 
 
 def lookup(cards: DataFrame, keys: list[str]) -> DataFrame:
-    """First card of each key, whatever its case: one column per key, all in one aggregation."""
-    firsts = [F.expr(f"min_by(value, card_idx) FILTER (WHERE upper(key) = '{k.upper()}')").alias(k) for k in keys]
-    return cards.groupBy("frame_id").agg(*firsts)
+    """First card of each key, whatever its case: one column per key, all in one aggregation.
+
+    A card's key is looked up once, not once for each of ``keys``.
+    """
+    place = F.array_position(F.array(*[F.lit(k.upper()) for k in keys]), F.upper("key")).cast("int")
+    placed = cards.select("frame_id", "card_idx", "value", place.alias("place"))
+    firsts = [F.expr(f"min_by(value, card_idx) FILTER (WHERE place = {i})").alias(k) for i, k in enumerate(keys, 1)]
+    return placed.groupBy("frame_id").agg(*firsts)
 
 
 def to_double(value: Column) -> Column:
@@ -57,7 +66,8 @@ def catalog(cards: DataFrame, frames: DataFrame | None = None) -> DataFrame:
         side = lambda k: F.when(F.col(k) > 0, F.col(k)).alias(k)
         sizes = frames.select("frame_id", side("width"), side("height"), F.format_string("%d x %d", F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0))).alias("dimensions"))
         return sizes.join(catalog(cards), "frame_id", "left")
-    c = lookup(cards.withColumn("value", trim_value(F.col("value"))), CATALOG_KEYS)
+    found = lookup(cards, CATALOG_KEYS)
+    c = found.select("frame_id", *[trim_value(F.col(f"`{k}`")).alias(k) for k in CATALOG_KEYS])
     text = lambda k: F.when(F.col(f"`{k}`") != "", F.col(f"`{k}`"))
     dbl = lambda *k: F.coalesce(*[to_double(F.col(f"`{x}`")) for x in k])
     whole = lambda *k: F.greatest(F.lit(0).cast("long"), F.coalesce(*[to_long(F.col(f"`{x}`")) for x in k]))
