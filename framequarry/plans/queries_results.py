@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.functions.store import shared_dir
-from framequarry.operators import analysis, pixels, results, tilework, triage
+from framequarry.functions.store import materialize, shared_dir
+from framequarry.operators import analysis, results, tilereduce, tilework, triage
 from framequarry.operators.resulttable import ResultTable
 from framequarry.sources import blocks, frames, headers
 from framequarry.streaming import ingest
@@ -52,9 +52,9 @@ def src_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fits_files(spark: SparkSession, sf: str) -> DataFrame:
     """Header blocks made of the card binding: 80 characters a card, END last, the last card cut on every third frame."""
-    c = b.cards(spark, sf).where(F.col("key") != "object")
-    line = F.rpad(F.concat(F.rpad(F.upper("key"), 8, " "), F.lit("= "), F.trim("value")), 80, " ")
-    text = c.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("card_idx", line.alias("l")))), lambda x: x["l"]), "").alias("t"))
+    line = lambda c: F.rpad(F.concat(F.rpad(F.upper(c["key"]), 8, " "), F.lit("= "), F.trim(c["value"])), 80, " ")
+    lines = F.transform(F.filter("cards", lambda c: c["key"] != "object"), line)
+    text = b.card_lists(spark, sf).select("frame_id", F.array_join(lines, "").alias("t"))
     whole = F.concat(F.rpad(F.lit("SIMPLE  =                    T / standard"), 80, " "), F.rpad(F.lit("COMMENT free text"), 80, " "), "t", F.rpad(F.lit("END"), 80, " "), F.rpad(F.lit("NOISE   = 1"), 80, " "))
     cut = F.when(F.col("frame_id") % 3 == 0, F.expr("substring(w, 1, 800)")).otherwise(F.col("w"))
     return text.select("frame_id", whole.alias("w")).select("frame_id", F.encode(cut, "US-ASCII").alias("content"))
@@ -79,13 +79,12 @@ def _xisf_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     body = F.encode(xml, "UTF-8")
     little = F.unhex(F.concat(*[F.lpad(F.hex(F.expr(f"(CAST(length(b) AS BIGINT) >> {s}) & 255")), 2, "0") for s in (0, 8, 16, 24)]))
-    return b.table(spark, sf, "orders").select(k.alias("frame_id"), body.alias("b")).select("frame_id", F.concat(F.lit(b"XISF0100"), little, F.lit(b"\0\0\0\0"), "b").alias("content"))
+    return b.orders(spark, sf).select(k.alias("frame_id"), body.alias("b")).select("frame_id", F.concat(F.lit(b"XISF0100"), little, F.lit(b"\0\0\0\0"), "b").alias("content"))
 
 
 @query("src_xisf_cards", "SELECT o_orderkey AS frame_id, o_orderkey % 90 + 1 AS width, o_orderkey % 70 + 1 AS height, i AS card_idx, CASE i WHEN 0 THEN 'OBJECT' ELSE 'GAIN' END AS key, CASE i WHEN 0 THEN ' ' || o_orderpriority ELSE o_custkey::VARCHAR END AS value FROM orders, (SELECT unnest(range(2)) AS i)")
 def src_xisf_cards(spark: SparkSession, sf: str) -> DataFrame:
-    f, c = frames.xisf_cards(_xisf_files(spark, sf))
-    return c.join(f, "frame_id").select("frame_id", "width", "height", "card_idx", "key", "value")
+    return frames.image_cards(frames.xisf_images(_xisf_files(spark, sf)), "width", "height").drop("comment")
 
 
 def _pixel_files(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -248,12 +247,12 @@ def _with_broken(files: DataFrame) -> DataFrame:
 @query("cat_check_line", f"{ANALYSED} SELECT 'frame-' || frame_id || '.fits' AS path, format('OK {{}}x{{}} headers=7 min={{:.3f}} max={{:.3f}} stars={{}} hfr={{:.2f}}', w, h, CASE WHEN pix_min < pix_max THEN pix_min ELSE 0 END, CASE WHEN pix_min < pix_max THEN pix_max ELSE 1 END, star_count, hfr_median) AS line FROM an JOIN su USING (frame_id)")
 def cat_check_line(spark: SparkSession, sf: str) -> DataFrame:
     """Files to check lines: cards, decoded pixels, their range and stars."""
-    files = _pixel_files(spark, sf, "fits")
-    tiles = frames.tiles(files, 16)
-    px = frames.tile_pixels(tiles).select(F.col("path").alias("frame_id"), "y", "x", "r")
+    files = materialize(_pixel_files(spark, sf, "fits"), "frame-files")
+    tiles = materialize(frames.tiles(files, 16), "tiles")
     rows, _ = tilework.analyse(tiles, tile=TILE, k=K)
+    sizes = tiles.groupBy(F.col("path").alias("frame_id")).agg(F.max("width").alias("width"), F.max("height").alias("height"))
     counted = frames.fits_cards(files.withColumnRenamed("path", "frame_id")).groupBy("frame_id").agg(F.count("*").alias("headers"))
-    all_ = rows.join(counted, "frame_id").join(pixels.frame_size(px), "frame_id").join(pixels.source_range(px), "frame_id")
+    all_ = rows.join(counted, "frame_id").join(sizes, "frame_id").join(tilereduce.source_range(tiles), "frame_id")
     return results.check_line(all_).withColumnRenamed("frame_id", "path")
 
 
@@ -262,7 +261,7 @@ def cat_check_line(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'cut-frame-' || frame_id || '.fits', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'truncated pixels' FROM st""")
 def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of good and broken files to rows of the result table on disk; a second arrival of the same files adds none."""
-    files = results.content_key(_with_broken(_pixel_files(spark, sf, "fits"))).select("path", "cache_key", "content", "length")
+    files = materialize(results.content_key(_with_broken(_pixel_files(spark, sf, "fits"))).select("path", "cache_key", "content", "length"), "arrived-files")
     table = shared_dir(spark, "results")
     for _ in range(2):
         ingest.ingest_into(files, table, lambda todo: analysis.analyse_files(todo, tile=16, computed_at=0, detection={"tile": TILE, "k": K}))

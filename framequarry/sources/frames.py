@@ -1,15 +1,17 @@
 """Readers of frame files: listing, format detection, FITS and XISF headers and pixel tiles.
 
-Files are ``binaryFile`` rows. Headers of FITS image units and of XISF are parsed with built-in functions; pixels are
+Files are ``binaryFile`` rows. Headers are cut into cards in Arrow batches, and cards parsed with built-in functions; pixels are
 decoded to tiles file by file in batches, so a file that cannot be read is an error row and never a failed job.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from xml.parsers import expat
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ EXTENSIONS = [".fit", ".fits", ".xisf", ".cr2", ".nef", ".arw", ".dng", ".raf",
 FITS_TYPES = {8: ">u1", 16: ">i2", 32: ">i4", -32: ">f4", -64: ">f8"}
 XISF_TYPES = {"UInt8": "<u1", "UInt16": "<u2", "UInt32": "<u4", "Float32": "<f4", "Float64": "<f8", "Int16": "<i2", "Int32": "<i4"}
 TILES = "path string, width int, height int, channels int, ty int, tx int, y0 int, x0 int, h int, w int, r array<float>, g array<float>, b array<float>, error string"
+#: Pixels of the tiles that are handed on together, about.
+HELD = 1 << 19
 MOST_SIDE, MOST_PIXELS = 100_000, 1_000_000_000
 
 
@@ -45,42 +49,90 @@ def detect_format(files: DataFrame) -> DataFrame:
     return files.withColumn("format", F.when(lead(8) == F.lit(b"XISF0100".hex().upper()), "xisf").when(lead(4).isin("49492A00", "4D4D002A"), "raw").otherwise("fits"))
 
 
-def _cards_of(content: Column, most: Column) -> Column:
-    """The first ``most`` cards of a header at the start of ``content``, as texts of 80 characters."""
-    n = F.least(F.floor(F.coalesce(F.length(content), F.lit(0)) / 80), most)
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda i: F.decode(F.substring(content, (i * 80 + 1).cast("int"), F.lit(80)), "ISO-8859-1"))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
+#: Bytes of a header that are looked at first for its END: ten blocks.
+FIRST_LOOK = 10 * 2880
 
 
-def _keys_of(cards: Column) -> Column:
-    return F.transform(cards, lambda c: F.rtrim(F.substring(c, 1, 8)))
+def _grid(content, most: int | None = None) -> np.ndarray:
+    """Whole cards of 80 bytes at the start of a binary Arrow value, a row each."""
+    held = content.as_buffer() if content.is_valid else b""
+    size = len(held) if most is None else min(len(held), most)
+    return np.frombuffer(held, np.uint8, size // 80 * 80).reshape(-1, 80)
+
+
+def _ends(grid: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((grid[:, :8] == np.frombuffer(b"END     ", np.uint8)).all(1))
+
+
+def _texts(grid: np.ndarray) -> pa.Array:
+    if grid.size and grid.max() > 127:
+        return pa.array([row.tobytes().decode("latin-1") for row in grid], pa.string())
+    return pa.StringArray.from_buffers(len(grid), pa.py_buffer((np.arange(len(grid) + 1) * 80).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(grid)))
+
+
+def _card_rows(files: DataFrame) -> DataFrame:
+    """(frame_id, card_idx, card, plain) of the named cards up to END; ``plain`` cards are printable ASCII.
+
+    END is looked for in the first ``FIRST_LOOK`` bytes of all contents of a batch at once, and only where it is not there
+    in all of a content. A batch is handed on in pieces.
+    """
+
+    def pieces(contents: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        grids = [_grid(c, FIRST_LOOK) for c in contents]
+        cards, counts = np.concatenate(grids), np.array([len(g) for g in grids])
+        stop = np.cumsum(counts)
+        start, ends = stop - counts, _ends(cards)
+        first = np.append(ends, len(cards) + 1)[np.searchsorted(ends, start)]
+        found = first < stop
+        longer = ~found & (counts == FIRST_LOOK // 80)
+        kept = np.where(longer, 0, np.minimum(first, stop) - start)
+        row = np.repeat(np.arange(len(grids)), kept)
+        yield row, cards[np.repeat(start - (np.cumsum(kept) - kept), kept) + np.arange(len(row))]
+        for i in np.flatnonzero(longer):
+            whole = _grid(contents[int(i)])
+            whole = whole[: _ends(whole)[0]] if len(_ends(whole)) else whole
+            yield np.full(len(whole), i), whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, cards in pieces(batch.column(1)) if batch.num_rows else ():
+                named = (cards[:, :8] != 32).any(1)
+                row, cards = row[named], cards[named]
+                if len(row):
+                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    idx = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+                    plain = ((cards >= 32) & (cards < 127)).all(1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(idx.astype(np.int64)), _texts(cards), pa.array(plain)], ["frame_id", "card_idx", "card", "plain"])
+
+    kind = files.schema["frame_id"].dataType.simpleString()
+    return files.select("frame_id", "content").mapInArrow(run, f"frame_id {kind}, card_idx long, card string, plain boolean")
 
 
 def fits_cards(files: DataFrame) -> DataFrame:
     """Cards (frame_id, card_idx, key, value, comment) of the header that ``content`` begins with, up to END.
 
     Commentary cards (COMMENT, HISTORY, any without a value sign) have an empty value and their text as comment; cards
-    without a name are left out. Works on truncated content. Cards are cut until END is found, first in ten blocks,
-    then in a thousand, and only without it in all of the content; nothing is shuffled.
+    without a name are left out. Works on truncated content. Cards are cut in Arrow batches and parsed by built-in
+    functions, by regular expressions only where a card has doubled quotes or other than printable characters; nothing
+    is shuffled.
     """
-    content = F.col("content")
-    out = _cards_of(content, F.lit(1 << 40))
-    for blocks in (1000, 10):
-        some = _cards_of(content, F.lit(36 * blocks))
-        out = F.when(F.array_contains(_keys_of(some), "END") | (F.length(content) <= 2880 * blocks), some).otherwise(out)
-    listed = files.select("frame_id", out.alias("cards"))
-    end = F.array_position(_keys_of(F.col("cards")), "END")
-    kept = F.when(end > 0, F.slice("cards", F.lit(1), (end - 1).cast("int"))).otherwise(F.col("cards"))
-    named = F.filter(kept, lambda c: F.trim(F.substring(c, 1, 8)) != "")
-    c = listed.select("frame_id", F.posexplode(named).alias("card_idx", "card"))
-    key, rest = F.trim(F.substring("card", 1, 8)), F.substring("card", 11, 70)
-    has = F.substring("card", 9, 1) == "="
+    part = lambda c, i: F.substring(c, F.lit(i) if isinstance(i, int) else i, F.lit(80))
+    c = _card_rows(files).select("frame_id", "card_idx", "plain", F.trim(F.substring("card", 1, 8)).alias("key"), (F.substring("card", 9, 1) == "=").alias("has"), F.substring("card", 11, 70).alias("rest"), F.substring("card", 9, 72).alias("free"))
+    c = c.withColumn("t", F.ltrim("rest")).withColumn("body", F.when(F.col("t").startswith("'"), F.substring_index(part("t", 2), "'", 1)))
+    size = F.length("body")
+    c = c.withColumn("after", F.when(F.length("t") >= size + 2, part("t", size + 3)))  # behind the closing quote
+    c = c.withColumn("tail", F.ltrim("after")).withColumn("slash", F.instr("rest", "/"))
+    odd = ~F.col("plain") | F.coalesce(F.col("after").startswith("'"), F.lit(False))
+    closed = F.coalesce((F.col("tail") == "") | F.col("tail").startswith("/"), F.lit(False))
+    # The same by regular expressions, for all cards.
+    rest = F.col("rest")
     quoted = F.regexp_extract(rest, r"^\s*('(?:[^']|'')*')\s*(?:/\s*(.*))?$", 1)
-    value = F.when(quoted != "", F.regexp_replace(trim_value(quoted), "''", "'")).otherwise(F.trim(F.regexp_extract(rest, r"^([^/]*)", 1)))
-    comment = F.when(quoted != "", F.regexp_extract(rest, r"^\s*'(?:[^']|'')*'\s*(?:/\s*(.*))?$", 1)).otherwise(F.regexp_extract(rest, r"/\s*(.*)$", 1))
-    return c.select(
-        "frame_id", F.col("card_idx").cast("long").alias("card_idx"), key.alias("key"), F.when(has, value).otherwise("").alias("value"), F.rtrim(F.when(has, comment).otherwise(F.substring("card", 9, 72))).alias("comment")
-    )
+    slow_value = F.when(quoted != "", F.regexp_replace(trim_value(quoted), "''", "'")).otherwise(F.trim(F.regexp_extract(rest, r"^([^/]*)", 1)))
+    slow_comment = F.when(quoted != "", F.regexp_extract(rest, r"^\s*'(?:[^']|'')*'\s*(?:/\s*(.*))?$", 1)).otherwise(F.regexp_extract(rest, r"/\s*(.*)$", 1))
+    value = F.when(odd, slow_value).when(closed, F.rtrim("body")).otherwise(F.trim(F.substring_index("rest", "/", 1)))
+    comment = F.when(odd, slow_comment).when(closed, F.ltrim(part("tail", 2))).when(F.col("slash") > 0, F.ltrim(part("rest", F.col("slash") + 1))).otherwise("")
+    has = F.col("has")
+    return c.select("frame_id", "card_idx", "key", F.when(has, value).otherwise("").alias("value"), F.rtrim(F.when(has, comment).otherwise(F.col("free"))).alias("comment"))
 
 
 def image_units(files: DataFrame) -> DataFrame:
@@ -120,23 +172,76 @@ def frame_sizes(cards: DataFrame) -> DataFrame:
 
 
 def xisf_header(files: DataFrame) -> DataFrame:
-    """``files`` of format xisf with ``xml``: the header, by its length at byte 8."""
+    """``files`` with ``xml``: the header, by its length at byte 8; null where a file is not of format xisf."""
     little = lambda o: F.conv(F.hex(F.substring("content", o, 1)), 16, 10).cast("long")
     size = little(9) + little(10) * 256 + little(11) * 65536 + little(12) * 16777216
     ok = (F.hex(F.substring("content", 1, 8)) == b"XISF0100".hex().upper()) & (F.length("content") >= 16)
-    return files.where(ok).withColumn("__n", size).withColumn("xml", F.decode(F.expr("substring(content, 17, CAST(least(__n, length(content)) AS INT))"), "UTF-8")).drop("__n")
+    return files.withColumn("__n", size).withColumn("xml", F.when(ok, F.expr("substring(content, 17, CAST(least(__n, length(content)) AS INT))"))).drop("__n")
+
+
+IMAGE = ("geometry", "sampleFormat", "colorSpace", "location")
+
+
+def image_of(xml: str) -> tuple[dict[str, str], list[dict[str, str]]]:
+    """(attributes of the first image, keywords of the images that are the first below their parent) of an XISF header, in
+    one pass. A header that breaks off gives what stands before."""
+    first: dict[str, str] | None = None
+    keywords: list[dict[str, str]] = []
+    open_: list[list[bool]] = [[False, False]]  # per open element: has an image, is the first image of its parent
+
+    def begin(name: str, attributes: dict[str, str]) -> None:
+        nonlocal first
+        parent = open_[-1]
+        image = name == "Image" and not parent[0]
+        if image:
+            parent[0] = True
+            first = attributes if first is None else first
+        elif name == "FITSKeyword" and parent[1]:
+            keywords.append({k: attributes.get(k, "") for k in ("name", "value", "comment")})
+        open_.append([False, image])
+
+    def end(_: str) -> None:
+        open_.pop()
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = begin, end
+    with contextlib.suppress(expat.ExpatError):
+        parser.Parse(xml, True)
+    return first or {}, keywords
+
+
+def xisf_images(files: DataFrame) -> DataFrame:
+    """(frame_id, width, height, channels, sample_format, color_space, location, cards: an array of key, value, comment) of
+    XISF headers, each parsed once. Other files have no row; they are left out here, not by a condition on ``content``,
+    which would be pushed down to where it is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.string()
+        kind = pa.list_(pa.struct([("key", text), ("value", text), ("comment", text)]))
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            found = [image_of(x.decode("utf-8", "replace")) for x in batch.column(1).to_pylist()]
+            columns = [pa.array([f.get(a, "") for f, _ in found], text) for a in IMAGE]
+            cards = pa.array([[{"key": k["name"], "value": k["value"], "comment": k["comment"]} for k in ks] for _, ks in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, cards], ["frame_id", *IMAGE, "cards"])
+
+    kind = files.schema["frame_id"].dataType.simpleString()
+    h = xisf_header(files).select("frame_id", "xml").mapInArrow(run, f"frame_id {kind}, {', '.join(f'{a} string' for a in IMAGE)}, cards array<struct<key:string,value:string,comment:string>>")
+    geometry = F.split("geometry", ":")
+    part = lambda i: F.try_element_at(geometry, F.lit(i)).try_cast("long")
+    return h.select("frame_id", part(1).alias("width"), part(2).alias("height"), F.coalesce(part(3), F.lit(1)).alias("channels"), F.col("sampleFormat").alias("sample_format"), F.col("colorSpace").alias("color_space"), "location", "cards")
+
+
+def image_cards(images: DataFrame, *beside: str) -> DataFrame:
+    """Cards (frame_id, the columns ``beside``, card_idx, key, value, comment) of ``xisf_images``."""
+    c = images.select("frame_id", *beside, F.posexplode("cards").alias("card_idx", "c"))
+    return c.select("frame_id", *beside, F.col("card_idx").cast("long").alias("card_idx"), "c.key", trim_value(F.col("c.value")).alias("value"), "c.comment")
 
 
 def xisf_cards(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(frames: frame_id, width, height, channels, sample_format, color_space, location; cards) from XISF headers."""
-    h = xisf_header(files)
-    get = lambda a: F.xpath_string("xml", F.lit(f"string(//Image[1]/@{a})"))
-    geometry = F.split(get("geometry"), ":")
-    part = lambda i: F.try_element_at(geometry, F.lit(i)).try_cast("long")
-    frames = h.select("frame_id", part(1).alias("width"), part(2).alias("height"), F.coalesce(part(3), F.lit(1)).alias("channels"), get("sampleFormat").alias("sample_format"), get("colorSpace").alias("color_space"), get("location").alias("location"))
-    keyword = lambda a: F.xpath("xml", F.lit(f"//Image[1]/FITSKeyword/@{a}"))
-    cards = h.select("frame_id", F.posexplode(F.arrays_zip(keyword("name").alias("key"), keyword("value").alias("value"), keyword("comment").alias("comment"))).alias("card_idx", "c"))
-    return frames, cards.select("frame_id", F.col("card_idx").cast("long").alias("card_idx"), "c.key", trim_value(F.col("c.value")).alias("value"), F.col("c.comment").alias("comment"))
+    images = xisf_images(files)
+    return images.drop("cards"), image_cards(images)
 
 
 def union_cards(*cards: DataFrame) -> DataFrame:
@@ -268,6 +373,7 @@ def tiles(files: DataFrame, tile: int = 256) -> DataFrame:
     names = [x.split()[0] for x in TILES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
@@ -278,12 +384,16 @@ def tiles(files: DataFrame, tile: int = 256) -> DataFrame:
                     continue
                 planes, height, width = v.shape
                 for y0 in range(0, height, tile):
-                    rows = []
                     for x0 in range(0, width, tile):
                         part = v[:, y0 : y0 + tile, x0 : x0 + tile]
                         flat = [p.ravel() for p in part]
                         rows.append([path, width, height, planes, y0 // tile, x0 // tile, y0, x0, part.shape[1], part.shape[2], flat[0], flat[1] if planes == 3 else None, flat[2] if planes == 3 else None, None])
-                    yield pd.DataFrame(rows, columns=names)
+                    held += v[0, y0 : y0 + tile].size
+                    if held >= HELD:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, TILES)
 

@@ -192,6 +192,31 @@ def test_fits_tiles_and_cards(spark):
     assert {(c.frame_id, c.key): (c.value, c.comment) for c in cards}[("d.fits", "EXPTIME")] == ("30.5", "s")
 
 
+def test_odd_cards(spark):
+    """Doubled and open quotes, slashes in quotes, other characters than ASCII, nameless cards; END far behind, or never."""
+    cards = ["A       = 'it''s  '  / why/not", "B       = 'open / end", "C       = '' / empty", "D       = 'a/b' x", "E       =  5 / caf\xe9", "F       = '/' /", "        = 1", "COMMENT said 'x' / y", "G       = 'v' /\t tab"]
+    block = "".join(c.ljust(80) for c in cards)
+    far = block + "".join(f"K{i:<7}= {i}".ljust(80) for i in range(500))
+    end = "END".ljust(80)
+    data = [(1, (block + end + "Z       = 1".ljust(80)).encode("latin-1")), (2, (far + end + far).encode("latin-1")), (3, far.encode("latin-1") + b"cut"), (4, b""), (5, None), (6, end.encode()), (7, b"short")]
+    got = {}
+    for r in frames.fits_cards(spark.createDataFrame(data, "frame_id long, content binary")).collect():
+        got.setdefault(r.frame_id, []).append((r.card_idx, r.key, r.value, r.comment))
+    want = [("A", "it's", "why/not"), ("B", "'open", "end"), ("C", "", "empty"), ("D", "'a", "b' x"), ("E", "5", "caf\xe9"), ("F", "/", ""), ("COMMENT", "", "said 'x' / y"), ("G", "v", "tab")]
+    want = [(i, *c) for i, c in enumerate(want)]
+    more = [(8 + i, f"K{i}", str(i), "") for i in range(500)]
+    assert {k: sorted(v) for k, v in got.items()} == {1: want, 2: want + more, 3: want + more}
+
+
+def test_odd_xisf_headers(spark):
+    """Keywords without some attributes keep theirs together; a header that breaks off, or is no XISF, fails no job."""
+    image = '<xisf xmlns="x"><Image geometry="3:2" location="l"><FITSKeyword name="A" comment="a"/><FITSKeyword name="B" value=" 1 "/></Image><Image geometry="9:9"><FITSKeyword name="C" value="2"/></Image></xisf>'
+    file = lambda x: b"XISF0100" + len(x).to_bytes(4, "little") + bytes(4) + x.encode()
+    f, c = frames.xisf_cards(spark.createDataFrame([(1, file(image)), (2, file(image[:150])), (3, b"SIMPLE  = T" * 9), (4, None)], "frame_id long, content binary"))
+    assert {r.frame_id: (r.width, r.height, r.channels, r.location) for r in f.collect()} == {1: (3, 2, 1, "l"), 2: (3, 2, 1, "l")}
+    assert sorted(map(tuple, c.collect())) == [(1, 0, "A", "", "a"), (1, 1, "B", "1", ""), (2, 0, "A", "", "a"), (2, 1, "B", "1", "")]
+
+
 def test_xisf_cards_and_formats(spark):
     df = spark.createDataFrame([(1, fields.xisf(np.ones((2, 3)), keywords=[("GAIN", " 100 "), ("OBJECT", "'x '")]))], "frame_id long, content binary")
     f, c = frames.xisf_cards(df)
