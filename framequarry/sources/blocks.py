@@ -42,6 +42,7 @@ HEAD_BYTES = 65536
 #: Bytes of a range of rows, about.
 RANGE_BYTES = 32 << 20
 FILES_A_TASK = 64
+RANGES_A_TASK = 64
 
 
 def opened(path: str):
@@ -171,10 +172,18 @@ def headers_of(files: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in KEYED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"data_at": "Int64", "bytes_read": "Int64"})
+        rows, held = [], 0
         for pdf in batches:
             for path, length in zip(pdf["path"], pdf["length"], strict=True):
                 row = header_row(path, int(length), names)
-                yield pd.DataFrame([[row.get(c) for c in names]], columns=names).astype({"data_at": "Int64", "bytes_read": "Int64"})
+                rows.append([row.get(c) for c in names])
+                held += len(row.get("content") or b"")
+                if held > MOST_HEADER or len(rows) >= 1000:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
 
     return files.select("path", "length").mapInPandas(run, KEYED)
 
@@ -261,8 +270,13 @@ def coloured(data: ByteRanges, r, y0: int, y1: int) -> np.ndarray:
 
 
 def _dealt(ranges: DataFrame) -> DataFrame:
-    """``ranges``, a written table, in as many tasks as there are ranges: narrow rows, whatever the sizes of their files."""
-    return ranges.where("error IS NULL").repartition(max(1, min(ranges.count(), 20_000)), "path", "y0")
+    """``ranges``, a written table, dealt to tasks of about ``RANGE_BYTES`` or ``RANGES_A_TASK`` ranges each: narrow rows,
+    whatever the sizes of their files. A large frame is many tasks, and many small files are few."""
+    ok = ranges.where("error IS NULL")
+    line = F.col("width").cast("long") * F.col("channels") * F.substring("kind", 3, 1).cast("int")
+    n, size = ok.agg(F.count("*"), F.coalesce(F.sum((F.col("y1") - F.col("y0")) * line), F.lit(0))).first()
+    tasks = max(-(-size // RANGE_BYTES), -(-n // RANGES_A_TASK), ok.sparkSession.sparkContext.defaultParallelism)
+    return ok.repartition(max(1, min(tasks, n, 20_000)), "path", "y0")
 
 
 def gains(ranges: DataFrame, target: int = 100_000) -> DataFrame:
@@ -302,14 +316,22 @@ def range_tiles(spark: SparkSession, ranges: DataFrame, tile: int) -> DataFrame:
         dealt = dealt.withColumn("gain", F.lit(None).cast("array<double>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for pdf in batches:
             for r in pdf.itertuples():
                 try:
-                    yield from rows_of(r)
+                    for row in rows_of(r):
+                        rows += row
+                        held += sum(x[8] * x[9] for x in row)
+                        if held >= frames.HELD:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
                 except Exception as e:  # noqa: BLE001  a range that cannot be read is an error row
                     yield pd.DataFrame([[r.name, *[None] * 12, str(e)[:200] or type(e).__name__]], columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    def rows_of(r) -> Iterator[pd.DataFrame]:
+    def rows_of(r) -> Iterator[list]:
         data, width, height = ByteRanges(r.path), int(r.width), int(r.height)
         for y0 in range(int(r.y0), int(r.y1), tile):
             v = coloured(data, r, y0, min(y0 + tile, height))
@@ -319,7 +341,7 @@ def range_tiles(spark: SparkSession, ranges: DataFrame, tile: int) -> DataFrame:
             for x0 in range(0, width, tile):
                 flat = [p.ravel() for p in v[:, :, x0 : x0 + tile]]
                 rows.append([r.name, width, height, len(v), y0 // tile, x0 // tile, y0, x0, v.shape[1], min(tile, width - x0), flat[0], *(flat[1:] if len(v) == 3 else (None, None)), None])
-            yield pd.DataFrame(rows, columns=names)
+            yield rows
 
     read = dealt.mapInPandas(run, frames.TILES)
     failed = ranges.where("error IS NOT NULL").select(F.col("name").alias("path"), "error")

@@ -130,3 +130,11 @@ def test_files_are_written_below_a_folder(spark, tmp_path):
     assert len(wrote) == 8 and {r.length for r in wrote} == {0, 5760}
     back = blocks.tiles(blocks.read_headers(spark, f"file://{tmp_path}/out")).where("error IS NULL").select(F.element_at("r", 1)).collect()
     assert sorted(r[0] for r in back) == list(range(7))
+
+
+def test_many_small_ranges_are_few_tasks(spark):
+    """Tasks follow bytes and ranges: 1 000 small ranges share tasks, ranges of full size have their own."""
+    names = blocks.RANGES
+    rows = lambda n, width: spark.range(n).selectExpr("concat('f', id) path", "'n' name", "'<u2' kind", f"{width} width", "16 height", "1 channels", "0L data_at", "1D scale", "0D zero", "true flipped", "cast(null as string) pattern", "0 dx", "0 dy", "0 y0", "16 y1", "cast(null as string) error").to(spark.createDataFrame([], names).schema)
+    assert blocks._dealt(rows(1000, 50)).rdd.getNumPartitions() <= 16 + spark.sparkContext.defaultParallelism
+    assert blocks._dealt(rows(40, 1 << 20)).rdd.getNumPartitions() == 40
