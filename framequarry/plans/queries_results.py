@@ -92,14 +92,15 @@ def _pixel_files(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
     A last row that the table does not fill ends in zeros.
     """
-    px = b.star_pixels(spark, sf)
+    # Dealt by frame as narrow rows: the lists of a frame are made where its pixels are, by many tasks whatever the row groups.
+    px = b.star_pixels(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_id")
     v = F.lpad(F.hex(F.floor("r").cast("long") % 65536), 4, "0")
     if kind == "fits":
         v = F.lpad(F.hex(F.pmod(F.floor("r").cast("long") - 32768, F.lit(65536))), 4, "0")
         order, zero = -F.col("y"), "8000"  # FITS rows run upwards; 0 is stored as -32768
     else:
         v, order, zero = F.concat(F.substring(v, 3, 2), F.substring(v, 1, 2)), F.col("y"), "0000"
-    joined = lambda items: F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda s: s["v"]), "")
+    joined = lambda items: F.array_join(F.sort_array(F.collect_list(items))["v"], "")
     rows = px.groupBy("frame_id", "y").agg(F.rpad(joined(F.struct("x", v.alias("v"))), 200, zero).alias("line"))
     whole = rows.groupBy("frame_id").agg(joined(F.struct(order.alias("k"), F.col("line").alias("v"))).alias("hex"), (F.max("y") + 1).cast("string").alias("h"))
     if kind == "fits":
