@@ -98,16 +98,18 @@ def touching(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _label(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Labels of 8-connected pixels of a frame: the smallest raster index of the component."""
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+def raster_labels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Labels of 8-connected pixels in raster order: the smallest raster index of the component."""
     width = int(x.max()) + 2
     key = y * width + x
-    order = np.argsort(key, kind="stable")
-    key = key[order]
     label = least_linked(len(key), *touching(key, width))
-    out = pdf.iloc[order].copy()
-    out["label"] = key[label] // width * 1_000_000 + key[label] % width
+    return key[label] // width * 1_000_000 + key[label] % width
+
+
+def _label(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``raster_labels`` of the pixels of a frame, which are put in order."""
+    out = pdf.sort_values(["y", "x"], kind="stable")
+    out["label"] = raster_labels(out["y"].to_numpy(), out["x"].to_numpy())
     return out
 
 

@@ -36,6 +36,7 @@ class TileTable:
     name: str
     path: str
     band: int
+    buckets: int
 
     @property
     def tiles(self) -> DataFrame:
@@ -48,13 +49,14 @@ class TileTable:
 
 def write(tiles: DataFrame, side: int = 256, buckets: int | None = None) -> TileTable:
     """Write ``tiles`` (``frames.TILES`` of ``side`` rows) into buckets by (path, band), without a shuffle. Rows with an
-    error are kept. ``buckets`` is the number of shuffle partitions unless given: with fewer, a join may deal both sides anew.
+    error are kept. A task writes a file for each bucket that it meets, so both should follow the bytes: ``buckets`` is the
+    number of ``tasks`` that ``blocks.tiles`` dealt the ranges to, or else the number of shuffle partitions, unless given.
     """
     spark = tiles.sparkSession
     name, path = f"tiles_{uuid.uuid4().hex}", shared_dir(spark, "tiles")
-    n, band = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), band_of(side)
+    n, band = buckets or getattr(tiles, "tasks", None) or int(spark.conf.get("spark.sql.shuffle.partitions")), band_of(side)
     banded(tiles, band).write.bucketBy(n, "path", "band").format("parquet").option("path", path).saveAsTable(name)
-    return TileTable(spark, name, path, band)
+    return TileTable(spark, name, path, band, n)
 
 
 def with_bands(mesh: DataFrame, cell: int, band: int) -> DataFrame:

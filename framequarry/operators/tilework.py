@@ -20,6 +20,8 @@ from framequarry.operators import stars
 from framequarry.operators.tiletable import BAND, TileTable, band_of, banded, with_bands
 
 REDUCED = "frame_id string, h int, n long, total double, spread double, lo double, n_lo long, hi double, n_hi long, cells array<struct<cy:long,cx:long,bg:double,noise:double>>, sample array<double>"
+#: Bright pixels that a task gathers before it hands them on, about.
+HELD = 1 << 19
 SPARSE = "frame_id string, y long, x long, luma double, residual double, noise double, label long, edge boolean"
 
 
@@ -115,14 +117,17 @@ def statistics(parts: DataFrame) -> DataFrame:
     return base.join(end("lo", "n_lo", "min"), "frame_id").join(end("hi", "n_hi", "max"), "frame_id").join(dev, "frame_id")
 
 
-def above(tiles: DataFrame, mesh: DataFrame, cell: int, k: float, band: int = BAND, stay: bool = False) -> DataFrame:
+def above(tiles: DataFrame, mesh: DataFrame, cell: int, k: float, band: int = BAND, stay: bool = False, buckets: int | None = None) -> DataFrame:
     """Pixels above background + k noise, the smoothed mesh interpolated between the centres of its cells, with the label
     of their component within the tile, and whether they touch another tile.
 
     The mesh is cut into bands and joined on (path, band). With ``stay`` it is dealt to the tiles' buckets
-    (``tiletable``), and the tiles are not moved.
+    (``tiletable``), and the tiles are not moved; with ``buckets``, their number, not even if it is below that of the
+    shuffle partitions.
     """
     packed = with_bands(mesh, cell, band)
+    packed = packed.repartition(buckets, "path", "band") if stay and buckets else packed
+    names = [c.split()[0] for c in SPARSE.split(", ")]
 
     def axis(start: int, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         f = np.clip((start + np.arange(n)) / cell - 0.5, 0.0, cells - 1.0)
@@ -130,6 +135,8 @@ def above(tiles: DataFrame, mesh: DataFrame, cell: int, k: float, band: int = BA
         return i, np.minimum(i + 1, cells - 1), f - i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        joined = lambda: pd.DataFrame({"frame_id": np.repeat(np.array([r[0] for r in rows], object), [len(r[1]) for r in rows])} | {c: np.concatenate([r[i] for r in rows]) for i, c in enumerate(names[1:], 1)})
         for pdf in batches:
             for t in pdf.itertuples():
                 v, gw = luma_of(t), int(t.gw)
@@ -140,7 +147,13 @@ def above(tiles: DataFrame, mesh: DataFrame, cell: int, k: float, band: int = BA
                 y, x = np.nonzero(v > bg + k * noise)
                 if len(y):
                     edge = (y == 0) & (t.y0 > 0) | (y == t.h - 1) & (t.y0 + t.h < t.height) | (x == 0) & (t.x0 > 0) | (x == t.w - 1) & (t.x0 + t.w < t.width)
-                    yield stars._label(pd.DataFrame({"frame_id": t.path, "y": y + t.y0, "x": x + t.x0, "luma": v[y, x], "residual": v[y, x] - bg[y, x], "noise": noise[y, x], "edge": edge}))[[c.split()[0] for c in SPARSE.split(", ")]]
+                    rows.append((t.path, y + t.y0, x + t.x0, v[y, x], v[y, x] - bg[y, x], noise[y, x], stars.raster_labels(y + t.y0, x + t.x0), edge))
+                    held += len(y)
+                    if held >= HELD:
+                        yield joined()
+                        rows, held = [], 0
+        if rows:
+            yield joined()
 
     ok = banded(tiles.where("error IS NULL"), band)
     return ok.join(packed.hint("shuffle_hash") if stay else packed, ["path", "band"]).mapInPandas(run, SPARSE)
@@ -159,7 +172,7 @@ def analyse(tiles: DataFrame | TileTable, tile: int = 64, k: float = 4.0, least_
     if band % tile:
         raise ValueError(f"tiles, and bands of tiles, must be made of whole cells of {tile} rows")
     mesh = materialize(stars.mesh_smooth(parts.select("frame_id", F.inline("cells"))), "tile-mesh")
-    bright = materialize(above(tiles, mesh, tile, k, band, stay), "tile-bright")
+    bright = materialize(above(tiles, mesh, tile, k, band, stay, table.buckets if stay else None), "tile-bright")
     labelled = materialize(stars.area_filter(stars.joined_labels(bright), least_area, most_area), "tile-stars")
     found = materialize(stars.half_flux_radius(labelled, stars.quality_cuts(stars.moments(labelled), mesh, tile, **cuts)), "stars")
     stats = materialize(statistics(parts), "tile-statistics")

@@ -271,12 +271,15 @@ def coloured(data: ByteRanges, r, y0: int, y1: int) -> np.ndarray:
 
 def _dealt(ranges: DataFrame) -> DataFrame:
     """``ranges``, a written table, dealt to tasks of about ``RANGE_BYTES`` or ``RANGES_A_TASK`` ranges each: narrow rows,
-    whatever the sizes of their files. A large frame is many tasks, and many small files are few."""
-    ok = ranges.where("error IS NULL")
+    whatever the sizes of their files. A large frame is many tasks, and many small files are few. A frame of one range
+    lies where ``tiletable`` has its bucket, if there are as many buckets as tasks. Rows with an error are dealt as well."""
     line = F.col("width").cast("long") * F.col("channels") * F.substring("kind", 3, 1).cast("int")
-    n, size = ok.agg(F.count("*"), F.coalesce(F.sum((F.col("y1") - F.col("y0")) * line), F.lit(0))).first()
-    tasks = max(-(-size // RANGE_BYTES), -(-n // RANGES_A_TASK), ok.sparkSession.sparkContext.defaultParallelism)
-    return ok.repartition(max(1, min(tasks, n, 20_000)), "path", "y0")
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum((F.col("y1") - F.col("y0")) * line), F.lit(0))).first()
+    tasks = max(-(-size // RANGE_BYTES), -(-n // RANGES_A_TASK), ranges.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(1, min(tasks, n, 20_000))
+    dealt = ranges.repartition(tasks, "name", "y0")
+    dealt.tasks = tasks
+    return dealt
 
 
 def gains(ranges: DataFrame, target: int = 100_000) -> DataFrame:
@@ -307,9 +310,11 @@ def tiles(headers: DataFrame, tile: int = 256, range_bytes: int = RANGE_BYTES) -
 
 
 def range_tiles(spark: SparkSession, ranges: DataFrame, tile: int) -> DataFrame:
-    """Tiles of ``ranges`` (written), a task for each range, and the rows with errors as they are."""
+    """Tiles of ``ranges`` (written), and the rows with errors as they are. ``tasks`` of the result is the number of tasks
+    that they are dealt to."""
     names = [x.split()[0] for x in frames.TILES.split(", ")]
     dealt = _dealt(ranges)
+    tasks = dealt.tasks
     if not ranges.where("pattern IS NOT NULL").isEmpty():
         dealt = dealt.join(materialize(gains(dealt), "frame-gains"), "path", "left")
     else:
@@ -319,6 +324,9 @@ def range_tiles(spark: SparkSession, ranges: DataFrame, tile: int) -> DataFrame:
         rows, held = [], 0
         for pdf in batches:
             for r in pdf.itertuples():
+                if isinstance(r.error, str):
+                    rows.append([r.name, *[None] * 12, r.error])
+                    continue
                 try:
                     for row in rows_of(r):
                         rows += row
@@ -344,9 +352,8 @@ def range_tiles(spark: SparkSession, ranges: DataFrame, tile: int) -> DataFrame:
             yield rows
 
     read = dealt.mapInPandas(run, frames.TILES)
-    failed = ranges.where("error IS NOT NULL").select(F.col("name").alias("path"), "error")
-    kinds = dict(c.split() for c in frames.TILES.split(", "))
-    return read.unionByName(failed.select(*[F.col(c) if c in ("path", "error") else F.lit(None).cast(kinds[c]).alias(c) for c in names]))
+    read.tasks = tasks
+    return read
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:

@@ -13,6 +13,9 @@ from framequarry.operators.resulttable import ResultTable
 from framequarry.sources.blocks import headers_of
 from framequarry.sources.frames import known_extension
 
+#: Bytes of the files of one batch of a stream: a thousand frames of 64 MB.
+BATCH_BYTES = 1000 << 26
+
 
 def ingest(arrived: DataFrame, store: DataFrame, analyse: Callable[[DataFrame], DataFrame], version: int = SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
     """(rows served from the store, new store): keys without a current row are analysed once, whatever their copies.
@@ -54,11 +57,15 @@ def files_into(listing: DataFrame, table: ResultTable, analyse: Callable[[DataFr
     release(headers)
 
 
-def stream_files(spark: SparkSession, folder: str, table: ResultTable, checkpoint: str, analyse: Callable[[DataFrame], DataFrame] = analyse_headers, files_a_batch: int = 1000):
+def stream_files(spark: SparkSession, folder: str, table: ResultTable, checkpoint: str, analyse: Callable[[DataFrame], DataFrame] = analyse_headers, files_a_batch: int | None = None):
     """Run ``files_into`` for the frame files that arrive below ``folder``, until those that are there are done.
 
+    A batch takes ``BATCH_BYTES`` of files, or ``files_a_batch`` if that is given: what a batch costs besides its bytes is
+    then spent once for so many bytes, however small the files are.
+
     The stream lists files and carries no contents; files without bytes are not listed by Spark's file source. It goes on from its checkpoint; a batch that runs again finds its keys.
     """
-    listed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(folder)
+    listed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
+    listed = (listed.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else listed.option("maxBytesPerTrigger", BATCH_BYTES)).load(folder)
     arrivals = known_extension(listed, "path").select("path", "length")
     return arrivals.writeStream.foreachBatch(lambda batch, _: files_into(batch, table, analyse)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

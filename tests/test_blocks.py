@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framequarry.operators import stars, tiletable, tilework
 from framequarry.sources import blocks, frames
 
 from . import fields
@@ -138,3 +139,27 @@ def test_many_small_ranges_are_few_tasks(spark):
     rows = lambda n, width: spark.range(n).selectExpr("concat('f', id) path", "'n' name", "'<u2' kind", f"{width} width", "16 height", "1 channels", "0L data_at", "1D scale", "0D zero", "true flipped", "cast(null as string) pattern", "0 dx", "0 dy", "0 y0", "16 y1", "cast(null as string) error").to(spark.createDataFrame([], names).schema)
     assert blocks._dealt(rows(1000, 50)).rdd.getNumPartitions() <= 16 + spark.sparkContext.defaultParallelism
     assert blocks._dealt(rows(40, 1 << 20)).rdd.getNumPartitions() == 40
+
+
+def test_tile_table_has_a_file_a_bucket(spark, tmp_path):
+    """Small frames are dealt to the buckets of their tiles, and with fewer buckets than shuffle partitions the tiles stay."""
+    for i in range(60):
+        (tmp_path / f"{i}.fits").write_bytes(fields.fits(np.arange(20 * 20.0).reshape(20, 20) + i) if i % 3 else b"broken %d" % i)
+    headers = blocks.read_headers(spark, str(tmp_path))
+    table = tiletable.write(blocks.tiles(headers, 8), 8)
+    found = [f for f in (tmp_path / table.path.removeprefix("file://")).iterdir() if f.suffix == ".parquet"]
+    assert table.buckets == spark.sparkContext.defaultParallelism and len(found) <= table.buckets
+    assert table.tiles.where("error IS NULL").count() == 40 * 9 and table.tiles.where("error IS NOT NULL").count() == 20
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "17")
+        mesh = tilework.materialize(stars.mesh_smooth(tilework.reduced(table.tiles, 8, 1000).select("frame_id", F.inline("cells"))), "mesh")
+        plan = tilework.above(table.tiles, mesh, 8, 4.0, table.band, True, table.buckets)
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in text.splitlines() if "Exchange" in line and "error#" in line]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        table.drop()

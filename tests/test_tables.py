@@ -139,3 +139,24 @@ def test_files_arrive_in_batches(spark, tmp_path):
     for k, w in want.items():
         assert got[k].success == w.success and (got[k].error is None) == (w.error is None)
         assert all(got[k][c] == (w[c] if w[c] is None else pytest.approx(w[c], rel=1e-9)) for c in analysis.METRICS)
+
+
+def test_small_files_share_a_batch(spark, tmp_path, monkeypatch):
+    """A batch is bounded by the bytes of its files, not by their number."""
+    for i in range(1010):
+        (tmp_path / f"{i}.fits").write_bytes(b"%08d" % i)
+    calls = []
+
+    def analyse(todo):
+        calls.append(todo.count())
+        return todo.select("cache_key", F.lit(3).alias("schema_version"), F.lit(0).cast("long").alias("computed_at"))
+
+    def stream(name):
+        calls.clear()
+        table = ResultTable(spark, str(tmp_path / f"{name} table"), letters=1)
+        ingest.stream_files(spark, str(tmp_path), table, str(tmp_path / f"{name} state"), analyse).awaitTermination()
+        return table.rows().select("cache_key").distinct().count()
+
+    assert stream("one") == 1010 and calls == [1010]
+    monkeypatch.setattr(ingest, "BATCH_BYTES", 8 * 505)
+    assert stream("two") == 1010 and len(calls) == 2 and sum(calls) == 1010
