@@ -12,6 +12,8 @@ from framequarry.sources import blocks, frames
 
 #: Files whose keys and paths are broadcast (about 150 bytes each).
 FEW_FILES = 200_000
+#: Files that one task decodes, if their bytes are few.
+FILES_A_TASK = 500
 #: Pixels of the raster sample that median and deviation are taken from, as in ``tilework.analyse``.
 SAMPLE = 200_000
 METRICS = ["star_count", "hfr_median", "hfr_stddev", "fwhm_median", "ecc_median", "pix_mean", "pix_stddev", "pix_median", "pix_mad", "pix_min", "pix_min_count", "pix_max", "pix_max_count"]
@@ -36,8 +38,8 @@ def analyse_files(files: DataFrame, version: int = SCHEMA_VERSION, tile: int = 2
     success false, its error and no metrics. Pixels are decoded once, written as tiles, and analysed as tiles; file
     contents are not shuffled while the paths of ``files`` can be broadcast (``once``).
     """
-    keyed = once(content_key(files)).select(F.col("cache_key").alias("path"), "content")
-    return _result_rows(frames.tiles(keyed, tile), version, tile, computed_at, detection)
+    keyed = once(content_key(files))
+    return _result_rows(frames.tiles(keyed.select(F.col("cache_key").alias("path"), "content"), tile), version, tile, computed_at, detection, keyed.buckets)
 
 
 def analyse_headers(headers: DataFrame, version: int = SCHEMA_VERSION, tile: int = 256, computed_at: int | None = None, detection: dict | None = None) -> DataFrame:
@@ -49,14 +51,24 @@ def analyse_headers(headers: DataFrame, version: int = SCHEMA_VERSION, tile: int
 
 def once(keyed: DataFrame) -> DataFrame:
     """The row with the first path of each cache_key of ``keyed`` (path, which names one row, cache_key, content ...). The
-    choice is made on narrow rows and broadcast if it has at most ``FEW_FILES``; beyond that contents are dealt by path."""
-    first = materialize(keyed.groupBy("cache_key").agg(F.min("path").alias("path")), "first-paths")
-    return keyed.join(F.broadcast(first) if first.count() <= FEW_FILES else first, ["path", "cache_key"], "left_semi")
-
-
-def _result_rows(tiles: DataFrame, version: int, tile: int, computed_at: int | None, detection: dict | None) -> DataFrame:
+    choice is made on narrow rows and broadcast if it has at most ``FEW_FILES``; beyond that contents are dealt by path.
+
+    Contents are read by tasks of about ``blocks.RANGE_BYTES`` or ``FILES_A_TASK`` files each, without a shuffle: the tasks
+    that decode them each write a file a bucket, and should not be as many as the parts that the files come in. ``buckets``
+    of the result is the number of buckets that their tiles fill."""
+    first = materialize(keyed.groupBy("cache_key").agg(F.min("path").alias("path"), F.max("length").alias("length")), "first-paths")
+    n, size = first.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    first = first.drop("length")
+    chosen = keyed.join(F.broadcast(first) if n <= FEW_FILES else first, ["path", "cache_key"], "left_semi")
+    buckets = max(-(-size // blocks.RANGE_BYTES), keyed.sparkSession.sparkContext.defaultParallelism)
+    chosen = chosen.coalesce(max(buckets, -(-n // FILES_A_TASK)))
+    chosen.buckets = min(buckets, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return chosen
+
+
+def _result_rows(tiles: DataFrame, version: int, tile: int, computed_at: int | None, detection: dict | None, buckets: int | None = None) -> DataFrame:
     """Rows of the result table for ``tiles``, named by their cache_key: the tiles are written and dropped again."""
-    table = tiletable.write(tiles, tile)
+    table = tiletable.write(tiles, tile, buckets)
     rows, found = tilework.analyse(table, **(detection or {}))
     release(found)
     ok = rows.withColumnRenamed("frame_id", "cache_key").withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})

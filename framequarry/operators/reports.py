@@ -75,8 +75,8 @@ def report_files(files: DataFrame, tile: int = 256, grid: int = 3, nstar: int =
     ``grid`` is the side of the tilt grid and of the point-spread plate, ``nstar`` the stars of a zone; ``sky`` has rows,
     cols and min_side of the background map and rounds and reject of its fit, ``detection`` what ``tilework.analyse`` takes.
     """
-    keyed = once(content_key(files)).select(F.col("cache_key").alias("path"), "content")
-    return report_tiles(frames.tiles(keyed, tile), tile, grid, nstar, sky, detection)
+    keyed = once(content_key(files))
+    return report_tiles(frames.tiles(keyed.select(F.col("cache_key").alias("path"), "content"), tile), tile, grid, nstar, sky, detection, keyed.buckets)
 
 
 def report_headers(headers: DataFrame, tile: int = 256, grid: int = 3, nstar: int = 4, sky: dict | None = None, detection: dict | None = None) -> Report:
@@ -85,11 +85,11 @@ def report_headers(headers: DataFrame, tile: int = 256, grid: int = 3, nstar: in
     return report_tiles(blocks.tiles(headers.join(first, ["path", "cache_key"], "left_semi"), tile), tile, grid, nstar, sky, detection)
 
 
-def report_tiles(tiles: DataFrame, tile: int = 256, grid: int = 3, nstar: int = 4, sky: dict | None = None, detection: dict | None = None) -> Report:
+def report_tiles(tiles: DataFrame, tile: int = 256, grid: int = 3, nstar: int = 4, sky: dict | None = None, detection: dict | None = None, buckets: int | None = None) -> Report:
     """The report of ``frames.tiles``, frames named by their paths. An empty table gives empty tables."""
     sky = {"rows": background.ROWS, "cols": background.COLS, "min_side": 800} | (sky or {})
     fit = {k: sky.pop(k) for k in ("rounds", "reject") if k in sky}
-    table = tiletable.write(tiles, tile)
+    table = tiletable.write(tiles, tile, buckets)
     rows, found = tilework.analyse(table, **(detection or {}))
     ok = table.tiles.where("error IS NULL")
     size = ok.groupBy(F.col("path").alias("frame_id")).agg(F.first("width").alias("width"), F.first("height").alias("height"))

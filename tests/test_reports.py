@@ -92,3 +92,11 @@ def test_empty_table_and_release(spark):
     r.release()
     with pytest.raises(Exception):  # noqa: B017  its tables are gone
         r.rows.collect()
+
+
+def test_contents_in_many_parts_are_few_tasks(spark):
+    """The parts that small files come in do not become as many tasks that each write a file a bucket; copies are read once."""
+    df = spark.createDataFrame([(f"f{i:03}", b"%d" % (i % 50)) for i in range(100)], "path string, content binary").withColumn("length", F.length("content").cast("long")).repartition(40)
+    chosen = analysis.once(content_key(df))
+    assert chosen.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and chosen.buckets <= spark.sparkContext.defaultParallelism
+    assert sorted(r.path for r in chosen.collect()) == [f"f{i:03}" for i in range(50)]
