@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, clamp, lower_quartile, sorted_quantile, upper_median
-from framequarry.functions.store import materialize, release
+from framequarry.functions.store import dealt, materialize, release
 
 ROWS, COLS = 48, 72
 
@@ -93,7 +93,7 @@ def radial_fit(surface: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFr
     n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
     base = det(n, s1, s2, s1, s2, s3, s2, s3, s4)
     m = m.select("frame_id", (det(t0, s1, s2, t1, s2, s3, t2, s3, s4) / base).alias("c0"), (det(n, t0, s2, s1, t1, s3, s2, t2, s4) / base).alias("c1"), (det(n, s1, t0, s1, s2, t1, s2, s3, t2) / base).alias("c2"))
-    j = s.join(m, "frame_id").join(level(surface), "frame_id")
+    j = s.join(dealt(m), "frame_id").join(dealt(level(surface)), "frame_id")
     return j.groupBy("frame_id").agg(_r2(F.col("c0") + F.col("c1") * u + F.col("c2") * u * u, "bg_median").alias("radial_r2"))
 
 
@@ -101,7 +101,7 @@ def plane_fit(surface: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFra
     """Gradient: amplitude over the corners relative to the background, direction in degrees, R2. The grid is symmetric."""
     s = coordinates(surface, rows, cols)
     m = s.groupBy("frame_id").agg((F.sum(F.col("xn") * F.col("surface")) / F.sum(F.col("xn") * F.col("xn"))).alias("a"), (F.sum(F.col("yn") * F.col("surface")) / F.sum(F.col("yn") * F.col("yn"))).alias("b"), F.avg("surface").alias("c"))
-    j = s.join(m, "frame_id").join(level(surface), "frame_id")
+    j = s.join(dealt(m), "frame_id").join(dealt(level(surface)), "frame_id")
     fit = j.groupBy("frame_id").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("bg_median").alias("bg"), _r2(F.col("a") * F.col("xn") + F.col("b") * F.col("yn") + F.col("c"), "bg_median").alias("plane_r2"))
     deg = F.degrees(F.atan2("b", "a"))
     return fit.select("frame_id", (2 * (F.abs("a") + F.abs("b")) / F.col("bg")).alias("amplitude"), F.when(deg < 0, deg + 360).otherwise(deg).alias("direction"), "plane_r2")
@@ -114,10 +114,10 @@ def corners(surface: DataFrame, rows: int = ROWS, cols: int = COLS, share: float
     low, right = F.col("i") >= rows - 1 - hy, F.col("j") >= cols - 1 - hx
     s = surface.withColumn("resid", F.col("b0") - F.col("surface"))
     med = s.groupBy("frame_id").agg(upper_median("resid").alias("m"))
-    mad = s.join(med, "frame_id").withColumn("dev", F.abs(F.col("resid") - F.col("m"))).groupBy("frame_id").agg((MAD_SIGMA * upper_median("dev")).alias("sg"))
+    mad = s.join(dealt(med), "frame_id").withColumn("dev", F.abs(F.col("resid") - F.col("m"))).groupBy("frame_id").agg((MAD_SIGMA * upper_median("dev")).alias("sg"))
     spots = F.filter(F.array(F.when(top & left, 0), F.when(top & right, 1), F.when(low & left, 2), F.when(low & right, 3)), lambda k: k.isNotNull())
     by = s.withColumn("corner", F.explode(spots)).groupBy("frame_id", "corner").agg(upper_median("resid").alias("resid"), upper_median("surface").alias("level"))
-    g = by.join(mad, "frame_id").groupBy("frame_id").agg(F.max(F.col("resid") / F.when(F.col("sg") > 0, F.col("sg")).otherwise(1e-9)).alias("corner_excess"), F.stddev_pop("level").alias("sd"), F.avg("level").alias("mean"))
+    g = by.join(dealt(mad), "frame_id").groupBy("frame_id").agg(F.max(F.col("resid") / F.when(F.col("sg") > 0, F.col("sg")).otherwise(1e-9)).alias("corner_excess"), F.stddev_pop("level").alias("sd"), F.avg("level").alias("mean"))
     return g.select("frame_id", "corner_excess", (F.col("sd") / (F.abs("mean") + 1e-9)).alias("corner_asymmetry"))
 
 
@@ -125,7 +125,7 @@ def heatmap(surface: DataFrame) -> DataFrame:
     """Surface between its 2nd and 98th percentile, as 0 to 1."""
     q = surface.groupBy("frame_id").agg(F.collect_list("surface").alias("v")).select("frame_id", sorted_quantile(F.col("v"), 0.02).alias("lo"), sorted_quantile(F.col("v"), 0.98).alias("hi"))
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
-    return surface.join(q, "frame_id").select("frame_id", "i", "j", clamp((F.col("surface") - F.col("lo")) / span, 0.0, 1.0).alias("heat"))
+    return surface.join(dealt(q), "frame_id").select("frame_id", "i", "j", clamp((F.col("surface") - F.col("lo")) / span, 0.0, 1.0).alias("heat"))
 
 
 def diagnostics(surface: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, upper_median
-from framequarry.functions.store import materialize, release
+from framequarry.functions.store import dealt, materialize, release
 from framequarry.operators.tilework import assembled, luma_of, sliced
 
 CUT, WIN = 29, 9
@@ -207,7 +207,7 @@ def zone_summary(stars: DataFrame, boxes: DataFrame, grid: int = 3) -> DataFrame
     """Median shape of each zone, its axis, and the axis' relation to the direction from the frame's centre."""
     p = 2 * F.col("pa")
     s = stars.groupBy("frame_id", "gy", "gx").agg(F.count("*").alias("n"), upper_median("elong").alias("elong"), upper_median("ecc").alias("ecc"), (0.5 * F.atan2(F.avg(F.sin(p)), F.avg(F.cos(p)))).alias("pa"))
-    z = boxes.select("frame_id", "gy", "gx", "cy", "cx", "width", "height").join(s, ["frame_id", "gy", "gx"], "left")
+    z = boxes.select("frame_id", "gy", "gx", "cy", "cx", "width", "height").join(dealt(s), ["frame_id", "gy", "gx"], "left")
     radial = F.atan2(F.col("cy") - F.col("height") / 2, F.col("cx") - F.col("width") / 2)
     d = F.abs(F.abs(F.col("pa") - radial + F.lit(np.pi / 2)) % F.lit(np.pi) - F.lit(np.pi / 2))
     axis = F.when(F.col("n").isNull(), "none").when((F.col("gy") == grid // 2) & (F.col("gx") == grid // 2), "ref").when(d < np.radians(25), "radial").when(d > np.radians(65), "tangential").otherwise("oblique")
@@ -301,7 +301,7 @@ def plate_of_tiles(tiles: DataFrame, grid: int = 3, nstar: int = 4, sat: float =
     slices = sliced(tiles, lambda width, height: boxes_of(width, height, grid))
     found = slices.groupBy("frame_id", "gy", "gx").applyInPandas(measure_zone, f"frame_id string, gy long, gx long, {FOUND}")
     tops = boxes.select("frame_id", "gy", "gx", "top")
-    lit = found.join(tops, ["frame_id", "gy", "gx"]).where(F.col("luma") < sat * F.col("top")).drop("luma", "top")
+    lit = found.join(dealt(tops), ["frame_id", "gy", "gx"]).where(F.col("luma") < sat * F.col("top")).drop("luma", "top")
     chosen = materialize(topk_spaced(lit, nstar), "psf-stars")
     summed = materialize(zone_summary(chosen, boxes, grid), "psf-plate")
     release(boxes)

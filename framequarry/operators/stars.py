@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import MAD_SIGMA, array_median, upper_median
-from framequarry.functions.store import materialize, release
+from framequarry.functions.store import dealt, materialize, release
 
 FWHM_SIGMA = 2.3548200450309493
 
@@ -43,11 +43,11 @@ def mesh_smooth(mesh: DataFrame) -> DataFrame:
     """3x3 medians of background and noise; beyond the edge the edge cell counts again."""
     last = mesh.groupBy("frame_id").agg(F.max("cy").alias("my"), F.max("cx").alias("mx"))
     d = [F.lit(i) for i in (-1, 0, 1)]
-    around = mesh.select("frame_id", "cy", "cx").join(last, "frame_id").withColumn("dy", F.explode(F.array(*d))).withColumn("dx", F.explode(F.array(*d)))
+    around = mesh.select("frame_id", "cy", "cx").join(dealt(last), "frame_id").withColumn("dy", F.explode(F.array(*d))).withColumn("dx", F.explode(F.array(*d)))
     clampc = lambda v, top: F.greatest(F.lit(0), F.least(v, F.col(top)))
     around = around.select("frame_id", "cy", "cx", clampc(F.col("cy") + F.col("dy"), "my").alias("ny"), clampc(F.col("cx") + F.col("dx"), "mx").alias("nx"))
     values = mesh.select("frame_id", F.col("cy").alias("ny"), F.col("cx").alias("nx"), "bg", "noise")
-    return around.join(values, ["frame_id", "ny", "nx"]).groupBy("frame_id", "cy", "cx").agg(upper_median("bg").alias("bg"), upper_median("noise").alias("noise"))
+    return around.join(dealt(values), ["frame_id", "ny", "nx"]).groupBy("frame_id", "cy", "cx").agg(upper_median("bg").alias("bg"), upper_median("noise").alias("noise"))
 
 
 def with_mesh(points: DataFrame, mesh: DataFrame, tile: int, y: str = "y", x: str = "x") -> DataFrame:
@@ -132,7 +132,7 @@ def joined_labels(labelled: DataFrame) -> DataFrame:
     kind = labelled.schema["frame_id"].dataType.simpleString()
     moved = border.groupBy("frame_id").applyInPandas(_across_borders, f"frame_id {kind}, label long, whole long")
     names = [c for c in labelled.columns if c not in ("label", "edge")]
-    return labelled.join(moved, ["frame_id", "label"], "left").select(*names, F.coalesce("whole", "label").alias("label"))
+    return labelled.join(dealt(moved), ["frame_id", "label"], "left").select(*names, F.coalesce("whole", "label").alias("label"))
 
 
 def _label_runs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,22 +165,22 @@ def components(sparse: DataFrame, most: int = 2_000_000) -> DataFrame:
     runs = many.groupBy("frame_id", "y", "island").agg(F.min("x").alias("first"), F.max("x").alias("last"))
     kind = sparse.schema["frame_id"].dataType.simpleString()
     labels = runs.groupBy("frame_id").applyInPandas(_label_runs, f"frame_id {kind}, y long, island long, label long")
-    return few.union(many.join(labels, ["frame_id", "y", "island"]).select(*sparse.columns, "label"))
+    return few.union(many.join(dealt(labels), ["frame_id", "y", "island"]).select(*sparse.columns, "label"))
 
 
 def area_filter(labelled: DataFrame, least: int = 5, most: int = 2000) -> DataFrame:
     keep = labelled.groupBy("frame_id", "label").count().where(F.col("count").between(least, most)).select("frame_id", "label")
-    return labelled.join(keep, ["frame_id", "label"], "left_semi")
+    return labelled.join(dealt(keep), ["frame_id", "label"], "left_semi")
 
 
 def moments(labelled: DataFrame) -> DataFrame:
     """Flux, peak, centroid, FWHM, eccentricity and axis angle of each component."""
     w = F.col("residual")
     first = labelled.groupBy("frame_id", "label").agg(F.sum(w).alias("flux"), F.max(w).alias("peak"), F.count("*").alias("area"), (F.sum(w * F.col("x")) / F.sum(w)).alias("cx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("cy")).where("flux > 0")
-    j = labelled.join(first, ["frame_id", "label"])
+    j = labelled.join(dealt(first), ["frame_id", "label"])
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     second = j.groupBy("frame_id", "label").agg((F.sum(w * dx * dx) / F.sum(w)).alias("mxx"), (F.sum(w * dy * dy) / F.sum(w)).alias("myy"), (F.sum(w * dx * dy) / F.sum(w)).alias("mxy"))
-    m = first.join(second, ["frame_id", "label"])
+    m = first.join(dealt(second), ["frame_id", "label"])
     half, det = (F.col("mxx") + F.col("myy")) / 2, F.sqrt(F.greatest(F.lit(0.0), (F.col("mxx") - F.col("myy")) * (F.col("mxx") - F.col("myy")) / 4 + F.col("mxy") * F.col("mxy")))
     m = m.withColumn("l1", half + det).withColumn("l2", F.greatest(F.lit(0.0), half - det)).where("l1 > 0")
     return m.select(
@@ -191,7 +191,7 @@ def moments(labelled: DataFrame) -> DataFrame:
 
 def quality_cuts(found: DataFrame, mesh: DataFrame, tile: int = 64, snr: float = 3.0, bright: float = 30.0, ecc: float = 0.80, fwhm: tuple[float, float] = (1.2, 9.0), sharp: float = 0.95) -> DataFrame:
     """Signal to noise for all; shape limits except for components with a bright peak."""
-    m = with_mesh(found, mesh, tile, "cy", "cx")
+    m = with_mesh(dealt(found), mesh, tile, "cy", "cx")
     good = F.col("flux") / (F.col("noise") * F.sqrt("area")) >= snr
     shape = (F.col("ecc") <= ecc) & F.col("fwhm").between(*fwhm) & (F.col("peak") / F.col("flux") <= sharp)
     return m.where(good & ((F.col("peak") / F.col("noise") >= bright) | shape)).drop("bg", "noise")
@@ -199,7 +199,7 @@ def quality_cuts(found: DataFrame, mesh: DataFrame, tile: int = 64, snr: float =
 
 def half_flux_radius(labelled: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` with hfr: the radius of half the flux, interpolated between the two pixels that straddle it."""
-    j = labelled.select("frame_id", "label", "y", "x", "residual").join(found.select("frame_id", "label", "cx", "cy", "flux"), ["frame_id", "label"])
+    j = labelled.select("frame_id", "label", "y", "x", "residual").join(dealt(found.select("frame_id", "label", "cx", "cy", "flux")), ["frame_id", "label"])
     j = j.withColumn("rad", F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))))
     # Radii that agree in exact arithmetic are one radius for the order; ties go by row, then column.
     w = Window.partitionBy("frame_id", "label").orderBy(F.round("rad", 9), "y", "x")
@@ -208,7 +208,7 @@ def half_flux_radius(labelled: DataFrame, found: DataFrame) -> DataFrame:
     hit = j.where(F.col("cum") >= half).groupBy("frame_id", "label").agg(F.min_by(F.struct("rad", "prev", "cum", "residual", "flux"), "n").alias("h"))
     h = lambda c: F.col(f"h.{c}")
     hfr = F.when(h("prev").isNull(), h("rad")).otherwise(h("prev") + (h("flux") / 2 - (h("cum") - h("residual"))) / h("residual") * (h("rad") - h("prev")))
-    return found.join(hit.select("frame_id", "label", hfr.alias("hfr")), ["frame_id", "label"]).where("hfr > 0")
+    return found.join(dealt(hit.select("frame_id", "label", hfr.alias("hfr"))), ["frame_id", "label"]).where("hfr > 0")
 
 
 def summary(frames: DataFrame, stars: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import clamp
+from framequarry.functions.store import dealt
 from framequarry.operators import pixels
 from framequarry.operators.background import COLS, ROWS
 from framequarry.operators.tilework import assembled, luma_of, sliced
@@ -82,7 +83,7 @@ def at_rank(counts: DataFrame, ranks: DataFrame) -> DataFrame:
     coarse = counts.groupBy("frame_id", F.shiftright("key", 16).alias("upper")).agg(F.sum("n").alias("n"))
     before = lambda key: F.sum("n").over(Window.partitionBy("frame_id").orderBy(key)) - F.col("n")
     pick = coarse.withColumn("before", before("upper")).join(ranks, "frame_id").where("before <= rank AND rank < before + n").select("frame_id", "upper", (F.col("rank") - F.col("before")).alias("rank"))
-    fine = counts.withColumn("upper", F.shiftright("key", 16)).join(pick, ["frame_id", "upper"])
+    fine = counts.withColumn("upper", F.shiftright("key", 16)).join(dealt(pick), ["frame_id", "upper"])
     return fine.withColumn("before", before("key")).where("before <= rank AND rank < before + n").select("frame_id", "v")
 
 
@@ -94,7 +95,7 @@ def deviations(counts: DataFrame, centre: DataFrame) -> DataFrame:
             dev = np.abs(pdf["v"].to_numpy() - pdf["centre"].to_numpy()).astype(np.float32)
             yield pd.DataFrame({"frame_id": pdf["frame_id"], "key": order_key(dev), "v": dev.astype(np.float64), "n": pdf["n"]})
 
-    return _summed(counts.join(centre, "frame_id").mapInPandas(run, COUNTS))
+    return _summed(counts.join(dealt(centre), "frame_id").mapInPandas(run, COUNTS))
 
 
 def statistics(counts: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def statistics(counts: DataFrame) -> DataFrame:
     sums = counts.groupBy("frame_id").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("total"), F.min(F.struct("key", "v", "n")).alias("lo"), F.max(F.struct("key", "v", "n")).alias("hi"))
     sums = sums.withColumn("mean", F.col("total") / F.col("n"))
     apart = F.col("v") - F.col("mean")
-    spread = counts.join(sums.select("frame_id", "mean"), "frame_id").groupBy("frame_id").agg(F.sum(apart * apart * F.col("n")).alias("m2"))
+    spread = counts.join(dealt(sums.select("frame_id", "mean")), "frame_id").groupBy("frame_id").agg(F.sum(apart * apart * F.col("n")).alias("m2"))
     rank = sums.select("frame_id", F.floor(F.col("n") / 2).alias("rank"))  # the upper middle
     med = at_rank(counts, rank).withColumnRenamed("v", "pix_median")
     mad = at_rank(deviations(counts, med.withColumnRenamed("pix_median", "centre")), rank).withColumnRenamed("v", "pix_mad")
@@ -125,7 +126,7 @@ def source_range(tiles: DataFrame) -> DataFrame:
 def histogram(counts: DataFrame, ranges: DataFrame, bins: int = 256) -> DataFrame:
     """``pixels.histogram`` from the value counts of the channel r and ``source_range``."""
     at = F.floor((F.col("v") - F.col("src_min")) / (F.col("src_max") - F.col("src_min")) * bins)
-    counted = counts.join(ranges, "frame_id").groupBy("frame_id", clamp(at, 0, bins - 1).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+    counted = counts.join(dealt(ranges), "frame_id").groupBy("frame_id", clamp(at, 0, bins - 1).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     grid = ranges.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = grid.join(counted, ["frame_id", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tall = F.max("n").over(Window.partitionBy("frame_id"))

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.functions.order_stats import MAD_SIGMA, upper_median
-from framequarry.functions.store import materialize, release
+from framequarry.functions.order_stats import MAD_SIGMA
+from framequarry.functions.store import dealt, materialize, release
 from framequarry.operators import stars
 from framequarry.operators.tiletable import BAND, TileTable, band_of, banded, with_bands
 
@@ -105,15 +105,16 @@ def reduced(tiles: DataFrame, cell: int, target: int) -> DataFrame:
 
 
 def statistics(parts: DataFrame) -> DataFrame:
-    """Per frame: mean, sample deviation, extremes with their counts, and median and MAD of the sample."""
+    """Per frame: mean, sample deviation, extremes with their counts, and median and MAD of the sample, which is an array of
+    less than twice the target: a join of its values to their medians could be planned as a broadcast of all of them."""
     means = parts.withColumn("m", F.col("total") / F.col("n"))
     sums = means.groupBy("frame_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    spread = means.join(sums.select("frame_id", (F.col("total") / F.col("n")).alias("mean")), "frame_id").groupBy("frame_id").agg(F.sum(F.col("spread") + F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))).alias("m2"))
+    spread = means.join(dealt(sums.select("frame_id", (F.col("total") / F.col("n")).alias("mean"))), "frame_id").groupBy("frame_id").agg(F.sum(F.col("spread") + F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))).alias("m2"))
     base = sums.join(spread, "frame_id").select("frame_id", (F.col("total") / F.col("n")).alias("pix_mean"), F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0).alias("pix_stddev"))
     end = lambda v, c, pick: parts.groupBy("frame_id", v).agg(F.sum(c).alias("c")).groupBy("frame_id").agg(getattr(F, pick)(v).alias(f"pix_{pick}"), getattr(F, f"{pick}_by")("c", v).alias(f"pix_{pick}_count"))
-    sample = parts.select("frame_id", F.explode("sample").alias("v"))
-    med = sample.groupBy("frame_id").agg(upper_median("v").alias("pix_median"))
-    dev = sample.join(med, "frame_id").withColumn("dev", F.abs(F.col("v") - F.col("pix_median"))).groupBy("frame_id").agg(F.first("pix_median").alias("pix_median"), upper_median("dev").alias("pix_mad"))
+    middle = lambda v: F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))  # noqa: E731  as upper_median
+    sample = parts.groupBy("frame_id").agg(F.sort_array(F.flatten(F.collect_list("sample"))).alias("v")).withColumn("pix_median", middle("v"))
+    dev = sample.withColumn("dev", F.sort_array(F.transform("v", lambda x: F.abs(x - F.col("pix_median"))))).select("frame_id", "pix_median", middle("dev").alias("pix_mad"))
     return base.join(end("lo", "n_lo", "min"), "frame_id").join(end("hi", "n_hi", "max"), "frame_id").join(dev, "frame_id")
 
 

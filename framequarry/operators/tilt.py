@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions.order_stats import clamp, upper_median
+from framequarry.functions.store import dealt
 
 
 def cells(stars: DataFrame, width: int | None = None, height: int | None = None, grid: int = 3, frames: DataFrame | None = None) -> DataFrame:
@@ -17,11 +18,11 @@ def cells(stars: DataFrame, width: int | None = None, height: int | None = None,
     if frames is None:
         frames = stars.select("frame_id").distinct().withColumns({"width": F.lit(width), "height": F.lit(height)})
     at = lambda c, size: clamp(F.floor(F.col(c) * grid / F.col(size)), 0, grid - 1).cast("long")
-    placed = stars.join(frames.select("frame_id", "width", "height"), "frame_id")
+    placed = stars.join(dealt(frames.select("frame_id", "width", "height")), "frame_id")
     found = placed.groupBy("frame_id", at("y", "height").alias("gy"), at("x", "width").alias("gx")).agg(F.count("*").alias("n"), upper_median("hfr").alias("hfr"), F.avg("ecc").alias("ecc"))
     side = F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))
     full = frames.select("frame_id").withColumn("gy", F.explode(side)).withColumn("gx", F.explode(side))
-    return full.join(found, ["frame_id", "gy", "gx"], "left").select("frame_id", "gy", "gx", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hfr", F.lit(0.0)).alias("hfr"), F.coalesce("ecc", F.lit(0.0)).alias("ecc"))
+    return full.join(dealt(found), ["frame_id", "gy", "gx"], "left").select("frame_id", "gy", "gx", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hfr", F.lit(0.0)).alias("hfr"), F.coalesce("ecc", F.lit(0.0)).alias("ecc"))
 
 
 def _corner(grid: int) -> Column:

@@ -334,13 +334,13 @@ UNION ALL SELECT 'cut-frame-' || frame_id || '.fits', false, NULL, NULL, NULL, N
 def ingest_file_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Frame files, broken ones among them, arrive in a folder; a stream of their paths fills the result table."""
     folder, state = shared_dir(spark, "frame-files"), shared_dir(spark, "stream-state")
-    blocks.write_files(_with_broken(_pixel_files(spark, sf, "fits")), folder).write.format("noop").mode("overwrite").save()
+    wrote = materialize(blocks.write_files(_with_broken(_pixel_files(spark, sf, "fits")), folder), "written-files")
     table = ResultTable(spark, shared_dir(spark, "result-table"))
     run = ingest.stream_files(spark, folder, table, state, lambda todo: analysis.analyse_headers(todo, tile=16, computed_at=0, detection={"tile": TILE, "k": K}))
     run.awaitTermination()
     if run.exception():
         raise run.exception()
-    paths = blocks.read_headers(spark, folder, ["path", "cache_key"]).select(F.element_at(F.split("path", "/"), -1).alias("path"), "cache_key")
+    paths = blocks.headers_of(wrote).select(F.element_at(F.split("path", "/"), -1).alias("path"), "cache_key")
     return rounded(table.rows().join(paths, "cache_key").select("path", "success", "star_count", "hfr_median", "pix_mean", "pix_median", "pix_mad", "pix_max_count", "error"))
 
 

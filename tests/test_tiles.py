@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framequarry.operators import analysis, background, pixels, psf, stars, tilereduce, tiletable, tilework
+from framequarry.functions.store import materialize
+from framequarry.operators import analysis, background, pixels, psf, stars, tilereduce, tiletable, tilework, tilt
 from framequarry.operators.results import content_key
 from framequarry.sources import blocks, frames
 
@@ -174,3 +175,34 @@ def test_boxes_follow_from_the_size(spark):
 def test_cutouts_of_tiles(tiles, px, grid, side):
     got, want = ({(r.frame_id, r.gy, r.gx): (r.n, list(r["values"])) for r in f(x, grid, side).collect()} for f, x in ((tilereduce.cutouts, tiles), (pixels.cutouts, px)))
     assert got == want and len(got) >= 4 * grid * grid
+
+
+def test_rows_of_pixels_cells_and_stars_are_not_broadcast(spark):
+    """Such tables are small on disk, where the keys of their frames are packed: what is written is dealt by key all the same."""
+    pixel = materialize(spark.range(4000).selectExpr("concat('f', id % 5) frame_id", "id % 40 y", "id div 40 x", "5D luma", "3D residual", "1D noise", "id % 8 label", "id % 7 = 0 edge"), "pixels")
+    mesh = materialize(spark.range(500).selectExpr("concat('f', id % 5) frame_id", "id % 10 cy", "id div 50 cx", "1D bg", "1D noise"), "mesh")
+    surface = materialize(spark.range(500).selectExpr("concat('f', id % 5) frame_id", "id % 10 i", "id div 50 j", "1D b0", "1D surface"), "surface")
+    size = spark.range(5).selectExpr("concat('f', id) frame_id", "40L width", "40L height")
+    star = materialize(pixel.select("frame_id", "y", "x", F.lit(1.0).alias("hfr"), F.lit(0.1).alias("ecc")), "stars")
+    found = stars.quality_cuts(stars.moments(pixel), mesh, 4)
+    counts = materialize(spark.range(4000).selectExpr("concat('f', id % 5) frame_id", "int(id) key", "double(id) v", "1L n"), "counts")
+    plans = [stars.mesh_smooth(mesh), stars.joined_labels(pixel), stars.area_filter(pixel.drop("edge")), found, stars.half_flux_radius(pixel, found), background.heatmap(surface), background.corners(surface, 10, 10)]
+    plans += [tilt.cells(star, frames=size), background.radial_fit(surface, 10, 10), background.plane_fit(surface, 10, 10), tilereduce.deviations(counts, size.select("frame_id", F.lit(1.0).alias("centre")))]
+    for p in plans:
+        assert "Broadcast" not in p._jdf.queryExecution().executedPlan().toString(), p.columns
+
+
+def test_statistics_do_not_broadcast_samples(spark):
+    """With medians too large for a broadcast, the samples, small on disk, are not broadcast in their place."""
+    v = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: (i * 37 % 200).cast("double"))
+    parts = spark.range(60).select(F.concat(F.lit("f"), "id").alias("frame_id"), F.lit(200).cast("long").alias("n"), F.lit(19900.0).alias("total"), F.lit(1.0).alias("spread"), F.lit(0.0).alias("lo"), F.lit(1).cast("long").alias("n_lo"), F.lit(199.0).alias("hi"), F.lit(1).cast("long").alias("n_hi"), v.alias("sample"))
+    parts = materialize(parts.coalesce(1), "parts")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")
+        s = tilework.statistics(parts)
+        assert {(r.pix_median, r.pix_mad, r.pix_mean) for r in s.collect()} == {(100.0, 50.0, 99.5)} and s.count() == 60
+        rows = s._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        assert not [b for a, b in zip(rows, rows[1:], strict=False) if "BroadcastExchange" in a and "Generate" in b]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
