@@ -90,8 +90,8 @@ def report_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files, some of them broken, to their report: stars, tilt and background (the surface of the first round, which SQL has)."""
     files = materialize(_with_broken(_pixel_files(spark, sf, "fits")), "report-input")
     found = reports.report_files(files, tile=16, sky={"rows": BR, "cols": BC, "min_side": 30, "rounds": 1}, detection={"tile": TILE, "k": K})
-    named = rounded(found.summary().join(content_key(files).select("path", "cache_key"), "cache_key"))
-    return named.select(
+    named = found.summary().join(content_key(files).select("path", "cache_key"), "cache_key")
+    return rounded(named.select(  # what has fewer digits is rounded from the measured value, not from one of six digits
         "path", "success", "star_count", "hfr_median", "pix_mean", "tilt_known", "hfr_min", "hfr_max", "best_corner", "worst_corner", "tilt_pct", "curvature_pct", "bg_median", "radial_drop", "azim_aniso",
         F.round("radial_r2", 5).alias("radial_r2"), "amplitude", F.round("direction", 5).alias("direction"), "plane_r2", "corner_excess", "corner_asymmetry", "error",
-    )
+    ))

@@ -1,11 +1,13 @@
 """The report of frame files against the operators on pixel rows."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from framequarry.operators import analysis, background, pixels, psf, reports, tilt, tilework
 from framequarry.operators.results import content_key
+from framequarry.plans import catalog
 from framequarry.sources import blocks, frames
 
 from . import fields
@@ -100,3 +102,13 @@ def test_contents_in_many_parts_are_few_tasks(spark):
     chosen = analysis.once(content_key(df))
     assert chosen.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and chosen.buckets <= spark.sparkContext.defaultParallelism
     assert sorted(r.path for r in chosen.collect()) == [f"f{i:03}" for i in range(50)]
+
+
+def test_figures_of_five_digits_are_rounded_once(spark, tmp_path):
+    """Frames whose radial_r2 or direction ends in 49.. after the fifth digit, exactly as SQL has them."""
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE events AS SELECT event_id % 2500 + CASE event_id // 2500 WHEN 28 THEN 0 ELSE 2500 END AS event_id, value FROM '/root/testdata/sf0.1/events.parquet' WHERE event_id // 2500 IN (28, 35)")
+    duck.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = sorted(duck.execute(f"SELECT path, radial_r2, direction, bg_median FROM ({catalog.oracle_sql()['report_files']}) WHERE success").fetchall())
+    got = catalog.queries()["report_files"](spark, str(tmp_path)).where("success").select("path", "radial_r2", "direction", "bg_median").collect()
+    assert len(want) == 2 and sorted(map(tuple, got)) == want
