@@ -271,11 +271,13 @@ def coloured(data: ByteRanges, r, y0: int, y1: int) -> np.ndarray:
 
 def _dealt(ranges: DataFrame) -> DataFrame:
     """``ranges``, a written table, dealt to tasks of about ``RANGE_BYTES`` or ``RANGES_A_TASK`` ranges each: narrow rows,
-    whatever the sizes of their files. A large frame is many tasks, and many small files are few. A frame of one range
-    lies where ``tiletable`` has its bucket, if there are as many buckets as tasks. Rows with an error are dealt as well."""
+    whatever the sizes of their files. A large frame is many tasks, as many as it has ranges, and many small files are few.
+    A frame of one range lies where ``tiletable`` has its bucket, if there are as many buckets as tasks. Rows with an error are dealt as well."""
     line = F.col("width").cast("long") * F.col("channels") * F.substring("kind", 3, 1).cast("int")
-    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum((F.col("y1") - F.col("y0")) * line), F.lit(0))).first()
-    tasks = max(-(-size // RANGE_BYTES), -(-n // RANGES_A_TASK), ranges.sparkSession.sparkContext.defaultParallelism)
+    rows = F.col("y1") - F.col("y0")
+    of_one = F.max(F.when(F.col("y0") == 0, F.ceil(F.col("height") / rows)))  # ranges of the frame that is cut most
+    n, size, most = ranges.agg(F.count("*"), F.coalesce(F.sum(rows * line), F.lit(0)), F.coalesce(of_one, F.lit(0))).first()
+    tasks = max(-(-size // RANGE_BYTES), -(-n // RANGES_A_TASK), most, ranges.sparkSession.sparkContext.defaultParallelism)
     tasks = max(1, min(tasks, n, 20_000))
     dealt = ranges.repartition(tasks, "name", "y0")
     dealt.tasks = tasks
