@@ -98,13 +98,13 @@ def radial_fit(surface: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFr
 
 
 def plane_fit(surface: DataFrame, rows: int = ROWS, cols: int = COLS) -> DataFrame:
-    """Gradient: amplitude over the corners relative to the background, direction in degrees, R2. The grid is symmetric."""
+    """Gradient: amplitude over the corners relative to the background, direction in degrees from 0 to less than 360, R2. The grid is symmetric."""
     s = coordinates(surface, rows, cols)
     m = s.groupBy("frame_id").agg((F.sum(F.col("xn") * F.col("surface")) / F.sum(F.col("xn") * F.col("xn"))).alias("a"), (F.sum(F.col("yn") * F.col("surface")) / F.sum(F.col("yn") * F.col("yn"))).alias("b"), F.avg("surface").alias("c"))
     j = s.join(dealt(m), "frame_id").join(dealt(level(surface)), "frame_id")
     fit = j.groupBy("frame_id").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("bg_median").alias("bg"), _r2(F.col("a") * F.col("xn") + F.col("b") * F.col("yn") + F.col("c"), "bg_median").alias("plane_r2"))
     deg = F.degrees(F.atan2("b", "a"))
-    return fit.select("frame_id", (2 * (F.abs("a") + F.abs("b")) / F.col("bg")).alias("amplitude"), F.when(deg < 0, deg + 360).otherwise(deg).alias("direction"), "plane_r2")
+    return fit.select("frame_id", (2 * (F.abs("a") + F.abs("b")) / F.col("bg")).alias("amplitude"), F.when(deg < -1e-9, deg + 360).otherwise(F.greatest(deg, F.lit(0.0))).alias("direction"), "plane_r2")  # rounding below 0 is no full turn
 
 
 def corners(surface: DataFrame, rows: int = ROWS, cols: int = COLS, share: float = 0.16) -> DataFrame:

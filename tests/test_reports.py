@@ -112,3 +112,12 @@ def test_figures_of_five_digits_are_rounded_once(spark, tmp_path):
     want = sorted(duck.execute(f"SELECT path, radial_r2, direction, bg_median FROM ({catalog.oracle_sql()['report_files']}) WHERE success").fetchall())
     got = catalog.queries()["report_files"](spark, str(tmp_path)).where("success").select("path", "radial_r2", "direction", "bg_median").collect()
     assert len(want) == 2 and sorted(map(tuple, got)) == want
+
+
+def test_direction_along_an_axis_is_not_a_full_turn(spark):
+    """A slope across that is 0 but for rounding, on either side, is the direction 0; a slope that is there stays."""
+    cells = spark.range(48 * 3).selectExpr("id div 48 frame_id", "id % 48 div 8 i", "id % 8 j", "0D b0")
+    across = F.element_at(F.array(F.lit(-1e-15), F.lit(1e-15), F.lit(-1e-4)), (F.col("frame_id") + 1).cast("int"))
+    surface = cells.withColumn("surface", 5 + (F.col("j") - 3.5) / 3.5 + across * (F.col("i") - 2.5) / 2.5)
+    got = {r.frame_id: r.direction for r in background.plane_fit(surface, 6, 8).collect()}
+    assert got[0] < 1e-6 and got[1] < 1e-6 and got[2] == pytest.approx(360 - np.degrees(1e-4), abs=1e-6)
